@@ -31,3 +31,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skerry.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.linededup import line_report
+
+    return line_report(_table(spark, sf_dir, "documents"))

@@ -2,4 +2,78 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def low(x: str) -> str:
+    return f"translate({x}, '{UPPER}', '{LOWER}')"
+
+
+LINE_DEDUP = rf"""
+WITH lines AS (
+  SELECT doc_id, i, lines[i] AS line,
+         {low(r"regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)
+), repeats AS (
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, count(*) AS n_lines,
+       count(*) FILTER (keeper IS NOT NULL AND keeper <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN repeats USING (key)
+GROUP BY doc_id
+"""
+
+DECONTAMINATION = rf"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({low("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), patterns AS (
+  SELECT DISTINCT item, least(13, len(w)) AS m, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS pattern
+  FROM items, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(i) WHERE len(w) > 0
+), texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce({low("text")}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), lengths AS (SELECT DISTINCT m FROM patterns),
+windows AS (
+  SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS pattern
+  FROM texts, lengths, unnest(range(1, len(w) - m + 2)) AS u(i)
+), found AS (
+  SELECT doc_id, item, i, p.m FROM windows JOIN patterns p USING (pattern, m)
+), hits AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM found, unnest(range(i, i + m)) AS u(k) GROUP BY doc_id
+), owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS all_items
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(all_items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce({low("text")}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + least(4, len(w)) - 1], ' ')) AS s
+  FROM texts, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS u(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": LINE_DEDUP,
+    "op3_decontamination": DECONTAMINATION,
+}
