@@ -32,11 +32,11 @@ _LETTERS = _letter_table()
 
 
 def stems(s: K.Slice, bits: int = 18) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of lower-cased words of letters, and their first 4, 5 and 6 bytes."""
+    """(row, bucket) of lower-cased words of letters, and their first 4 to 8 bytes."""
     data = _LETTERS[s.data]
     w = K.spans(data > 0, s.offsets)
     rows, buckets = [], []
-    for k in (0, 4, 5, 6):
+    for k in (0, 4, 5, 6, 7, 8):
         own = w if not k else K.Words(*(x[w.end - w.start > k] for x in w))
         h = K.hash_spans(data, own._replace(end=np.minimum(own.end, own.start + k)) if k else own)
         rows.append(own.doc)
@@ -79,7 +79,7 @@ def subwords(s: K.Slice, bits: int = 17) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sparse(NamedTuple):
-    """Rows of (bucket, share of the row's features), one after another."""
+    """Rows of (bucket, value), one after another."""
 
     bucket: np.ndarray
     value: np.ndarray
@@ -96,9 +96,11 @@ def unit_hash(column: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(column.cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def collected(rows: DataFrame, extract: Extract) -> tuple[np.ndarray, Sparse]:
-    """Labels and features of a bounded sample (text, y), each different row
-    once, in an order that depends on its rows alone."""
+def collected(rows: DataFrame, extract: Extract, value: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, Sparse]:
+    """Labels and features of a bounded sample (text, y), in an order that depends on its rows alone.
+
+    ``value`` makes a row's feature values from its feature counts.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,12 +111,12 @@ def collected(rows: DataFrame, extract: Extract) -> tuple[np.ndarray, Sparse]:
                 bucket = (key & ((1 << 20) - 1)).astype("<u4")
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(s.lo, s.hi - s.lo), pa.array([bucket[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["y", "bucket", "n"])
 
-    found = sorted({(r["y"], bytes(r["bucket"]), bytes(r["n"])) for r in rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(features, "y int, bucket binary, n binary").toLocalIterator()})
+    found = sorted((r["y"], bytes(r["bucket"]), bytes(r["n"])) for r in rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(features, "y int, bucket binary, n binary").toLocalIterator())
     counts = [np.frombuffer(n, "<u4") for *_, n in found]
     size = np.array([len(c) for c in counts], np.int64)
-    value = np.concatenate([c / c.sum() for c in counts if len(c)] or [np.zeros(0)]).astype(np.float32)
+    values = np.concatenate([value(c) for c in counts if len(c)] or [np.zeros(0)]).astype(np.float32)
     bucket = np.concatenate([np.frombuffer(b, "<u4") for _, b, _ in found] or [np.zeros(0, "<u4")]).astype(np.int64)
-    return np.array([y for y, *_ in found], np.int64), Sparse(bucket, value, np.concatenate([[0], np.cumsum(size)]))
+    return np.array([y for y, *_ in found], np.int64), Sparse(bucket, values, np.concatenate([[0], np.cumsum(size)]))
 
 
 def linear_score(text: Column, extract: Extract, weights: np.ndarray, bias: float, spark) -> Column:

@@ -60,7 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, dims: int = 8, r
         share = good / n if n else 0.0
         return np.zeros(1 << BITS), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
     chosen = known.where(unit_hash(F.col("doc_id"), seed) < min(1.0, sample / n))
-    y, rows = collected(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), subwords)  # the sample's bound
+    y, rows = collected(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), subwords, lambda n: n / n.sum())  # the sample's bound
     if not len(y):
         return np.zeros(1 << BITS), float(np.log(good / (n - good)))
     vectors, layer, bias = train(y, rows, dims, rounds, rate, seed)

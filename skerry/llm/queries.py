@@ -49,3 +49,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skerry.llm.quality import score_quality
 
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, similarity=80)

@@ -76,4 +76,5 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (d
 ORACLE: dict[str, str] = {
     "op2_line_dedup": LINE_DEDUP,
     "op3_decontamination": DECONTAMINATION,
+    "op7_near_dedup": NEAR_DUPLICATES,
 }
