@@ -55,3 +55,9 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skerry.llm.neardup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, similarity=80)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.fingerprints import compare_with_next
+
+    return compare_with_next(_table(spark, sf_dir, "documents"))
