@@ -61,3 +61,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skerry.llm.fingerprints import compare_with_next
 
     return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.lm import scores
+
+    return scores(_table(spark, sf_dir, "documents"))
