@@ -140,6 +140,9 @@ def repeats(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_filter_
     filters = twice_seen(docs, _segments(docs, max_filter_mb), min_chars)
     pairs = written(suspects(docs, filters, min_chars), "suspected-lines")
     confirmed = pairs.groupBy("digest").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # written, so that both sides of the join are plain shuffles, and a digest
+    # that very many documents hold is split by adaptive execution
+    confirmed = written(confirmed, "repeated-lines")
     lost = pairs.join(confirmed, "digest").where(F.col("doc_id") != F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
 
