@@ -28,10 +28,12 @@ null doc_id takes no part: its component is null and it is kept.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +156,45 @@ def candidates(classes: DataFrame, depth: int, window: int, least: int, partitio
     return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("alike").alias("alike"))
 
 
+def _places(ids: list, bits: int) -> np.ndarray:
+    h = np.array([xxhash.xxh64_intdigest(str(i).encode()) for i in ids], U64).reshape(-1, 1)
+    with np.errstate(over="ignore"):
+        return (h + np.arange(4, dtype=U64) * ((h >> U64(32)) | U64(1))) & U64(bits - 1)
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int, most_mb: int = 64) -> DataFrame:
+    """rep, blob: the sets of all documents in ``wanted`` (doc_id), and of a few more.
+
+    A Bloom filter of the wanted ids (of ``most_mb`` at most; a fuller one only
+    lets more through) goes to the tasks, so no text is shuffled.
+    """
+    spark = docs.sparkSession
+    wanted = wanted.distinct()
+    bits = min(most_mb << 23, 1 << max(13, (16 * wanted.count()).bit_length()))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            own[_places(batch.column(0).to_pylist(), bits).ravel()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())], ["bits"])
+
+    table = np.zeros(bits // 8, np.uint8)
+    for row in wanted.coalesce(16).mapInArrow(build, "bits binary").toLocalIterator():
+        table |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    shared = spark.sparkContext.broadcast(table)
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0).to_pylist(), bits).astype(np.int64)
+            hit = ((shared.value[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
+            batch = batch.filter(pa.array(hit))
+            for s in K.slices(batch.column(1)):
+                shingle, bounds = sets(s, words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array([shingle[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["rep", "blob"])
+
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(shingled, f"rep {dict(docs.dtypes)['doc_id']}, blob binary")
+
+
 def _linked(similarity: int) -> Column:
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -178,21 +219,13 @@ def confirmed(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth: int = 3, window: int = 4, least: int = 38) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    spark, id_type = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(docs, words), "signatures")
     classes = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
     pairs = written(candidates(classes, depth, window, least, partitions), "candidates")
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in K.slices(batch.column(1)):
-                shingle, bounds = sets(s, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array([shingle[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["rep", "blob"])
-
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi")
-    full = written(texts.mapInArrow(shingled, f"rep {id_type}, blob binary").dropDuplicates(["rep"]) if _repeats(signed) else texts.mapInArrow(shingled, f"rep {id_type}, blob binary"), "sets")
+    full = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
+    full = written(full.dropDuplicates(["rep"]) if _repeats(signed) else full, "sets")
 
     ends = pairs.select("a", "b", "alike").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
     best = ends.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
