@@ -42,5 +42,10 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a relation's size from its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """About how many bytes ``df`` has: Spark's estimate from its files, or,
+    where Spark has none, the bytes of its texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:
+        text = "text" if "text" in df.columns else df.columns[0]
+        size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return size
