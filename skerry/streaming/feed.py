@@ -55,9 +55,11 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     return events.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def debounced(changes: DataFrame, ts: str = "ts", path: str = "path", silence: str = "5 seconds", late: str = "1 minute") -> DataFrame:
-    """For a stream of changes: the distinct paths of each burst, once it is silent."""
-    return changes.withWatermark(ts, late).groupBy(F.session_window(ts, silence).alias("w")).agg(F.collect_set(path).alias("paths")).select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths")
+def debounced(changes: DataFrame, root: str = "root", ts: str = "ts", path: str = "path", silence: str = "5 seconds", late: str = "1 minute") -> DataFrame:
+    """For a stream of changes: the distinct paths of each burst below a watched
+    folder, once it is silent."""
+    bursts = changes.withWatermark(ts, late).groupBy(F.session_window(ts, silence).alias("w"), root).agg(F.collect_set(path).alias("paths"))
+    return bursts.select(root, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths")
 
 
 def follow(feed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 minutes", once: bool = False) -> StreamingQuery:
