@@ -280,4 +280,20 @@ SELECT id, p_name AS function, self_time::BIGINT AS self_time, round(100.0 * sel
     "preferred_names": FILES + """, r AS (SELECT path, 'A' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS k, doc_id % 100 AS m FROM d UNION ALL SELECT path, 'B' || doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END, doc_id % 90 FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY k DESC, m DESC, id DESC) AS n FROM r) SELECT path, id FROM n WHERE n = 1""",
     "note_pairs": "SELECT 'doc_' || doc_id AS stem FROM documents WHERE doc_id % 3 = 0",
+    "sync_full_plan": PLANNED + """, loose AS (SELECT l.path FROM local l WHERE l.path NOT IN (SELECT path FROM remote) AND EXISTS (
+  SELECT 1 FROM local m WHERE m.path IN (SELECT path FROM remote) AND split_part(m.path, '/', 3) = split_part(l.path, '/', 3) AND m.local_hash = l.local_hash)),
+p AS (SELECT path, CASE WHEN state = 'localNew' AND path IN (SELECT path FROM loose) THEN 'gone' ELSE state END AS state, action FROM planned),
+g AS (SELECT CASE WHEN count(*) FILTER (action LIKE 'delete%') > 5 THEN 'suspended' ELSE 'ok' END AS guardrail FROM p)
+SELECT path, state, action, CAST(NULL AS VARCHAR) AS old_path, CASE action WHEN 'download' THEN 1 WHEN 'upload' THEN 2 ELSE 3 END AS phase, guardrail FROM p, g""",
+    "explain_decisions": REFINED + f" SELECT path, s.state, r.state AS refined, {_ACTION.replace('state', 'r.state')} AS action FROM states s JOIN refined r USING (path) WHERE regexp_matches(path, 'doc_[0-9]+7[.]md$')",
+    "audit_log": REFINED + f""" SELECT path, {_ACTION} AS action, '{{"status":"ok"}}' AS guardrail_checks FROM refined WHERE {_ACTION} <> 'skip'""",
+    "cleanup_plan": SNAPSHOTS + " SELECT path, CASE WHEN path LIKE 'src3/%' THEN 'excluded' ELSE 'inactive' END AS reason FROM base WHERE path LIKE 'src3/%' OR (path NOT IN (SELECT path FROM remote) AND path NOT IN (SELECT path FROM local))",
+    "incremental_paths": FILES + """, k AS (SELECT DISTINCT dir FROM d WHERE doc_id % 5 <> 0)
+SELECT CASE WHEN doc_id % 2 = 0 THEN path ELSE dir || '/n' || doc_id || '.md' END AS path, 'F' || doc_id AS id, doc_id AS mtime FROM d
+WHERE doc_id % 2 = 0 OR (doc_id % 7 <> 0 AND dir IN (SELECT dir FROM k))""",
+    "upload_targets": SNAPSHOTS + " SELECT path, coalesce(nullif(r.id, ''), nullif(b.file_id, '')) AS file_id, coalesce(r.domain, b.domain) AS domain FROM local LEFT JOIN remote r USING (path) LEFT JOIN base b USING (path)",
+    "hydrate_local_only": SNAPSHOTS + """, listed AS (SELECT 'F' || doc_id AS id, dir, name FROM d WHERE doc_id % 2 = 0), known AS (SELECT DISTINCT parent_id FROM remote),
+seen AS (SELECT DISTINCT parent_id FROM remote WHERE id IN (SELECT id FROM listed)),
+w AS (SELECT l.path, d.dir, d.name, d.dir IN (SELECT parent_id FROM known) AND d.dir NOT IN (SELECT parent_id FROM seen) AS blocked FROM local l JOIN d USING (path) WHERE l.path NOT IN (SELECT path FROM remote))
+SELECT path, CASE WHEN NOT blocked THEN x.id END AS id, CASE WHEN blocked THEN 'blocked' WHEN x.id IS NOT NULL THEN 'found' ELSE 'absent' END AS status FROM w LEFT JOIN listed x ON x.dir = w.dir AND x.name = w.name""",
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import convert, diff, names, text
-from skerry.operators import dedup, health, moves, reconcile, state, trees
+from skerry.operators import dedup, health, hydrate, moves, reconcile, state, trees
+from skerry.plans import sync
 from skerry.sources import readers
 from skerry.sources.workload import DAY, SYNCED_AT, epoch, paths, snapshots, table
 from skerry.streaming import feed
@@ -580,3 +581,64 @@ def note_pairs(spark, sf):
     d = paths(spark, sf)
     files = d.select(names.stem("name").alias("stem"), F.lit("md").alias("ext")).unionByName(d.where("doc_id % 3 = 0").select(names.stem("name").alias("stem"), F.lit("note").alias("ext")))
     return files.groupBy("stem").agg(F.count_if(F.col("ext") == "md").alias("md"), F.count_if(F.col("ext") == "note").alias("note")).where("md > 0 AND note > 0").select("stem")
+
+
+# --- whole reconciliations ---------------------------------------------------------------
+
+
+@query
+def sync_full_plan(spark, sf):
+    return sync.reconcile_all(*snapshots(spark, sf), sync.Options(propagate_deletes=True, detect_moves=False))
+
+
+@query
+def sync_with_moves(spark, sf):
+    """Every 23rd remote file moved to another folder: it must be paired by its id."""
+    s = snapshots(spark, sf)
+    moved = F.col("path").rlike(r"doc_\d*[05]\.md$")
+    remote = s.remote.withColumn("path", F.when(moved, F.concat(F.lit("new/"), "path")).otherwise(F.col("path")))
+    return sync.reconcile_all(remote, s.local, s.base).groupBy("state", "action", F.col("old_path").isNotNull().alias("has_old_path")).agg(F.count("*").alias("n"))
+
+
+@query
+def explain_decisions(spark, sf):
+    return sync.explain(*snapshots(spark, sf), F.col("path").rlike(r"doc_\d+7\.md$")).select("path", "state", "refined", "action")
+
+
+@query
+def audit_log(spark, sf):
+    s = snapshots(spark, sf)
+    planned = sync.reconcile_all(*s, sync.Options(detect_moves=False))
+    return sync.audit_rows(reconcile.classify_all(*s), planned, SYNCED_AT).select("path", "action", "guardrail_checks")
+
+
+@query
+def cleanup_plan(spark, sf):
+    s = snapshots(spark, sf)
+    return sync.cleanup(s.base, s.remote, s.local, full_scan=True, exclude=("src3/*",))
+
+
+@query
+def incremental_paths(spark, sf):
+    d = paths(spark, sf)
+    stored = d.where("doc_id % 2 = 0").select(F.concat(F.lit("F"), "doc_id").alias("id"), "path")
+    dirs = d.where("doc_id % 5 <> 0").select(F.col("dir").alias("id"), F.col("dir").alias("path")).distinct()
+    rows = d.select(F.concat(F.lit("F"), "doc_id").alias("id"), F.concat(F.lit("n"), F.col("doc_id"), F.lit(".note")).alias("name"), F.when(F.col("doc_id") % 7 == 0, "nowhere").otherwise(F.col("dir")).alias("parent_id"), F.col("doc_id").alias("mtime"))
+    return hydrate.incremental(stored, rows, dirs).select("path", "id", "mtime")
+
+
+@query
+def upload_targets(spark, sf):
+    s = snapshots(spark, sf)
+    return hydrate.upload_targets(s.local, s.base, s.remote)
+
+
+@query
+def hydrate_local_only(spark, sf):
+    """Local-only files looked up in a live listing that has every second of them."""
+    s = snapshots(spark, sf)
+    only = state.not_active(s.local, s.remote)
+    d = paths(spark, sf)
+    parents = hydrate.parent_ids(only, d.select(F.col("dir").alias("path"), F.col("dir").alias("id")).distinct(), s.remote, "root")
+    listed = d.where("doc_id % 2 = 0").select(F.concat(F.lit("F"), "doc_id").alias("id"), "name", F.col("dir").alias("parent_id"))
+    return hydrate.hydrate(only, parents, listed, s.remote)
