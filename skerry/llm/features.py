@@ -85,6 +85,11 @@ class Sparse(NamedTuple):
     value: np.ndarray
     bounds: np.ndarray
 
+    def between(self, first: int, end: int) -> Sparse:
+        """The rows from ``first`` up to ``end``, with their own features only."""
+        a, b = self.bounds[first], self.bounds[end]
+        return Sparse(self.bucket[a:b], self.value[a:b], self.bounds[first : end + 1] - a)
+
     def batch(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row within the batch, bucket, value)."""
         size = self.bounds[rows + 1] - self.bounds[rows]

@@ -107,7 +107,8 @@ def fit(train: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
     toxic = train.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the sample's bound
     rest = train.where(unit_hash(F.col("doc_id"), seed + 1) < min(1.0, unlabelled / max(1, train.select("doc_id").count()))).select("text", F.lit(0).alias("y"))
     y, rows = collected(toxic.select("text", "y").unionByName(rest), stems, _weight)
-    parts = [rows._replace(bounds=rows.bounds[a : b + 1]) for a, b in ((int((y == 0).sum()), len(y)), (0, int((y == 0).sum())))]
+    n_rest = int((y == 0).sum())
+    parts = [rows.between(n_rest, len(y)), rows.between(0, n_rest)]
     if min(len(x.bounds) for x in parts) < 2:
         return np.zeros((1, 1 << BITS)), np.array([np.log(prior / (1 - prior))])
     kept = _telling(*parts, prior, least_z, least_share, features)
