@@ -16,10 +16,13 @@ sets have a Jaccard similarity of ``similarity`` per cent or more are linked.
    alike candidate, which usually joins a group; then every candidate pair
    whose ends are still in different components.  A pair inside a component
    can't change the result and needs no check.
+4. A region with more classes than the window shows has lost candidates.  There
+   every class outside the region's largest component is compared with the
+   whole region by signature, in blocks of ``BLOCK`` by ``BLOCK`` classes, and
+   what is alike is confirmed like any other pair.  So the window caps nothing.
 
-A linked pair is missed only if no tree has it within ``window`` places: at
-the threshold a tree shows a lone pair with probability 0.51, so 24 trees
-miss one in ten million.
+A linked pair is missed only if no tree has it in one region: at the threshold
+a tree does with probability 0.51, so 24 trees miss one in ten million.
 
 Defined results: null, empty and wordless texts have an empty set and are
 linked with nothing.  Rows that share a doc_id are one document.  A row with a
@@ -45,6 +48,7 @@ U64 = np.uint64
 VALUES = 64
 TREES = 24
 KEY_VALUES = 8
+BLOCK = 1024
 _MULTIPLIERS = K.mix64(np.arange(1, VALUES + 1, dtype=U64) * U64(7919)) | U64(1)
 _LOWER = K.lowered()
 _TREE_ORDER = np.stack([np.random.default_rng(t).permutation(VALUES)[:KEY_VALUES] for t in range(TREES)])
@@ -114,8 +118,9 @@ def _fixed(column: pa.Array, width: int, kind: str) -> np.ndarray:
 
 
 def candidates(classes: DataFrame, depth: int, window: int, least: int, partitions: int) -> DataFrame:
-    """(a, b, alike): neighbours in any tree; alike is the number of equal sketch values."""
-    id_type = dict(classes.dtypes)["rep"]
+    """(x, y, alike): neighbours in any tree; alike is the number of equal sketch
+    values.  Rows with a region instead name the regions wider than the window."""
+    id_type, names = dict(classes.dtypes)["rep"], ["x", "y", "alike", "region"]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,17 +148,72 @@ def candidates(classes: DataFrame, depth: int, window: int, least: int, partitio
             for step in range(1, window + 1):
                 at = np.arange(max(old, step), len(tree))
                 at = at[(tree[at] == tree[at - step]) & (key[at, :depth] == key[at - step, :depth]).all(axis=1)]
+                if step == window and len(at):
+                    wide = _regions(tree[at], key[at, :depth])
+                    none = pa.nulls(len(wide), rep.type)
+                    yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(wide), pa.int32()), pa.array(wide, pa.binary())], names)
                 differ = sketch[at] ^ sketch[at - step]
                 alike = ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
                 at, alike = at[alike >= least], alike[alike >= least]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(at - step)), rep.take(pa.array(at)), pa.array(alike.astype(np.int32))], ["x", "y", "alike"])
+                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(at - step)), rep.take(pa.array(at)), pa.array(alike.astype(np.int32)), pa.nulls(len(at), pa.binary())], names)
             held = (tree[-window:].copy(), key[-window:].copy(), rep.slice(max(0, len(rep) - window)), sketch[-window:].copy())
 
     planted = classes.select("rep", "signature").mapInArrow(plant, f"tree int, key binary, rep {id_type}, sketch binary")
     ordered = planted.repartitionByRange(partitions, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = ordered.mapInArrow(neighbours, f"x {id_type}, y {id_type}, alike int").where("x <> y")
-    return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("alike").alias("alike"))
+    return ordered.mapInArrow(neighbours, f"x {id_type}, y {id_type}, alike int, region binary")
+
+
+def _regions(tree: np.ndarray, prefix: np.ndarray) -> list[bytes]:
+    """Different (tree, prefix) pairs as bytes, the tree first."""
+    return sorted({bytes([t]) + k.tobytes() for t, k in zip(tree.tolist(), prefix.astype(">u2"))})
+
+
+def crowded(classes: DataFrame, regions: DataFrame, depth: int, least: int) -> DataFrame:
+    """(a, b) in different components that share one of ``regions`` and are alike.
+
+    classes: rep, signature, component.  Of two components in a region, one at
+    least isn't its largest; each of that one's classes meets the whole region.
+    A pair that shares several regions comes from its first tree alone.
+    """
+    id_type = dict(classes.dtypes)["rep"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = _fixed(batch.column(1), 4 * VALUES, "<u4")
+            for t, order in enumerate(_TREE_ORDER):
+                prefix = (value[:, order[:depth]] & 0xFFFF).astype(">u2")
+                yield pa.RecordBatch.from_arrays([pa.array([bytes([t]) + k.tobytes() for k in prefix], pa.binary()), batch.column(0)], ["region", "rep"])
+
+    def compare(key: tuple, some: pa.Table, every: pa.Table) -> pa.Table:
+        tree, left, right = key[0].as_py()[0], [], []
+        if some.num_rows and every.num_rows:
+            x, y = (_fixed(c, 4 * VALUES, "<u4") for c in (some["own_signature"], every["signature"]))
+            ids, others = some["own_component"].to_pylist(), np.array(every["component"].to_pylist(), object)
+            low, before = (y & 0xFFFF).astype(np.uint16), _TREE_ORDER[:tree, :depth]
+            for i, row in enumerate(x):
+                at = np.flatnonzero((y == row).sum(axis=1) >= least)
+                at = at[others[at] != ids[i]]
+                if len(at):
+                    same = low[at] == (row & 0xFFFF).astype(np.uint16)
+                    at = at[~same[:, before].all(axis=2).any(axis=1)]
+                    left += [i] * len(at)
+                    right += at.tolist()
+        return pa.table([some["own_rep"].take(pa.array(left, pa.int64())), every["rep"].take(pa.array(right, pa.int64()))], ["x", "y"])
+
+    own = classes.select("rep", "signature").mapInArrow(spread, f"region binary, rep {id_type}").join(regions, "region")
+    members = written(own.join(classes, "rep"), "crowds")
+    counts = members.groupBy("region", "component").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("region").agg(F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("main")).where("size > top")
+    blocks, others = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("int")
+    one = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    sized = members.join(sizes, "region")
+    some = sized.where(F.col("component") != F.col("main")).select(F.col("region").alias("own_region"), *(F.col(c).alias(f"own_{c}") for c in ("rep", "component", "signature")), one(others).alias("own_i"), each(blocks).alias("own_j"))
+    every = sized.select("region", "rep", "component", "signature", one(blocks).alias("j"), each(others).alias("i"))
+    keys = ["region", "i", "j"]
+    found = some.groupBy(*(f"own_{k}" for k in keys)).cogroup(every.groupBy(*keys)).applyInArrow(compare, f"x {id_type}, y {id_type}")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _places(ids: list, bits: int) -> np.ndarray:
@@ -222,10 +282,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(docs, words), "signatures")
     classes = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    pairs = written(candidates(classes, depth, window, least, partitions), "candidates")
+    shown = written(candidates(classes, depth, window, least, partitions), "neighbours")
+    pairs = written(shown.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("alike").alias("alike")), "candidates")
+    repeated = _repeats(signed)
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        full = full_sets(docs, some.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
+        return written(full.dropDuplicates(["rep"]) if repeated else full, "sets")
 
-    full = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
-    full = written(full.dropDuplicates(["rep"]) if _repeats(signed) else full, "sets")
+    full = sets_of(pairs)
 
     ends = pairs.select("a", "b", "alike").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
     best = ends.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
@@ -234,8 +299,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth
     at = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
     rest = written(confirmed(apart.select("a", "b"), full, similarity), "links")
+    links = first.unionByName(rest)
     if not rest.isEmpty():
-        label = components(first.unionByName(rest))
+        label = components(links)
+    regions = written(shown.where("region IS NOT NULL").select("region").distinct(), "regions")
+    if not regions.isEmpty():
+        labelled = classes.select("rep", "signature").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "signature", F.coalesce("component", "rep").alias("component"))
+        more = written(crowded(labelled, regions, depth, least), "crowded-pairs")
+        if not more.isEmpty():
+            more = written(confirmed(more, sets_of(more), similarity), "links")
+            if not more.isEmpty():
+                label = components(links.unionByName(more))
     named = classes.select("k1", "k2", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
