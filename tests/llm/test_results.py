@@ -71,6 +71,31 @@ def test_near_duplicates(spark, words):
     assert [got[i] for i in range(len(texts))] == brute_components([t.lower() for t in texts], words, 80)
 
 
+def test_crowded_regions(spark, monkeypatch):
+    """A window of one place and small blocks: the exact comparison must find the rest."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(99999)}"
+        texts.append(" ".join(w))
+    want = brute_components(texts, 5, 80)
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, window=1).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 1
+
+
+def test_toxicity_features():
+    """Features are counted in each sample's own rows."""
+    rows = toxicity.Sparse(np.array([5, 5, 5, 7, 7]), np.ones(5), np.arange(6))
+    u, p = rows.between(3, 5), rows.between(0, 3)
+    assert u.bucket.tolist() == [7, 7] and u.bounds.tolist() == [0, 1, 2]
+    assert toxicity._telling(p, u, 0.5, 1.0, 0.6, 9).tolist() == [5]
+
+
 def test_line_dedup(spark):
     rng = random.Random(1)
     lines = [f"line {i} " + "z" * 40 for i in range(30)] + ["short"] * 3 + ["É" * 40, "É" * 39]
