@@ -1,25 +1,28 @@
 """Operator 6, language-model scores by a hierarchical Pitman-Yor model.
 
-The model is a two-level restaurant hierarchy over words.  Every context has a
-restaurant; all of them share one parent, the unigram restaurant, whose base
-is uniform over the vocabulary and one unknown word.  A context is the word
-before, for the ``FREQUENT`` most frequent words, else a class by that word's
-last two bytes, or the text's start; so the number of restaurants is fixed.
+The model is a three-level restaurant hierarchy over words.  Every word that
+comes before another has a restaurant of its own, however rare it is, and so has
+a text's start.  Its parent is the restaurant of its class (the start, or a hash
+of the word's last two bytes); all classes share one parent, the unigram
+restaurant, whose base is uniform over the vocabulary and one unknown word.
 
 1. Word counts of all training documents, by hash bucket.  Words with at least
-   1/``HOT`` of all tokens (so at most ``HOT`` words) are hot.
-2. Counts of (context, word).  Hot words are counted by a common aggregation;
-   for the rest each occurrence goes to its word's bucket together with its
-   document, training or not.  No rare word can fill a bucket.
+   1/``HOT`` of all tokens (so at most ``HOT`` words) are hot.  Pairs that may
+   have that share (at most 2 * ``HOT``) are heavy.
+2. Counts of (word before, word), by bucket: the word's, or for hot words the
+   pair's.  Each occurrence goes there together with its document, training or
+   not; only heavy pairs go without documents.  So no pair can fill a bucket.
 3. Chinese-restaurant seating: with the restaurants' totals of the last round
    fixed, buckets are independent.  In each, Gibbs sweeps take all customers of
-   a (context, word) pair away, seat them anew one after another (in growing
-   blocks once there are many), and accept the new seating by its importance
-   weight; tables are the customers of the parent.  Tasks return totals by
-   context only, for the next round.
+   a pair away, seat them anew one after another (in growing blocks once there
+   are many), and accept the new seating by its importance weight; tables are
+   the customers of the parent.  A word's class and unigram seats are in its
+   bucket; those of hot words are a table of fixed size (word, class).  Totals
+   of words' own restaurants are a table by word before: every bucket sends its
+   part there and gets the totals of its contexts back.
 4. Predictive probabilities are averaged over sweeps.  Occurrences in buckets
-   are scored there and summed by document; hot words are scored in a pass
-   over the documents with a table of fixed size.
+   are scored there and summed by document; heavy pairs are scored in a pass
+   over the documents.
 
 Words are known by 64-bit hashes: V words have about V*V/2**57 pairs alike.
 
@@ -45,10 +48,12 @@ from skerry.llm.shared import input_bytes, written
 
 U64 = np.uint64
 HOT = 8192
-FREQUENT = 256
 CLASSES = 256
-CONTEXTS = 1 + FREQUENT + CLASSES
+#: Class restaurants: the text's start and the classes.  Words have their own below.
+CONTEXTS = 1 + CLASSES
 END = U64(0x1F0E5A77C0DE0E4D)
+START = U64(0x51A7B3C94D2E6F08)
+NOBODY = 0  # stands for the documents of heavy pairs
 FLUSH = 1 << 20
 _LOWER = K.lowered()
 
@@ -56,7 +61,7 @@ _LOWER = K.lowered()
 class Tokens(NamedTuple):
     doc: np.ndarray
     word: np.ndarray
-    suffix: np.ndarray  # class of the word before, -1 at a text's start
+    kind: np.ndarray  # class of the word before: 0 at a text's start, else from 1
     before: np.ndarray  # hash of the word before
 
 
@@ -75,18 +80,14 @@ def tokens(s: K.Slice) -> Tokens:
     second = np.where(w.end - w.start > 1, data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
     suffix[body] = (last * 31 + second) % CLASSES
     first = ends - count
-    before, kind = np.roll(word, 1), np.roll(suffix, 1)
-    kind[first] = -1
+    before, kind = np.roll(word, 1), 1 + np.roll(suffix, 1)
+    before[first], kind[first] = START, 0
     return Tokens(np.repeat(np.arange(docs), count + 1), word, kind, before)
 
 
-def contexts(t: Tokens, frequent: np.ndarray) -> np.ndarray:
-    """Context numbers: 0 the start, then frequent words (sorted hashes), then classes."""
-    out = 1 + FREQUENT + t.suffix
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, t.before), len(frequent) - 1)
-        out = np.where(frequent[at] == t.before, 1 + at, out)
-    return np.where(t.suffix < 0, 0, out)
+def _pair(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """64-bit hash of each pair."""
+    return K.mix64(word * U64(0x9E3779B97F4A7C15) ^ K.mix64(before))
 
 
 def _find(sorted_hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -150,46 +151,58 @@ def word_counts(train: DataFrame, bits: int) -> DataFrame:
     return train.select("text").mapInArrow(count, "bucket int, word binary, n binary").groupBy("bucket").applyInArrow(merge, "bucket int, word binary, n binary, tokens long, types long, once long, twice long")
 
 
-def hot_pairs(train: DataFrame, hot: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """(pair, n): counts of hot word * CONTEXTS + context."""
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+def heavy_pairs(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of at most 2 * HOT pairs: all that have 1/HOT of all tokens.
+
+    Parts of the table report what has 1/(2 * HOT) of their own tokens, so less
+    than 1/(2 * HOT) of all tokens can be missing from a pair's sum.
+    """
+    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("tokens", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        total = np.zeros(len(hot) * CONTEXTS, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            pair, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            keep = n * 2 * HOT >= size
+            pair, n = np.append(pair[keep], U64(0)), np.append(n[keep], 0)
+            return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n), pa.array(np.where(np.arange(len(n)) == len(n) - 1, size, 0))], schema=schema)
+
         for batch in batches:
             for s in K.slices(batch.column(0), rows=8192):
                 t = tokens(s)
-                at = _find(hot, t.word)
-                held.append((at * CONTEXTS + contexts(t, frequent))[at >= 0])
-                size += len(held[-1])
-                if size > 4 * FLUSH:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        some = np.flatnonzero(total)
-        for k in range(0, len(some), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + (1 << 16)]), pa.array(total[some[k : k + (1 << 16)]])], schema=schema)
+                held.append(_pair(t.word, t.before))
+                size += len(t.word)
+                if size > 2 * FLUSH:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
 
-    return train.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = written(docs.select("text").mapInArrow(count, "pair long, n long, tokens long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "heavy")
+    total = found.agg(F.sum("tokens")).first()[0] or 0
+    rows = found.where((F.col("n") > 1) & (F.col("n") * (2 * HOT) >= total)).select("pair").collect()  # 2 * HOT at most
+    return np.sort(np.array([r["pair"] for r in rows], np.int64).view(U64))
 
 
-PAIRS = "bucket int, word binary, context binary, n binary, step binary, doc binary, times binary, docs binary"
-_PAIRS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("word", "context", "n", "step", "doc", "times", "docs"))])
+PAIRS = "bucket int, word binary, context binary, kind binary, n binary, step binary, doc binary, times binary, docs binary"
+_PAIRS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("word", "context", "kind", "n", "step", "doc", "times", "docs"))])
+CELLS = "bucket int, word binary, context binary, n binary"
+_CELLS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("word", "context", "n"))])
 
 
 def hot_rows(counts: DataFrame) -> DataFrame:
-    """Rows like those of :func:`rare_rows`, for 256 hot words each, without documents."""
+    """(word, class, customers) of 256 hot words a row, from (hot word * CONTEXTS + class, n)."""
 
     def merge(table: pa.Table) -> pa.Table:
         pair, n = table["pair"].to_numpy(), table["n"].to_numpy()
         order = np.argsort(pair)
         pair, n = pair[order], n[order]
-        return pa.Table.from_batches([_batch([(-1 - int(table["bucket"][0].as_py()), _blob(pair // CONTEXTS, "<u8"), _blob(pair % CONTEXTS, "<u2"), _blob(n, "<i8"), b"", b"", b"", b"")], _PAIRS)])
+        return pa.Table.from_batches([_batch([(-1 - int(table["bucket"][0].as_py()), _blob(pair // CONTEXTS, "<u8"), _blob(pair % CONTEXTS, "<u2"), _blob(n, "<i8"))], _CELLS)])
 
-    return counts.withColumn("bucket", F.expr(f"cast(pair div {256 * CONTEXTS} as int)")).groupBy("bucket").applyInArrow(merge, PAIRS)
+    return counts.withColumn("bucket", F.expr(f"cast(pair div {256 * CONTEXTS} as int)")).groupBy("bucket").applyInArrow(merge, CELLS)
 
 
 def _key(doc_id: object, text: bytes) -> int:
@@ -197,36 +210,38 @@ def _key(doc_id: object, text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, seed=xxhash.xxh64_intdigest(str(doc_id).encode())) - (1 << 63)
 
 
-def rare_rows(docs: DataFrame, hot: np.ndarray, frequent: np.ndarray, bits: int) -> DataFrame:
-    """One row per bucket of words that aren't hot.
+def pair_rows(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, bits: int) -> DataFrame:
+    """One row per bucket of words that aren't hot, and of pairs of hot words.
 
-    word, context, n: pairs in order, with their training counts; step, doc,
-    times: occurrences (0 or 1 pairs further, place in docs, how often).
+    word, context, kind, n: pairs in order, with the class of the word before and
+    their training counts; step, doc, times: occurrences (0 or 1 pairs further,
+    place in docs, how often).  Heavy pairs are those of ``NOBODY``.
     """
-    schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("word", "context", "doc", "times", "docs", "train"))])
+    schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("word", "context", "kind", "doc", "times", "docs", "train"))])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        names: list[int] = []
-        trains: list[bool] = []
+        names: list[int] = [NOBODY, NOBODY]
+        trains: list[bool] = [True, False]
 
         def flush() -> pa.RecordBatch:
-            word, context, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, context, word))
-            word, context, doc = word[order], context[order], doc[order]
+            bucket, word, context, kind, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, context, word, bucket))
+            bucket, word, context, kind, doc = bucket[order], word[order], context[order], kind[order], doc[order]
             new = np.ones(len(word), bool)
             new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (doc[1:] != doc[:-1])
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(word)))
-            word, context, doc = word[at], context[at], doc[at]
+            bucket, word, context, kind, doc = bucket[at], word[at], context[at], kind[at], doc[at]
             name, train = np.array(names, np.int64), np.array(trains, bool)
-            cuts = np.searchsorted((word >> U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+            cuts = np.searchsorted(bucket, np.arange((2 << bits) + 1))
             rows = []
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
                     own, place = np.unique(doc[a:b], return_inverse=True)
-                    rows.append((i, _blob(word[a:b], "<u8"), _blob(context[a:b], "<u2"), _blob(place, "<u4"), _blob(times[a:b], "<u4"), _blob(name[own], "<i8"), _blob(train[own], "u1")))
-            held.clear(), names.clear(), trains.clear()
+                    rows.append((i, _blob(word[a:b], "<u8"), _blob(context[a:b], "<u8"), _blob(kind[a:b], "<u2"), _blob(place, "<u4"), _blob(times[a:b], "<u4"), _blob(name[own], "<i8"), _blob(train[own], "u1")))
+            held.clear()
+            names[:], trains[:] = [NOBODY, NOBODY], [True, False]
             return _batch(rows, schema)
 
         size = 0
@@ -234,8 +249,12 @@ def rare_rows(docs: DataFrame, hot: np.ndarray, frequent: np.ndarray, bits: int)
             ids, learns = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for s in K.slices(batch.column(1), rows=8192):
                 t = tokens(s)
-                rare = _find(hot, t.word) < 0
-                held.append((t.word[rare], contexts(t, frequent)[rare].astype(np.uint16), (t.doc[rare] + len(names)).astype(np.uint32)))
+                pair, learn = _pair(t.word, t.before), np.array(learns[s.lo : s.hi], bool)
+                many = _find(heavy, pair) >= 0
+                common = _find(hot, t.word) >= 0
+                bucket = (np.where(common, pair, t.word) >> U64(64 - bits)).astype(np.int32) + common * np.int32(1 << bits)
+                doc = np.where(many, np.where(learn[t.doc], 0, 1), t.doc + len(names)).astype(np.uint32)
+                held.append((bucket, t.word, t.before, t.kind.astype(np.uint16), doc))
                 raw = s.data.tobytes()
                 names += [_key(i, raw[a:b]) for i, a, b in zip(ids[s.lo : s.hi], s.offsets.tolist(), s.offsets[1:].tolist(), strict=False)]
                 trains += learns[s.lo : s.hi]
@@ -247,28 +266,29 @@ def rare_rows(docs: DataFrame, hot: np.ndarray, frequent: np.ndarray, bits: int)
             yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        part = {c: table[c].to_pylist() for c in ("word", "context", "doc", "times", "docs", "train")}
+        part = {c: table[c].to_pylist() for c in ("word", "context", "kind", "doc", "times", "docs", "train")}
         sizes = [len(x) // 8 for x in part["docs"]]
         shift = np.cumsum([0, *sizes[:-1]])
         word = np.concatenate([np.frombuffer(x, "<u8") for x in part["word"]])
-        context = np.concatenate([np.frombuffer(x, "<u2") for x in part["context"]])
+        context = np.concatenate([np.frombuffer(x, "<u8") for x in part["context"]])
+        kind = np.concatenate([np.frombuffer(x, "<u2") for x in part["kind"]])
         doc = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + k for x, k in zip(part["doc"], shift, strict=True)])
         times = np.concatenate([np.frombuffer(x, "<u4") for x in part["times"]])
         train = np.frombuffer(b"".join(part["train"]), "u1")
         order = np.lexsort((context, word))
-        word, context, doc, times = word[order], context[order], doc[order], times[order]
+        word, context, kind, doc, times = word[order], context[order], kind[order], doc[order], times[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
         at = np.flatnonzero(new)
         n = np.add.reduceat(times.astype(np.int64) * train[doc], at)
-        return pa.Table.from_batches([_batch([(table["bucket"][0].as_py(), _blob(word[at], "<u8"), _blob(context[at], "<u2"), _blob(n, "<i8"), _blob(new, "u1"), _blob(doc, "<u4"), _blob(times, "<u4"), b"".join(part["docs"]))], _PAIRS)])
+        return pa.Table.from_batches([_batch([(table["bucket"][0].as_py(), _blob(word[at], "<u8"), _blob(context[at], "<u8"), _blob(kind[at], "<u2"), _blob(n, "<i8"), _blob(new, "u1"), _blob(doc, "<u4"), _blob(times, "<u4"), b"".join(part["docs"]))], _PAIRS)])
 
-    rows = docs.select("doc_id", "text", (~held_out(7, 2)).alias("train")).mapInArrow(spread, "bucket int, word binary, context binary, doc binary, times binary, docs binary, train binary")
+    rows = docs.select("doc_id", "text", (~held_out(7, 2)).alias("train")).mapInArrow(spread, "bucket int, word binary, context binary, kind binary, doc binary, times binary, docs binary, train binary")
     return rows.groupBy("bucket").applyInArrow(merge, PAIRS)
 
 
 class Totals(NamedTuple):
-    """What buckets share: customers and tables by context, and of the parent."""
+    """What buckets share: customers and tables of the class restaurants, and of the parent."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -321,6 +341,12 @@ class Pairs:
         self.log_weight = np.full(len(self.n), -np.inf)
         self.parent_tables = np.minimum(self.count, 1.0)
 
+    def reset(self, n: np.ndarray) -> None:
+        """New customers; what was seated for others is seated anew."""
+        n = n.astype(np.int64)
+        self.log_weight[n != self.n] = -np.inf
+        self.n, self.tables = n, np.clip(self.tables, np.minimum(n, 1), n)
+
     def parent(self) -> np.ndarray:
         return self.totals.parent(np.bincount(self.dish, weights=self.tables, minlength=self.types), self.parent_tables)
 
@@ -350,7 +376,7 @@ class Pairs:
         return own, above
 
 
-def _sums(rows: DataFrame, totals: Totals | None, sweeps: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+def _sums(rows: DataFrame, totals: Totals, sweeps: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """(customers, tables by context, parent's tables, pairs seen once and twice) after some sweeps."""
     schema = pa.schema([("context", pa.int32()), ("customers", pa.int64()), ("tables", pa.int64()), ("parent_tables", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())])
 
@@ -381,46 +407,213 @@ def _discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
 
 
-SUMS = "key long, doc_id {id}, held_out boolean, rows long, n_tokens long, n_known long, base_score double, score double"
+class Shared(NamedTuple):
+    """What buckets need besides their own pairs and the totals of their contexts."""
 
+    totals: Totals
+    discount: float  # of the words' own restaurants
+    hot: np.ndarray
+    count: np.ndarray  # training counts of hot words
+    table: np.ndarray  # probability of hot words by class
+    bits: int
 
-def _scored_rare(rows: DataFrame, totals: Totals, n: int, v: int, burn: int, samples: int, tasks: int) -> DataFrame:
-    """(key, n_known, base_score, score) sums over rare words, by task and document."""
-    schema = pa.schema([("key", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+class Restaurants:
+    """One bucket's pairs in the words' own restaurants, and the classes above."""
+
+    def __init__(self, r: dict, customers: np.ndarray, tables: np.ndarray, g: Shared):
+        self.word, self.context = np.frombuffer(r["word"], "<u8"), np.frombuffer(r["context"], "<u8")
+        self.kind, self.n = np.frombuffer(r["kind"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<i8")
+        self.g, self.customers, self.own_tables, seed = g, customers, tables, r["bucket"] + (1 << 20)
+        self.rng = np.random.default_rng([seed, 1])
+        self.tables, self.log_weight = np.minimum(self.n, 1).astype(np.float64), np.full(len(self.n), -np.inf)
+        new = np.ones(len(self.word), bool)
+        new[1:] = self.word[1:] != self.word[:-1]
+        dish = np.cumsum(new) - 1
+        self.is_hot = r["bucket"] >= 1 << g.bits
+        if self.is_hot:
+            self.place = _find(g.hot, self.word)
+            self.count = g.count[self.place]
+            self.fixed = g.table[self.place, self.kind].astype(np.float64) if len(g.table) else np.zeros(len(self.n))
+        else:
+            self.count = np.bincount(dish, weights=self.n)[dish]
+            cells, self.cell = np.unique(dish * CONTEXTS + self.kind, return_inverse=True)
+            self.classes = Pairs(_blob(self.word[new][cells // CONTEXTS], "<u8"), _blob(cells % CONTEXTS, "<u2"), _blob(self.up(len(cells)), "<i8"), g.totals, seed)
+
+    def up(self, cells: int) -> np.ndarray:
+        """Customers of the class restaurants: the tables below."""
+        return np.bincount(self.cell, weights=self.tables, minlength=cells)
+
+    def above(self) -> np.ndarray:
+        return self.fixed if self.is_hot else self.classes.probability()[self.cell]
+
+    def sweep(self) -> None:
+        tables, log_weight = _seat(self.n, (self.g.totals.strength + self.g.discount * self.own_tables) * self.above(), self.g.discount, self.rng)
+        take = np.log(self.rng.random(len(self.n))) < log_weight - self.log_weight
+        self.tables[take], self.log_weight[take] = tables[take], log_weight[take]
+        if not self.is_hot:
+            self.classes.reset(self.up(len(self.classes.n)))
+            self.classes.sweep()
+
+    def probability(self) -> np.ndarray:
+        """Predictive probability of each pair under the present seating."""
+        strength, d = self.g.totals.strength, self.g.discount
+        return (self.n - d * self.tables + (strength + d * self.own_tables) * self.above()) / (strength + self.customers)
+
+    def averaged(self, burn: int, samples: int) -> np.ndarray:
+        own = np.zeros(len(self.n))
+        for k in range(burn + samples):
+            self.sweep()
+            if k >= burn:
+                own += self.probability() / samples
+        return own
+
+
+def _restaurants(left: pa.Table, right: pa.Table, g: Shared) -> tuple[dict, Restaurants] | None:
+    """A bucket with the totals that came back for its contexts."""
+    if not left.num_rows:
+        return None
+    r = left.to_pylist()[0]
+    context = np.frombuffer(r["context"], "<u8")
+    customers, tables = np.zeros(len(context)), np.zeros(len(context))
+    if right.num_rows:
+        at, c, t = (np.concatenate([np.frombuffer(x, kind) for x in right[name].to_pylist()]) for name, kind in (("context", "<u8"), ("customers", "<i8"), ("tables", "<i8")))
+        order = np.argsort(at)
+        place = order[_find(at[order], context)]
+        customers, tables = c[place].astype(np.float64), t[place].astype(np.float64)
+    return r, Restaurants(r, customers, tables, g)
+
+
+SEATED = "what int, part int, bucket int, x binary, y binary, z binary"
+_SEATED = pa.schema([("what", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+ANSWERS = "bucket int, context binary, customers binary, tables binary"
+_ANSWERS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("context", "customers", "tables"))])
+
+
+def _seated(rows: DataFrame, answers: DataFrame, shared: object, sweeps: int) -> DataFrame:
+    """Every bucket after some sweeps.
+
+    what 0: customers and tables of its contexts, for each part of the contexts;
+    1: customers of hot words' classes; 2: sums over the bucket.
+    """
+
+    def seat(left: pa.Table, right: pa.Table) -> pa.Table:
+        g = shared.value
+        found = _restaurants(left, right, g)
+        if found is None:
+            return _SEATED.empty_table()
+        r, p = found
+        for _ in range(sweeps):
+            p.sweep()
+        context, which = np.unique(p.context, return_inverse=True)
+        customers, tables = (np.bincount(which, weights=x).astype(np.int64) for x in (p.n, p.tables))
+        cuts = np.searchsorted((context >> U64(64 - g.bits)).astype(np.int64), np.arange((1 << g.bits) + 1))
+        out = [(0, i, r["bucket"], _blob(context[a:b], "<u8"), _blob(customers[a:b], "<i8"), _blob(tables[a:b], "<i8")) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        sums = np.zeros(2 * CONTEXTS + 5)
+        sums[-5:-3] = (p.n == 1).sum(), (p.n == 2).sum()
+        if p.is_hot:
+            cell, which = np.unique(p.place * CONTEXTS + p.kind, return_inverse=True)
+            out.append((1, 0, r["bucket"], _blob(cell, "<i8"), _blob(np.bincount(which, weights=p.tables), "<i8"), b""))
+        else:
+            c = p.classes
+            sums[:CONTEXTS], sums[CONTEXTS : 2 * CONTEXTS] = (np.bincount(c.context, weights=x, minlength=CONTEXTS) for x in (c.n, c.tables))
+            sums[-3:] = c.parent_tables.sum(), (c.n == 1).sum(), (c.n == 2).sum()
+        out.append((2, 0, r["bucket"], _blob(sums, "<f8"), b"", b""))
+        return pa.Table.from_batches([_batch(out, _SEATED)])
+
+    return rows.select("bucket", "word", "context", "kind", "n").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(seat, SEATED)
+
+
+def _answers(seated: DataFrame) -> DataFrame:
+    """Totals of the words' own restaurants, for every bucket that asked."""
+
+    def total(table: pa.Table) -> pa.Table:
+        bucket, asked = table["bucket"].to_pylist(), [np.frombuffer(x, "<u8") for x in table["x"].to_pylist()]
+        context, which = np.unique(np.concatenate(asked), return_inverse=True)
+        customers, tables = (np.bincount(which, weights=np.concatenate([np.frombuffer(x, "<i8") for x in table[c].to_pylist()])).astype("<i8") for c in ("y", "z"))
+        cuts = np.cumsum([0, *map(len, asked)])
+        return pa.Table.from_batches([_batch([(b, u.tobytes(), customers[which[i:j]].tobytes(), tables[which[i:j]].tobytes()) for b, u, i, j in zip(bucket, asked, cuts, cuts[1:], strict=False)], _ANSWERS)])
+
+    return seated.where("what = 0").select("part", "bucket", "x", "y", "z").groupBy("part").applyInArrow(total, ANSWERS)
+
+
+def _bucket_sums(seated: DataFrame) -> np.ndarray:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(2 * CONTEXTS + 5)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                out += np.frombuffer(x, "<f8")
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["x"])
+
+    return sum((np.frombuffer(r["x"], "<f8") for r in seated.where("what = 2").select("x").mapInArrow(add, "x binary").collect()), np.zeros(2 * CONTEXTS + 5))  # a row for each task
+
+
+def _cells(seated: DataFrame, hot: int) -> DataFrame:
+    """(pair, n): customers of hot word * CONTEXTS + class."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(hot * CONTEXTS, np.int64)
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[np.frombuffer(x, "<i8")] += np.frombuffer(y, "<i8")
+        some = np.flatnonzero(total)
+        for k in range(0, len(some), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + (1 << 16)]), pa.array(total[some[k : k + (1 << 16)]])], ["pair", "n"])
+
+    return seated.where("what = 1").select("x", "y").mapInArrow(add, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _scored(rows: DataFrame, answers: DataFrame, shared: object, heavy: np.ndarray, n: int, v: int, burn: int, samples: int, tasks: int) -> DataFrame:
+    """(key, heavy, n_known, base_score, score): sums by task and document, and
+    the values of each heavy pair."""
+    names = "key long, heavy boolean, n_known long, base_score double, score double"
+    schema = pa.schema([("key", pa.int64()), ("heavy", pa.bool_()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def table(key: np.ndarray, is_heavy: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(is_heavy), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=schema)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _restaurants(left, right, shared.value)
+        if found is None:
+            return schema.empty_table()
+        r, p = found
+        own = np.log10(np.maximum(p.averaged(burn, samples), 1e-300))
+        known, base = p.count > 0, np.log10((p.count + 1) / (n + v + 1))
+        pair = np.cumsum(np.frombuffer(r["step"], "u1").astype(np.int64)) - 1
+        times = np.frombuffer(r["times"], "<u4").astype(np.float64)
+        key, which = np.unique(np.frombuffer(r["docs"], "<i8"), return_inverse=True)
+        doc = which[np.frombuffer(r["doc"], "<u4")]
+        sums = [np.bincount(doc, weights=times * x[pair], minlength=len(key)) for x in (known, base, own)]
+        real = key != NOBODY
+        name = _pair(p.word, p.context)
+        at = _find(heavy, name) >= 0
+        return pa.Table.from_batches([table(key[real], np.zeros(real.sum(), bool), [x[real] for x in sums]), table(name[at].view(np.int64), np.ones(at.sum(), bool), [known[at], base[at], own[at]])])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            key, which = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            sums = [np.bincount(which, weights=np.concatenate([x[i] for x in held])) for i in (1, 2, 3)]
+            key, is_heavy, *sums = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(5))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=schema)
+            own, which = np.unique(key[~is_heavy], return_inverse=True)
+            both = [np.append(np.bincount(which, weights=x[~is_heavy]), x[is_heavy]) for x in sums]
+            return table(np.append(own, key[is_heavy]), np.arange(len(both[0])) >= len(own), both)
 
         for batch in batches:
-            for r in batch.to_pylist():
-                p = Pairs(r["word"], r["context"], r["n"], totals, r["bucket"] + (1 << 20))
-                own, _ = p.averaged(burn, samples)
-                own = np.log10(np.maximum(own, 1e-300))
-                pair = np.cumsum(np.frombuffer(r["step"], "u1").astype(np.int64)) - 1
-                doc, times = np.frombuffer(r["doc"], "<u4"), np.frombuffer(r["times"], "<u4").astype(np.float64)
-                key = np.frombuffer(r["docs"], "<i8")
-                count = p.count[p.dish[pair]]
-                total = lambda x: np.bincount(doc, weights=x, minlength=len(key))  # noqa: B023, E731
-                held.append((key, total(times * (count > 0)), total(times * np.log10((count + 1) / (n + v + 1))), total(times * own[pair])))
-                size += len(key)
-                if size > 2 * FLUSH:
-                    yield flush()
-                    size = 0
-        if held:
+            held.append(batch)
+            size += batch.num_rows
+            if size > 2 * FLUSH:
+                yield flush()
+                size = 0
+        if size:
             yield flush()
 
-    return rows.where("bucket >= 0").coalesce(tasks).mapInArrow(score, "key long, n_known long, base_score double, score double")
+    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, names).coalesce(tasks).mapInArrow(merge, names)
 
 
 def _hot_table(rows: DataFrame, totals: Totals, hot: int, burn: int, samples: int) -> np.ndarray:
-    """log10 of the probability of each hot word by context (hot * CONTEXTS numbers)."""
+    """Probability of each hot word by class (hot * CONTEXTS numbers)."""
     schema = pa.schema([("word", pa.binary()), ("context", pa.binary()), ("own", pa.binary()), ("dish", pa.binary()), ("above", pa.binary())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,10 +624,10 @@ def _hot_table(rows: DataFrame, totals: Totals, hot: int, burn: int, samples: in
                 yield _batch([(r["word"], r["context"], _blob(own, "<f8"), _blob(np.unique(p.word), "<u8"), _blob(above, "<f8"))], schema)
 
     out = np.zeros((hot, CONTEXTS), np.float32)
-    for r in rows.where("bucket < 0").mapInArrow(score, "word binary, context binary, own binary, dish binary, above binary").toLocalIterator():
+    for r in rows.mapInArrow(score, "word binary, context binary, own binary, dish binary, above binary").toLocalIterator():
         dish, above = np.frombuffer(r["dish"], "<u8").astype(np.int64), np.frombuffer(r["above"])
-        out[dish] = np.log10(np.maximum(above[:, None] * totals.back()[None, :], 1e-300))
-        out[np.frombuffer(r["word"], "<u8").astype(np.int64), np.frombuffer(r["context"], "<u2")] = np.log10(np.maximum(np.frombuffer(r["own"]), 1e-300))
+        out[dish] = above[:, None] * totals.back()[None, :]
+        out[np.frombuffer(r["word"], "<u8").astype(np.int64), np.frombuffer(r["context"], "<u2")] = np.frombuffer(r["own"])
     return out
 
 
@@ -460,33 +653,43 @@ def scores(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, st
     count = np.array([r["n"] for r in found], np.int64)
     order = np.argsort(hot)
     hot, count = hot[order], count[order]
-    frequent = np.sort(hot[np.lexsort((hot, -count))[:FREQUENT]])
-
-    rows = written(hot_rows(hot_pairs(train, hot, frequent)).unionByName(rare_rows(docs, hot, frequent, bits)), "pairs")
-    start = Totals(np.zeros(CONTEXTS), np.zeros(CONTEXTS), 0.0, float(v), 0.5, _discount(once, twice), strength, 1 / (v + 1))
-    customers, tables, _, seen = _sums(rows, start, 0)
-    totals = start._replace(customers=customers, tables=tables, parent_customers=tables.sum(), discount=_discount(*seen))
-    for _ in range(rounds):
-        _, tables, above, _ = _sums(rows, totals, burn)
-        totals = totals._replace(tables=tables, parent_customers=tables.sum(), parent_tables=above)
+    heavy = heavy_pairs(docs)
+
+    rows = written(pair_rows(docs, hot, heavy, bits), "pairs")
+    share = spark.sparkContext.broadcast
+    g = Shared(Totals(np.zeros(CONTEXTS), np.zeros(CONTEXTS), 0.0, float(v), 0.5, _discount(once, twice), strength, 1 / (v + 1)), 0.5, hot, count, np.zeros((0, CONTEXTS), np.float32), bits)
+    answers = spark.createDataFrame([], ANSWERS)
+    for k in range(rounds + 1):  # the first one seats nobody, it only counts
+        seated = written(_seated(rows, answers, share(g), burn if k else 0), "seated")
+        answers, sums, cells = _answers(seated), _bucket_sums(seated), written(hot_rows(_cells(seated, len(hot))), "cells")
+        customers, tables, above, seen = _sums(cells, g.totals, burn if k else 0)
+        tables = tables + sums[CONTEXTS : 2 * CONTEXTS]
+        totals = g.totals._replace(customers=customers + sums[:CONTEXTS], tables=tables, parent_customers=tables.sum())
+        if k:
+            totals = totals._replace(parent_tables=above + sums[-3])
+        else:
+            g = g._replace(discount=_discount(*sums[-5:-3]))
+            totals = totals._replace(discount=_discount(*(seen + sums[-2:])))
+        g = g._replace(totals=totals, table=_hot_table(cells, totals, len(hot), burn, samples))  # HOT * CONTEXTS * 4 bytes at most
 
     tasks = int(min(20_000, max(12, input_bytes(rows) >> 26)))
-    rare = _scored_rare(rows, totals, n, v, burn, samples, tasks)
-    shared = spark.sparkContext.broadcast((hot, frequent, np.log10((count + 1) / (n + v + 1)), _hot_table(rows, totals, len(hot), burn, samples)))  # HOT * CONTEXTS * 4 bytes at most
+    scored = written(_scored(rows, answers, share(g), heavy, n, v, burn, samples, tasks), "scored")
+    rare = scored.where("not heavy")
+    at_hand = sorted((r["key"] % (1 << 64), r["n_known"], r["base_score"], r["score"]) for r in scored.where("heavy").collect())  # 2 * HOT at most
+    shared = share(tuple(np.array([x[i] for x in at_hand], kind) for i, kind in enumerate((U64, np.int64, np.float64, np.float64))))
     schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def own(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        hot, frequent, base, table = shared.value
+        heavy, known, base, value = shared.value
         for ids, text in batches:
             names, out = ids.to_pylist(), []
             for s in K.slices(text, rows=8192):
                 t, docs = tokens(s), s.hi - s.lo
-                at = _find(hot, t.word)
+                at = _find(heavy, _pair(t.word, t.before))
                 hit = at >= 0
-                doc, raw = t.doc[hit], s.data.tobytes()
+                doc, at, raw = t.doc[hit], at[hit], s.data.tobytes()
                 key = [_key(i, raw[a:b]) for i, a, b in zip(names[s.lo : s.hi], s.offsets.tolist(), s.offsets[1:].tolist(), strict=False)]
-                value = table[at[hit], contexts(t, frequent)[hit]] if len(hot) else np.zeros(0)
-                out.append(pa.StructArray.from_arrays([pa.array(key, pa.int64()), pa.array(np.bincount(t.doc, minlength=docs)), pa.array(np.bincount(doc, minlength=docs)), pa.array(np.bincount(doc, weights=base[at[hit]], minlength=docs)), pa.array(np.bincount(doc, weights=value, minlength=docs))], fields=list(schema)))
+                out.append(pa.StructArray.from_arrays([pa.array(key, pa.int64()), pa.array(np.bincount(t.doc, minlength=docs)), pa.array(np.bincount(doc, weights=known[at], minlength=docs).astype(np.int64)), *(pa.array(np.bincount(doc, weights=x[at], minlength=docs)) for x in (base, value))], fields=list(schema)))
             yield pa.concat_arrays(out) if out else pa.array([], pa.struct(list(schema)))
 
     own.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}

@@ -224,6 +224,17 @@ def test_language_model(spark, tables):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_contexts_of_rare_words(spark):
+    """Two words of one class, beyond the 256 most frequent, keep their own successors."""
+    train, held = ([i for i in range(4000) if (zlib.crc32(str(i).encode()) % 7 == 2) is h] for h in (False, True))
+    fillers = " ".join(f"w{k} " * 12 for k in range(400))
+    texts = {i: fillers for i in train[:4]} | {i: "redab left stop bluab right stop " * 3 for i in train[4:14]}
+    texts |= {held[0]: "redab left stop", held[1]: "redab right stop", held[2]: "bluab right stop", held[3]: "bluab left stop"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()}
+    assert score[held[0]] > score[held[1]] + 0.5 and score[held[2]] > score[held[3]] + 0.5
+
+
 def test_predictive_sums_to_one():
     """The model's probabilities over all words and the unknown one, by context."""
     rng = np.random.default_rng(0)
