@@ -52,6 +52,9 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if n > 3:
         before = data[:-3].astype(np.uint32) * np.uint32(0x01000193) ^ data[1:-2].astype(np.uint32) * np.uint32(0x85EBCA6B) ^ data[2:-1].astype(np.uint32) * np.uint32(0xC2B2AE35)
         cut[3:] = _SPACE[data[2:-1]] & ((before * np.uint32(0x9E3779B1)) >> np.uint32(29) < 2)
+    for k in (1, 2):  # the three bytes before these places aren't all of the same row
+        near = offsets[:-1] + k
+        cut[near[near < offsets[1:]]] = False
     cut[offsets[:-1][offsets[:-1] < n]] = True
     start = np.flatnonzero(cut)
     length = np.diff(np.append(start, n))
