@@ -119,8 +119,13 @@ def _fixed(column: pa.Array, width: int, kind: str) -> np.ndarray:
 
 def candidates(classes: DataFrame, depth: int, window: int, least: int, partitions: int) -> DataFrame:
     """(x, y, alike): neighbours in any tree; alike is the number of equal sketch
-    values.  Rows with a region instead name the regions wider than the window."""
+    values.  Rows with a region instead name the regions wider than the window.
+
+    Neighbours are sought within ranges, then among the first and last rows of
+    all ranges, so that no border parts them.
+    """
     id_type, names = dict(classes.dtypes)["rep"], ["x", "y", "alike", "region"]
+    schema = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("sketch", pa.binary())])
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +138,30 @@ def candidates(classes: DataFrame, depth: int, window: int, least: int, partitio
                 key = (value[:, order] & 0xFFFF).astype(">u2")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array([x.tobytes() for x in key], pa.binary()), batch.column(0), sketch], ["tree", "key", "rep", "sketch"])
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What :func:`neighbours` gives, then the first and last rows of the range."""
+        first: list[pa.RecordBatch] = []
+        last: list[pa.RecordBatch] = []
+        rows = 0
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            nonlocal last, rows
+            for batch in batches:
+                if rows < window and batch.num_rows:
+                    first.append(batch.slice(0, window - rows))
+                rest = batch.slice(max(0, window - rows))
+                rows += batch.num_rows
+                tail = pa.Table.from_batches([*last, rest]) if batch.num_rows else None
+                if tail is not None:
+                    last = tail.slice(max(0, tail.num_rows - window)).to_batches()
+                yield batch
+
+        for out in neighbours(watched()):
+            yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(out.num_rows, f.type) for f in schema)], [*names, *schema.names])
+        for b in first + last:
+            none = pa.nulls(b.num_rows, b.schema.field(2).type)
+            yield pa.RecordBatch.from_arrays([b.column(2), none, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()), b.column(0), b.column(1).cast(pa.binary()), b.column(3).cast(pa.binary())], [*names, *schema.names])
+
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -161,7 +190,11 @@ def candidates(classes: DataFrame, depth: int, window: int, least: int, partitio
 
     planted = classes.select("rep", "signature").mapInArrow(plant, f"tree int, key binary, rep {id_type}, sketch binary")
     ordered = planted.repartitionByRange(partitions, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    return ordered.mapInArrow(neighbours, f"x {id_type}, y {id_type}, alike int, region binary")
+    shown = f"x {id_type}, y {id_type}, alike int, region binary"
+    within = written(ordered.mapInArrow(ends, f"{shown}, tree int, key binary, sketch binary"), "ranges")
+    # 2 * window rows a range at most
+    borders = within.where("tree IS NOT NULL").select("tree", "key", F.col("x").alias("rep"), "sketch").repartition(1).sortWithinPartitions("tree", "key", "rep")
+    return within.where("tree IS NULL").select(*names).unionByName(borders.mapInArrow(neighbours, shown))
 
 
 def _regions(tree: np.ndarray, prefix: np.ndarray) -> list[bytes]:

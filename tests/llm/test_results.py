@@ -177,6 +177,22 @@ def test_plan_is_gapless(sizes):
         assert at <= 64
 
 
+def test_near_copies_over_many_ranges(spark):
+    """With more ranges than rows each row has its own; near copies are found all the same."""
+    rng, before = np.random.default_rng(3), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for pairs in (1, 10):
+            texts = []
+            for _ in range(pairs):
+                words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+                texts += [" ".join(words), " ".join([*words[:100], "other", *words[101:]])]
+            rows = neardup.near_duplicates(frame(spark, texts)).collect()
+            assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(i, i - i % 2) for i in range(2 * pairs)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_fingerprints(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
