@@ -1,61 +1,139 @@
 """Move detection: pair paths that went with paths that came, in stages.
 
-Every stage is a join on its own key with at most one partner each way, chosen
-by row numbers in a total order (the path).  What a stage pairs is taken from
-both sides before the next one, so later stages see ever fewer rows.
+Every stage is a join on its own key with at most one partner each way, in the
+order of the paths.  What a stage pairs is written to the shared folder and
+taken from both sides before the next one, so the plan of a stage never holds
+the stages before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions.names import ancestor_depth, basename, dirname, is_root_level, sanitize
+from skerry.functions.names import basename, dirname, sanitize
+from skerry.operators.reconcile import usable
+from skerry.sources.staging import numbered, written
 
 # Names too common to pair by.
 GENERIC_NAMES = ("readme.md", "index.md", "index.html", "todo.md", "notes.md", "changelog.md", "license.md", "config.json", "package.json", ".gitignore", "makefile", "dockerfile")
 MAX_CANDIDATES = 10
+PAIRS = "old_path string, new_path string"
+
+
+def primary_hash(local: Column, content: Column, cloud: Column) -> Column:
+    """The first usable hash of the local file, the baseline and its remote side."""
+    return F.coalesce(usable(local), usable(content), usable(cloud))
+
 
+def deleted_hashes(primary: Column, content: Column, cloud: Column) -> Column:
+    """Hashes that a deleted path may be found by: its primary one or, without
+    it, the baseline's remote and local ones."""
+    rest = F.array_distinct(F.array_compact(F.array(usable(cloud), usable(content))))
+    return F.when(usable(primary).isNotNull(), F.array(primary)).otherwise(rest)
 
-def _one_to_one(pairs: DataFrame) -> DataFrame:
-    """Each old and each new path once, in the order of the paths."""
-    first = lambda a, b: F.row_number().over(Window.partitionBy(a).orderBy(b))
-    return pairs.withColumn("_n", first("new_path", "old_path")).where("_n = 1").withColumn("_n", first("old_path", "new_path")).where("_n = 1").drop("_n")
+
+def _by_rank(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The nth old path of a key with its nth new one."""
+    side = lambda df, name: numbered(df.select(F.col("path").alias(name), key), [key], [name])
+    return side(old, "old_path").join(side(new, "new_path"), [key, "n"]).where("old_path <> new_path").select("old_path", "new_path")
 
 
 def by_id(old: DataFrame, new: DataFrame) -> DataFrame:
     """old (path, file_id), new (path, file_id) -> old_path, new_path with the same id."""
-    a = old.where("file_id <> ''").select(F.col("path").alias("old_path"), "file_id")
-    b = new.where("file_id <> ''").select(F.col("path").alias("new_path"), "file_id")
-    return _one_to_one(a.join(b, "file_id").where("old_path <> new_path").select("old_path", "new_path"))
+    return _by_rank(old.where("file_id <> ''"), new.where("file_id <> ''"), "file_id")
 
 
 def by_sibling_name(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Same directory, same sanitised name; the last new path has a key."""
-    key = lambda df, name: df.select(F.col("path").alias(name), dirname("path").alias("d"), sanitize(basename("path")).alias("k"))
-    last = Window.partitionBy("d", "k").orderBy(F.desc("new_path"))
-    b = key(new, "new_path").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-    return _one_to_one(key(old, "old_path").join(b, ["d", "k"]).where("old_path <> new_path").select("old_path", "new_path"))
+    """Same directory, same sanitised name: a key's first old and last new path."""
+    keyed = lambda df: df.groupBy(dirname("path").alias("d"), sanitize(basename("path")).alias("k"))
+    pairs = keyed(old).agg(F.min("path").alias("old_path")).join(keyed(new).agg(F.max("path").alias("new_path")), ["d", "k"])
+    return pairs.where("old_path <> new_path").select("old_path", "new_path")
 
 
 def by_hash(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Equal usable hashes, the nth old path with the nth new one."""
-    ranked = lambda df, name: df.where("hash <> ''").select(F.col("path").alias(name), "hash", F.row_number().over(Window.partitionBy("hash").orderBy("path")).alias("n"))
-    return ranked(old, "old_path").join(ranked(new, "new_path"), ["hash", "n"]).select("old_path", "new_path")
+    """Equal usable hashes, the nth old path with the nth new one.
+
+    An old side with a column ``hashes`` is paired by the first of them and, for
+    what is left of both sides, by the second.
+    """
+    if "hashes" not in old.columns:
+        return _by_rank(old.where("hash <> ''"), new.where("hash <> ''"), "hash")
+    new = new.where("hash <> ''").select("path", "hash")
+    take = lambda df, k: df.select("path", F.get("hashes", F.lit(k)).alias("hash")).where("hash <> ''")
+    first = written(_by_rank(take(old, 0), new, "hash"), "pairs")
+    rest = take(old.join(first.select(F.col("old_path").alias("path")), "path", "left_anti"), 1)
+    return first.unionByName(_by_rank(rest, new.join(first.select(F.col("new_path").alias("path")), "path", "left_anti"), "hash"))
+
+
+def _folders(path: str) -> list[str]:
+    return path.split("/")[:-1]
+
+
+def _shared(a: list[str], b: list[str]) -> int:
+    """How many leading folders are the same."""
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def by_name(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Same lower-cased sanitised name anywhere; the partner shares most
-    directories.  Generic names and names with too many candidates don't pair,
-    and paths without a common directory only if one is at the root and the
-    name has one candidate."""
+    """Same lower-cased sanitised name anywhere; the partner shares most folders.
+
+    Generic names and names of more than ``MAX_CANDIDATES`` new paths don't pair,
+    paths without a common folder only if one is at the root and one candidate
+    is left, and paths with two different known hashes only if the old one has a
+    file id.  Old paths choose in their order, each among what is left: a pass
+    over the sorted rows that keeps one name's few candidates at a time, so a
+    name with very many old paths needs no memory.
+    """
     key = F.lower(sanitize(basename("path")))
-    b = new.select(F.col("path").alias("new_path"), key.alias("k")).withColumn("n", F.count("*").over(Window.partitionBy("k"))).where(F.col("n") <= MAX_CANDIDATES)
-    a = old.select(F.col("path").alias("old_path"), key.alias("k")).where(~F.col("k").isin(*GENERIC_NAMES))
-    pairs = a.join(b, "k").withColumn("depth", ancestor_depth("old_path", "new_path"))
-    pairs = pairs.where((F.col("depth") >= 1) | ((is_root_level("old_path") | is_root_level("new_path")) & (F.col("n") == 1)))
-    best = Window.partitionBy("old_path").orderBy(F.desc("depth"), "new_path")
-    return _one_to_one(pairs.withColumn("_b", F.row_number().over(best)).where("_b = 1").select("old_path", "new_path"))
+    counted = new.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where(F.col("n") <= MAX_CANDIDATES).select("k")
+    few = new.withColumn("k", key).join(counted, "k").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("path", F.coalesce(usable(F.col("hash")), F.lit("")).alias("hash")))).alias("found"))
+    linked = F.col("linked") if "linked" in old.columns else F.col("file_id") != ""
+    rows = old.withColumn("k", key).where(~F.col("k").isin(*GENERIC_NAMES)).select("k", "path", F.coalesce(usable(F.col("hash")), F.lit("")).alias("hash"), linked.alias("linked")).join(few, "k")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, left = None, []
+        for batch in batches:
+            pairs = []
+            for r in batch.to_pylist():
+                if r["k"] != name:
+                    name, left = r["k"], [(x["path"], x["hash"], _folders(x["path"])) for x in r["found"]]
+                here = _folders(r["path"])
+                depth = [_shared(here, x[2]) for x in left]
+                if not left:
+                    continue
+                at = depth.index(max(depth))
+                path, other, there = left[at]
+                near = depth[at] > 0 or (len(left) == 1 and not (here and there))
+                if near and (not r["hash"] or not other or r["hash"] == other or r["linked"]):
+                    pairs.append((r["path"], path))
+                    del left[at]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["old_path", "new_path"])
+
+    return rows.repartition("k").sortWithinPartitions("k", "path").mapInArrow(choose, PAIRS)
+
+
+STAGES = {"id": by_id, "sibling": by_sibling_name, "hash": by_hash, "name": by_name}
+
+
+def run_stages(rows: DataFrame, steps: list[tuple[str, str, str]]) -> DataFrame:
+    """old_path, new_path, stage of steps (stage, old state, new state), each
+    over the rows (path, state, file_id, hash, and perhaps hashes) that are left.
+
+    A step that lacks one side is skipped.
+    """
+    rows, found = written(rows, "sides"), None
+    there = {r["state"] for r in rows.select("state").distinct().collect()}  # a handful of states
+    for stage, old, new in steps:
+        if old not in there or new not in there:
+            continue
+        pairs = written(STAGES[stage](*(rows.where(F.col("state") == s) for s in (old, new))).withColumn("stage", F.lit(stage)), "pairs")
+        found = pairs if found is None else found.unionByName(pairs)
+        rows = rows.join(pairs.select(F.explode(F.array("old_path", "new_path")).alias("path")), "path", "left_anti")
+    return found if found is not None else rows.select(F.col("path").alias("old_path"), F.col("path").alias("new_path"), F.col("path").alias("stage")).limit(0)
 
 
 def cascade(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -63,18 +141,13 @@ def cascade(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Both sides: path, file_id, hash.
     """
-    found = None
-    for name, stage in (("id", by_id), ("sibling", by_sibling_name), ("hash", by_hash), ("name", by_name)):
-        pairs = stage(old, new).withColumn("stage", F.lit(name))
-        old = old.join(pairs.select(F.col("old_path").alias("path")), "path", "left_anti")
-        new = new.join(pairs.select(F.col("new_path").alias("path")), "path", "left_anti")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+    side = lambda df, state: df.select("path", "file_id", "hash").withColumn("state", F.lit(state))
+    return run_stages(side(old, "old").unionByName(side(new, "new")), [(stage, "old", "new") for stage in STAGES])
 
 
 def apply_moves(classified: DataFrame, moves: DataFrame) -> DataFrame:
     """New paths become moved with their old path, old paths are gone."""
-    out = classified.join(moves.select(F.col("new_path").alias("path"), F.col("old_path").alias("moved_from")), "path", "left")
-    out = out.join(moves.select(F.col("old_path").alias("path"), F.lit(True).alias("left_for")), "path", "left")
+    ends = moves.select(F.col("new_path").alias("path"), F.col("old_path").alias("moved_from")).unionByName(moves.select(F.col("old_path").alias("path"), F.lit(None).cast("string").alias("moved_from")))
+    out = classified.join(ends.withColumn("left_for", F.col("moved_from").isNull()), "path", "left")
     state = F.when(F.col("moved_from").isNotNull(), "moved").when(F.col("left_for"), "gone").otherwise(F.col("state"))
     return out.withColumn("state", state).withColumnRenamed("moved_from", "old_path").drop("left_for")

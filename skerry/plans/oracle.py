@@ -98,14 +98,30 @@ SELECT path, state, {_ACTION} AS action FROM filtered"""
 FILES = "WITH d AS (SELECT doc_id, source || '/' || lang AS dir, 'doc_' || doc_id || '.md' AS name, source || '/' || lang || '/doc_' || doc_id || '.md' AS path, text FROM documents)"
 
 SIDES = FILES + """, old AS (
-  SELECT path, CASE WHEN doc_id % 23 = 0 THEN 'F' || doc_id ELSE '' END AS file_id, CASE WHEN doc_id % 23 = 1 THEN md5(text) ELSE '' END AS hash FROM d WHERE doc_id % 23 < 4
+  SELECT path, name, CASE WHEN doc_id % 4 = 0 THEN 'F' || (doc_id - doc_id % 8) ELSE '' END AS file_id, CASE WHEN doc_id % 4 = 1 THEN md5(text) ELSE '' END AS hash FROM d
 ), new AS (
-  SELECT CASE WHEN doc_id % 2 = 0 THEN dir ELSE split_part(dir, '/', 1) END || '/archive/' || name AS path, 'F' || doc_id AS file_id, md5(text) AS hash, name FROM d WHERE doc_id % 23 < 4
+  SELECT CASE WHEN doc_id % 2 = 0 THEN dir ELSE split_part(dir, '/', 1) END || '/archive/' || name AS path, name, CASE WHEN doc_id % 4 = 0 THEN 'F' || (doc_id - doc_id % 8) ELSE 'F' || doc_id END AS file_id,
+         CASE WHEN doc_id % 8 = 5 THEN md5(text || '#other') ELSE md5(text) END AS hash FROM d
 )"""
 
-BY_HASH = SIDES + """, a AS (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY path) AS n FROM old WHERE hash <> ''),
-b AS (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY path) AS n FROM new WHERE hash <> '')
-SELECT a.path AS old_path, b.path AS new_path FROM a JOIN b USING (hash, n)"""
+
+def _ranked(name: str, old: str, new: str, key: str) -> str:
+    """A common table expression: the nth old path of a key with its nth new one."""
+    side = lambda t: f"(SELECT path, {key}, row_number() OVER (PARTITION BY {key} ORDER BY path) AS n FROM {t} WHERE {key} <> '')"
+    return f", {name} AS (SELECT a.path AS old_path, b.path AS new_path FROM {side(old)} a JOIN {side(new)} b USING ({key}, n))"
+
+
+def _left(name: str, table: str, *pairs: str) -> str:
+    taken = " UNION ALL ".join(f"SELECT old_path AS path FROM {p} UNION ALL SELECT new_path FROM {p}" for p in pairs)
+    return f", {name} AS (SELECT * FROM {table} WHERE path NOT IN ({taken}))"
+
+
+_NAMED = "SELECT a.path AS old_path, b.path AS new_path FROM {0} a JOIN {1} b USING (name) WHERE a.hash = '' OR a.hash = b.hash OR a.file_id <> ''"
+BY_ID, BY_HASH = SIDES + _ranked("p", "old", "new", "file_id"), SIDES + _ranked("p", "old", "new", "hash")
+CASCADE = (
+    BY_ID.replace(", p AS", ", p1 AS") + _left("o1", "old", "p1") + _left("n1", "new", "p1") + _ranked("p2", "o1", "n1", "hash") + _left("o2", "o1", "p2") + _left("n2", "n1", "p2")
+    + f", p3 AS ({_NAMED.format('o2', 'n2')}) SELECT * FROM (SELECT 'id' AS stage, count(*) AS n FROM p1 UNION ALL SELECT 'hash', count(*) FROM p2 UNION ALL SELECT 'name', count(*) FROM p3) WHERE n > 0"
+)
 
 SPACES = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -149,6 +165,23 @@ SELECT path, CASE WHEN k > 0 AND k < n THEN first_linked WHEN k = n THEN best EN
 FROM g WHERE n > 1 AND size > 0)
 """
 
+#: Every fifth remote file under another folder; moves by id, hash and hash again.
+WITH_MOVES = (
+    REFINED.replace(")\nAS", ")AS").replace("remote AS (\n  SELECT path,", "remote AS (\n  SELECT CASE WHEN doc_id % 5 = 0 THEN 'new/' || path ELSE path END AS path,")
+    .replace("b.path IS NOT NULL AS known", "b.path IS NOT NULL AS known, coalesce(r.id, b.file_id, '') AS id, coalesce(nullif(l.local_hash, ''), nullif(b.content_hash, ''), nullif(b.cloud_content_hash, ''), r.cloud_hash, '') AS hash")
+    + "".join(f", {n} AS (SELECT path, id, hash FROM states WHERE state = '{s}')" for n, s in (("ln", "localNew"), ("cn", "cloudNew"), ("cd", "cloudDeleted"), ("ld", "localDeleted")))
+    + _ranked("p1", "ln", "cn", "id") + _left("ln1", "ln", "p1") + _left("cn1", "cn", "p1") + _ranked("p2", "cd", "ln1", "id") + _left("cd2", "cd", "p2") + _left("ln2", "ln1", "p2")
+    + _ranked("p3", "cd2", "cn1", "id") + _left("cd3", "cd2", "p3") + _left("cn3", "cn1", "p3") + _ranked("p4", "cd3", "cn3", "hash") + _left("cn4", "cn3", "p4")
+    + _ranked("p5", "ld", "ln2", "hash") + _left("ln5", "ln2", "p5") + _ranked("p6", "cn4", "ln5", "hash")
+    + """, pairs AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5 UNION ALL SELECT * FROM p6),
+both_sides AS (SELECT split_part(path, '/', -1) AS name, local_hash FROM local WHERE path IN (SELECT path FROM remote)),
+loose AS (SELECT path FROM local l WHERE path NOT IN (SELECT path FROM remote) AND EXISTS (SELECT 1 FROM both_sides s WHERE s.name = split_part(l.path, '/', -1) AND s.local_hash = l.local_hash)),
+moved AS (SELECT path, p.old_path, CASE WHEN p.new_path IS NOT NULL THEN 'moved' WHEN path IN (SELECT old_path FROM pairs) THEN 'gone' WHEN r.state = 'localNew' AND path IN (SELECT path FROM loose) THEN 'gone' ELSE r.state END AS state
+  FROM refined r LEFT JOIN pairs p ON p.new_path = r.path)
+"""
+    + f"SELECT state, {_ACTION} AS action, old_path IS NOT NULL AS has_old_path, count(*) AS n FROM moved GROUP BY ALL"
+)
+
 FEED = "WITH f AS (SELECT user_id AS id, event_id AS version, event_type AS name FROM events)"
 
 ORACLE: dict[str, str] = {
@@ -215,9 +248,13 @@ count(*) FILTER (cloud_mtime = 0) AS zero_cloud_mtime, count(*) FILTER (path NOT
 SELECT (SELECT count(*) FROM base, now WHERE last_sync_at > 0 AND last_sync_at < n - 30 * 86400 AND path NOT IN (SELECT path FROM local)) AS files,
 (SELECT count(*) FROM t, now WHERE s < n - 90 * 86400) AS log_rows, (SELECT count(*) FROM base WHERE path NOT IN (SELECT path FROM local)) AS refs""",
     "hash_cache_hits": SNAPSHOTS + " SELECT count(*) FILTER (size % 3 <> 0 AND mtime % 5 <> 0) AS hits, count(*) FILTER (size % 3 = 0 OR mtime % 5 = 0) AS to_compute FROM local",
-    "moves_by_id": SIDES + " SELECT old.path AS old_path, new.path AS new_path FROM old JOIN new USING (file_id) WHERE file_id <> ''",
-    "moves_by_hash": BY_HASH,
-    "moves_by_name": SIDES + " SELECT old.path AS old_path, new.path AS new_path FROM old JOIN new ON split_part(old.path, '/', 3) = new.name",
+    "moves_by_id": BY_ID + " SELECT * FROM p",
+    "moves_by_hash": BY_HASH + " SELECT * FROM p",
+    "moves_by_name": SIDES + " " + _NAMED.format("old", "new"),
+    "moves_cascade": CASCADE,
+    "deleted_move_hashes": SNAPSHOTS + """ SELECT path, CASE WHEN cloud_mtime % 4 = 1 AND content_hash IS NOT NULL OR cloud_mtime % 8 < 6 AND content_hash IS NOT NULL THEN content_hash
+ELSE cloud_content_hash || CASE WHEN content_hash <> cloud_content_hash THEN ',' || content_hash ELSE '' END END AS hashes FROM base""",
+    "sync_with_moves": WITH_MOVES,
     "moves_by_sibling_name": SIDES + " SELECT path AS old_path, replace(path, '_', '_?') AS new_path FROM new",
     "ancestor_depth": FILES + " SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS INT) AS depth FROM d",
     "dup_groups": FILES + " SELECT md5(text) AS hash, length(text) AS size, count(*) AS n FROM d GROUP BY ALL HAVING count(*) > 1",
@@ -246,7 +283,7 @@ s AS (SELECT *, ltrim(substring(text, 1, 50), ' ' || chr(9) || chr(10) || chr(13
 SELECT kind, id, CASE WHEN contains(substring(text, 1, 120), '"recordList"') THEN 'binary' WHEN starts_with(x, '<?xml') THEN 'xml' WHEN starts_with(x, '{"') THEN 'json'
 WHEN regexp_matches(x, '(?i)^<!DOCTYPE\\s+html') OR regexp_matches(x, '(?i)^<html') THEN 'html' WHEN ext = 'md' THEN 'markdown' ELSE 'binary' END AS type FROM s""",
     "diary_guard": rf"""WITH b AS (SELECT doc_id, i, regexp_replace(line, '^{SPACES}+|{SPACES}+$', '', 'g') AS s FROM
-(SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN '无' ELSE substring(text, 1, 20) END, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i), unnest([ls[i]]) AS v(line)),
+(SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN '无' ELSE text END, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i), unnest([ls[i]]) AS v(line)),
 h AS (SELECT *, starts_with(s, '#') AS head, max(CASE WHEN starts_with(s, '#') THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS last_head FROM b),
 c AS (SELECT doc_id, CASE WHEN head OR s IN ('', '---', '***', '___', '（可选）', '(可选)', '*无*', '无', '暂无') OR starts_with(s, '>') OR regexp_matches(s, '^[-*+]\s*\[[ xX]\]') OR regexp_matches(s, '^[-*+]$') THEN 0 ELSE length(s) END AS n, last_head FROM h),
 t AS (SELECT doc_id, coalesce(sum(n) FILTER (last_head IS NULL), 0)::BIGINT AS protected_chars, sum(n)::BIGINT + 0 AS body_chars FROM c GROUP BY doc_id)
@@ -285,7 +322,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY k DESC, m DESC, id
 p AS (SELECT path, CASE WHEN state = 'localNew' AND path IN (SELECT path FROM loose) THEN 'gone' ELSE state END AS state, action FROM planned),
 g AS (SELECT CASE WHEN count(*) FILTER (action LIKE 'delete%') > 5 THEN 'suspended' ELSE 'ok' END AS guardrail FROM p)
 SELECT path, state, action, CAST(NULL AS VARCHAR) AS old_path, CASE action WHEN 'download' THEN 1 WHEN 'upload' THEN 2 ELSE 3 END AS phase, guardrail FROM p, g""",
-    "explain_decisions": REFINED + f" SELECT path, s.state, r.state AS refined, {_ACTION.replace('state', 'r.state')} AS action FROM states s JOIN refined r USING (path) WHERE regexp_matches(path, 'doc_[0-9]+7[.]md$')",
+    "explain_decisions": REFINED + f" SELECT path, s.state, r.state AS refined, {_ACTION.replace('state', 'r.state')} AS action FROM states s JOIN refined r USING (path)",
     "audit_log": REFINED + f""" SELECT path, {_ACTION} AS action, '{{"status":"ok"}}' AS guardrail_checks FROM refined WHERE {_ACTION} <> 'skip'""",
     "cleanup_plan": SNAPSHOTS + " SELECT path, CASE WHEN path LIKE 'src3/%' THEN 'excluded' ELSE 'inactive' END AS reason FROM base WHERE path LIKE 'src3/%' OR (path NOT IN (SELECT path FROM remote) AND path NOT IN (SELECT path FROM local))",
     "incremental_paths": FILES + """, k AS (SELECT DISTINCT dir FROM d WHERE doc_id % 5 <> 0)

@@ -224,11 +224,13 @@ def hash_cache_hits(spark, sf):
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Deleted and new paths: every 23rd document moves from one folder to another."""
-    d = paths(spark, sf).where("doc_id % 23 < 4")
-    old = d.select(F.col("path"), F.when(F.col("doc_id") % 23 == 0, F.concat(F.lit("F"), "doc_id")).otherwise("").alias("file_id"), F.when(F.col("doc_id") % 23 == 1, F.md5("text")).otherwise("").alias("hash"))
-    there = F.concat_ws("/", F.when(F.col("doc_id") % 2 == 0, F.col("dir")).otherwise(F.substring_index("dir", "/", 1)), F.lit("archive"), "name")
-    new = d.select(there.alias("path"), F.concat(F.lit("F"), "doc_id").alias("file_id"), F.md5("text").alias("hash"))
+    """Deleted and new paths: every document moves to another folder.  Of four
+    documents one has an id (which two share), one a hash, some a changed one."""
+    d, i = paths(spark, sf), F.col("doc_id")
+    own = lambda other: F.when(i % 4 == 0, F.concat(F.lit("F"), i - i % 8)).otherwise(other)
+    old = d.select("path", own(F.lit("")).alias("file_id"), F.when(i % 4 == 1, F.md5("text")).otherwise("").alias("hash"))
+    there = F.concat_ws("/", F.when(i % 2 == 0, F.col("dir")).otherwise(F.substring_index("dir", "/", 1)), F.lit("archive"), "name")
+    new = d.select(there.alias("path"), own(F.concat(F.lit("F"), i)).alias("file_id"), F.when(i % 8 == 5, F.md5(F.concat("text", F.lit("#other")))).otherwise(F.md5("text")).alias("hash"))
     return old, new
 
 
@@ -259,6 +261,14 @@ def moves_cascade(spark, sf):
     return moves.cascade(*_sides(spark, sf)).groupBy("stage").agg(F.count("*").alias("n"))
 
 
+@query
+def deleted_move_hashes(spark, sf):
+    """Hashes that each baseline row would be searched by, were it deleted."""
+    local = F.when(F.col("cloud_mtime") % 4 == 0, F.lit("")).when(F.col("cloud_mtime") % 4 == 1, F.col("content_hash"))
+    primary = moves.primary_hash(local, F.when(F.col("cloud_mtime") % 8 < 6, F.col("content_hash")), F.lit(""))
+    return snapshots(spark, sf).base.select("path", F.array_join(moves.deleted_hashes(primary, F.col("content_hash"), F.col("cloud_content_hash")), ",").alias("hashes"))
+
+
 @query
 def ancestor_depth(spark, sf):
     d = paths(spark, sf)
@@ -387,7 +397,7 @@ def file_type_sniff(spark, sf):
 
 @query
 def diary_guard(spark, sf):
-    body = F.concat(F.lit("# 今日概括\n> hint\n- [ ] task\n"), F.when(F.col("doc_id") % 3 == 0, "无").otherwise(F.substring("text", 1, 20)), F.lit("\n## other\n-\n"))
+    body = F.concat(F.lit("# 今日概括\n> hint\n- [ ] task\n"), F.when(F.col("doc_id") % 3 == 0, "无").otherwise(F.col("text")), F.lit("\n## other\n-\n"))
     return text.handwriting(paths(spark, sf).select("doc_id", body.alias("text")))
 
 
@@ -455,7 +465,7 @@ def merge3(spark, sf):
 
 @query
 def delta_roundtrip(spark, sf):
-    d = paths(spark, sf).select("doc_id", F.col("text").cast("binary").alias("a"), F.concat(F.substring("text", 1, 5000), F.lit("new"), F.substring("text", 5001, 100000)).cast("binary").alias("b"))
+    d = paths(spark, sf).select("doc_id", F.col("text").cast("binary").alias("a"), F.concat(F.substring("text", 1, 5000), F.lit("new"), F.expr("substring(text, 5001)")).cast("binary").alias("b"))
     change = d.withColumn("d", diff.delta(F.col("a"), F.col("b")))
     return change.select("doc_id", (diff.patched(F.col("a"), F.col("d")) == F.col("b")).alias("same"))
 
@@ -593,7 +603,7 @@ def sync_full_plan(spark, sf):
 
 @query
 def sync_with_moves(spark, sf):
-    """Every 23rd remote file moved to another folder: it must be paired by its id."""
+    """Every fifth remote file moved to another folder."""
     s = snapshots(spark, sf)
     moved = F.col("path").rlike(r"doc_\d*[05]\.md$")
     remote = s.remote.withColumn("path", F.when(moved, F.concat(F.lit("new/"), "path")).otherwise(F.col("path")))
@@ -602,7 +612,7 @@ def sync_with_moves(spark, sf):
 
 @query
 def explain_decisions(spark, sf):
-    return sync.explain(*snapshots(spark, sf), F.col("path").rlike(r"doc_\d+7\.md$")).select("path", "state", "refined", "action")
+    return sync.explain(*snapshots(spark, sf), F.lit(True)).select("path", "state", "refined", "action")
 
 
 @query

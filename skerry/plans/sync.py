@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.names import allowed, is_artifact_dir
 from skerry.operators import dedup, moves, reconcile, state
+from skerry.sources.staging import written
 
 
 class Options(NamedTuple):
@@ -22,24 +23,30 @@ class Options(NamedTuple):
     detect_moves: bool = True
 
 
-def move_hash(df: DataFrame) -> Column:
-    """The first usable hash of the local file, the baseline and the remote file."""
-    return F.coalesce(*(reconcile.usable(F.col(c)) for c in ("l.local_hash", "b.content_hash", "b.cloud_content_hash", "r.cloud_hash")), F.lit(""))
+#: Stages of move detection in order, with the states of old and new paths.
+MOVE_STEPS = [
+    ("id", "localNew", "cloudNew"),
+    ("id", "cloudDeleted", "localNew"),
+    ("id", "cloudDeleted", "cloudNew"),
+    ("sibling", "cloudDeleted", "cloudNew"),
+    ("sibling", "localDeleted", "localNew"),
+    ("hash", "cloudDeleted", "cloudNew"),
+    ("name", "cloudDeleted", "cloudNew"),
+    ("hash", "localDeleted", "localNew"),
+    ("name", "localDeleted", "localNew"),
+    ("hash", "cloudNew", "localNew"),
+    ("name", "cloudNew", "localNew"),
+]
 
 
 def find_moves(classified: DataFrame) -> DataFrame:
-    """old_path, new_path, stage: deletions paired with arrivals on the same
-    side, then paths that are new on both sides."""
-    row = classified.select("path", "state", F.coalesce("r.id", "b.file_id", F.lit("")).alias("file_id"), move_hash(classified).alias("hash"))
-    of = lambda *kinds: row.where(F.col("state").isin(*kinds)).drop("state")
-    out, taken = None, None
-    for old, new in ((("cloudDeleted",), ("cloudNew",)), (("localDeleted",), ("localNew",))):
-        pairs = moves.cascade(of(*old), of(*new))
-        out = pairs if out is None else out.unionByName(pairs)
-    taken = out.select(F.explode(F.array("old_path", "new_path")).alias("path"))
-    left = lambda kind: of(kind).join(taken, "path", "left_anti")
-    pairs = moves.by_hash(left("cloudNew"), left("localNew")).withColumn("stage", F.lit("both_new"))
-    return out.unionByName(pairs)
+    """old_path, new_path, stage: by id, by sibling names, then deletions with
+    arrivals on the same side, then paths that are new on both sides."""
+    content, cloud = F.col("b.content_hash"), F.col("b.cloud_content_hash")
+    primary = F.coalesce(moves.primary_hash(F.col("l.local_hash"), content, cloud), reconcile.usable(F.col("r.cloud_hash")), F.lit(""))
+    known = F.coalesce(reconcile.usable(F.col("r.id")), F.col("b.file_id"), F.lit(""))
+    rows = classified.select("path", "state", known.alias("file_id"), primary.alias("hash"), moves.deleted_hashes(primary, content, cloud).alias("hashes"), F.coalesce(F.col("b.file_id") != "", F.lit(False)).alias("linked"))
+    return moves.run_stages(rows.where(F.col("state").isin("localNew", "cloudNew", "localDeleted", "cloudDeleted")), MOVE_STEPS)
 
 
 def reconcile_all(remote: DataFrame, local: DataFrame, base: DataFrame, options: Options = Options()) -> DataFrame:
@@ -52,12 +59,15 @@ def reconcile_all(remote: DataFrame, local: DataFrame, base: DataFrame, options:
     if options.include or options.exclude:
         df = reconcile.exclude(df, allowed("path", list(options.include), list(options.exclude)))
     if options.detect_moves:
+        df = written(df, "classified")
         df = moves.apply_moves(df, find_moves(df))
     else:
         df = df.withColumn("old_path", F.lit(None).cast("string"))
     loose = dedup.orphans(local, remote).withColumn("loose", F.lit(True))
     df = df.join(loose, "path", "left").withColumn("state", F.when(F.col("loose") & (F.col("state") == "localNew"), "gone").otherwise(F.col("state")))
     planned = reconcile.plan(reconcile.refine(df), options.direction, options.propagate_deletes)
+    if options.detect_moves:
+        planned = written(planned.select("path", "state", "action", "old_path"), "planned")
     checks = reconcile.guardrails(planned, remote, local, base, options.max_deletes).select(F.col("status").alias("guardrail"))
     return planned.select("path", "state", "action", "old_path", reconcile.phase(F.col("action")).alias("phase")).join(F.broadcast(checks))  # one row
 
