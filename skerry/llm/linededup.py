@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import kernels as K
-from skerry.llm.shared import input_bytes, written
+from skerry.llm.shared import fresh, input_bytes, written
 
 SEGMENT_BITS = 1 << 22
 PROBES = 4
@@ -147,8 +147,8 @@ def repeats(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_filter_
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
 
 
-def _cleaned(docs: DataFrame, min_chars: int, **options):
-    """The documents with a struct column ``skerry_lines``: n_lines, n_dropped, kept."""
+def _cleaned(docs: DataFrame, min_chars: int, **options) -> tuple[DataFrame, str]:
+    """The documents with a struct column (n_lines, n_dropped, kept), and its name."""
 
     @F.arrow_udf("struct<n_lines:long,n_dropped:long,kept:string>")
     def cut(text: pa.Array, drop: pa.Array) -> pa.Array:
@@ -168,19 +168,20 @@ def _cleaned(docs: DataFrame, min_chars: int, **options):
                 kept.append(one)
         return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_lines", "n_dropped", "kept"])
 
-    lost = repeats(docs, min_chars, **options).withColumnsRenamed({"doc_id": "skerry_doc_id", "drop": "skerry_drop"})
-    joined = docs.join(lost, F.col("doc_id") == F.col("skerry_doc_id"), "left")
-    return joined.withColumn("skerry_lines", cut(F.col("text"), F.col("skerry_drop")))
+    own, drop, lines = (fresh(docs, c) for c in ("own", "lost", "lines"))
+    lost = repeats(docs, min_chars, **options).withColumnsRenamed({"doc_id": own, "drop": drop})
+    joined = docs.join(lost, docs["doc_id"] == lost[own], "left")
+    return joined.withColumn(lines, cut(F.col("text"), F.col(drop))), lines
 
 
 def line_report(docs: DataFrame, min_chars: int = 40, **options) -> DataFrame:
     """One row per document: lines before, lines dropped, digest of what stays."""
-    got = _cleaned(docs.select("doc_id", "text"), min_chars, **options)
-    return got.select("doc_id", "skerry_lines.n_lines", "skerry_lines.n_dropped", F.sha2(F.col("skerry_lines.kept").cast("binary"), 256).alias("kept_sha256"))
+    got, lines = _cleaned(docs.select("doc_id", "text"), min_chars, **options)
+    return got.select("doc_id", f"{lines}.n_lines", f"{lines}.n_dropped", F.sha2(F.col(f"{lines}.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, **options) -> DataFrame:
     """The documents without their dropped lines; columns as given."""
-    got = _cleaned(docs, min_chars, **options)
-    text = F.when(F.col("text").isNotNull(), F.col("skerry_lines.kept")).alias("text")
+    got, lines = _cleaned(docs, min_chars, **options)
+    text = F.when(F.col("text").isNotNull(), F.col(f"{lines}.kept")).alias("text")
     return got.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))

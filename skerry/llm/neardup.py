@@ -18,15 +18,20 @@ sets have a Jaccard similarity of ``similarity`` per cent or more are linked.
    can't change the result and needs no check.
 4. A region with more classes than the window shows has lost candidates.  There
    every class outside the region's largest component is compared with the
-   whole region by signature, in blocks of ``BLOCK`` by ``BLOCK`` classes, and
-   what is alike is confirmed like any other pair.  So the window caps nothing.
+   whole region by signature, in blocks of ``BLOCK`` by ``BLOCK`` classes.  What
+   is alike is confirmed on full sets block by block, until a class is joined.
+   So the window caps nothing, and no table has a row for each pair of a crowd.
 
-A linked pair is missed only if no tree has it in one region: at the threshold
-a tree does with probability 0.51, so 24 trees miss one in ten million.
+A linked pair is missed only if no tree has it in one region (at the threshold a
+tree does with probability 0.51, so 24 trees miss one in 30 million), or if fewer
+than ``least`` of the 64 sketch values agree (one in 80,000 at the threshold, one
+in 25 million at 0.85), and no other pairs join the two.
 
 Defined results: null, empty and wordless texts have an empty set and are
 linked with nothing.  Rows that share a doc_id are one document.  A row with a
-null doc_id takes no part: its component is null and it is kept.
+null doc_id takes no part: its component is null and it is kept.  Equal texts
+and ties of likeness are settled by the smallest doc_id; a very long text is one
+slice of a batch, and its set is as long as its text.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm import kernels as K
 from skerry.llm.components import components
-from skerry.llm.shared import written
+from skerry.llm.shared import fresh, written
 
 U64 = np.uint64
 VALUES = 64
@@ -203,13 +208,18 @@ def _regions(tree: np.ndarray, prefix: np.ndarray) -> list[bytes]:
 
 
 def crowded(classes: DataFrame, regions: DataFrame, depth: int, least: int) -> DataFrame:
-    """(a, b) in different components that share one of ``regions`` and are alike.
-
-    classes: rep, signature, component.  Of two components in a region, one at
-    least isn't its largest; each of that one's classes meets the whole region.
-    A pair that shares several regions comes from its first tree alone.
+    """What still has to be confirmed in ``regions``: region, i, j, rep,
+    component and others (classes of other components that are alike), and each
+    of these others as a row of its own (others is null).
+
+    classes: rep, n_shingles, signature, component.  Of two components in a
+    region, one at least isn't its largest; each of that one's classes meets the
+    whole region, in blocks (i, j).  A pair that shares several regions comes
+    from its first tree alone.  A row names all its partners, so the number of
+    rows grows with the classes and blocks, not with the pairs.
     """
     id_type = dict(classes.dtypes)["rep"]
+    shown = f"region binary, i int, j int, rep {id_type}, component {id_type}, others array<{id_type}>"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,33 +229,73 @@ def crowded(classes: DataFrame, regions: DataFrame, depth: int, least: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([bytes([t]) + k.tobytes() for k in prefix], pa.binary()), batch.column(0)], ["region", "rep"])
 
     def compare(key: tuple, some: pa.Table, every: pa.Table) -> pa.Table:
-        tree, left, right = key[0].as_py()[0], [], []
+        tree, rows, wanted = key[0].as_py()[0], [], set()
         if some.num_rows and every.num_rows:
             x, y = (_fixed(c, 4 * VALUES, "<u4") for c in (some["own_signature"], every["signature"]))
-            ids, others = some["own_component"].to_pylist(), np.array(every["component"].to_pylist(), object)
+            ids, others, reps = some["own_component"].to_pylist(), np.array(every["component"].to_pylist(), object), every["rep"].to_pylist()
             low, before = (y & 0xFFFF).astype(np.uint16), _TREE_ORDER[:tree, :depth]
             for i, row in enumerate(x):
-                at = np.flatnonzero((y == row).sum(axis=1) >= least)
-                at = at[others[at] != ids[i]]
+                alike = (y == row).sum(axis=1)
+                at = np.flatnonzero((alike >= least) & (others != ids[i]))
                 if len(at):
                     same = low[at] == (row & 0xFFFF).astype(np.uint16)
                     at = at[~same[:, before].all(axis=2).any(axis=1)]
-                    left += [i] * len(at)
-                    right += at.tolist()
-        return pa.table([some["own_rep"].take(pa.array(left, pa.int64())), every["rep"].take(pa.array(right, pa.int64()))], ["x", "y"])
+                    at = at[np.argsort(-alike[at], kind="stable")]
+                if len(at):
+                    rows.append((i, at.tolist()))
+                    wanted.update(at.tolist())
+        again = sorted(wanted)
+        k, n = pa.array([i for i, _ in rows], pa.int64()), len(rows) + len(again)
+        joined = lambda own, other: pa.concat_arrays([own.combine_chunks().take(k), other.combine_chunks().take(pa.array(again, pa.int64()))])
+        kind = every["rep"].type
+        partners = pa.array([[reps[x] for x in at] for _, at in rows] + [None] * len(again), pa.list_(kind)) if n else pa.array([], pa.list_(kind))
+        columns = [pa.array([key[0].as_py()] * n, pa.binary()), *(pa.array([key[c].as_py()] * n, pa.int32()) for c in (1, 2))]
+        return pa.table([*columns, joined(some["own_rep"], every["rep"]), joined(some["own_component"], every["component"]), partners], ["region", "i", "j", "rep", "component", "others"])
 
     own = classes.select("rep", "signature").mapInArrow(spread, f"region binary, rep {id_type}").join(regions, "region")
     members = written(own.join(classes, "rep"), "crowds")
-    counts = members.groupBy("region", "component").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("region").agg(F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("main")).where("size > top")
-    blocks, others = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("int")
+    units = F.sum(1 + F.col("n_shingles") / 2048)  # long texts fill a block sooner
+    counts = members.groupBy("region", "component").agg(units.alias("n"))
+    sizes = counts.groupBy("region").agg(F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    blocks, others = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.greatest((F.col("size") - F.col("top")) / BLOCK, F.lit(1))).cast("int")
     one = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     sized = members.join(sizes, "region")
     some = sized.where(F.col("component") != F.col("main")).select(F.col("region").alias("own_region"), *(F.col(c).alias(f"own_{c}") for c in ("rep", "component", "signature")), one(others).alias("own_i"), each(blocks).alias("own_j"))
     every = sized.select("region", "rep", "component", "signature", one(blocks).alias("j"), each(others).alias("i"))
     keys = ["region", "i", "j"]
-    found = some.groupBy(*(f"own_{k}" for k in keys)).cogroup(every.groupBy(*keys)).applyInArrow(compare, f"x {id_type}, y {id_type}")
+    return some.groupBy(*(f"own_{k}" for k in keys)).cogroup(every.groupBy(*keys)).applyInArrow(compare, shown)
+
+
+def joining(shown: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) that :func:`crowded` asks for, confirmed on full sets block by
+    block; within a block, pairs that earlier links already join are skipped."""
+    id_type, keys = dict(shown.dtypes)["rep"], ["region", "i", "j"]
+    rows = shown.join(full, "rep")
+
+    def confirm(some: pa.Table, every: pa.Table) -> pa.Table:
+        above: dict = {}
+        found: list[tuple] = []
+
+        def top(c: object) -> object:
+            while c in above:
+                c = above[c]
+            return c
+
+        place = {r: k for k, r in enumerate(every["rep"].to_pylist())}
+        blobs, part = every["blob"].combine_chunks() if every.num_rows else [], every["component"].to_pylist()
+        for rep, c, wanted, blob in zip(*(some[f"own_{x}"].to_pylist() for x in ("rep", "component", "others", "blob")), strict=True):
+            x = np.frombuffer(blob, U64)
+            for k in (place[r] for r in wanted):
+                a, b = top(c), top(part[k])
+                if a != b and _alike(x, np.frombuffer(blobs[k].as_py(), U64), similarity):
+                    above[a] = b
+                    found.append((rep, every["rep"][k].as_py()))
+        return pa.table([pa.array([p[i] for p in found], every["rep"].type) for i in (0, 1)], ["x", "y"])
+
+    some = rows.where("others IS NOT NULL").select(*(F.col(c).alias(f"own_{c}") for c in rows.columns))
+    every = rows.where("others IS NULL").drop("others")
+    found = some.groupBy(*(f"own_{k}" for k in keys)).cogroup(every.groupBy(*keys)).applyInArrow(confirm, f"x {id_type}, y {id_type}")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -288,17 +338,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, most_mb: int = 64)
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(shingled, f"rep {dict(docs.dtypes)['doc_id']}, blob binary")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    """Whether two ascending sets are alike enough."""
+    if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return 100 * common >= similarity * (len(x) + len(y) - common)
+
+
 def _linked(similarity: int) -> Column:
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = np.zeros(len(left), bool)
-        for i, (x, y) in enumerate(zip(left.to_pylist(), right.to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            if 100 * min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                out[i] = 100 * common >= similarity * (len(x) + len(y) - common)
-        return pa.array(out)
+        pairs = zip(left.to_pylist(), right.to_pylist(), strict=True)
+        return pa.array([_alike(np.frombuffer(x, U64), np.frombuffer(y, U64), similarity) for x, y in pairs], pa.bool_())
 
     return linked(F.col("left"), F.col("right"))
 
@@ -314,16 +367,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth
     """One row per document: doc_id, n_shingles, component_id, kept."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(docs, words), "signatures")
-    classes = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    classes = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
     shown = written(candidates(classes, depth, window, least, partitions), "neighbours")
     pairs = written(shown.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("alike").alias("alike")), "candidates")
     repeated = _repeats(signed)
 
     def sets_of(some: DataFrame) -> DataFrame:
-        full = full_sets(docs, some.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
+        full = full_sets(docs, some.toDF("doc_id"), words)
         return written(full.dropDuplicates(["rep"]) if repeated else full, "sets")
 
-    full = sets_of(pairs)
+    full = sets_of(pairs.select(F.explode(F.array("a", "b"))))
 
     ends = pairs.select("a", "b", "alike").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
     best = ends.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
@@ -337,10 +390,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth
         label = components(links)
     regions = written(shown.where("region IS NOT NULL").select("region").distinct(), "regions")
     if not regions.isEmpty():
-        labelled = classes.select("rep", "signature").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "signature", F.coalesce("component", "rep").alias("component"))
-        more = written(crowded(labelled, regions, depth, least), "crowded-pairs")
-        if not more.isEmpty():
-            more = written(confirmed(more, sets_of(more), similarity), "links")
+        labelled = classes.select("rep", "n_shingles", "signature").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n_shingles", "signature", F.coalesce("component", "rep").alias("component"))
+        asked = written(crowded(labelled, regions, depth, least), "asked")
+        if not asked.isEmpty():
+            more = written(joining(asked, sets_of(asked.select("rep")), similarity), "links")
             if not more.isEmpty():
                 label = components(links.unionByName(more))
     named = classes.select("k1", "k2", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
@@ -356,5 +409,6 @@ def _repeats(signed: DataFrame) -> bool:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents without those that a smaller doc_id represents; columns as given."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("skerry_doc_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("skerry_doc_id"), "left_anti")
+    own = fresh(docs, "gone")
+    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")

@@ -29,7 +29,7 @@ def edge(spark, edge_rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(edge_rows, SCHEMA)
-    clash = ("score", "kept", "part", "rep", "component", "component_id", "length", "key", "n", "segment", "digest", "held_out", "label", "drop", "b", "a")
+    clash = ("score", "kept", "part", "rep", "component", "component_id", "length", "key", "n", "segment", "digest", "held_out", "label", "drop", "b", "a", "own", "gone", "lost", "lines", "skerry_doc_id", "skerry_lines", "others", "blob")
     return df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(clash)))
 
 
