@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,39 +19,10 @@ def split_lines(text: str) -> list[str]:
     return [x + "\n" for x in lines[:-1]] + lines[-1:]
 
 
-def matching_blocks(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
-    """Longest common runs (place in a, place in b, length), then those of what
-    lies before and after; of equal ones the first."""
-    places: dict[str, list[int]] = {}
-    for j, x in enumerate(b):
-        places.setdefault(x, []).append(j)
-    out, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        alo, ahi, blo, bhi = todo.pop()
-        best, before = (alo, blo, 0), {}
-        for i in range(alo, ahi):
-            now = {}
-            for j in places.get(a[i], ()):
-                if blo <= j < bhi:
-                    k = now[j] = before.get(j - 1, 0) + 1
-                    if k > best[2]:
-                        best = (i - k + 1, j - k + 1, k)
-            before = now
-        i, j, k = best
-        if k:
-            out.append(best)
-            todo += [(alo, i, blo, j), (i + k, ahi, j + k, bhi)]
-    return sorted(out)
-
-
 def _changes(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
-    """Parts of ``a`` that ``b`` replaces: (from, to, from in b, to in b)."""
-    out, i, j = [], 0, 0
-    for x, y, n in [*matching_blocks(a, b), (len(a), len(b), 0)]:
-        if i < x or j < y:
-            out.append((i, x, j, y))
-        i, j = x + n, y + n
-    return out
+    """Parts of ``a`` that ``b`` replaces: (from, to, from in b, to in b); what
+    stays are the longest common runs of lines."""
+    return [where for kind, *where in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if kind != "equal"]
 
 
 def merge3(base: str, ours: str, theirs: str) -> tuple[str, int]:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as scripting languages trim it, for regular expressions.
+#: White space as scripting languages trim it: the characters, and a class for regular expressions.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 # Extensions.
-TEXT_EXTENSIONS = ("md", "txt", "json", "xml", "html", "htm", "css", "js", "ts", "py", "java", "c", "cpp", "h", "go", "rs", "sh", "yml", "yaml", "toml", "ini", "csv", "log", "note")
+TEXT_EXTENSIONS = ("md", "txt", "note", "clip", "json", "xml", "html", "htm", "css", "js", "ts", "py", "sh", "yaml", "yml", "toml", "ini", "cfg", "csv", "log", "rst", "tex", "bib", "org")
+COMPARABLE_EXTENSIONS = ("md", "txt", "html", "htm", "xml", "json", "css", "js", "csv")
 MARKDOWN_EXTENSIONS = ("md", "txt")
 ASSET_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg", "pdf", "mp3", "m4a", "wav", "mp4", "zip")
 # Media types by extension.
@@ -21,7 +23,7 @@ def col(x: Column | str) -> Column:
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(x, F.lit(BLANKS))
 
 
 def basename(path: Column | str) -> Column:
@@ -90,6 +92,11 @@ def is_text(path: Column | str) -> Column:
     return extension(path).isin(*TEXT_EXTENSIONS)
 
 
+def is_comparable(path: Column | str) -> Column:
+    """Files whose remote content is fetched to settle a conflict."""
+    return extension(path).isin(*COMPARABLE_EXTENSIONS)
+
+
 def is_asset(path: Column | str) -> Column:
     return extension(path).isin(*ASSET_EXTENSIONS)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -10,54 +11,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions.names import SPACE, col, extension
-
-# Line patterns of the Markdown normalisation, in order.
-TRAILING = f"{SPACE}+$"
-EMPTY_QUOTE = rf"^{SPACE}*>({SPACE}|>)*$"
-FENCE = rf"^{SPACE}*```\w*{SPACE}*$"
-RULE = rf"^{SPACE}*(\*{SPACE}*\*{SPACE}*\*({SPACE}|\*)*|-{SPACE}*-{SPACE}*-({SPACE}|-)*)$"
-TABLE_RULE = rf"^\|({SPACE}|[:|-])+\|$"
-QUOTES = rf"(?:>{SPACE}*)*"
-STAR_ITEM = rf"^({SPACE}*{QUOTES})\*({SPACE}+)"
-NUMBERED_ITEM = rf"^({SPACE}*{QUOTES}\d+\.){SPACE}{{2,}}"
-DASH_ITEM = rf"^({SPACE}*{QUOTES}-){SPACE}{{2,}}"
-ESCAPED = r"\\([\[_$~&*#{}|.!\]()])"
-ANGLE_LINK = r"<(https?://[^>]+)>"
-
-
-def _line(s: Column) -> Column:
-    """One line without differences that editors make by themselves."""
-    s = F.when(s.rlike(RULE), "---").otherwise(s)
-    cells = F.transform(F.split(s, r"\|"), lambda c: F.when(F.trim(c).rlike("^[-: ]+$"), "---").otherwise(F.trim(c)))
-    s = F.when(s.rlike(TABLE_RULE), F.array_join(cells, "|")).otherwise(s)
-    s = F.regexp_replace(s, STAR_ITEM, "$1-$2")
-    s = F.regexp_replace(s, NUMBERED_ITEM, "$1 ")
-    s = F.regexp_replace(s, DASH_ITEM, "$1 ")
-    s = F.regexp_replace(s, f"^{SPACE}+", "")
-    s = F.when(s.startswith("|"), F.regexp_replace(s, rf"{SPACE}*\|{SPACE}*", "|")).otherwise(s)
-    s = F.regexp_replace(s, " {2,}", " ")
-    s = F.regexp_replace(s, ESCAPED, "$1")
-    s = F.regexp_replace(s, ANGLE_LINK, "$1")
-    return F.replace(s, F.lit("`"), F.lit(""))
+from skerry.functions.names import BLANKS, MARKDOWN_EXTENSIONS, SPACE, col, extension, is_text, trim
+
+# Fixed value: characters that a backslash may stand before without meaning.
+ESCAPABLE = "[]_$~&*#{}|.!()"
+LEAD = f"(?:{SPACE}|>)*"  # indentation and quote marks before a list item
+
+
+def is_table_rule(line: Column) -> Column:
+    """A row of pipes, dashes and colons that begins and ends with a pipe."""
+    rest = F.translate(line, BLANKS + "|:-", "")
+    return line.startswith("|") & line.endswith("|") & (F.length(line) > 2) & (rest == "")
+
+
+def _cells(line: Column, change: Callable[[Column], Column]) -> Column:
+    return F.array_join(F.transform(F.split(line, r"\|"), change), "|")
+
+
+def _rule_cell(cell: Column) -> Column:
+    inner = trim(cell)
+    return F.when((inner != "") & (F.translate(inner, "-: ", "") == ""), "---").otherwise(inner)
 
 
 def normalize_markdown(text: Column | str) -> Column:
-    """Drops empty lines and empty quotes, and levels what editors write
-    differently; a built-in pipeline over the array of lines."""
-    lines = F.transform(F.split(col(text), "\n"), lambda s: F.regexp_replace(s, TRAILING, ""))
-    kept = F.filter(lines, lambda s: (s != "") & ~s.rlike(EMPTY_QUOTE))
-    return F.array_join(F.transform(kept, lambda s: F.when(s.rlike(FENCE), "---fence---").otherwise(_line(s))), "\n")
+    """Levels what editors write differently without a change of meaning.
+
+    Lines without content go, quoted ones too.  Code fences, rulers and the rule
+    rows of tables get one spelling each; list items get a dash and one space
+    after their mark; indentation, padding of table cells, runs of spaces,
+    needless backslashes, angle brackets around links and backticks go.
+
+    Each step is one pass over the array of lines, so a line's value is computed
+    once a step; nothing leaves the built-in expressions.
+    """
+    parts = F.transform(F.split(col(text), "\n"), lambda s: F.struct(F.rtrim(s, F.lit(BLANKS)).alias("line"), F.translate(s, BLANKS, "").alias("bare")))
+    parts = F.filter(parts, lambda p: F.translate(p["bare"], ">", "") != "")
+
+    def spelled(p: Column) -> Column:
+        line, bare = p["line"], p["bare"]
+        ruler = (F.length(bare) > 2) & ((F.translate(bare, "*", "") == "") | (F.translate(bare, "-", "") == ""))
+        fence = bare.startswith("```") & trim(line).rlike(r"^.{3}\w*$")
+        return F.when(fence, "---fence---").when(ruler, "---").when(is_table_rule(line), _cells(line, _rule_cell)).otherwise(line)
+
+    lines = F.transform(parts, spelled)
+    lines = F.transform(lines, lambda s: F.regexp_replace(s, rf"^({LEAD})\*(?={SPACE})", "$1-"))
+    lines = F.transform(lines, lambda s: F.ltrim(F.regexp_replace(s, rf"^({LEAD}(?:-|\d+\.)){SPACE}{{2,}}", "$1 "), F.lit(BLANKS)))
+    lines = F.transform(lines, lambda s: F.when(s.startswith("|"), _cells(s, trim)).otherwise(s))
+    lines = F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(s, " {2,}", " "), rf"\\([{re.escape(ESCAPABLE)}])", "$1"))
+    return F.array_join(F.transform(lines, lambda s: F.translate(F.regexp_replace(s, "<(https?://[^>]+)>", "$1"), "`", "")), "\n")
 
 
 def normalize_text(text: Column | str, path: Column | str) -> Column:
-    """Without byte-order mark and carriage returns; Markdown is levelled too."""
+    """Text files without byte-order mark and carriage returns before line feeds,
+    Markdown levelled too; the content of other files as it is."""
     plain = F.replace(F.regexp_replace(col(text), "^\\x{FEFF}", ""), F.lit("\r\n"), F.lit("\n"))
-    return F.when(extension(path).isin("md", "txt"), normalize_markdown(plain)).otherwise(plain)
+    return F.when(extension(path).isin(*MARKDOWN_EXTENSIONS), normalize_markdown(plain)).when(is_text(path), plain).otherwise(col(text))
 
 
 def content_hash(text: Column | str, path: Column | str, hash_fn: Callable[[Column], Column] = F.md5) -> Column:
-    """Hash of the normalised text; the hash function is a parameter."""
+    """Hash of the normalised text; the hash function is a parameter (:func:`xxh`
+    gives the 128-bit one)."""
     return hash_fn(normalize_text(text, path))
 
 
@@ -123,7 +136,7 @@ def handwriting(docs: DataFrame, least_protected: int = 10, least_body: int = 8)
 def has_table(text: Column | str) -> Column:
     """Whether a line with a pipe is followed by a table's rule."""
     lines = F.split(col(text), "\n")
-    pairs = F.zip_with(lines, F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(1))), lambda a, b: a.contains("|") & b.rlike(TABLE_RULE))
+    pairs = F.zip_with(lines, F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(1))), lambda a, b: a.contains("|") & is_table_rule(b))
     return F.exists(pairs, lambda x: F.coalesce(x, F.lit(False)))
 
 

@@ -121,7 +121,7 @@ def excluded_gone(spark, sf):
 
 @query
 def conflict_candidates(spark, sf):
-    return _classified(spark, sf).where(F.col("state").isin(*reconcile.REFINABLE) & names.is_text("path") & F.col("cloud_exists")).select("path", "state")
+    return _classified(spark, sf).where(F.col("state").isin(*reconcile.REFINABLE) & names.is_comparable("path") & F.col("cloud_exists")).select("path", "state")
 
 
 # --- baseline -----------------------------------------------------------------
