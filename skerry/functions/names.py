@@ -154,3 +154,128 @@ def seconds(ts: Column | str) -> Column:
 
 def short_location(url: Column | str, line: Column | str) -> Column:
     return F.concat(F.substring_index(col(url), "/", -2), F.lit(":"), col(line))
+
+
+# --- names of notes, clips, diaries ---------------------------------------------
+
+# Domains of notes and of Markdown files.
+NOTE_DOMAIN, MARKDOWN_DOMAIN = 0, 1
+
+
+def domain_of_name(name: Column | str) -> Column:
+    """Notes, clips and names without an extension are notes."""
+    note = F.lower(col(name)).rlike(r"\.(note|clip)$") | (extension(name) == "")
+    return F.when(note, NOTE_DOMAIN).otherwise(MARKDOWN_DOMAIN)
+
+
+def cached_name(path: Column | str, domain: Column | str) -> Column:
+    """The remote name of a stored path: notes were stored as Markdown."""
+    own = basename(normalize_separators(path))
+    return F.when(col(domain) == NOTE_DOMAIN, F.coalesce(official_name(own), own)).otherwise(own)
+
+
+def without_stem_blanks(path: Column | str) -> Column:
+    """No white space between the stem of the name and its extension."""
+    name = basename(path)
+    dotted = name.contains(".")
+    ext = F.when(dotted, F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise("")
+    front = F.when(dotted, F.substring(name, F.lit(1), F.length(name) - F.length(ext))).otherwise(name)
+    return F.concat(F.substring(col(path), F.lit(1), F.length(col(path)) - F.length(name)), F.rtrim(front, F.lit(BLANKS)), ext)
+
+
+def mapped_path(folder: Column | str, name: Column | str) -> Column:
+    """Path of a file of a folder under its mapped name."""
+    return join_path(folder, map_remote_name(name))
+
+
+def media_dir(path: Column | str) -> Column:
+    """Folder of a voice note's clips."""
+    return F.concat(F.regexp_replace(col(path), r"(?i)\.audio$", ""), F.lit(".media"))
+
+
+def clip_extension(data: Column | str) -> Column:
+    """By the first bytes of a clip (binary)."""
+    start = F.hex(F.substring(col(data), 1, 4))
+    return F.when(start.rlike("^4F6767.."), ".ogg").when(start.startswith("494433"), ".mp3").when(start.rlike("^FFF"), ".aac").otherwise(".bin")
+
+
+def clip_name(index: Column | str, record: Column | str, ext: Column | str) -> Column:
+    number = col(index).cast("string")
+    padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+    return F.concat(padded, F.lit("-"), col(record), col(ext))
+
+
+def is_clip_of(name: Column | str, record: Column | str) -> Column:
+    return F.regexp_extract(col(name), r"^\d{3}-(.+)\.[^.]+$", 1) == col(record)
+
+
+def is_diary_name(name: Column | str) -> Column:
+    return col(name).rlike(r"^\d{4}年\d{1,2}月\d{1,2}日(\.(md|note))?$")
+
+
+def stem_date(stem: Column | str) -> Column:
+    """ISO date of a diary's stem; null for other stems."""
+    part = lambda k: F.regexp_extract(col(stem), r"^(\d{4})年(\d{1,2})月(\d{1,2})日$", k)
+    return F.when(is_diary_name(stem) & (part(1) != ""), F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
+
+
+def dated(prefix: Column | str, day: Column) -> Column:
+    return F.concat_ws("-", col(prefix), F.date_format(day, "yyyy-MM-dd"))
+
+
+def trash_path(path: Column | str, day: Column) -> Column:
+    return F.concat_ws("/", F.lit(".trash"), F.date_format(day, "yyyy-MM-dd"), col(path))
+
+
+def is_watched(path: Column | str) -> Column:
+    """Changes of these files start a sync."""
+    p = col(path)
+    return p.rlike(r"\.(md|note)$") & ~p.rlike(r"\.git[/\\]") & ~is_conflict(path)
+
+
+def is_denied(command: Column | str, pattern: str) -> Column:
+    return F.coalesce((col(command) != "") & col(command).rlike(pattern), F.lit(False))
+
+
+# --- values as text ----------------------------------------------------------------
+
+
+def milliseconds(ms: Column | str) -> Column:
+    x = col(ms)
+    return F.when(x < 1, F.format_string("%.0fµs", x * 1000.0)).when(x < 1000, F.format_string("%.1fms", x * 1.0)).otherwise(F.format_string("%.2fs", x / 1000.0))
+
+
+def microseconds(us: Column | str) -> Column:
+    x = col(us)
+    return F.when(x < 1000, F.concat(x.cast("string"), F.lit("µs"))).when(x < 1_000_000, F.format_string("%.1fms", x / 1000.0)).otherwise(F.format_string("%.2fs", x / 1_000_000.0))
+
+
+def percent(part: Column | str, total: Column | str) -> Column:
+    return F.when(col(total) > 0, F.format_string("%.1f%%", col(part) / col(total) * 100.0)).otherwise("-")
+
+
+def number(value: Column | str, fallback: float | int = 0) -> Column:
+    """A number from whatever text; ``fallback`` if it is none."""
+    return F.coalesce(col(value).try_cast("double"), F.lit(float(fallback)))
+
+
+def listed_time(mtime: Column | str) -> Column:
+    """Minute of a listing's time; the value in seconds is taken as milliseconds, as listings do."""
+    return F.when(col(mtime) > 0, F.date_format(F.timestamp_millis(col(mtime).cast("long")), "yyyy-MM-dd HH:mm")).otherwise("-")
+
+
+def template(text: Column | str, values: dict[str, Column]) -> Column:
+    """``{key}`` replaced by each key's value."""
+    out = col(text)
+    for key, value in values.items():
+        out = F.replace(out, F.lit("{" + key + "}"), value)
+    return out
+
+
+def commit_message(now: Column, counts: dict[str, Column], message: Column | None = None) -> Column:
+    """The given message, or one from the counts that aren't zero."""
+    stamp = F.date_format(now, "yyyy-MM-dd HH:mm:ss")
+    marks = {"downloaded": "↓", "uploaded": "↑", "conflicts": "⚡", "dedup_deleted": "🗑"}  # fixed values
+    parts = F.concat_ws(" ", *(F.when(counts[k] != 0, F.concat(F.lit(m), counts[k].cast("string"))) for k, m in marks.items() if k in counts))
+    own = F.concat(F.lit("sync: "), F.when(parts != "", parts).otherwise("auto-commit"), F.lit(" ("), stamp, F.lit(")"))
+    return own if message is None else F.coalesce(F.nullif(message, F.lit("")), own)

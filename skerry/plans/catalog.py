@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from skerry.plans import stored  # noqa: F401, registers its queries
 from skerry.plans.oracle import ORACLE
 from skerry.plans.queries import QUERIES, Query
+from skerry.plans.stored_oracle import STORED
 
 
 def queries() -> dict[str, Query]:
@@ -11,4 +13,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | STORED

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from skerry.functions.names import is_watched
 from skerry.operators.state import last_writer_wins
 
 
@@ -50,6 +51,16 @@ def is_usable(live: int, prior: int) -> bool:
     return live > 0 and (prior == 0 or 2 * live >= prior)
 
 
+def usable(live: Column | str, prior: Column | str) -> Column:
+    """:func:`is_usable` over columns."""
+    return (F.col(live) > 0) & ((F.col(prior) == 0) | (2 * F.col(live) >= F.col(prior)))
+
+
+def watched(changes: DataFrame, path: str = "path") -> DataFrame:
+    """The changes, of a batch or a stream, that start a sync."""
+    return changes.where(is_watched(path))
+
+
 def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     """key, session start and end, and number of events, by silences of ``gap``."""
     return events.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
