@@ -59,7 +59,7 @@ CASE WHEN k % 3 = 0 THEN 'a/b/' ELSE '' END || name AS separators, 'y/' || name
 SELECT doc_id, doc_id % 7 <> 0 AS diary, CASE WHEN doc_id % 7 <> 0 THEN printf('%d-%02d-%02d', 2000 + doc_id % 30, doc_id % 12 + 1, doc_id % 28 + 1) END AS day,
 '.trash/' || strftime(t, '%Y-%m-%d') || '/' || path AS trash, 'mark-' || strftime(t, '%Y-%m-%d') AS marker FROM n""",
     "value_formats": """WITH v AS (SELECT doc_id, doc_id * 10 AS ms, doc_id * 10000 AS us, doc_id % 5 AS t FROM documents)
-SELECT doc_id, CASE WHEN ms < 1 THEN printf('%.0fµs', ms * 1000) WHEN ms < 1000 THEN printf('%.1fms', round(CAST(ms AS DECIMAL(18, 4)), 1)::DOUBLE) ELSE printf('%.2fs', round(CAST(ms AS DECIMAL(18, 4)) / 1000, 2)::DOUBLE) END AS ms,
+SELECT doc_id, CASE WHEN ms < 1 THEN printf('%.0fµs', ms::DOUBLE * 1000) WHEN ms < 1000 THEN printf('%.1fms', round(CAST(ms AS DECIMAL(18, 4)), 1)::DOUBLE) ELSE printf('%.2fs', round(CAST(ms AS DECIMAL(18, 4)) / 1000, 2)::DOUBLE) END AS ms,
 CASE WHEN us < 1000 THEN us || 'µs' WHEN us < 1000000 THEN printf('%.1fms', round(us::DECIMAL(18, 4) / 1000, 1)::DOUBLE) ELSE printf('%.2fs', round(us::DECIMAL(18, 4) / 1000000, 2)::DOUBLE) END AS us,
 CASE WHEN t > 0 THEN printf('%.1f%%', round(doc_id * 100.0 / t, 1)::DOUBLE) ELSE '-' END AS share, CASE WHEN doc_id % 3 = 0 THEN -1.0 ELSE doc_id::DOUBLE END AS number,
 CASE WHEN doc_id % 2 = 0 THEN (doc_id + 1700000000000) // 1000 ELSE doc_id END AS seconds, CASE WHEN doc_id % 7 = 0 THEN '-' ELSE strftime(make_timestamp(doc_id % 7 * 1000000000), '%Y-%m-%d %H:%M') END AS listed,
