@@ -36,6 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables of :func:`written` that no later step reads, and lets the
+    driver's collector find plans without use, whose shuffle files Spark then deletes."""
+    for table in tables:
+        if table is None:
+            continue
+        spark = table.sparkSession
+        for file in table.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark._jvm.System.gc()
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
     """Adds each row's number within its key, from 1 in ``order``.
 
