@@ -24,7 +24,11 @@ restaurant, whose base is uniform over the vocabulary and one unknown word.
    are scored there and summed by document; heavy pairs are scored in a pass
    over the documents.
 
-Words are known by 64-bit hashes: V words have about V*V/2**57 pairs alike.
+Words are known by 64-bit hashes (V words have about V*V/2**57 pairs alike),
+contexts by 40 bits of them (V*V/2**41 pairs of words share a restaurant: one at
+1.5 million words, one word in 200 at ten billion).  Numbers travel in as few
+bytes as their largest needs, and tables between steps are deleted once the next
+one is written.
 
 Defined results: a null or empty text is the end token alone.  Rows with a null
 doc_id are held out.  Repeated rows train once each and score alike.  Without
@@ -44,15 +48,16 @@ from pyspark.sql import functions as F
 
 from skerry.llm import kernels as K
 from skerry.llm.langid import held_out
-from skerry.llm.shared import input_bytes, written
+from skerry.llm.shared import dropped, input_bytes, written
 
 U64 = np.uint64
 HOT = 8192
-CLASSES = 256
+CLASSES = 255
 #: Class restaurants: the text's start and the classes.  Words have their own below.
 CONTEXTS = 1 + CLASSES
 END = U64(0x1F0E5A77C0DE0E4D)
-START = U64(0x51A7B3C94D2E6F08)
+START = U64(0x51A7B3C94D)
+CONTEXT_BITS = 40
 NOBODY = 0  # stands for the documents of heavy pairs
 FLUSH = 1 << 20
 _LOWER = K.lowered()
@@ -62,7 +67,7 @@ class Tokens(NamedTuple):
     doc: np.ndarray
     word: np.ndarray
     kind: np.ndarray  # class of the word before: 0 at a text's start, else from 1
-    before: np.ndarray  # hash of the word before
+    before: np.ndarray  # 40-bit hash of the word before
 
 
 def tokens(s: K.Slice) -> Tokens:
@@ -80,7 +85,7 @@ def tokens(s: K.Slice) -> Tokens:
     second = np.where(w.end - w.start > 1, data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
     suffix[body] = (last * 31 + second) % CLASSES
     first = ends - count
-    before, kind = np.roll(word, 1), 1 + np.roll(suffix, 1)
+    before, kind = np.roll(word >> U64(64 - CONTEXT_BITS), 1), 1 + np.roll(suffix, 1)
     before[first], kind[first] = START, 0
     return Tokens(np.repeat(np.arange(docs), count + 1), word, kind, before)
 
@@ -99,7 +104,38 @@ def _find(sorted_hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _bucket_bits(docs: DataFrame) -> int:
-    return min(20, max(4, int(input_bytes(docs) >> 23).bit_length()))
+    return min(20, max(4, int(input_bytes(docs) >> 21).bit_length()))
+
+
+def _part_bits(bits: int) -> int:
+    """Contexts are dealt to fewer parts than pairs, so that a row holds more of them."""
+    return max(3, bits - 3)
+
+
+def _narrow(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs, low bytes first."""
+    a = np.ascontiguousarray(a, "<u8")
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([width]) + a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _runs(a: np.ndarray) -> tuple[bytes, bytes]:
+    """(different values, how often each) of grouped 64-bit values."""
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    at = np.flatnonzero(new)
+    return _blob(a[at], "<u8"), _narrow(np.diff(np.append(at, len(a))))
+
+
+def _unrun(values: bytes, times: bytes) -> np.ndarray:
+    return np.repeat(np.frombuffer(values, "<u8"), _wide(times))
 
 
 def _blob(a: np.ndarray, kind: str) -> bytes:
@@ -187,8 +223,9 @@ def heavy_pairs(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["pair"] for r in rows], np.int64).view(U64))
 
 
-PAIRS = "bucket int, word binary, context binary, kind binary, n binary, step binary, doc binary, times binary, docs binary"
-_PAIRS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("word", "context", "kind", "n", "step", "doc", "times", "docs"))])
+_PAIR_COLUMNS = ("word", "runs", "context", "kind", "n", "steps", "doc", "times", "docs")
+PAIRS = "bucket int, " + ", ".join(f"{c} binary" for c in _PAIR_COLUMNS)
+_PAIRS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in _PAIR_COLUMNS)])
 CELLS = "bucket int, word binary, context binary, n binary"
 _CELLS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("word", "context", "n"))])
 
@@ -213,11 +250,12 @@ def _key(doc_id: object, text: bytes) -> int:
 def pair_rows(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, bits: int) -> DataFrame:
     """One row per bucket of words that aren't hot, and of pairs of hot words.
 
-    word, context, kind, n: pairs in order, with the class of the word before and
-    their training counts; step, doc, times: occurrences (0 or 1 pairs further,
-    place in docs, how often).  Heavy pairs are those of ``NOBODY``.
+    word and runs, context, kind, n: pairs in order, with the class of the word
+    before and their training counts; steps: occurrences of each pair; doc, times:
+    those occurrences (place in docs, how often).  Heavy pairs are those of ``NOBODY``.
     """
-    schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("word", "context", "kind", "doc", "times", "docs", "train"))])
+    names_ = ("word", "runs", "context", "kind", "doc", "times", "docs", "train")
+    schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in names_)])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -226,6 +264,7 @@ def pair_rows(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, bits: int) ->
 
         def flush() -> pa.RecordBatch:
             bucket, word, context, kind, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((doc, context, word, bucket))
             bucket, word, context, kind, doc = bucket[order], word[order], context[order], kind[order], doc[order]
             new = np.ones(len(word), bool)
@@ -239,8 +278,7 @@ def pair_rows(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, bits: int) ->
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
                     own, place = np.unique(doc[a:b], return_inverse=True)
-                    rows.append((i, _blob(word[a:b], "<u8"), _blob(context[a:b], "<u8"), _blob(kind[a:b], "<u2"), _blob(place, "<u4"), _blob(times[a:b], "<u4"), _blob(name[own], "<i8"), _blob(train[own], "u1")))
-            held.clear()
+                    rows.append((i, *_runs(word[a:b]), _narrow(context[a:b]), kind[a:b].tobytes(), _narrow(place), _narrow(times[a:b]), _blob(name[own], "<i8"), _blob(train[own], "u1")))
             names[:], trains[:] = [NOBODY, NOBODY], [True, False]
             return _batch(rows, schema)
 
@@ -254,7 +292,7 @@ def pair_rows(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, bits: int) ->
                 common = _find(hot, t.word) >= 0
                 bucket = (np.where(common, pair, t.word) >> U64(64 - bits)).astype(np.int32) + common * np.int32(1 << bits)
                 doc = np.where(many, np.where(learn[t.doc], 0, 1), t.doc + len(names)).astype(np.uint32)
-                held.append((bucket, t.word, t.before, t.kind.astype(np.uint16), doc))
+                held.append((bucket, t.word, t.before, t.kind.astype(np.uint8), doc))
                 raw = s.data.tobytes()
                 names += [_key(i, raw[a:b]) for i, a, b in zip(ids[s.lo : s.hi], s.offsets.tolist(), s.offsets[1:].tolist(), strict=False)]
                 trains += learns[s.lo : s.hi]
@@ -266,24 +304,27 @@ def pair_rows(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, bits: int) ->
             yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        part = {c: table[c].to_pylist() for c in ("word", "context", "kind", "doc", "times", "docs", "train")}
+        part = {c: table[c].to_pylist() for c in names_}
         sizes = [len(x) // 8 for x in part["docs"]]
         shift = np.cumsum([0, *sizes[:-1]])
-        word = np.concatenate([np.frombuffer(x, "<u8") for x in part["word"]])
-        context = np.concatenate([np.frombuffer(x, "<u8") for x in part["context"]])
-        kind = np.concatenate([np.frombuffer(x, "<u2") for x in part["kind"]])
-        doc = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + k for x, k in zip(part["doc"], shift, strict=True)])
-        times = np.concatenate([np.frombuffer(x, "<u4") for x in part["times"]])
+        word = np.concatenate([_unrun(x, y) for x, y in zip(part["word"], part["runs"], strict=True)])
+        context = np.concatenate([_wide(x).view(U64) for x in part["context"]])
+        kind = np.frombuffer(b"".join(part["kind"]), np.uint8)
+        doc = np.concatenate([_wide(x) + k for x, k in zip(part["doc"], shift, strict=True)])
+        times = np.concatenate([_wide(x) for x in part["times"]])
         train = np.frombuffer(b"".join(part["train"]), "u1")
+        docs_ = b"".join(part["docs"])
+        part.clear()
         order = np.lexsort((context, word))
         word, context, kind, doc, times = word[order], context[order], kind[order], doc[order], times[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
         at = np.flatnonzero(new)
-        n = np.add.reduceat(times.astype(np.int64) * train[doc], at)
-        return pa.Table.from_batches([_batch([(table["bucket"][0].as_py(), _blob(word[at], "<u8"), _blob(context[at], "<u8"), _blob(kind[at], "<u2"), _blob(n, "<i8"), _blob(new, "u1"), _blob(doc, "<u4"), _blob(times, "<u4"), b"".join(part["docs"]))], _PAIRS)])
+        n = np.add.reduceat(times * train[doc], at)
+        steps = np.diff(np.append(at, len(word)))
+        return pa.Table.from_batches([_batch([(table["bucket"][0].as_py(), *_runs(word[at]), _narrow(context[at]), kind[at].tobytes(), _narrow(n), _narrow(steps), _narrow(doc), _narrow(times), docs_)], _PAIRS)])
 
-    rows = docs.select("doc_id", "text", (~held_out(7, 2)).alias("train")).mapInArrow(spread, "bucket int, word binary, context binary, kind binary, doc binary, times binary, docs binary, train binary")
+    rows = docs.select("doc_id", "text", (~held_out(7, 2)).alias("train")).mapInArrow(spread, "bucket int, " + ", ".join(f"{c} binary" for c in names_))
     return rows.groupBy("bucket").applyInArrow(merge, PAIRS)
 
 
@@ -422,8 +463,8 @@ class Restaurants:
     """One bucket's pairs in the words' own restaurants, and the classes above."""
 
     def __init__(self, r: dict, customers: np.ndarray, tables: np.ndarray, g: Shared):
-        self.word, self.context = np.frombuffer(r["word"], "<u8"), np.frombuffer(r["context"], "<u8")
-        self.kind, self.n = np.frombuffer(r["kind"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<i8")
+        self.word, self.context = _unrun(r["word"], r["runs"]), _wide(r["context"]).view(U64)
+        self.kind, self.n = np.frombuffer(r["kind"], np.uint8).astype(np.int64), _wide(r["n"])
         self.g, self.customers, self.own_tables, seed = g, customers, tables, r["bucket"] + (1 << 20)
         self.rng = np.random.default_rng([seed, 1])
         self.tables, self.log_weight = np.minimum(self.n, 1).astype(np.float64), np.full(len(self.n), -np.inf)
@@ -474,20 +515,18 @@ def _restaurants(left: pa.Table, right: pa.Table, g: Shared) -> tuple[dict, Rest
     if not left.num_rows:
         return None
     r = left.to_pylist()[0]
-    context = np.frombuffer(r["context"], "<u8")
+    context, place = np.unique(_wide(r["context"]).view(U64), return_inverse=True)
     customers, tables = np.zeros(len(context)), np.zeros(len(context))
     if right.num_rows:
-        at, c, t = (np.concatenate([np.frombuffer(x, kind) for x in right[name].to_pylist()]) for name, kind in (("context", "<u8"), ("customers", "<i8"), ("tables", "<i8")))
-        order = np.argsort(at)
-        place = order[_find(at[order], context)]
-        customers, tables = c[place].astype(np.float64), t[place].astype(np.float64)
-    return r, Restaurants(r, customers, tables, g)
+        order = np.argsort(right["part"].to_numpy())  # contexts were asked for in order, part by part
+        customers, tables = (np.concatenate([_wide(x) for x in (column[k] for k in order)]).astype(np.float64) for column in (right["customers"].to_pylist(), right["tables"].to_pylist()))
+    return r, Restaurants(r, customers[place], tables[place], g)
 
 
 SEATED = "what int, part int, bucket int, x binary, y binary, z binary"
 _SEATED = pa.schema([("what", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
-ANSWERS = "bucket int, context binary, customers binary, tables binary"
-_ANSWERS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("context", "customers", "tables"))])
+ANSWERS = "bucket int, part int, customers binary, tables binary"
+_ANSWERS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary())])
 
 
 def _seated(rows: DataFrame, answers: DataFrame, shared: object, sweeps: int) -> DataFrame:
@@ -507,8 +546,9 @@ def _seated(rows: DataFrame, answers: DataFrame, shared: object, sweeps: int) ->
             p.sweep()
         context, which = np.unique(p.context, return_inverse=True)
         customers, tables = (np.bincount(which, weights=x).astype(np.int64) for x in (p.n, p.tables))
-        cuts = np.searchsorted((context >> U64(64 - g.bits)).astype(np.int64), np.arange((1 << g.bits) + 1))
-        out = [(0, i, r["bucket"], _blob(context[a:b], "<u8"), _blob(customers[a:b], "<i8"), _blob(tables[a:b], "<i8")) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        parts = _part_bits(g.bits)
+        cuts = np.searchsorted((context >> U64(CONTEXT_BITS - parts)).astype(np.int64), np.arange((1 << parts) + 1))
+        out = [(0, i, r["bucket"], _narrow(context[a:b]), _narrow(customers[a:b]), _narrow(tables[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         sums = np.zeros(2 * CONTEXTS + 5)
         sums[-5:-3] = (p.n == 1).sum(), (p.n == 2).sum()
         if p.is_hot:
@@ -521,18 +561,18 @@ def _seated(rows: DataFrame, answers: DataFrame, shared: object, sweeps: int) ->
         out.append((2, 0, r["bucket"], _blob(sums, "<f8"), b"", b""))
         return pa.Table.from_batches([_batch(out, _SEATED)])
 
-    return rows.select("bucket", "word", "context", "kind", "n").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(seat, SEATED)
+    return rows.select("bucket", "word", "runs", "context", "kind", "n").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(seat, SEATED)
 
 
 def _answers(seated: DataFrame) -> DataFrame:
     """Totals of the words' own restaurants, for every bucket that asked."""
 
     def total(table: pa.Table) -> pa.Table:
-        bucket, asked = table["bucket"].to_pylist(), [np.frombuffer(x, "<u8") for x in table["x"].to_pylist()]
+        bucket, part, asked = table["bucket"].to_pylist(), table["part"][0].as_py(), [_wide(x) for x in table["x"].to_pylist()]
         context, which = np.unique(np.concatenate(asked), return_inverse=True)
-        customers, tables = (np.bincount(which, weights=np.concatenate([np.frombuffer(x, "<i8") for x in table[c].to_pylist()])).astype("<i8") for c in ("y", "z"))
+        customers, tables = (np.bincount(which, weights=np.concatenate([_wide(x) for x in table[c].to_pylist()])).astype(np.int64) for c in ("y", "z"))
         cuts = np.cumsum([0, *map(len, asked)])
-        return pa.Table.from_batches([_batch([(b, u.tobytes(), customers[which[i:j]].tobytes(), tables[which[i:j]].tobytes()) for b, u, i, j in zip(bucket, asked, cuts, cuts[1:], strict=False)], _ANSWERS)])
+        return pa.Table.from_batches([_batch([(b, part, _narrow(customers[which[i:j]]), _narrow(tables[which[i:j]])) for b, i, j in zip(bucket, cuts, cuts[1:], strict=False)], _ANSWERS)])
 
     return seated.where("what = 0").select("part", "bucket", "x", "y", "z").groupBy("part").applyInArrow(total, ANSWERS)
 
@@ -579,10 +619,11 @@ def _scored(rows: DataFrame, answers: DataFrame, shared: object, heavy: np.ndarr
         r, p = found
         own = np.log10(np.maximum(p.averaged(burn, samples), 1e-300))
         known, base = p.count > 0, np.log10((p.count + 1) / (n + v + 1))
-        pair = np.cumsum(np.frombuffer(r["step"], "u1").astype(np.int64)) - 1
-        times = np.frombuffer(r["times"], "<u4").astype(np.float64)
+        steps = _wide(r["steps"])
+        pair = np.repeat(np.arange(len(steps)), steps)
+        times = _wide(r["times"]).astype(np.float64)
         key, which = np.unique(np.frombuffer(r["docs"], "<i8"), return_inverse=True)
-        doc = which[np.frombuffer(r["doc"], "<u4")]
+        doc = which[_wide(r["doc"])]
         sums = [np.bincount(doc, weights=times * x[pair], minlength=len(key)) for x in (known, base, own)]
         real = key != NOBODY
         name = _pair(p.word, p.context)
@@ -603,7 +644,7 @@ def _scored(rows: DataFrame, answers: DataFrame, shared: object, heavy: np.ndarr
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size > 2 * FLUSH:
+            if size > FLUSH // 2:
                 yield flush()
                 size = 0
         if size:
@@ -658,9 +699,11 @@ def scores(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, st
     rows = written(pair_rows(docs, hot, heavy, bits), "pairs")
     share = spark.sparkContext.broadcast
     g = Shared(Totals(np.zeros(CONTEXTS), np.zeros(CONTEXTS), 0.0, float(v), 0.5, _discount(once, twice), strength, 1 / (v + 1)), 0.5, hot, count, np.zeros((0, CONTEXTS), np.float32), bits)
-    answers = spark.createDataFrame([], ANSWERS)
+    answers, seated, cells = spark.createDataFrame([], ANSWERS), None, None
+    dropped(words)
     for k in range(rounds + 1):  # the first one seats nobody, it only counts
-        seated = written(_seated(rows, answers, share(g), burn if k else 0), "seated")
+        old, seated = seated, written(_seated(rows, answers, share(g), burn if k else 0), "seated")
+        dropped(old, cells)
         answers, sums, cells = _answers(seated), _bucket_sums(seated), written(hot_rows(_cells(seated, len(hot))), "cells")
         customers, tables, above, seen = _sums(cells, g.totals, burn if k else 0)
         tables = tables + sums[CONTEXTS : 2 * CONTEXTS]
@@ -674,6 +717,7 @@ def scores(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, st
 
     tasks = int(min(20_000, max(12, input_bytes(rows) >> 26)))
     scored = written(_scored(rows, answers, share(g), heavy, n, v, burn, samples, tasks), "scored")
+    dropped(rows, seated, cells)
     rare = scored.where("not heavy")
     at_hand = sorted((r["key"] % (1 << 64), r["n_known"], r["base_score"], r["score"]) for r in scored.where("heavy").collect())  # 2 * HOT at most
     shared = share(tuple(np.array([x[i] for x in at_hand], kind) for i, kind in enumerate((U64, np.int64, np.float64, np.float64))))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.sources.staging import shared_dir, written
+from skerry.sources.staging import dropped, shared_dir, written
 
-__all__ = ["fold", "fresh", "input_bytes", "shared_dir", "written"]
+__all__ = ["dropped", "fold", "fresh", "input_bytes", "shared_dir", "written"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
