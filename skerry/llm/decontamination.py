@@ -8,8 +8,10 @@ that suffix, and direct comparison confirms one.  Patterns are grouped by
 length so that one short item doesn't shorten the shifts of all the others.
 
 The benchmark is dealt into blocks of at most ``block_words`` words.  Each
-block is a broadcast of bounded size, and a task loads one at a time, so the
-benchmark may be of any size.  Documents are not shuffled.
+block is a broadcast of bounded size, and the driver and each task hold one at a
+time; a document is searched once for each block.  Documents are not shuffled.
+Occurrences that overlap are united, so their order (ties too) doesn't matter; a
+very long text is one slice.
 
 Defined results: a null or wordless text has no words, no hits and is clean.
 Items with a null id or without words are no items; rows with the same id are
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import kernels as K
+from skerry.llm.shared import written
 
 WINDOW = 13
 
@@ -128,13 +131,16 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
     chunks = benchmark.select(F.col("item_id").cast("string"), F.col("text")).mapInArrow(cut, "item string, k long, n long, words string")
     total = chunks.agg(F.sum("n")).first()[0] or 0
     parts = -(-2 * total // block_words) if total > block_words else 1
-    out = []
-    for part in range(parts):
-        own = chunks.where(F.pmod(F.xxhash64("item", "k"), F.lit(parts)) == part) if parts > 1 else chunks
-        rows = [(r["item"], r["words"].encode().split()) for r in own.select("item", "words").toLocalIterator()]
-        if rows:
-            rows.sort(key=lambda r: r[0])
+    dealt = chunks.withColumn("part", F.pmod(F.xxhash64("item", "k"), F.lit(parts)))
+    rows, out, now = [], [], None
+    for r in written(dealt, "benchmark").orderBy("part", "item", "k").toLocalIterator():  # one part in memory
+        if r["part"] != now and rows:
             out.append(spark.sparkContext.broadcast(Patterns(rows, window)))
+            rows = []
+        now = r["part"]
+        rows.append((r["item"], r["words"].encode().split()))
+    if rows:
+        out.append(spark.sparkContext.broadcast(Patterns(rows, window)))
     return out
 
 

@@ -201,21 +201,45 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", of(F.col("text")).alias("fingerprint"))
 
 
-def near_pairs(prints: DataFrame, bands: int = 32, least: float = 0.5) -> DataFrame:
-    """(a, b, likeness) of documents near in fingerprint.
-
-    Documents with the same slots in a band are candidates.  Each band's
-    documents are tied to the one with the smallest id, so a large group of
-    copies gives as many pairs as it has members.
+def near_pairs(prints: DataFrame, bands: int = 64, least: float = 0.5, block: int = 2048) -> DataFrame:
+    """(a, b, likeness): pairs of different fingerprints that are near, each named
+    by the smallest doc_id that has it.  :func:`members` ties the copies to it.
+
+    Fingerprints with the same slots in a band are candidates, and every two of a
+    band's are verified, in blocks of ``block`` by ``block``; a pair that shares
+    several bands comes from the first.  With 64 bands of two slots a pair of
+    likeness 0.5 shares none with probability 0.75 ** 64, one in 100 million.
+    Rows go out for near pairs only; fewer bands make fewer candidates.
     """
-    width = 2 * SLOTS // bands
-    keyed = prints.where(F.col("doc_id").isNotNull()).select("doc_id", "fingerprint", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.substring(F.col("fingerprint"), k * width + 1, F.lit(width)).alias("slots")))).alias("key")).select("doc_id", "fingerprint", "key.*").where(F.col("slots") != "0" * width)
-    heads = keyed.groupBy("band", "slots").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(heads, ["band", "slots"]).where(F.col("head.doc_id") != F.col("doc_id")).select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("x"), F.col("fingerprint").alias("y")).dropDuplicates(["a", "b"])
-
-    @F.arrow_udf("double")
-    def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        a, b = (np.frombuffer(bytes.fromhex("".join(c.to_pylist())), np.uint8).reshape(-1, SLOTS) for c in (x, y))
-        return pa.array(likeness(a, b))
-
-    return pairs.withColumn("likeness", near("x", "y")).where(F.col("likeness") >= least).select("a", "b", "likeness")
+    width, id_type = 2 * SLOTS // bands, dict(prints.dtypes)["doc_id"]
+    own = prints.where(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.substring(F.col("fingerprint"), k * width + 1, F.lit(width)).alias("slots")))
+    keyed = own.select("rep", "fingerprint", F.explode(cut).alias("k")).select("rep", "fingerprint", "k.*").where(F.col("slots") != "0" * width)
+    sizes = keyed.groupBy("band", "slots").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    at = keyed.join(sizes, ["band", "slots"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = at.withColumn("other", other).select("band", "slots", "rep", "fingerprint", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def verify(key: tuple, table: pa.Table) -> pa.Table:
+        band, i, j = (key[k].as_py() for k in (0, 2, 3))
+        x = np.frombuffer(bytes.fromhex("".join(table["fingerprint"].to_pylist())), np.uint8).reshape(-1, SLOTS)
+        where, rep, found = np.array(table["own"].to_pylist()), table["rep"].to_pylist(), []
+        groups = np.flatnonzero(where == i), np.flatnonzero(where == j)
+        parts = x.reshape(len(x), bands, -1)
+        for k in groups[0]:
+            to = groups[1][groups[1] > k] if i == j else groups[1]
+            near = likeness(x[k][None], x[to])
+            to, near = to[near >= least], near[near >= least]
+            same = (parts[to, :band] == parts[k, :band]).all(axis=2) & (parts[to, :band] > 0).any(axis=2)
+            first = ~same.any(axis=1)
+            found += [(*sorted((rep[k], rep[t])), float(v)) for t, v in zip(to[first], near[first], strict=True)]
+        kind = table["rep"].type
+        return pa.table([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "likeness"])
+
+    return dealt.groupBy("band", "slots", "i", "j").applyInArrow(verify, f"a {id_type}, b {id_type}, likeness double")
+
+
+def members(prints: DataFrame) -> DataFrame:
+    """doc_id, rep: the smallest doc_id with the same fingerprint."""
+    own = prints.where(F.col("doc_id").isNotNull())
+    return own.join(own.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "fingerprint").select("doc_id", "rep")

@@ -3,8 +3,13 @@
 A text becomes a unit TF-IDF vector of hashed byte 1- to 3-grams of its
 lower-cased letters.  Each language gets several centroids by spherical
 k-means over a sample of its training texts; a text takes the language of the
-nearest centroid by cosine.  A text is rejected if it lies farther from it
-than nearly all training texts of that language and of like length.
+nearest centroid by cosine (of equal ones the first by name).  A text is
+rejected if its cosine is below half of that which 99 of 100 training texts of
+that language and of like length have, or below 0.03 where fewer than 20 of
+them are of like length: a loose bound, which keeps clean documents.
+
+There may be any number of languages: they are sampled and their centroids
+compared in blocks, one in memory at a time.
 
 The classifier is fitted on a bounded sample, about ``sample`` texts of each
 language chosen by a hash of the id (a documented bound; the sample's size is
@@ -31,8 +36,8 @@ from skerry.llm import kernels as K
 from skerry.llm.shared import fold, written
 
 UNKNOWN = "und"
-#: A broadcast holds at most so many centroids.
-MOST_CENTROIDS = 2048
+#: A block holds at most so many languages.
+BLOCK = 512
 BUCKETS = 24
 
 
@@ -97,39 +102,52 @@ class Model:
     def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, least: np.ndarray):
         self.langs, self.centroids, self.idf, self.least = langs, centroids, idf, least
 
-    def predict(self, column: pa.Array, lettered: pa.Array) -> pa.Array:
-        n = len(column)
-        lang, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-        ok = lettered.fill_null(False).to_numpy(zero_copy_only=False)
-        if self.langs:
-            for s in K.slices(column, rows=256):
-                x = _counts(s, len(self.idf))
-                total = x.sum(axis=1)
-                near = _unit(np.log1p(x) * self.idf) @ self.centroids.T
-                best = near.argmax(axis=1)
-                cosine = near[np.arange(len(best)), best]
-                low = cosine < self.least[best, _bucket(total)]
-                for i in np.flatnonzero(ok[s.lo : s.hi]):
-                    lang[s.lo + i] = self.langs[best[i]]
-                score[s.lo : s.hi] = np.clip(cosine, 0, 1)
-                rejected[s.lo : s.hi] = low
-        else:
-            rejected[:] = False
-        score[~ok], rejected[~ok] = 0.0, True
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["lang_pred", "score", "rejected"])
-
-
-def fit(train: DataFrame, dims: int = 8192, clusters: int = 4, sample: int = 1000, rounds: int = 8, seed: int = 7) -> Model:
-    """Fit on the rows of ``train`` (doc_id, text, lang)."""
+    def nearest(self, x: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the nearest centroid, cosine, too far) of n-gram counts."""
+        near = _unit(np.log1p(x) * self.idf) @ self.centroids.T
+        best = near.argmax(axis=1)
+        cosine = near[np.arange(len(best)), best]
+        return best, cosine, cosine < self.least[best, _bucket(total)]
+
+
+def _predicted(models: list, column: pa.Array, lettered: pa.Array) -> pa.Array:
+    """The best of all blocks (broadcasts of models) for each text."""
+    n = len(column)
+    lang, score, rejected = np.full(n, UNKNOWN, object), np.full(n, -1.0), np.full(n, bool(models))
+    ok = lettered.fill_null(False).to_numpy(zero_copy_only=False)
+    for block in models:
+        model = block.value
+        names = np.array(model.langs, object)
+        for s in K.slices(column, rows=256):
+            x = _counts(s, len(model.idf))
+            best, cosine, far = model.nearest(x, x.sum(axis=1))
+            at = np.flatnonzero(cosine > score[s.lo : s.hi])
+            lang[s.lo + at], score[s.lo + at], rejected[s.lo + at] = names[best[at]], cosine[at], far[at]
+        if len(models) > 1:  # one block in memory at a time
+            vars(block).pop("_value", None)
+    lang[~ok], score[~ok], rejected[~ok] = UNKNOWN, 0.0, True
+    return pa.StructArray.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(rejected)], ["lang_pred", "score", "rejected"])
+
+
+def _blocks_of(rows: Iterator, size: int, key: str) -> Iterator[list]:
+    """Rows in blocks of at most ``size`` different values of ``key``, which is grouped."""
+    block, seen = [], set()
+    for r in rows:
+        if len(seen) == size and r[key] not in seen:
+            yield block
+            block, seen = [], set()
+        seen.add(r[key])
+        block.append(r)
+    if block:
+        yield block
+
+
+def fit(train: DataFrame, dims: int = 8192, clusters: int = 4, sample: int = 1000, rounds: int = 8, seed: int = 7, block: int = BLOCK) -> list:
+    """Broadcasts of models, each of a block of languages, from ``train`` (doc_id, text, lang)."""
     spark = train.sparkSession
     rows = train.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in train.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_CENTROIDS).collect()}
-    if not counts:
-        return Model([], np.zeros((0, dims), np.float32), np.ones(dims, np.float32), np.zeros((0, BUCKETS)))
-    clusters = max(1, min(clusters, MOST_CENTROIDS // len(counts)))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))))
+    known = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(place < share[F.col("lang")])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +156,14 @@ def fit(train: DataFrame, dims: int = 8192, clusters: int = 4, sample: int = 100
                 at = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(s.lo, s.hi - s.lo), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([x[i, a].astype("<f4").tobytes() for i, a in enumerate(at)], pa.binary())], ["lang", "at", "count"])
 
-    kept = written(chosen.select("text", "lang").mapInArrow(vectors, "lang string, at binary, count binary"), "langid-sample")
+    kept = None
+    for some in _blocks_of(known.orderBy("lang").toLocalIterator(), block, "lang"):
+        share = F.create_map(*(F.lit(x) for r in some for x in (r["lang"], min(1.0, sample / r["n"]))))
+        chosen = rows.where(place < share[F.col("lang")]).select("text", "lang")  # null for other languages
+        part = written(chosen.mapInArrow(vectors, "lang string, at binary, count binary"), "langid-sample")
+        kept = part if kept is None else kept.unionByName(part)
+    if kept is None:
+        return []
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(dims, np.int64), 0
@@ -164,21 +189,21 @@ def fit(train: DataFrame, dims: int = 8192, clusters: int = 4, sample: int = 100
         least = np.array([0.5 * np.quantile(near[bucket == b], 0.01) if (bucket == b).sum() >= 20 else 0.03 for b in range(BUCKETS)])
         return pd.DataFrame({"lang": key[0], "k": range(len(centre)), "centroid": [c.astype("<f4").tobytes() for c in centre], "least": [least.tobytes()] * len(centre)})
 
-    found = kept.groupBy("lang").applyInPandas(centroids, "lang string, k int, centroid binary, least binary").collect()
-    found.sort(key=lambda r: (r["lang"], r["k"]))
-    if not found:
-        return Model([], np.zeros((0, dims), np.float32), idf, np.zeros((0, BUCKETS)))
-    return Model([r["lang"] for r in found], np.stack([np.frombuffer(r["centroid"], "<f4") for r in found]), idf, np.stack([np.frombuffer(r["least"]) for r in found]))
+    found = written(kept.groupBy("lang").applyInPandas(centroids, "lang string, k int, centroid binary, least binary"), "centroids")
+    models = []
+    for some in _blocks_of(found.orderBy("lang", "k").toLocalIterator(), block, "lang"):
+        model = Model([r["lang"] for r in some], np.stack([np.frombuffer(r["centroid"], "<f4") for r in some]), idf, np.stack([np.frombuffer(r["least"]) for r in some]))
+        models.append(spark.sparkContext.broadcast(model))  # block * clusters * dims * 4 bytes at most
+    return models
 
 
-def language(text: Column, model: Model, spark) -> Column:
+def language(text: Column, models: list) -> Column:
     """Struct column lang_pred, score, rejected."""
-    shared = spark.sparkContext.broadcast(model)  # MOST_CENTROIDS * dims * 4 bytes at most
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predict(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for column, lettered in batches:
-            yield shared.value.predict(column, lettered)
+            yield _predicted(models, column, lettered)
 
     return predict(text, text.rlike(r"\p{L}"))
 
@@ -190,12 +215,10 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 def identify(docs: DataFrame, **options) -> DataFrame:
     """One row per document; learns from the rows whose crc32 mod 4 is not 2."""
-    model = fit(docs.where(~held_out(4, 2)), **options)
-    out = language(F.col("text"), model, docs.sparkSession)
+    out = language(F.col("text"), fit(docs.where(~held_out(4, 2)), **options))
     return docs.select("doc_id", held_out(4, 2).alias("held_out"), out.alias("found")).select("doc_id", "held_out", "found.*")
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """The documents whose language isn't rejected; columns as given."""
-    model = fit(docs.where(~held_out(4, 2)), **options)
-    return docs.where(~language(F.col("text"), model, docs.sparkSession)["rejected"])
+    return docs.where(~language(F.col("text"), fit(docs.where(~held_out(4, 2)), **options))["rejected"])

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skerry.llm import decontamination, fingerprints, kernels, langid, linededup, lm, neardup, packing, quality, secrets, toxicity
 
@@ -205,8 +206,17 @@ def test_fingerprints(spark, tables):
     one = fingerprints.fingerprint(docs).collect()
     assert all(rows[r["doc_id"]]["fingerprint"] == r["fingerprint"] for r in one)
     assert all(a == b for a, b in zip(*fingerprints._of([b"same text here"] * 2), strict=True))
-    pairs = fingerprints.near_pairs(fingerprints.fingerprint(docs)).collect()
-    assert all(r["a"] < r["b"] and r["likeness"] >= 0.5 for r in pairs)
+    prints = {r["doc_id"]: np.frombuffer(bytes.fromhex(r["fingerprint"]), np.uint8) for r in one}
+    first = {}
+    for i in sorted(prints):
+        first.setdefault(prints[i].tobytes(), i)
+    reps = sorted(first.values())
+    x = np.stack([prints[i] for i in reps])
+    want = {(a, reps[t]) for k, a in enumerate(reps) for t in k + 1 + np.flatnonzero(fingerprints.likeness(x[k][None], x[k + 1 :]) >= 0.5)}
+    for block in (2048, 3):
+        pairs = [(r["a"], r["b"]) for r in fingerprints.near_pairs(fingerprints.fingerprint(docs), block=block).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want and want
+    assert {r["doc_id"]: r["rep"] for r in fingerprints.members(fingerprints.fingerprint(docs)).collect()} == {i: first[prints[i].tobytes()] for i in prints}
 
 
 def test_fingerprints_of_equal_texts_after_others():
@@ -292,6 +302,38 @@ def test_classifiers_held_out(spark):
     assert np.mean([known[r["doc_id"]]["toxic"] == r["predicted"] for r in toxic]) > 0.8
 
 
+def test_language_blocks_agree(spark, tables):
+    """Many small blocks of languages give what one block gives."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    one, many = ({r["doc_id"]: tuple(r) for r in langid.identify(docs, block=k).collect()} for k in (512, 1))
+    assert len({r[2] for r in one.values()}) > 3
+    assert all(one[i][:3] == many[i][:3] and one[i][3] == pytest.approx(many[i][3], abs=1e-5) and one[i][4] == many[i][4] for i in one)
+
+
+def test_language_is_the_nearest_centroid(spark, tables):
+    """Predictions against cosines computed text by text."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("length(text) < 3000")
+    models = [b.value for b in langid.fit(docs.where(~langid.held_out(4, 2)))]
+    model = models[0]
+    got = {r["doc_id"]: r for r in docs.select("doc_id", langid.language(F.col("text"), langid.fit(docs.where(~langid.held_out(4, 2)))).alias("l")).collect()}
+    for r in docs.limit(60).collect():
+        raw = bytes(langid._TABLE[np.frombuffer(r["text"].encode(), np.uint8)])
+        x = np.zeros(8192)
+        for k in (1, 2, 3):
+            for i in range(len(raw) - k + 1):
+                g = raw[i : i + k]
+                if not (g[0] == 32 and g[-1] == 32):
+                    code = 0
+                    for c in g:
+                        code = (code * 256 + c) & 0xFFFFFFFF
+                    x[((code + k * 0x1000193) * 0x9E3779B1 & 0xFFFFFFFF) >> 19] += 1
+        v = np.log1p(x) * model.idf
+        cosine = model.centroids @ (v / max(np.linalg.norm(v), 1e-12))
+        if any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]]["l"]["lang_pred"] == model.langs[int(cosine.argmax())]
+            assert got[r["doc_id"]]["l"]["score"] == pytest.approx(float(np.clip(cosine.max(), 0, 1)), abs=1e-4)
+
+
 def test_span_hashes():
     data = np.frombuffer(b"alpha beta alpha  gamma alphab eta", np.uint8)
     h = kernels.hash_spans(data, kernels.word_spans(data, np.array([0, len(data)])))
