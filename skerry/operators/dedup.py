@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.names import basename, dirname, is_asset
@@ -16,13 +16,14 @@ def groups(files: DataFrame) -> DataFrame:
 
 def all_but_newest(base: DataFrame) -> DataFrame:
     """path, hash of every file but the last synced one of its hash."""
-    newest = Window.partitionBy("content_hash").orderBy(F.desc("last_sync_at"), "path")
-    return base.where(usable(F.col("content_hash")).isNotNull()).withColumn("_n", F.row_number().over(newest)).where("_n > 1").select("path", "content_hash")
+    rows = base.where(usable(F.col("content_hash")).isNotNull()).select("path", "content_hash", "last_sync_at")
+    kept = rows.groupBy("content_hash").agg(F.min(F.struct((-F.col("last_sync_at")).alias("age"), "path"))["path"].alias("_kept"))
+    return rows.join(kept, "content_hash").where("path <> _kept").select("path", "content_hash")
 
 
 def score(path: Column) -> list[Column]:
-    """Sort keys, best first: deeper, then shorter name."""
-    return [F.desc(F.size(F.split(path, "/"))), F.asc(F.length(basename(path)))]
+    """Ascending sort keys, best first: deeper, then shorter name."""
+    return [-F.size(F.split(path, "/")), F.length(basename(path))]
 
 
 def actions(files: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -31,14 +32,15 @@ def actions(files: DataFrame, referenced: DataFrame) -> DataFrame:
     files: path, hash, size, file_id, create_time.  A group with linked and
     unlinked files keeps its first linked one and drops unlinked copies, unless
     one is a referenced asset; a group of linked files keeps the best (for
-    assets, all that are referenced); a group without any link stays.
+    assets, all that are referenced); a group without any link stays.  Groups are
+    aggregated and joined back, so that a very common hash can be split.
     """
-    group = Window.partitionBy("hash", "size")
     linked, ref = F.col("file_id") != "", F.coalesce(F.col("ref"), F.lit(False))
     rows = files.where("hash <> ''").join(referenced.select("path").distinct().withColumn("ref", F.lit(True)), "path", "left")
-    rows = rows.withColumns({"n": F.count("*").over(group), "n_linked": F.count_if(linked).over(group), "n_refs": F.count_if(ref & linked).over(group)}).where("n > 1 AND (size > 0 OR size IS NULL)")
-    first = F.min(F.when(linked, F.col("path"))).over(group)
-    best = F.first("path").over(group.orderBy(F.desc(linked), *score(F.col("path")), "create_time", "path"))
+    rows = rows.where("size > 0 OR size IS NULL").withColumn("_size", F.coalesce("size", F.lit(-1)))
+    keys = [(~linked).alias("a"), *(k.alias(n) for k, n in zip(score(F.col("path")), "bc", strict=True)), F.col("create_time").alias("d"), "path"]
+    sums = rows.groupBy("hash", "_size").agg(F.count("*").alias("n"), F.count_if(linked).alias("n_linked"), F.count_if(ref & linked).alias("n_refs"), F.min(F.when(linked, F.col("path"))).alias("first"), F.min(F.struct(*keys))["path"].alias("best")).where("n > 1")
+    rows, first, best = rows.join(sums, ["hash", "_size"]), F.col("first"), F.col("best")
     mixed = (F.col("n_linked") >= 1) & (F.col("n_linked") < F.col("n"))
     whole = F.col("n_linked") == F.col("n")
     asset = is_asset("path")
@@ -63,13 +65,20 @@ def categories(files: DataFrame) -> DataFrame:
 def directory_pairs(files: DataFrame, least: int = 3) -> DataFrame:
     """Pairs of directories with ``least`` common hashes or more.
 
-    A self-join on the hash over distinct (directory, hash) rows; a hash in
-    very many directories gives a pair for each two of them, which is what is
-    asked for, so hashes are counted by directory before the join.
+    A self-join on the hash over distinct (directory, hash) rows.  The ``least`` - 1
+    hashes of most directories (an empty file's, say) make no pair by themselves,
+    since a pair needs one more; they are left out of the join and their share is
+    added from a short list that each directory brings along.
     """
     own = files.where("hash <> ''").select(dirname("path").alias("dir"), "hash").distinct()
-    pairs = own.select(F.col("dir").alias("dir_a"), "hash").join(own.select(F.col("dir").alias("dir_b"), "hash"), "hash").where("dir_a < dir_b")
-    return pairs.groupBy("dir_a", "dir_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    common = own.groupBy("hash").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "hash").limit(max(0, least - 1)).select("hash")
+    listed = own.join(F.broadcast(common), "hash", "left_semi").groupBy("dir").agg(F.collect_set("hash").alias("common"))  # least - 1 at most
+    rare = own.join(F.broadcast(common), "hash", "left_anti").join(listed, "dir", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+    side = lambda x: rare.select(F.col("dir").alias(f"dir_{x}"), "hash", F.col("common").alias(f"common_{x}"))
+    pairs = side("a").join(side("b"), "hash").where("dir_a < dir_b")
+    more = F.size(F.array_intersect("common_a", "common_b"))
+    counted = pairs.groupBy("dir_a", "dir_b").agg((F.count("*") + F.first(more)).alias("shared"))
+    return counted.where(F.col("shared") >= least)
 
 
 def orphans(local: DataFrame, remote: DataFrame) -> DataFrame:

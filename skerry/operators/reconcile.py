@@ -158,6 +158,13 @@ def dry_run_stats(planned: DataFrame) -> DataFrame:
     return planned.agg(*(F.count_if(F.col("action") == a).alias(n) for a, n in names.items()), F.count_if(F.col("action") != "skip").alias("changes"))
 
 
+def grouped(planned: DataFrame) -> DataFrame:
+    """action, n, digest: the number of its paths and the sum of 60 bits of their
+    hashes, which doesn't depend on an order, so no group is gathered."""
+    part = F.conv(F.substring(F.md5("path"), 1, 15), 16, 10).cast("decimal(20,0)")
+    return planned.groupBy("action").agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))
+
+
 def guardrails(planned: DataFrame, remote: DataFrame, local: DataFrame, base: DataFrame, max_deletes: int = 5) -> DataFrame:
     """One row: counts and status.
 

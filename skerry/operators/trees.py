@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.names import basename, dirname
+from skerry.sources.staging import written
 
 
 def tree_paths(nodes: DataFrame, most: int = 50) -> DataFrame:
     """id, path, depth of every node (id, parent_id, name) below a root (null
-    parent).  A node that is its own ancestor, or deeper than ``most``, has none."""
-    nodes.createOrReplaceTempView("skerry_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(id, path, depth) AS (
-          SELECT id, name, 0 FROM skerry_nodes WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, concat(w.path, '/', n.name), w.depth + 1
-          FROM walk w JOIN skerry_nodes n ON n.parent_id = w.id
-          WHERE w.depth < {most} AND n.id <> n.parent_id
-        )
-        SELECT id, path, depth FROM walk
-    """)
+    parent).  A node that is its own ancestor, or deeper than ``most``, has none.
+
+    One join a level over the level before, written to the shared folder, so the
+    number of nodes is not bounded.
+    """
+    level = written(nodes.where("parent_id IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth")), "level")
+    below = nodes.where("id <> parent_id").select(F.col("id").alias("_id"), "parent_id", "name")
+    out = level
+    for depth in range(1, most + 1):
+        joined = level.join(below, level["id"] == below["parent_id"])
+        level = written(joined.select(F.col("_id").alias("id"), F.concat_ws("/", "path", "name").alias("path"), F.lit(depth).alias("depth")), "level")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
 
 
 def listing(paths: DataFrame, depth: int) -> DataFrame:
@@ -59,21 +67,41 @@ def merkle(files: DataFrame, depths: int) -> DataFrame:
     """dir, tree_hash: md5 over each directory's children as ``name:hash``,
     sorted by name and joined by ``|``; a child without a hash is ``unknown``.
 
-    Built from the deepest directories up, one aggregation per depth; files
-    (path, hash).  A directory's children are gathered by the directory.
+    Built from the deepest directories up, one written level per depth; files
+    (path, hash).  A directory's sorted children run through its digest one by
+    one, so a very large directory needs no memory.
     """
     children = files.select(dirname("path").alias("dir"), basename("path").alias("name"), F.coalesce(F.nullif("hash", F.lit("")), F.lit("unknown")).alias("hash"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, running = None, None
+        for batch in batches:
+            done = []
+            for folder, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if folder != now:
+                    if running is not None:
+                        done.append((now, running.hexdigest()))
+                    now, running = folder, hashlib.md5(line.encode())
+                else:
+                    running.update(b"|" + line.encode())
+            yield _pairs(done)
+        if running is not None:
+            yield _pairs([(now, running.hexdigest())])
+
     out = None
     for depth in range(depths, -1, -1):
-        here = children.where(depth_of(F.col("dir")) == depth)
-        line = F.concat("name", F.lit(":"), "hash")
-        level = here.groupBy("dir").agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "|")).alias("tree_hash"))
+        here = children.where(depth_of(F.col("dir")) == depth).select("dir", F.concat("name", F.lit(":"), "hash").alias("line"))
+        level = written(here.repartition("dir").sortWithinPartitions("dir", "line").mapInArrow(digest, "dir string, tree_hash string"), "merkle")
         out = level if out is None else out.unionByName(level)
         if depth:
             children = children.unionByName(level.select(dirname("dir").alias("dir"), basename("dir").alias("name"), F.col("tree_hash").alias("hash")))
     return out
 
 
+def _pairs(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["dir", "tree_hash"])
+
+
 def merkle_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Directories whose hash differs or that one side lacks; nothing if the roots are equal."""
     both = old.select("dir", F.col("tree_hash").alias("a")).join(new.select("dir", F.col("tree_hash").alias("b")), "dir", "full").where(~F.col("a").eqNullSafe(F.col("b")))

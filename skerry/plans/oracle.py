@@ -206,7 +206,7 @@ SELECT *, CASE WHEN cloud_files = 0 AND local_files > 0 AND linked > 5 THEN 'abo
     "edit_warnings": REFINED + f""" SELECT path, array_to_string(list_filter([CASE WHEN NOT known THEN 'no baseline' END, CASE WHEN local_hash IS NULL THEN 'no local hash' END,
 CASE WHEN known AND file_id = '' THEN 'not linked' END, CASE WHEN local_hash = content_hash THEN 'content unchanged' END], lambda x: x IS NOT NULL), '; ') AS reasons
 FROM refined WHERE {_ACTION} = 'upload'""",
-    "actions_grouped": REFINED + f" SELECT {_ACTION} AS action, count(*) AS n, md5(string_agg(path, ',' ORDER BY path)) AS paths_md5 FROM refined GROUP BY 1",
+    "actions_grouped": REFINED + f" SELECT {_ACTION} AS action, count(*) AS n, CAST(sum(('0x' || substring(md5(path), 1, 15))::BIGINT) AS VARCHAR) AS digest FROM refined GROUP BY 1",
     "excluded_gone": STATES + " SELECT CASE WHEN path LIKE 'src1/%' OR path LIKE '%/fr/%' THEN 'gone' ELSE state END AS state, count(*) AS n FROM states GROUP BY 1",
     "conflict_candidates": STATES + " SELECT path, state FROM states WHERE state IN ('cloudModifiedContent', 'conflict') AND cloud_exists",
     "calibrate_delta": SNAPSHOTS + """, j AS (
@@ -263,7 +263,7 @@ ELSE cloud_content_hash || CASE WHEN content_hash <> cloud_content_hash THEN ','
     "dup_action_counts": DUP_ACTIONS + " SELECT reason, count(*) FILTER (remove) AS removed, count(*) AS files FROM acts GROUP BY reason",
     "dup_categories": FILES + """, c AS (SELECT name, text AS a, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text || '!' END AS b FROM d)
 SELECT name, 2 AS n, CASE WHEN a = b THEN 'identical' WHEN replace(a, chr(13) || chr(10), chr(10)) = replace(b, chr(13) || chr(10), chr(10)) THEN 'crlf_only' ELSE 'real_diff' END AS category FROM c""",
-    "dir_pairs": "WITH o AS (SELECT DISTINCT 'x' || doc_id % 7 AS dir, md5(text) AS hash FROM documents) SELECT a.dir AS dir_a, b.dir AS dir_b, count(*) AS shared FROM o a JOIN o b USING (hash) WHERE a.dir < b.dir GROUP BY ALL",
+    "dir_pairs": "WITH o AS (SELECT DISTINCT 'x' || doc_id % 7 AS dir, md5(text) AS hash FROM documents) SELECT a.dir AS dir_a, b.dir AS dir_b, count(*) AS shared FROM o a JOIN o b USING (hash) WHERE a.dir < b.dir GROUP BY ALL HAVING count(*) >= 2",
     "orphan_discard": SNAPSHOTS + """, every AS (SELECT path, local_hash, split_part(path, '/', 3) AS name FROM local UNION ALL SELECT 'copy/' || path, local_hash, split_part(path, '/', 3) FROM local),
 synced AS (SELECT name, local_hash FROM every WHERE path IN (SELECT path FROM remote))
 SELECT path FROM every e WHERE path NOT IN (SELECT path FROM remote) AND EXISTS (SELECT 1 FROM synced b WHERE b.name = e.name AND b.local_hash = e.local_hash)""",
@@ -296,8 +296,9 @@ SELECT doc_id, protected_chars, body_chars + CASE WHEN false THEN 1 ELSE 0 END A
     "block_hashes": BLOCKS.format("documents"),
     "block_diff": f"""WITH a AS ({BLOCKS.format("documents")}), c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || '!' WHEN 1 THEN substring(text, 1, 4000) ELSE text END AS text FROM documents), b AS ({BLOCKS.format("c")})
 SELECT doc_id, block, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (doc_id, block) WHERE a.hash IS DISTINCT FROM b.hash""",
-    "merge3": "SELECT doc_id, true AS same, 0 AS conflicts FROM documents",
-    "delta_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "merge3": """SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN '<<<<<<< LOCAL' || chr(10) || 'ours ' || doc_id || chr(10) || '=======' || chr(10) || 'theirs ' || doc_id || chr(10) || '>>>>>>> CLOUD' ELSE 'ours ' || doc_id END
+|| chr(10) || text || chr(10) || CASE doc_id % 3 WHEN 1 THEN 'theirs' ELSE 'last line' END || chr(10)) AS merged, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS conflicts FROM documents""",
+    "delta_roundtrip": "SELECT doc_id, true AS same, (9 * ceil(octet_length(encode(text)) / 4096.0))::BIGINT AS unchanged_bytes FROM documents",
     "bloom_membership": "SELECT item_id, true AS found FROM benchmark",
     "merkle_dirs": MERKLE,
     "merkle_diff": FILES + ", c AS (SELECT dir FROM d WHERE doc_id = 7) SELECT dir FROM c UNION SELECT split_part(dir, '/', 1) FROM c UNION SELECT '' FROM c",

@@ -108,9 +108,7 @@ def edit_warnings(spark, sf):
 
 @query
 def actions_grouped(spark, sf):
-    """Paths by action, in order, as one digest each."""
-    rows = reconcile.plan(_refined(spark, sf)).groupBy("action").agg(F.array_sort(F.collect_list("path")).alias("p"))
-    return rows.select("action", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", ",")).alias("paths_md5"))
+    return reconcile.grouped(reconcile.plan(_refined(spark, sf)))
 
 
 @query
@@ -313,7 +311,7 @@ def dup_categories(spark, sf):
 @query
 def dir_pairs(spark, sf):
     files = paths(spark, sf).select(F.concat(F.lit("x"), (F.col("doc_id") % 7), F.lit("/"), "name").alias("path"), F.md5("text").alias("hash"))
-    return dedup.directory_pairs(files, least=1)
+    return dedup.directory_pairs(files, least=2)
 
 
 @query
@@ -455,19 +453,22 @@ def block_diff(spark, sf):
 
 @query
 def merge3(spark, sf):
-    """Merging an insertion at the top with one at the end, which never conflicts."""
+    """Both sides change the first line (alike or not), or one the last line."""
     d = paths(spark, sf)
-    ours, theirs = F.concat(F.lit("top\n"), "text"), F.concat("text", F.lit("\nend"))
-    whole = F.concat(F.lit("top\n"), "text", F.lit("\nend"))
-    m = d.select("doc_id", diff.merged(F.concat("text", F.lit("\n")), F.concat(ours, F.lit("\n")), F.concat("text", F.lit("\nend"))).alias("m"), whole.alias("whole"))
-    return m.select("doc_id", (F.col("m.text") == F.col("whole")).alias("same"), F.col("m.conflicts").alias("conflicts"))
+    i = F.col("doc_id")
+    version = lambda first, last: F.concat(first, F.lit("\n"), "text", F.lit("\n"), last, F.lit("\n"))
+    top, end = F.lit("first line"), F.lit("last line")
+    ours = version(F.concat(F.lit("ours "), i), end)
+    theirs = F.when(i % 3 == 0, version(F.concat(F.lit("theirs "), i), end)).when(i % 3 == 1, version(top, F.lit("theirs"))).otherwise(ours)
+    m = d.select("doc_id", diff.merged(version(top, end), ours, theirs).alias("m"))
+    return m.select("doc_id", F.md5("m.text").alias("merged"), F.col("m.conflicts").alias("conflicts"))
 
 
 @query
 def delta_roundtrip(spark, sf):
     d = paths(spark, sf).select("doc_id", F.col("text").cast("binary").alias("a"), F.concat(F.substring("text", 1, 5000), F.lit("new"), F.expr("substring(text, 5001)")).cast("binary").alias("b"))
     change = d.withColumn("d", diff.delta(F.col("a"), F.col("b")))
-    return change.select("doc_id", (diff.patched(F.col("a"), F.col("d")) == F.col("b")).alias("same"))
+    return change.select("doc_id", (diff.patched(F.col("a"), F.col("d")) == F.col("b")).alias("same"), F.octet_length(diff.delta(F.col("a"), F.col("a"))).cast("long").alias("unchanged_bytes"))
 
 
 @query
@@ -536,8 +537,8 @@ def sync_log_tail(spark, sf):
 @query
 def sync_log_retention(spark, sf):
     log = _log(spark, sf)
-    middle = log.agg(F.avg("timestamp").cast("long").alias("m"))
-    return log.join(F.broadcast(middle), F.col("timestamp") >= F.col("m")).groupBy("action").agg(F.count("*").alias("n"))  # one row
+    middle = log.agg(F.avg("timestamp").cast("long")).first()[0] or 0
+    return state.log_after(log, middle).groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query
