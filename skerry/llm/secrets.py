@@ -56,14 +56,15 @@ def guess_cost(value: str, words: dict[str, int], longest: int) -> float:
 
     Takes time in proportion to the length: words are looked up over at most
     ``longest`` characters, walks and repeats are extended one character at a
-    time, and brute force costs a factor per character.
+    time, and brute force costs a factor per character.  A segment may be any part
+    of a walk or repeat, and is priced by what of it is past so far.
     """
     low, n = value.lower(), len(value)
     brute = math.log10(26 * (value != low) + 26 * any("a" <= c <= "z" for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value) or 10)
     dates = {}
     for m in DATE.finditer(value):
         dates.setdefault(m.end(), m.start())
-    best, run, walk = [0.0] * (n + 1), 1, 1
+    best, run, walk, before_run, before_walk = [0.0] * (n + 1), 1, 1, 0.0, 0.0
     for j in range(1, n + 1):
         cost = best[j - 1] + brute
         for i in range(max(0, j - longest), j):
@@ -75,10 +76,12 @@ def guess_cost(value: str, words: dict[str, int], longest: int) -> float:
             cost = min(cost, best[dates[j]] + 4.6)
         run = run + 1 if j > 1 and value[j - 1] == value[j - 2] else 1
         if run >= 3:
-            cost = min(cost, best[j - run] + brute + math.log10(run))
+            before_run = best[j - 3] if run == 3 else min(before_run, best[j - 3])
+            cost = min(cost, before_run + brute + math.log10(run))
         walk = walk + 1 if j > 1 and low[j - 1] in _NEXT.get(low[j - 2], ()) else 1
         if walk >= 4:
-            cost = min(cost, best[j - walk] + 1.7 + math.log10(walk) + 0.3)
+            before_walk = best[j - 4] if walk == 4 else min(before_walk, best[j - 4])
+            cost = min(cost, before_walk + 1.7 + math.log10(walk) + 0.3)
         best[j] = cost
     return best[n]
 
