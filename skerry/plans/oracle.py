@@ -165,6 +165,17 @@ SELECT path, CASE WHEN k > 0 AND k < n THEN first_linked WHEN k = n THEN best EN
 FROM g WHERE n > 1 AND size > 0)
 """
 
+MD_NORMALIZE = rf"""WITH odd AS (SELECT doc_id, '* item' || chr(10) || chr(10) || '>  ' || chr(10) || '***' || chr(10) || '1.   one' || chr(10) || replace(text, '. ', '.  ') || '  ' || chr(10) || '| a |  b |' || chr(10) AS t FROM documents),
+line AS (SELECT doc_id, i, regexp_replace(ls[i], '{SPACES}+$', '') AS s FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM odd), unnest(range(1, len(ls) + 1)) AS u(i)),
+a AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '^{SPACES}*```[0-9A-Za-z_]*{SPACES}*$') THEN '---fence---'
+  WHEN regexp_matches(s, '^{SPACES}*(\*{SPACES}*\*{SPACES}*\*({SPACES}|\*)*|-{SPACES}*-{SPACES}*-({SPACES}|-)*)$') THEN '---'
+  WHEN regexp_matches(s, '^\|({SPACES}|[:|-])+\|$') THEN array_to_string(list_transform(string_split(s, '|'), lambda c: CASE WHEN regexp_matches(trim(c), '^[-: ]+$') THEN '---' ELSE trim(c) END), '|') ELSE s END AS s
+  FROM line WHERE s <> '' AND NOT regexp_matches(s, '^{SPACES}*>({SPACES}|>)*$')),
+b AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(s, '^(({SPACES}|>)*)\*({SPACES}+)', '\1-\3'), '^(({SPACES}|>)*(-|\d+\.)){SPACES}{{2,}}', '\1 '), '^{SPACES}+', '') AS s FROM a),
+c AS (SELECT doc_id, i, regexp_replace(CASE WHEN starts_with(s, '|') THEN regexp_replace(s, '{SPACES}*\|{SPACES}*', '|', 'g') ELSE s END, ' {{2,}}', ' ', 'g') AS s FROM b),
+e AS (SELECT doc_id, i, replace(regexp_replace(regexp_replace(s, '\\([\[_$~&*#{{}}|.!\]()])', '\1', 'g'), '<(https?://[^>]+)>', '\1', 'g'), '`', '') AS s FROM c)
+SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY i)) AS md5 FROM e GROUP BY doc_id"""
+
 #: Every fifth remote file under another folder; moves by id, hash and hash again.
 WITH_MOVES = (
     REFINED.replace(")\nAS", ")AS").replace("remote AS (\n  SELECT path,", "remote AS (\n  SELECT CASE WHEN doc_id % 5 = 0 THEN 'new/' || path ELSE path END AS path,")
@@ -296,6 +307,7 @@ SELECT doc_id, protected_chars, body_chars + CASE WHEN false THEN 1 ELSE 0 END A
     "block_hashes": BLOCKS.format("documents"),
     "block_diff": f"""WITH a AS ({BLOCKS.format("documents")}), c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || '!' WHEN 1 THEN substring(text, 1, 4000) ELSE text END AS text FROM documents), b AS ({BLOCKS.format("c")})
 SELECT doc_id, block, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (doc_id, block) WHERE a.hash IS DISTINCT FROM b.hash""",
+    "md_normalize": MD_NORMALIZE,
     "merge3": """SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN '<<<<<<< LOCAL' || chr(10) || 'ours ' || doc_id || chr(10) || '=======' || chr(10) || 'theirs ' || doc_id || chr(10) || '>>>>>>> CLOUD' ELSE 'ours ' || doc_id END
 || chr(10) || text || chr(10) || CASE doc_id % 3 WHEN 1 THEN 'theirs' ELSE 'last line' END || chr(10)) AS merged, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS conflicts FROM documents""",
     "delta_roundtrip": "SELECT doc_id, true AS same, (9 * ceil(octet_length(encode(text)) / 4096.0))::BIGINT AS unchanged_bytes FROM documents",
