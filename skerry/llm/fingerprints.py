@@ -17,8 +17,14 @@ candidates and verifies them by likeness.
 
 Defined results: a null text is an empty text; its fingerprint has no filled
 slot, and two empty texts have likeness 1.  "Next" follows descending doc_id,
-null ids last, rows with equal ids by descending text; after the last row
-comes the first.  A table with one row is its own next.
+null ids last, rows with equal ids by descending text (ties of both are equal
+rows); after the last row comes the first.  A table with one row is its own
+next.  Ids may be of any type with an order.  A very long text is one slice.
+
+The walk starts anew at every segment and positions are sampled by content, so
+the likeness is a share of equal samples of the embedding, not the Hamming
+distance of two whole embeddings: whole walks of long texts would have to be
+aligned, and a step for each character can't be shared among texts.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from skerry.llm import kernels as K
 from skerry.llm.shared import input_bytes
@@ -128,6 +135,20 @@ def edited(text: bytes, following: bytes) -> tuple[int, bytes]:
     return n, text[: at[n - third]] + (head[: begins[third]] if len(begins) > third else head)
 
 
+def _cuts(docs: DataFrame, parts: int) -> list:
+    """Ids that part the table into about ``parts`` ranges, descending.
+
+    Numbers by Spark's approximate quantiles; ids of another type by a sample of
+    some thousand ids with the least hashes.  They bound the ranges, not the rows.
+    """
+    if parts < 2:
+        return []
+    if isinstance(docs.schema["doc_id"].dataType, NumericType):
+        return sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / parts for k in range(1, parts)], 0.2 / parts)), reverse=True)
+    some = sorted({r["doc_id"] for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(min(20_000, 64 * parts)).collect()}, reverse=True)
+    return some[:: max(1, len(some) // parts)][1:]
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``last`` in partitions of consecutive rows, descending.
 
@@ -138,7 +159,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(1, min(20000, input_bytes(docs) >> 22))
-    cuts = sorted(set(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / parts for k in range(1, parts)], 0.2 / parts)), reverse=True) if parts > 1 else []
+    cuts = _cuts(docs.where(F.col("doc_id").isNotNull()), parts)
     # range 0 has the largest ids; nulls come after all
     tree = lambda lo, hi: F.lit(lo) if lo == hi else F.when(F.col("doc_id") > cuts[(lo + hi) // 2], tree(lo, (lo + hi) // 2)).otherwise(tree((lo + hi) // 2 + 1, hi))
     place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(tree(0, len(cuts)))

@@ -1,5 +1,6 @@
 """Query results against plain versions that go text by text."""
 
+import hashlib
 import math
 import random
 
@@ -112,6 +113,16 @@ def test_fingerprints_and_likeness(spark, tables):
             assert rows[i][name] == pytest.approx(sum(a == b for a, b in filled) / len(filled) if filled else 1.0)
 
 
+def test_text_ids_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "input_bytes", lambda docs: 12 << 22)
+    texts = {f"id{k:03}": f"text number {k} with some words " * (k % 5 + 1) for k in range(90)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    order = sorted(texts, reverse=True)
+    rows = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.compare_with_next(docs).collect()}
+    want = {i: hashlib.sha256(fingerprints.edited(texts[i].encode(), texts[j].encode())[1]).hexdigest() for i, j in zip(order, order[1:] + order[:1], strict=True)}
+    assert rows == want
+
+
 def plain_cost(value, words):
     low, n = value.lower(), len(value)
     brute = math.log10(26 * (value != low) + 26 * any("a" <= c <= "z" for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value) or 10)
