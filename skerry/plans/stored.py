@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import convert, names, text
@@ -13,7 +13,10 @@ from skerry.sources.workload import SYNCED_AT, epoch, paths, snapshots, table
 from skerry.streaming import feed
 
 NOW = SYNCED_AT + 1000
-I = F.col("doc_id")  # noqa: E741
+
+
+def _i() -> Column:
+    return F.col("doc_id")
 
 
 def _dirs(spark, sf) -> DataFrame:
@@ -58,8 +61,8 @@ def dirs_calibrate(spark, sf):
 @query
 def base_contents(spark, sf):
     d = paths(spark, sf)
-    stored = d.where(I % 3 != 0).select("path", F.col("text").alias("content"), F.md5("text").alias("content_hash"))
-    delta = d.where(I % 5 == 0).select("path", F.lit("new").alias("content"), F.md5(F.lit("new")).alias("content_hash"))
+    stored = d.where(_i() % 3 != 0).select("path", F.col("text").alias("content"), F.md5("text").alias("content_hash"))
+    delta = d.where(_i() % 5 == 0).select("path", F.lit("new").alias("content"), F.md5(F.lit("new")).alias("content_hash"))
     return store.base_content(store.save_base(stored, delta), d.select("path")).select("path", "content_hash")
 
 
@@ -129,7 +132,7 @@ def hash_cache_upsert(spark, sf):
 
 @query
 def refs_replaced(spark, sf):
-    refs = paths(spark, sf).select(F.col("path").alias("source_path"), F.concat(F.lit("img/"), I % 5).alias("ref_path"))
+    refs = paths(spark, sf).select(F.col("path").alias("source_path"), F.concat(F.lit("img/"), _i() % 5).alias("ref_path"))
     return state.replace_refs(refs, refs.where("ref_path = 'img/3'").select("source_path", F.lit("img/new").alias("ref_path")))
 
 
@@ -155,20 +158,20 @@ def wanted_merged(spark, sf):
 @query
 def fallback_deletes(spark, sf):
     d = paths(spark, sf)
-    failed = d.select(F.col("path").alias("old_path"), F.concat(F.lit("new/"), "path").alias("new_path"), F.concat(F.lit("F"), I).alias("file_id"))
-    return store.fallback_deletes(failed, d.where(I % 3 == 0).select(F.concat(F.lit("new/"), "path").alias("path")))
+    failed = d.select(F.col("path").alias("old_path"), F.concat(F.lit("new/"), "path").alias("new_path"), F.concat(F.lit("F"), _i()).alias("file_id"))
+    return store.fallback_deletes(failed, d.where(_i() % 3 == 0).select(F.concat(F.lit("new/"), "path").alias("path")))
 
 
 @query
 def merge_retries(spark, sf):
     d = paths(spark, sf)
-    return store.retries(d.select("path", (I % 4 != 0).alias("uploaded"), F.lit("before").alias("previous_hash"), F.md5("text").alias("merged_hash")))
+    return store.retries(d.select("path", (_i() % 4 != 0).alias("uploaded"), F.lit("before").alias("previous_hash"), F.md5("text").alias("merged_hash")))
 
 
 @query
 def local_collisions(spark, sf):
     d = paths(spark, sf)
-    ext = lambda e: d.select(F.col("dir").alias("folder"), F.concat(F.lit("n"), I, F.lit(e)).alias("name"), I.alias("mtime"), F.length("text").alias("size"))
+    ext = lambda e: d.select(F.col("dir").alias("folder"), F.concat(F.lit("n"), _i(), F.lit(e)).alias("name"), _i().alias("mtime"), F.length("text").alias("size"))
     return store.local_collisions(ext(".note").unionByName(ext(".md").where("mtime % 3 = 0")).unionByName(ext(".clip").where("mtime % 2 = 0"))).select("path", "name", "mtime")
 
 
@@ -203,14 +206,14 @@ def live_mtimes(spark, sf):
 def listing_pages(spark, sf):
     """Rows of two overlapping pages of a nested listing, each id once."""
     d = paths(spark, sf)
-    entry = F.struct(F.struct(F.concat(F.lit("F"), I).alias("id"), F.concat(F.when(I % 9 == 0, F.lit(".")).otherwise(""), F.lit("n"), I, F.lit(".note")).alias("name"), F.col("dir").alias("parentId"), F.lit(False).alias("dir"), I.alias("modifyTimeForSort"), I.alias("createTimeForSort"), F.lit(0).alias("domain")).alias("fileEntry"))
+    entry = F.struct(F.struct(F.concat(F.lit("F"), _i()).alias("id"), F.concat(F.when(_i() % 9 == 0, F.lit(".")).otherwise(""), F.lit("n"), _i(), F.lit(".note")).alias("name"), F.col("dir").alias("parentId"), F.lit(False).alias("dir"), _i().alias("modifyTimeForSort"), _i().alias("createTimeForSort"), F.lit(0).alias("domain")).alias("fileEntry"))
     return readers.listing_rows(d.select(F.array(entry, entry).alias("entries")), "base").select("id", "path", "parent_id")
 
 
 @query
 def usable_listings(spark, sf):
     """Whether a shrunken listing is trusted, for each folder."""
-    n = paths(spark, sf).groupBy("dir").agg(F.count("*").alias("prior"), F.count_if(I % 2 == 0).alias("live"))
+    n = paths(spark, sf).groupBy("dir").agg(F.count("*").alias("prior"), F.count_if(_i() % 2 == 0).alias("live"))
     return n.select("dir", feed.usable("live", "prior").alias("usable"))
 
 
@@ -243,15 +246,15 @@ def name_rules(spark, sf):
 
 @query
 def diary_names(spark, sf):
-    stem = F.concat((2000 + I % 30).cast("string"), F.lit("年"), (I % 12 + 1).cast("string"), F.lit("月"), (I % 28 + 1).cast("string"), F.when(I % 7 == 0, F.lit("x")).otherwise("日"))
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (I % 60).cast("int"))
+    stem = F.concat((2000 + _i() % 30).cast("string"), F.lit("年"), (_i() % 12 + 1).cast("string"), F.lit("月"), (_i() % 28 + 1).cast("string"), F.when(_i() % 7 == 0, F.lit("x")).otherwise("日"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (_i() % 60).cast("int"))
     return paths(spark, sf).select("doc_id", names.is_diary_name(F.concat(stem, F.lit(".md"))).alias("diary"), names.stem_date(stem).alias("day"), names.trash_path("path", day).alias("trash"), names.dated(F.lit("mark"), day).alias("marker"))
 
 
 @query
 def value_formats(spark, sf):
-    ms = I * 10
-    return paths(spark, sf).select("doc_id", names.milliseconds(ms).alias("ms"), names.microseconds(I * 10_000).alias("us"), names.percent(I, I % 5).alias("share"), names.number(F.when(I % 3 == 0, F.lit("x")).otherwise(I.cast("string")), -1).alias("number"), names.seconds(F.when(I % 2 == 0, I + 1_700_000_000_000).otherwise(I)).alias("seconds"), names.listed_time((I % 7) * 1_000_000).alias("listed"), names.template(F.lit("/{a}/x/{b}/{a}"), {"a": I.cast("string"), "b": F.lit("z")}).alias("url"))
+    ms = _i() * 10
+    return paths(spark, sf).select("doc_id", names.milliseconds(ms).alias("ms"), names.microseconds(_i() * 10_000).alias("us"), names.percent(_i(), _i() % 5).alias("share"), names.number(F.when(_i() % 3 == 0, F.lit("x")).otherwise(_i().cast("string")), -1).alias("number"), names.seconds(F.when(_i() % 2 == 0, _i() + 1_700_000_000_000).otherwise(_i())).alias("seconds"), names.listed_time((_i() % 7) * 1_000_000).alias("listed"), names.template(F.lit("/{a}/x/{b}/{a}"), {"a": _i().cast("string"), "b": F.lit("z")}).alias("url"))
 
 
 @query
@@ -264,9 +267,9 @@ def commit_messages(spark, sf):
 
 @query
 def clip_names(spark, sf):
-    start = F.element_at(F.array(*(F.lit(x) for x in ("4F676753", "49443303", "FFF150", "00"))), (I % 4 + 1).cast("int"))
+    start = F.element_at(F.array(*(F.lit(x) for x in ("4F676753", "49443303", "FFF150", "00"))), (_i() % 4 + 1).cast("int"))
     ext = names.clip_extension(F.unhex(start))
-    name = names.clip_name(I % 1200, F.lit("rec"), ext)
+    name = names.clip_name(_i() % 1200, F.lit("rec"), ext)
     return paths(spark, sf).select("doc_id", name.alias("name"), names.is_clip_of(name, F.lit("rec")).alias("own"))
 
 
@@ -277,7 +280,7 @@ def denied_commands(spark, sf):
 
 @query
 def markdown_tables(spark, sf):
-    body = F.when(I % 3 == 0, F.concat("text", F.lit("\n| a | b |\n|---|:-:|\n"))).when(I % 3 == 1, F.concat("text", F.lit("\n| a | b |\n"))).otherwise(F.concat(F.lit("x|y\n| -- |\n"), "text"))
+    body = F.when(_i() % 3 == 0, F.concat("text", F.lit("\n| a | b |\n|---|:-:|\n"))).when(_i() % 3 == 1, F.concat("text", F.lit("\n| a | b |\n"))).otherwise(F.concat(F.lit("x|y\n| -- |\n"), "text"))
     return paths(spark, sf).select("doc_id", text.has_table(body).alias("table"))
 
 
@@ -289,29 +292,29 @@ def bloom_sizes(spark, sf):
 # --- notes and conversions -------------------------------------------------------------
 
 
-def _note(style: F.Column) -> F.Column:
+def _note(style: Column) -> Column:
     """A rich note with a table, two paragraphs, or a table typed as text, by document."""
     line = lambda t: F.concat(F.lit('{"3":"","5":[{"2":"2","3":"","7":[{"8":"'), t, F.lit('"},{"8":"!"}]}]}'))
     grid = F.lit('{"3":"","4":{"version":1,"cw":[120]},"5":[],"6":"t"}')
-    first = F.when(style == 0, grid).when(style == 1, line(F.lit("| a |"))).otherwise(line(F.concat(F.lit("p"), I)))
+    first = F.when(style == 0, grid).when(style == 1, line(F.lit("| a |"))).otherwise(line(F.concat(F.lit("p"), _i())))
     typed = F.when(style == 1, F.lit('{"3":"","5":[{"2":"2","3":"","7":[{"8":"| a |"}]}]}')).otherwise(first)
-    return F.concat(F.lit('{"2":"1","3":"","4":{"version":1},"5":['), typed, F.lit(","), line(F.concat(F.lit("q"), I)), F.lit('],"title":"t'), (I % 4).cast("string"), F.lit('"}'))
+    return F.concat(F.lit('{"2":"1","3":"","4":{"version":1},"5":['), typed, F.lit(","), line(F.concat(F.lit("q"), _i())), F.lit('],"title":"t'), (_i() % 4).cast("string"), F.lit('"}'))
 
 
 @query
 def note_contents(spark, sf):
-    note = _note(I % 3)
+    note = _note(_i() % 3)
     return paths(spark, sf).select("doc_id", F.array_join(reports.note_texts(note), "/").alias("texts"), F.array_join(reports.paragraph_texts(note), "/").alias("paragraphs"), F.array_join(reports.missing_table_attributes(note), ",").alias("missing"), reports.table_shape(note).alias("shape"))
 
 
 @query
 def note_comparison(spark, sf):
-    pairs = paths(spark, sf).select("doc_id", _note(I % 3).alias("a"), F.when(I % 2 == 0, _note(I % 3)).otherwise(F.replace(_note(I % 3), F.lit('"title":"t'), F.lit('"title":"u'))).alias("b"))
+    pairs = paths(spark, sf).select("doc_id", _note(_i() % 3).alias("a"), F.when(_i() % 2 == 0, _note(_i() % 3)).otherwise(F.replace(_note(_i() % 3), F.lit('"title":"t'), F.lit('"title":"u'))).alias("b"))
     return reports.compare_notes(pairs, "doc_id", "a", "b").select("doc_id", "same", "shapes", "attributes")
 
 
 def _inspected(spark, sf) -> DataFrame:
-    notes = paths(spark, sf).select(F.concat(F.lit("F"), I).alias("file_id"), F.when(I % 5 == 0, "{").otherwise(_note(I % 3)).alias("json"))
+    notes = paths(spark, sf).select(F.concat(F.lit("F"), _i()).alias("file_id"), F.when(_i() % 5 == 0, "{").otherwise(_note(_i() % 3)).alias("json"))
     return reports.inspect_tables(paths(spark, sf).select("path"), snapshots(spark, sf).base, notes)
 
 
@@ -327,7 +330,7 @@ def notes_verified(spark, sf):
 
 @query
 def note_table_candidates(spark, sf):
-    local = paths(spark, sf).select("path", F.when(I % 3 == 0, F.concat("text", F.lit("\n| a |\n|---|\n"))).otherwise(F.col("text")).alias("text"))
+    local = paths(spark, sf).select("path", F.when(_i() % 3 == 0, F.concat("text", F.lit("\n| a |\n|---|\n"))).otherwise(F.col("text")).alias("text"))
     return reports.table_candidates(snapshots(spark, sf).base, local, "src")
 
 
@@ -376,21 +379,21 @@ def note_json_built(spark, sf):
 def any_to_markdown(spark, sf):
     """Documents of several kinds, each recognised and converted; never raw JSON or XML."""
     d = paths(spark, sf)
-    body = F.when(I % 4 == 0, F.concat(F.lit("<html><p>h"), I, F.lit("</p>"))).when(I % 4 == 1, _note(I * 0 + 2)).when(I % 4 == 2, F.concat(F.lit('<?xml version="1.0"?><note><head/><body><para><text>x'), I, F.lit("</text></para></body></note>"))).otherwise(F.concat(F.lit("# "), I.cast("string")))
+    body = F.when(_i() % 4 == 0, F.concat(F.lit("<html><p>h"), _i(), F.lit("</p>"))).when(_i() % 4 == 1, _note(_i() * 0 + 2)).when(_i() % 4 == 2, F.concat(F.lit('<?xml version="1.0"?><note><head/><body><para><text>x'), _i(), F.lit("</text></para></body></note>"))).otherwise(F.concat(F.lit("# "), _i().cast("string")))
     md = convert.to_markdown("body", "path")
     return d.select("doc_id", body.alias("body"), "path").select("doc_id", md.alias("m")).select("doc_id", reports.checked_markdown("m").alias("markdown"))
 
 
 @query
 def content_anomalies(spark, sf):
-    both = table(spark, sf, "pages").select(F.lit("p").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")).unionByName(paths(spark, sf).select(F.lit("d").alias("kind"), I.alias("id"), F.when(I % 5 == 0, F.concat(F.lit('\n {"a":'), "text")).when(I % 5 == 1, F.concat(F.lit("<?xml"), "text")).otherwise(F.col("text")).alias("text")))
+    both = table(spark, sf, "pages").select(F.lit("p").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")).unionByName(paths(spark, sf).select(F.lit("d").alias("kind"), _i().alias("id"), F.when(_i() % 5 == 0, F.concat(F.lit('\n {"a":'), "text")).when(_i() % 5 == 1, F.concat(F.lit("<?xml"), "text")).otherwise(F.col("text")).alias("text")))
     return both.select("kind", "id", reports.content_anomaly("text").alias("anomaly")).where("anomaly IS NOT NULL")
 
 
 @query
 def content_hashes_by_kind(spark, sf):
     """Text files without byte-order mark and carriage returns, others as they are."""
-    ext = F.element_at(F.array(*map(F.lit, ("java", "org", "png", "json"))), (I % 4 + 1).cast("int"))
+    ext = F.element_at(F.array(*map(F.lit, ("java", "org", "png", "json"))), (_i() % 4 + 1).cast("int"))
     body = F.concat(F.lit("﻿"), F.replace("text", F.lit("\n"), F.lit("\r\n")))
     return paths(spark, sf).select("doc_id", text.content_hash(body, F.concat(F.lit("x."), ext)).alias("hash"))
 
@@ -400,7 +403,7 @@ def content_hashes_by_kind(spark, sf):
 
 @query
 def line_differences(spark, sf):
-    pairs = paths(spark, sf).select("doc_id", F.col("text").alias("a"), F.concat(F.when(I % 2 == 0, F.lit("top\n")).otherwise(""), "text", F.when(I % 3 == 0, F.lit("\nend")).otherwise("")).alias("b"))
+    pairs = paths(spark, sf).select("doc_id", F.col("text").alias("a"), F.concat(F.when(_i() % 2 == 0, F.lit("top\n")).otherwise(""), "text", F.when(_i() % 3 == 0, F.lit("\nend")).otherwise("")).alias("b"))
     return reports.line_differences(pairs, "doc_id", "a", "b", 3)
 
 
@@ -429,7 +432,7 @@ def listing_summary(spark, sf):
 
 @query
 def task_counts(spark, sf):
-    return reports.task_counts(paths(spark, sf).select((I % 9 != 0).alias("ok")))
+    return reports.task_counts(paths(spark, sf).select((_i() % 9 != 0).alias("ok")))
 
 
 @query
@@ -441,12 +444,12 @@ def action_counters(spark, sf):
 @query
 def recovery_verdicts(spark, sf):
     d = paths(spark, sf)
-    return reports.recovery_verdict(d.select("name"), d.where(I % 2 == 0).select("name"), d.where(I % 4 == 0).select("name"))
+    return reports.recovery_verdict(d.select("name"), d.where(_i() % 2 == 0).select("name"), d.where(_i() % 4 == 0).select("name"))
 
 
 @query
 def empty_groups(spark, sf):
-    return reports.skip_empty(paths(spark, sf).select("path", F.concat(F.lit("h"), I % 11).alias("hash"), F.when(I % 3 == 0, 0).otherwise(I).alias("size")))
+    return reports.skip_empty(paths(spark, sf).select("path", F.concat(F.lit("h"), _i() % 11).alias("hash"), F.when(_i() % 3 == 0, 0).otherwise(_i()).alias("size")))
 
 
 @query
