@@ -89,6 +89,15 @@ def gc_counts(base: DataFrame, local: DataFrame, log: DataFrame, refs: DataFrame
     return old.join(late).join(loose)
 
 
+def gc_rows(base: DataFrame, local: DataFrame, log: DataFrame, refs: DataFrame, now: int, keep_days: int = 30, keep_log_days: int = 90) -> DataFrame:
+    """kind, key: what each retention rule removes."""
+    old = base.where((F.col("last_sync_at") > 0) & (F.col("last_sync_at") < now - keep_days * DAY)).join(local, "path", "left_anti")
+    late = log.where(F.col("timestamp") < now - keep_log_days * DAY)
+    loose = refs.join(local.select(F.col("path").alias("source_path")), "source_path", "left_anti")
+    row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    return row(old, "file", F.col("path")).unionByName(row(late, "log", F.col("id"))).unionByName(row(loose, "reference", F.col("source_path")))
+
+
 def cache_counts(base: DataFrame, local: DataFrame) -> DataFrame:
     """One row of counts over the baseline beside what is on disk."""
     both = base.join(local.select("path", F.lit(True).alias("there")), "path", "left")

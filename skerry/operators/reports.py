@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import names
@@ -181,3 +181,47 @@ def verified_notes(inspected: DataFrame, planned: DataFrame) -> DataFrame:
 def compare_notes(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """key, same, shapes, differing attributes, first differing character."""
     return pairs.select(key, (F.col(left) == F.col(right)).alias("same"), F.concat_ws("/", table_shape(left), table_shape(right)).alias("shapes"), F.array_join(top_attributes_differ(left, right), ",").alias("attributes"), first_difference(left, right).alias("at"))
+
+
+def extension_counts(rows: DataFrame, name: Column | str, most: int = 0) -> DataFrame:
+    """ext, n by extension, most frequent first; 0 is no limit."""
+    ext = names.extension(name)
+    out = rows.groupBy(F.when(ext == "", "(no ext)").otherwise(ext).alias("ext")).agg(F.count("*").alias("n"))
+    return out.orderBy(F.desc("n"), "ext").limit(most) if most else out
+
+
+def local_categories(files: DataFrame, path: Column | str, size: str = "size") -> DataFrame:
+    """category (md, note, images, other), n, bytes: the first test that holds decides."""
+    ext = names.extension(path)
+    inside = col(path).contains("/images/") | col(path).contains("/attachments/")
+    kind = F.when(ext == "md", "md").when(ext == "note", "note").when(inside, "images").otherwise("other")
+    return files.groupBy(kind.alias("category")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+
+
+def doubled_notes(files: DataFrame) -> DataFrame:
+    """Stems (of name) that have both a Markdown and a note file."""
+    ext = names.extension("name")
+    both = files.groupBy(names.stem("name").alias("stem")).agg(F.bool_or(ext == "md").alias("md"), F.bool_or(ext == "note").alias("note"))
+    return both.where("md AND note").select("stem")
+
+
+def duplicate_summary(groups: DataFrame, most: int = 10) -> DataFrame:
+    """The first groups (name, n, category) of each category, by size and name."""
+    n = Window.partitionBy("category").orderBy(F.desc("n"), "name")
+    return groups.withColumn("_n", F.row_number().over(n)).where(F.col("_n") <= most).drop("_n")
+
+
+def dry_run_lines(planned: DataFrame) -> DataFrame:
+    """Lines of a report: every path that isn't skipped, by phase, action and path.
+
+    Sorted by ranges, so the report is as long as it has to be.
+    """
+    from skerry.operators.reconcile import phase
+
+    rows = planned.where("action <> 'skip'").withColumn("phase", phase(F.col("action")))
+    return rows.select("phase", "action", F.concat(F.lit("- "), "path", F.lit(" ("), "state", F.lit(")")).alias("line")).orderBy("phase", "action", "line")
+
+
+def is_audio_note(text: Column | str) -> Column:
+    """A voice note's JSON: its list of records is named in the first 120 characters."""
+    return F.substring(col(text), 1, 120).contains('"recordList"') & F.get_json_object(col(text), "$.recordList").isNotNull()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skerry.functions.names import cached_name, extension, is_conflict, join_path, map_remote_name, seconds
 from skerry.operators.reconcile import usable
 from skerry.operators.state import cache_remote, last_writer_wins, linked, upsert
+from skerry.sources.staging import numbered
 
 DIRS = ("path", "dir_id", "parent_id")
 
@@ -179,3 +180,46 @@ def retries(merged: DataFrame) -> DataFrame:
     the next run sees a local change and uploads again."""
     failed = ~F.col("uploaded")
     return merged.select("path", F.when(failed, F.col("previous_hash")).otherwise(F.col("merged_hash")).alias("content_hash"), F.when(failed, "merge-upload-deferred").otherwise("merge").alias("action"))
+
+
+def append_log(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """The log with rows appended under the next ids, in the order of time and path."""
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
+    new = numbered(rows.withColumn("_log", F.lit(0)), ["_log"], ["timestamp", "path"])
+    return log.unionByName(new.crossJoin(F.broadcast(last)).withColumn("id", (F.col("_last") + F.col("n")).cast("long")).select(*log.columns))
+
+
+def remove(table: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:
+    """A keyed table without the given keys."""
+    return table.join(gone.select(key), key, "left_anti")
+
+
+def rewrite_paths(table: DataFrame, new: Column) -> tuple[DataFrame, DataFrame]:
+    """(table under rewritten paths, one row: renamed and whether the version restarts).
+
+    Of rows that come to one path the one that had it stays, else the first by
+    its old path; any rename sets the stored version back to 0.
+    """
+    rows = table.withColumn("_new", new)
+    changed = F.col("_new") != F.col("path")
+    kept = rows.groupBy("_new").agg(F.min(F.struct(changed.alias("moved"), "path"))["path"].alias("_kept"))
+    out = rows.join(kept, "_new").where(F.col("path") == F.col("_kept"))
+    renamed = rows.agg(F.count_if(changed).alias("renamed")).select("renamed", (F.col("renamed") > 0).alias("restart"))
+    return out.select(F.col("_new").alias("path"), *(c for c in table.columns if c != "path")), renamed
+
+
+def filter_listing(listed: DataFrame, allowed: Column) -> DataFrame:
+    """A listing's allowed rows without conflict copies; folders stay."""
+    return listed.where(F.col("is_dir") | (allowed & ~is_conflict("path")))
+
+
+def confirmed_parents(wanted: DataFrame, tree: DataFrame) -> DataFrame:
+    """path, confirmed: whether walking the tree (id, path) to a parent's path ends at its listed id."""
+    at = wanted.join(tree.select(F.col("path").alias("parent"), F.col("id").alias("_found")), "parent", "left")
+    return at.select("path", F.coalesce(F.col("_found") == F.col("parent_id"), F.col("parent") == "").alias("confirmed"))
+
+
+def dedup_inputs(local: DataFrame, hashes: DataFrame, base: DataFrame) -> DataFrame:
+    """path, hash, size, file_id, create_time of local files, for finding duplicates."""
+    rows = local.select("path", "size").join(hashes.select("path", "hash"), "path", "left").join(base.select("path", "file_id", "create_time"), "path", "left")
+    return rows.select("path", F.coalesce("hash", F.lit("")).alias("hash"), "size", F.coalesce("file_id", F.lit("")).alias("file_id"), F.coalesce("create_time", F.lit(0).cast("long")).alias("create_time"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import convert, diff, names, text
-from skerry.operators import dedup, health, hydrate, moves, reconcile, state, trees
+from skerry.operators import dedup, health, hydrate, moves, reconcile, reports, state, trees
 from skerry.plans import sync
 from skerry.sources import readers
 from skerry.sources.workload import DAY, SYNCED_AT, epoch, paths, snapshots, table
@@ -341,15 +341,14 @@ def map_names(spark, sf):
 @query
 def ext_counts(spark, sf):
     url = F.regexp_extract("url", r"^[a-z]+://[^/]+/?([^?#]*)", 1)
-    return table(spark, sf, "pages").groupBy(F.when(names.extension(url) == "", "(no ext)").otherwise(names.extension(url)).alias("ext")).agg(F.count("*").alias("n"))
+    return reports.extension_counts(table(spark, sf, "pages"), url)
 
 
 @query
 def local_stats(spark, sf):
     p = paths(spark, sf).select(F.regexp_replace("path", r"\.md$", F.lit("")).alias("stem"), "doc_id", F.length("text").alias("size"))
     path = F.concat(F.when(F.col("doc_id") % 4 == 3, F.lit("a/images/")).otherwise(""), "stem", F.element_at(F.array(*map(F.lit, (".md", ".note", ".txt", ".png"))), (F.col("doc_id") % 4 + 1).cast("int")))
-    kind = F.when(names.extension(path) == "md", "md").when(names.extension(path) == "note", "note").when(path.contains("/images/") | path.contains("/attachments/"), "images").otherwise("other")
-    return p.select(kind.alias("category"), "size").groupBy("category").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return reports.local_categories(p, path)
 
 
 @query
@@ -590,8 +589,7 @@ def preferred_names(spark, sf):
 def note_pairs(spark, sf):
     """Stems that have both a Markdown and a note file."""
     d = paths(spark, sf)
-    files = d.select(names.stem("name").alias("stem"), F.lit("md").alias("ext")).unionByName(d.where("doc_id % 3 = 0").select(names.stem("name").alias("stem"), F.lit("note").alias("ext")))
-    return files.groupBy("stem").agg(F.count_if(F.col("ext") == "md").alias("md"), F.count_if(F.col("ext") == "note").alias("note")).where("md > 0 AND note > 0").select("stem")
+    return reports.doubled_notes(d.select("name").unionByName(d.where("doc_id % 3 = 0").select(F.concat(names.stem("name"), F.lit(".note")).alias("name"))))
 
 
 # --- whole reconciliations ---------------------------------------------------------------

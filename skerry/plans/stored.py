@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import convert, names, text
-from skerry.operators import hydrate, reconcile, reports, state, store, trees
+from skerry.operators import health, hydrate, reconcile, reports, state, store, trees
 from skerry.plans.queries import _refined, _tree, query
 from skerry.sources import readers
 from skerry.sources.workload import SYNCED_AT, epoch, paths, snapshots, table
@@ -456,3 +456,110 @@ def empty_groups(spark, sf):
 def log_retention(spark, sf):
     log = table(spark, sf, "events").select(F.col("event_id").alias("id"), epoch("ts").alias("timestamp"), F.col("event_type").alias("action"))
     return state.log_after(log, 1_704_067_200 + 86_400 * 3).groupBy("action").agg(F.count("*").alias("n"))
+
+
+# --- logs, removals, pages, reports ---------------------------------------------------------
+
+
+@query
+def stored_dirs(spark, sf):
+    return _dirs(spark, sf).where("dir_id <> ''").select("path", "dir_id")
+
+
+@query
+def log_appended(spark, sf):
+    log = table(spark, sf, "events").where("event_id % 4 = 0").select(F.col("event_id").alias("id"), epoch("ts").alias("timestamp"), F.lit("p").alias("path"), F.lit("old").alias("action"))
+    rows = paths(spark, sf).select(F.lit(NOW).cast("long").alias("timestamp"), "path", F.lit("new").alias("action"))
+    return store.append_log(log, rows).where("action = 'new'").select("id", "path")
+
+
+@query
+def rows_removed(spark, sf):
+    s = snapshots(spark, sf)
+    return store.remove(s.base, s.local).select("path")
+
+
+def _rewritten(spark, sf):
+    d = paths(spark, sf)
+    odd = d.select(F.when(_i() % 3 == 0, F.replace("path", F.lit("/"), F.lit("\\"))).otherwise(F.col("path")).alias("path"), _i().alias("v"))
+    return store.rewrite_paths(odd.unionByName(d.where(_i() % 6 == 0).select("path", (-_i()).alias("v"))), names.normalize_separators("path"))
+
+
+@query
+def paths_rewritten(spark, sf):
+    return _rewritten(spark, sf)[0]
+
+
+@query
+def paths_rewritten_counts(spark, sf):
+    return _rewritten(spark, sf)[1]
+
+
+@query
+def listing_filtered(spark, sf):
+    d = paths(spark, sf)
+    rows = d.select(F.when(_i() % 7 == 0, F.concat("path", F.lit(".conflict.md"))).otherwise(F.col("path")).alias("path"), F.lit(False).alias("is_dir")).unionByName(_dirs(spark, sf).select("path", F.lit(True).alias("is_dir")))
+    return store.filter_listing(rows, names.allowed("path", include=["*.md"], exclude=["src1/*"]))
+
+
+@query
+def parents_confirmed(spark, sf):
+    tree = _books(spark, sf)[1]
+    wanted = table(spark, sf, "customer").select(F.col("c_name").alias("path"), F.concat(F.lit("n"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey"))).alias("parent_id"), F.concat(F.lit("n"), "c_nationkey").alias("id"))
+    at = wanted.join(tree, "id").select(wanted["path"], "parent_id", tree["path"].alias("parent"))
+    return store.confirmed_parents(at, tree)
+
+
+@query
+def dedup_inputs(spark, sf):
+    s = snapshots(spark, sf)
+    return store.dedup_inputs(s.local, s.local.where("mtime % 2 = 0").select("path", F.col("local_hash").alias("hash")), s.base)
+
+
+@query
+def recent_page(spark, sf):
+    return feed.recent(table(spark, sf, "events").select(F.col("event_id").alias("version"), "user_id"))
+
+
+@query
+def scans_due(spark, sf):
+    state_ = table(spark, sf, "events").select(F.col("event_id").alias("key"), (F.col("event_id") % 5).alias("version"), (F.col("event_id") % 3 - 1).alias("empty_ids"), (F.col("event_id") * 7).alias("age"), (F.col("event_id") % 2).alias("synced"))
+    return feed.scan_due(state_)
+
+
+@query
+def gc_removed(spark, sf):
+    s = snapshots(spark, sf)
+    log = table(spark, sf, "events").select(F.col("event_id").alias("id"), epoch("ts").alias("timestamp"))
+    refs = s.base.select(F.col("path").alias("source_path"), F.concat("path", F.lit(".png")).alias("ref_path"))
+    return health.gc_rows(s.base, s.local, log, refs, now=1_706_600_000 + 60 * 86_400)
+
+
+@query
+def top_extensions(spark, sf):
+    name = F.concat(F.lit("n."), (F.col("p_partkey") % 13).cast("string"))
+    return reports.extension_counts(table(spark, sf, "part"), name, 10)
+
+
+@query
+def duplicate_summary(spark, sf):
+    d = paths(spark, sf).select(F.concat(F.lit("g"), _i() % 40).alias("name"), (_i() % 40).alias("k"))
+    groups = d.groupBy("name", "k").agg(F.count("*").alias("n")).withColumn("category", F.when(F.col("k") % 3 == 0, "identical").when(F.col("k") % 3 == 1, "crlf_only").otherwise("real_diff"))
+    return reports.duplicate_summary(groups.select("name", "n", "category"), 5)
+
+
+@query
+def dry_run_report(spark, sf):
+    return reports.dry_run_lines(reconcile.plan(_refined(spark, sf), propagate_deletes=True))
+
+
+@query
+def audio_notes(spark, sf):
+    note = F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), (_i() % 3 * 100).cast("int")), F.lit('","recordList":[{"id":'), _i(), F.when(_i() % 5 == 0, F.lit("")).otherwise("}]}"))
+    return paths(spark, sf).select("doc_id", F.coalesce(reports.is_audio_note(note), F.lit(False)).alias("audio"))
+
+
+@query
+def watched_changes(spark, sf):
+    change = F.concat(F.when(_i() % 4 == 0, F.lit(".git/")).otherwise(""), "name", F.element_at(F.array(*map(F.lit, ("", ".conflict.md", ".db"))), (_i() % 3 + 1).cast("int")))
+    return feed.watched(paths(spark, sf).select("doc_id", change.alias("path"))).select("doc_id")

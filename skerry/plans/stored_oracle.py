@@ -102,4 +102,23 @@ SELECT phase, ms, CASE WHEN ms < 1000 THEN printf('%.1fms', ms::DOUBLE) ELSE pri
     "recovery_verdicts": FILES + " SELECT name, CASE WHEN doc_id % 2 <> 0 THEN 'desktop_checked_no_matching_rows' WHEN doc_id % 4 <> 0 THEN 'desktop_rows_no_backup_versions' ELSE 'backup_versions_exist' END AS verdict FROM d",
     "empty_groups": FILES + " SELECT 'h' || doc_id % 11 AS hash, arg_min(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id END, path) = 0 AS skip FROM d GROUP BY 1",
     "log_retention": "SELECT event_type AS action, count(*) AS n FROM events WHERE floor(epoch(ts)) >= 1704067200 + 86400 * 3 GROUP BY 1",
+    "stored_dirs": FILES + DIRS + " SELECT path, dir_id FROM dirs",
+    "log_appended": FILES + ", l AS (SELECT max(event_id) AS m FROM events WHERE event_id % 4 = 0) SELECT m + row_number() OVER (ORDER BY path) AS id, path FROM d, l",
+    "rows_removed": SNAPSHOTS + " SELECT path FROM base WHERE path NOT IN (SELECT path FROM local)",
+    "paths_rewritten": FILES + " SELECT path, CASE WHEN doc_id % 6 = 0 THEN -doc_id ELSE doc_id END AS v FROM d",
+    "paths_rewritten_counts": "SELECT count(*) FILTER (doc_id % 3 = 0) AS renamed, true AS restart FROM documents",
+    "listing_filtered": FILES + DIRS + " SELECT path, false AS is_dir FROM d WHERE doc_id % 7 <> 0 AND path NOT LIKE 'src1/%' UNION ALL SELECT path, true FROM dirs",
+    "parents_confirmed": "SELECT c_name AS path, c_custkey % 3 <> 0 AS confirmed FROM customer",
+    "dedup_inputs": SNAPSHOTS + " SELECT path, CASE WHEN mtime % 2 = 0 THEN local_hash ELSE '' END AS hash, size, coalesce(file_id, '') AS file_id, coalesce(create_time, 0) AS create_time FROM local LEFT JOIN base USING (path)",
+    "recent_page": "SELECT event_id AS version, user_id FROM events ORDER BY event_id DESC LIMIT 30",
+    "scans_due": "SELECT event_id AS key, event_id % 5 <= 0 OR event_id % 3 - 1 > 0 OR event_id * 7 >= 3600 AS due, event_id * 7 < 60 AND event_id % 2 = 0 AS fresh FROM events",
+    "gc_removed": SNAPSHOTS + """, now AS (SELECT 1706600000 + 60 * 86400 AS n)
+SELECT 'file' AS kind, path AS key FROM base, now WHERE last_sync_at > 0 AND last_sync_at < n - 30 * 86400 AND path NOT IN (SELECT path FROM local)
+UNION ALL SELECT 'log', event_id::VARCHAR FROM events, now WHERE floor(epoch(ts)) < n - 90 * 86400 UNION ALL SELECT 'reference', path FROM base WHERE path NOT IN (SELECT path FROM local)""",
+    "top_extensions": "SELECT (p_partkey % 13)::VARCHAR AS ext, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, ext LIMIT 10",
+    "duplicate_summary": """WITH g AS (SELECT 'g' || doc_id % 40 AS name, doc_id % 40 AS k, count(*) AS n FROM documents GROUP BY ALL),
+c AS (SELECT name, n, ['identical', 'crlf_only', 'real_diff'][k % 3 + 1] AS category FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, name) AS i FROM c) SELECT name, n, category FROM r WHERE i <= 5""",
+    "dry_run_report": PLANNED + " SELECT CASE action WHEN 'download' THEN 1 WHEN 'upload' THEN 2 ELSE 3 END AS phase, action, '- ' || path || ' (' || state || ')' AS line FROM planned WHERE action <> 'skip'",
+    "audio_notes": "SELECT doc_id, doc_id % 3 < 2 AND doc_id % 5 <> 0 AS audio FROM documents",
+    "watched_changes": "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 3 = 0",
 }

@@ -36,6 +36,19 @@ def coverage(feed: DataFrame, stored: int) -> DataFrame:
     return feed.agg(F.count_if(F.col("version") > stored).alias("fresh"), (F.count_if(F.col("version") <= stored) == 0).alias("overflow"))
 
 
+def recent(feed: DataFrame, most: int = 30) -> DataFrame:
+    """A page of the feed: the newest ``most`` rows."""
+    return feed.orderBy(F.desc("version")).limit(most)
+
+
+def scan_due(state: DataFrame, most_age: int = 3600) -> DataFrame:
+    """key, due: whether a full scan is due, by version, age and rows without an id
+    (:func:`needs_full_scan` over columns); key, fresh: whether a scan is so new, and
+    nothing synced since, that the stored listing serves."""
+    due = (F.col("version") <= 0) | (F.col("empty_ids") > 0) | (F.col("age") >= most_age)
+    return state.select("key", due.alias("due"), ((F.col("age") < 60) & (F.col("synced") == 0)).alias("fresh"))
+
+
 def apply_feed(snapshot: DataFrame, feed: DataFrame, stored: int, key: str = "id") -> DataFrame:
     """The snapshot with the newest row of each key of the feed beyond ``stored``."""
     fresh = latest(feed.where(F.col("version") > stored), key)
