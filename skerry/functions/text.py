@@ -15,13 +15,13 @@ from skerry.functions.names import BLANKS, MARKDOWN_EXTENSIONS, SPACE, col, exte
 
 # Fixed value: characters that a backslash may stand before without meaning.
 ESCAPABLE = "[]_$~&*#{}|.!()"
-LEAD = f"(?:{SPACE}|>)*"  # indentation and quote marks before a list item
+QUOTED = f"[{SPACE[1:-1]}>]*+"  # indentation and quote marks before a line's own text
+RULERS = "|".join(f"(?:{mark}{SPACE}*+){{3,}}" for mark in (r"\*", "-"))
 
 
 def is_table_rule(line: Column) -> Column:
     """A row of pipes, dashes and colons that begins and ends with a pipe."""
-    rest = F.translate(line, BLANKS + "|:-", "")
-    return line.startswith("|") & line.endswith("|") & (F.length(line) > 2) & (rest == "")
+    return line.startswith("|") & line.endswith("|") & line.rlike(f"^[{SPACE[1:-1]}:|-]{{3,}}$")
 
 
 def _cells(line: Column, change: Callable[[Column], Column]) -> Column:
@@ -44,18 +44,16 @@ def normalize_markdown(text: Column | str) -> Column:
     Each step is one pass over the array of lines, so a line's value is computed
     once a step; nothing leaves the built-in expressions.
     """
-    parts = F.transform(F.split(col(text), "\n"), lambda s: F.struct(F.rtrim(s, F.lit(BLANKS)).alias("line"), F.translate(s, BLANKS, "").alias("bare")))
-    parts = F.filter(parts, lambda p: F.translate(p["bare"], ">", "") != "")
-
-    def spelled(p: Column) -> Column:
-        line, bare = p["line"], p["bare"]
-        ruler = (F.length(bare) > 2) & ((F.translate(bare, "*", "") == "") | (F.translate(bare, "-", "") == ""))
-        fence = bare.startswith("```") & trim(line).rlike(r"^.{3}\w*$")
-        return F.when(fence, "---fence---").when(ruler, "---").when(is_table_rule(line), _cells(line, _rule_cell)).otherwise(line)
-
-    lines = F.transform(parts, spelled)
-    lines = F.transform(lines, lambda s: F.regexp_replace(s, rf"^({LEAD})\*(?={SPACE})", "$1-"))
-    lines = F.transform(lines, lambda s: F.ltrim(F.regexp_replace(s, rf"^({LEAD}(?:-|\d+\.)){SPACE}{{2,}}", "$1 "), F.lit(BLANKS)))
+    def spelled(line: Column) -> Column:
+        special = line.rlike(f"^{SPACE}*+[`*|-]")
+        fence, ruler = line.rlike(rf"^{SPACE}*+```\w*$"), line.rlike(f"^{SPACE}*+(?:{RULERS})$")
+        spelling = F.when(fence, "---fence---").when(ruler, "---").when(is_table_rule(line), _cells(line, _rule_cell)).otherwise(line)
+        return F.when(special, spelling).otherwise(line)
+
+    lines = F.transform(F.split(col(text), "\n"), lambda s: F.rtrim(s, F.lit(BLANKS)))
+    lines = F.transform(F.filter(lines, lambda s: ~s.rlike(f"^{QUOTED}$")), spelled)
+    lines = F.transform(lines, lambda s: F.regexp_replace(s, rf"^({QUOTED})\*(?={SPACE})", "$1-"))
+    lines = F.transform(lines, lambda s: F.ltrim(F.regexp_replace(s, rf"^({QUOTED}(?:-|\d++\.)){SPACE}{{2,}}", "$1 "), F.lit(BLANKS)))
     lines = F.transform(lines, lambda s: F.when(s.startswith("|"), _cells(s, trim)).otherwise(s))
     lines = F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(s, " {2,}", " "), rf"\\([{re.escape(ESCAPABLE)}])", "$1"))
     return F.array_join(F.transform(lines, lambda s: F.translate(F.regexp_replace(s, "<(https?://[^>]+)>", "$1"), "`", "")), "\n")
