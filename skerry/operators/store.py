@@ -13,6 +13,7 @@ from skerry.functions.names import cached_name, extension, is_conflict, join_pat
 from skerry.operators.reconcile import usable
 from skerry.operators.state import cache_remote, last_writer_wins, linked, upsert
 from skerry.sources.staging import numbered
+from skerry.streaming.feed import is_usable
 
 DIRS = ("path", "dir_id", "parent_id")
 
@@ -85,14 +86,12 @@ def scan_phase(live: DataFrame, base: DataFrame, dirs: DataFrame, full: bool, al
 
 
 def replace_listing(stored: DataFrame, live: DataFrame) -> DataFrame:
-    """The live listing, unless it lost more than half of the stored one: then an error.
-
-    The check is a one-row table, so both are decided in one query.
-    """
-    counts = live.agg(F.count("*").alias("_live")).crossJoin(stored.agg(F.count("*").alias("_prior")))  # one row each
-    good = (F.col("_live") > 0) & ((F.col("_prior") == 0) | (2 * F.col("_live") >= F.col("_prior")))
-    checked = counts.where(F.when(good, True).otherwise(F.raise_error(F.format_string("live listing of %d rows against %d", "_live", "_prior")).cast("boolean")))
-    return live.join(F.broadcast(checked.select(F.lit(1).alias("_ok"))), how="left_semi", on=F.col("_ok") == 1)
+    """The live listing, unless it is empty or lost more than half of the stored
+    one: then an error, before anything is replaced."""
+    now, prior = live.count(), stored.count()
+    if not is_usable(now, prior):
+        raise ValueError(f"live listing of {now} rows against {prior}")
+    return live
 
 
 def current_cache(cache: DataFrame, stored_version: str, version: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from skerry.functions import convert, names, text
 from skerry.operators import health, hydrate, reconcile, reports, state, store, trees
 from skerry.plans.queries import _refined, _tree, query
 from skerry.sources import readers
+from skerry.sources.staging import shared_dir
 from skerry.sources.workload import SYNCED_AT, epoch, paths, snapshots, table
 from skerry.streaming import feed
 
@@ -563,3 +566,31 @@ def audio_notes(spark, sf):
 def watched_changes(spark, sf):
     change = F.concat(F.when(_i() % 4 == 0, F.lit(".git/")).otherwise(""), "name", F.element_at(F.array(*map(F.lit, ("", ".conflict.md", ".db"))), (_i() % 3 + 1).cast("int")))
     return feed.watched(paths(spark, sf).select("doc_id", change.alias("path"))).select("doc_id")
+
+
+# --- files --------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def local_files(spark, sf):
+    """Documents written as text files in a folder for each language, then scanned."""
+    folder = _folder(spark, "files")
+    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(folder)
+    files = readers.local_files(spark, folder)
+    return files.groupBy(names.dirname("path").alias("folder")).agg(F.sum("size").alias("bytes"), F.sum(F.octet_length("content").cast("long")).alias("read"))
+
+
+@query
+def cpu_profile(spark, sf):
+    """Profiles in JSON, written and analysed together."""
+    folder = _folder(spark, "profile")
+    k = F.col("p_partkey")
+    frame = F.struct(F.col("p_name").alias("functionName"), F.lit("u").alias("url"), F.lit(1).alias("lineNumber"))
+    p = table(spark, sf, "part").groupBy(F.expr("p_partkey div 1000").alias("file"))  # a profile of 1,000 nodes in each file
+    lists = p.agg(F.collect_list(F.struct(k.alias("id"), frame.alias("callFrame"))).alias("nodes"), F.collect_list(F.struct(k.alias("id"), (k % 50).alias("d"))).alias("s"))
+    lists.select("file", "nodes", F.col("s.id").alias("samples"), F.col("s.d").alias("timeDeltas")).repartition("file").write.partitionBy("file").json(folder)
+    return readers.cpu_profile(spark, folder).select("id", "function", "self_time", "pct")

@@ -146,4 +146,7 @@ c AS (SELECT name, n, ['identical', 'crlf_only', 'real_diff'][k % 3 + 1] AS cate
     "audio_notes": "SELECT doc_id, doc_id % 3 < 2 AND doc_id % 5 <> 0 AS audio FROM documents",
     "watched_changes": "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 3 = 0",
     "html_to_md": HTML_TO_MD,
+    "local_files": "WITH n AS (SELECT 'lang=' || lang AS folder, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents GROUP BY 1) SELECT folder, bytes, bytes AS read FROM n",
+    "cpu_profile": """WITH p AS (SELECT p_partkey AS id, p_name AS function, p_partkey % 50 AS d FROM part), t AS (SELECT sum(d) AS total FROM p)
+SELECT id, function, d::BIGINT AS self_time, round(100.0 * d / total, 4) AS pct FROM p, t""",
 }
