@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.names import basename, dirname, is_asset
 from skerry.operators.reconcile import usable
+from skerry.sources.staging import written
 
 
 def groups(files: DataFrame) -> DataFrame:
@@ -62,23 +63,41 @@ def categories(files: DataFrame) -> DataFrame:
     return per.select("name", "n", category.alias("category"))
 
 
-def directory_pairs(files: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs of directories with ``least`` common hashes or more.
+def directory_links(files: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links (class_a, class_b, shared) between classes of
+    directories with ``least`` common hashes or more, a class with itself too;
+    members (dir, class) of classes with ``least`` hashes.
 
-    A self-join on the hash over distinct (directory, hash) rows.  The ``least`` - 1
-    hashes of most directories (an empty file's, say) make no pair by themselves,
-    since a pair needs one more; they are left out of the join and their share is
-    added from a short list that each directory brings along.
+    Directories with the same hashes are one class, so equal folders make one row
+    however many they are.  A class is looked up by its rarest hashes only: of n
+    hashes, the ``least`` - 1 most common can't make a pair without one of the
+    others, which two similar classes share if their orders are the same.  What
+    two classes share is counted on their whole sets, once for each pair.
     """
     own = files.where("hash <> ''").select(dirname("path").alias("dir"), "hash").distinct()
-    common = own.groupBy("hash").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "hash").limit(max(0, least - 1)).select("hash")
-    listed = own.join(F.broadcast(common), "hash", "left_semi").groupBy("dir").agg(F.collect_set("hash").alias("common"))  # least - 1 at most
-    rare = own.join(F.broadcast(common), "hash", "left_anti").join(listed, "dir", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
-    side = lambda x: rare.select(F.col("dir").alias(f"dir_{x}"), "hash", F.col("common").alias(f"common_{x}"))
-    pairs = side("a").join(side("b"), "hash").where("dir_a < dir_b")
-    more = F.size(F.array_intersect("common_a", "common_b"))
-    counted = pairs.groupBy("dir_a", "dir_b").agg((F.count("*") + F.first(more)).alias("shared"))
-    return counted.where(F.col("shared") >= least)
+    sets = written(own.groupBy("dir").agg(F.sort_array(F.collect_set("hash")).alias("hashes")).where(F.size("hashes") >= least).withColumn("class", F.sha2(F.concat_ws("|", "hashes"), 256)), "sets")
+    classes = written(sets.groupBy("class").agg(F.first("hashes").alias("hashes")), "classes")  # equal in a class
+    listed = classes.select("class", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    rarity = listed.groupBy("hash").agg(F.count("*").alias("of"))
+    place = Window.partitionBy("class").orderBy("of", "hash")  # a folder's hashes
+    prefix = written(listed.join(rarity, "hash").withColumn("at", F.row_number().over(place)).where(F.col("at") <= F.col("n") - (least - 1)).select("class", "n", "hash", "at"), "prefixes")
+    side = lambda x: prefix.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "at")))
+    # at their first common hash, what follows on both sides must still be enough
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1
+    candidates = side("a").join(side("b"), "hash").where("class_a < class_b").groupBy("class_a", "class_b").agg(F.max(room).alias("room")).where(F.col("room") >= least)
+    whole = lambda x: classes.select(F.col("class").alias(f"class_{x}"), F.col("hashes").alias(f"hashes_{x}"))
+    shared = candidates.join(whole("a"), "class_a").join(whole("b"), "class_b").select("class_a", "class_b", F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long").alias("shared"))
+    itself = classes.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.size("hashes").cast("long").alias("shared"))
+    return shared.where(F.col("shared") >= least).unionByName(itself), sets.select("dir", "class")
+
+
+def directory_pairs(files: DataFrame, least: int = 3) -> DataFrame:
+    """Pairs of directories with ``least`` common hashes or more, written out from
+    the links of their classes."""
+    links, members = directory_links(files, least)
+    both = links.unionByName(links.where("class_a <> class_b").select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), "shared"))
+    side = lambda x: members.select(F.col("dir").alias(f"dir_{x}"), F.col("class").alias(f"class_{x}"))
+    return both.join(side("a"), "class_a").join(side("b"), "class_b").where("dir_a < dir_b").select("dir_a", "dir_b", "shared")
 
 
 def orphans(local: DataFrame, remote: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.names import basename, dirname, sanitize
@@ -69,13 +69,15 @@ def by_hash(old: DataFrame, new: DataFrame) -> DataFrame:
     return first.unionByName(_by_rank(rest, new.join(first.select(F.col("new_path").alias("path")), "path", "left_anti"), "hash"))
 
 
-def _folders(path: str) -> list[str]:
-    return path.split("/")[:-1]
+def _shared(a: Column, b: Column) -> Column:
+    """How many leading folders two arrays have in common."""
+    first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
 
 
-def _shared(a: list[str], b: list[str]) -> int:
-    """How many leading folders are the same."""
-    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+def _folders(path: Column) -> Column:
+    parts = F.split(path, "/")
+    return F.slice(parts, 1, F.size(parts) - 1)
 
 
 def by_name(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -84,15 +86,26 @@ def by_name(old: DataFrame, new: DataFrame) -> DataFrame:
     Generic names and names of more than ``MAX_CANDIDATES`` new paths don't pair,
     paths without a common folder only if one is at the root and one candidate
     is left, and paths with two different known hashes only if the old one has a
-    file id.  Old paths choose in their order, each among what is left: a pass
-    over the sorted rows that keeps one name's few candidates at a time, so a
-    name with very many old paths needs no memory.
+    file id.  Old paths choose in their order, each among what is left.
+
+    How an old path chooses depends on nothing but the folders it shares with each
+    candidate, whether its hash allows each, and whether it is at the root.  There
+    are a few such kinds for a name, and a name's candidates can be won at most
+    ``MAX_CANDIDATES`` times, so each kind's first paths are all that matter: a
+    name with a million old paths is cut down to those before it is gathered.
     """
     key = F.lower(sanitize(basename("path")))
+    known = F.coalesce(usable(F.col("hash")), F.lit(""))
     counted = new.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where(F.col("n") <= MAX_CANDIDATES).select("k")
-    few = new.withColumn("k", key).join(counted, "k").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("path", F.coalesce(usable(F.col("hash")), F.lit("")).alias("hash")))).alias("found"))
+    few = new.withColumn("k", key).join(counted, "k").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("path", known.alias("hash")))).alias("found"))
+    few = written(few, "candidates")  # a plain shuffle, so that a very common name's join can be split
     linked = F.col("linked") if "linked" in old.columns else F.col("file_id") != ""
-    rows = old.withColumn("k", key).where(~F.col("k").isin(*GENERIC_NAMES)).select("k", "path", F.coalesce(usable(F.col("hash")), F.lit("")).alias("hash"), linked.alias("linked")).join(few, "k")
+    rows = old.withColumn("k", key).where(~F.col("k").isin(*GENERIC_NAMES)).select("k", "path", known.alias("hash"), linked.alias("linked")).join(few, "k")
+    here = _folders(F.col("path"))
+    kind = F.transform("found", lambda x: F.struct(_shared(here, _folders(x["path"])).alias("depth"), (F.col("linked") | (F.col("hash") == "") | (x["hash"] == "") | (F.col("hash") == x["hash"])).alias("allowed"), (F.size(_folders(x["path"])) == 0).alias("root")))
+    rows = rows.select("k", "path", (F.size(here) == 0).alias("root"), kind.alias("kind"), F.transform("found", lambda x: x["path"]).alias("found"))
+    first = Window.partitionBy("k", "root", "kind").orderBy("path")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MAX_CANDIDATES).drop("_n")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, left = None, []
@@ -100,17 +113,15 @@ def by_name(old: DataFrame, new: DataFrame) -> DataFrame:
             pairs = []
             for r in batch.to_pylist():
                 if r["k"] != name:
-                    name, left = r["k"], [(x["path"], x["hash"], _folders(x["path"])) for x in r["found"]]
-                here = _folders(r["path"])
-                depth = [_shared(here, x[2]) for x in left]
+                    name, left = r["k"], list(range(len(r["found"])))
                 if not left:
                     continue
-                at = depth.index(max(depth))
-                path, other, there = left[at]
-                near = depth[at] > 0 or (len(left) == 1 and not (here and there))
-                if near and (not r["hash"] or not other or r["hash"] == other or r["linked"]):
-                    pairs.append((r["path"], path))
-                    del left[at]
+                best = max(left, key=lambda j: r["kind"][j]["depth"])  # the first of the deepest
+                to = r["kind"][best]
+                near = to["depth"] > 0 or (len(left) == 1 and (r["root"] or to["root"]))
+                if near and to["allowed"]:
+                    pairs.append((r["path"], r["found"][best]))
+                    left.remove(best)
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["old_path", "new_path"])
 
     return rows.repartition("k").sortWithinPartitions("k", "path").mapInArrow(choose, PAIRS)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,23 +13,44 @@ from skerry.functions.names import basename, dirname
 from skerry.sources.staging import written
 
 
-def tree_paths(nodes: DataFrame, most: int = 50) -> DataFrame:
+def tree_paths(nodes: DataFrame, most: int | None = 50) -> DataFrame:
     """id, path, depth of every node (id, parent_id, name) below a root (null
-    parent).  A node that is its own ancestor, or deeper than ``most``, has none.
-
-    One join a level over the level before, written to the shared folder, so the
-    number of nodes is not bounded.
+    parent).  A node on or below a cycle, below a parent that isn't there, or
+    deeper than ``most`` (None: any depth), has none; an id given more than once
+    counts with its least parent and name.
+
+    Pointers are doubled: after round r a folder knows what stands 2**r levels
+    above it, so a chain of a million folders takes twenty rounds.  Only folders
+    take part, and of those only the ones that haven't met their root.  A first
+    walk, without names, tells which folders have a root; only those are walked
+    again for their paths, so a cycle never makes a path grow.
     """
-    level = written(nodes.where("parent_id IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth")), "level")
-    below = nodes.where("id <> parent_id").select(F.col("id").alias("_id"), "parent_id", "name")
-    out = level
-    for depth in range(1, most + 1):
-        joined = level.join(below, level["id"] == below["parent_id"])
-        level = written(joined.select(F.col("_id").alias("id"), F.concat_ws("/", "path", "name").alias("path"), F.lit(depth).alias("depth")), "level")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    own = nodes.groupBy("id").agg(F.min(F.struct("parent_id", "name")).alias("n")).select("id", "n.*")
+    own = written(own, "nodes")
+    folders = written(own.join(own.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi"), "folders")
+    limit = folders.count() if most is None else min(most, folders.count())
+    start = folders.select("id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
+    depths = _doubled(start, limit, lambda mine, above: (mine + above).alias("depth"))
+    rooted = folders.join(depths.where(F.col("depth") <= limit).select("id", "depth"), "id")
+    names = _doubled(rooted.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path")), limit, lambda mine, above: F.concat_ws("/", above, mine).alias("path"))
+    placed = names.join(depths.select("id", "depth"), "id").select(F.col("id").alias("parent_id"), F.col("path").alias("_above"), (F.col("depth") + 1).alias("depth"))
+    roots = own.where("parent_id IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
+    below = own.join(placed, "parent_id").select("id", F.concat_ws("/", "_above", "name").alias("path"), "depth")
+    return roots.unionByName(below if most is None else below.where(F.col("depth") <= most))
+
+
+def _doubled(table: DataFrame, limit: int, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """Of (id, up, value): id and the value joined along all pointers up to a root
+    (null ``up``).  Rows whose pointers end nowhere, or not within ``limit`` steps, go."""
+    value = table.columns[2]
+    table, steps = written(table, "pointers"), 1
+    while True:
+        waiting = table.where("up IS NOT NULL")
+        if steps > 2 * limit or waiting.isEmpty():
+            return table.where("up IS NULL").drop("up")
+        above = table.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col(value).alias("_above"))
+        moved = waiting.join(above, "up").select("id", F.col("_up").alias("up"), join(F.col(value), F.col("_above")))
+        table, steps = written(table.where("up IS NULL").unionByName(moved), "pointers"), 2 * steps
 
 
 def listing(paths: DataFrame, depth: int) -> DataFrame:
@@ -67,6 +88,9 @@ def merkle(files: DataFrame, depths: int) -> DataFrame:
     """dir, tree_hash: md5 over each directory's children as ``name:hash``,
     sorted by name and joined by ``|``; a child without a hash is ``unknown``.
 
+    Names are sorted as people do in any language (the root collation of Unicode:
+    ``a`` before ``B``, punctuation before digits before letters), then by bytes.
+
     Built from the deepest directories up, one written level per depth; files
     (path, hash).  A directory's sorted children run through its digest one by
     one, so a very large directory needs no memory.
@@ -90,8 +114,9 @@ def merkle(files: DataFrame, depths: int) -> DataFrame:
 
     out = None
     for depth in range(depths, -1, -1):
-        here = children.where(depth_of(F.col("dir")) == depth).select("dir", F.concat("name", F.lit(":"), "hash").alias("line"))
-        level = written(here.repartition("dir").sortWithinPartitions("dir", "line").mapInArrow(digest, "dir string, tree_hash string"), "merkle")
+        here = children.where(depth_of(F.col("dir")) == depth).select("dir", F.concat("name", F.lit(":"), "hash").alias("line"), "name")
+        ordered = here.repartition("dir").sortWithinPartitions("dir", F.collate("name", "UNICODE"), "name").select("dir", "line")
+        level = written(ordered.mapInArrow(digest, "dir string, tree_hash string"), "merkle")
         out = level if out is None else out.unionByName(level)
         if depth:
             children = children.unionByName(level.select(dirname("dir").alias("dir"), basename("dir").alias("name"), F.col("tree_hash").alias("hash")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skerry.plans import stored  # noqa: F401, registers its queries
+from skerry.plans.live import LIVE
 from skerry.plans.oracle import ORACLE
 from skerry.plans.queries import QUERIES, Query
 from skerry.plans.stored_oracle import STORED
@@ -13,4 +14,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | STORED
+    return ORACLE | STORED | LIVE

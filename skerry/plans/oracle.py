@@ -136,10 +136,10 @@ def _sanitized(x: str) -> str:
 BLOCKS = """SELECT doc_id, CAST(k AS INT) AS block, CAST(k * 4096 AS INT) AS "offset", CAST(length(substring(text, k * 4096 + 1, 4096)) AS INT) AS length, md5(substring(text, k * 4096 + 1, 4096)) AS hash
 FROM {0}, unnest(range(0, CAST(ceil(length(text) / 4096.0) AS BIGINT))) AS u(k)"""
 
-MERKLE = FILES + """, leaves AS (SELECT dir, name || ':' || md5(text) AS line FROM d),
-two AS (SELECT dir, md5(string_agg(line, '|' ORDER BY line)) AS tree_hash FROM leaves GROUP BY dir),
-one AS (SELECT split_part(dir, '/', 1) AS dir, md5(string_agg(split_part(dir, '/', 2) || ':' || tree_hash, '|' ORDER BY split_part(dir, '/', 2) || ':' || tree_hash)) AS tree_hash FROM two GROUP BY 1),
-root AS (SELECT '' AS dir, md5(string_agg(dir || ':' || tree_hash, '|' ORDER BY dir || ':' || tree_hash)) AS tree_hash FROM one)
+MERKLE = FILES + """, leaves AS (SELECT dir, name, name || ':' || md5(text) AS line FROM d),
+two AS (SELECT dir, md5(string_agg(line, '|' ORDER BY name COLLATE en, name)) AS tree_hash FROM leaves GROUP BY dir),
+one AS (SELECT split_part(dir, '/', 1) AS dir, md5(string_agg(split_part(dir, '/', 2) || ':' || tree_hash, '|' ORDER BY split_part(dir, '/', 2) COLLATE en)) AS tree_hash FROM two GROUP BY 1),
+root AS (SELECT '' AS dir, md5(string_agg(dir || ':' || tree_hash, '|' ORDER BY dir COLLATE en)) AS tree_hash FROM one)
 SELECT * FROM two UNION ALL SELECT * FROM one UNION ALL SELECT * FROM root"""
 
 TREE = """WITH RECURSIVE nodes AS (

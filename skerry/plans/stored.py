@@ -84,12 +84,16 @@ def sync_recorded_log(spark, sf):
     return store.record_sync(snapshots(spark, sf).base, _done(spark, sf), NOW)[1].select("timestamp", "path", "action", "direction", "new_hash", "cloud_id")
 
 
-def _scan(spark, sf):
+def _scan_parts(spark, sf):
     s = snapshots(spark, sf)
     dirs = _dirs(spark, sf)
     folders = dirs.select("path", F.col("dir_id").alias("id"), "parent_id", F.col("path").alias("name"), F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("ctime"), F.lit(1).alias("domain"), F.lit(None).cast("string").alias("cloud_hash"), F.lit(True).alias("is_dir"))
     known = spark.createDataFrame([("cloud_version", "3"), ("other", "x")], "key string, value string")
-    return store.save_scan(s.base, dirs.where("path LIKE '%/en'").withColumn("dir_id", F.lit("old")), known, s.remote.withColumn("is_dir", F.lit(False)).unionByName(folders), 77, NOW)
+    return s.base, dirs.where("path LIKE '%/en'").withColumn("dir_id", F.lit("old")), known, s.remote.withColumn("is_dir", F.lit(False)).unionByName(folders)
+
+
+def _scan(spark, sf):
+    return store.save_scan(*_scan_parts(spark, sf), 77, NOW)
 
 
 @query
