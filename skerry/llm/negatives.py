@@ -126,7 +126,7 @@ def vectors(batch: pa.RecordBatch, scale: int, turn: np.ndarray, cuts: list[int]
         _, keep = np.unique(np.column_stack([id_.astype(np.int64), label.astype(np.int64), whole.view(np.int64)]), axis=0, return_index=True)
         id_, label, whole = id_[keep], label[keep], whole[keep]
     turned = whole @ turn
-    left = np.cumsum((turned * turned)[:, ::-1], axis=1)[:, ::-1]
+    left = np.cumsum(np.column_stack([turned * turned, np.zeros(len(turned))])[:, ::-1], axis=1)[:, ::-1]
     rest = np.sqrt(np.column_stack([left[:, c] for c in [0, *cuts]]))  # the first is the whole norm
     return Vectors(id_.astype(np.int64), label.astype(np.int64), whole, turned, rest)
 
@@ -145,6 +145,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def survivors(a: Vectors, x: Vectors, cuts: list[int], asked: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, row, score) of the pairs ``asked`` for with a score from the
     anchor's ``low`` to its ``high``."""
+    high = np.where(high >= 0.999 * MOST, np.inf, high)  # greater products count as MOST
     slack = 1e-10 * np.outer(a.rest[:, 0], x.rest[:, 0]) + 1e-6
     part = a.turned[:, : cuts[0]] @ x.turned[:, : cuts[0]].T
     reach = np.outer(a.rest[:, 1], x.rest[:, 1]) + slack
