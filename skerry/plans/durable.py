@@ -6,11 +6,11 @@ A store of a synchronised folder has the tables ``files`` (the baseline),
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 
 from skerry.operators import health
 from skerry.operators import store as tables
@@ -68,9 +68,11 @@ def put_state(store: Store, **values: int | str) -> int:
     return store.commit({"state": last_writer_wins(store.read("state"), state_rows(store.spark, **values), "key")})
 
 
-def follow_feed(store: Store, path: str, rescan: Callable[[int], DataFrame], checkpoint: str, table: str = "listing", key: str = "id", **options: str | int) -> StreamingQuery:
-    """Brings ``table`` of the store up to the feed in ``path``: one run over what
-    there is, continued by the next call with the same checkpoint.
+def follow_feed(store: Store, path: str, rescan: Callable[[int], DataFrame], checkpoint: str, table: str = "listing", key: str = "id", **options: str | int) -> int:
+    """Brings ``table`` of the store up to the feed in ``path``, and returns how many
+    batches that took; the next call with the same checkpoint continues.  A run
+    that finds a batch left unfinished does that one alone, so runs go on until
+    one has nothing to do.
 
     A batch's rows replace those with their key, the newest version first.  After
     a gap ``rescan(version)`` gives the whole table instead.  Table, version and
@@ -93,4 +95,8 @@ def follow_feed(store: Store, path: str, rescan: Callable[[int], DataFrame], che
         state = last_writer_wins(known, state_rows(store.spark, version=head["version"], reloads=state_value(store, "reloads") + head["reload"]), "key")
         store.commit({table: rows, "state": state}, writer=writer, batch=number)
 
-    return follow(feed_stream(store.spark, path, **options), apply, checkpoint, once=True)
+    for done in itertools.count():
+        run = follow(feed_stream(store.spark, path, **options), apply, checkpoint, once=True)
+        run.awaitTermination()
+        if not any(p["numInputRows"] for p in run.recentProgress):
+            return done

@@ -91,7 +91,7 @@ def _follow(spark: SparkSession, sf: str, reach: int) -> DataFrame:
     newest = lambda version: rows.where(F.col("version") <= version).groupBy("id").agg(F.max("version").alias("version"), F.max_by("name", "version").alias("name"))
     for low, high in ((0, last // 2), (last // 2, last - 20), (last - 20, last)):
         rows.where((F.col("version") > low) & (F.col("version") <= high)).write.mode("append").parquet(folder)
-        durable.follow_feed(store, folder, newest, checkpoint, reach=reach).awaitTermination()
+        durable.follow_feed(store, folder, newest, checkpoint, reach=reach)
     return store.read("listing").withColumn("reloads", F.lit(durable.state_value(store, "reloads")))
 
 
