@@ -18,9 +18,12 @@ sets have a Jaccard similarity of ``similarity`` per cent or more are linked.
    can't change the result and needs no check.
 4. A region with more classes than the window shows has lost candidates.  There
    every class outside the region's largest component is compared with the
-   whole region by signature, in blocks of ``BLOCK`` by ``BLOCK`` classes.  What
-   is alike is confirmed on full sets block by block, until a class is joined.
-   So the window caps nothing, and no table has a row for each pair of a crowd.
+   whole region by signature, in blocks of ``BLOCK`` by ``BLOCK`` classes.  This
+   only tells which classes have an alike one in a block; those go there again
+   with their full sets, and the block's task confirms pair after pair, skipping
+   what earlier links of the block have joined.  Tables hold a row for a class
+   in a block and a link for each join, never anything for a pair; the pairs of a
+   crowd that isn't joined are compared inside the tasks.
 
 A linked pair is missed only if no tree has it in one region (at the threshold a
 tree does with probability 0.51, so 24 trees miss one in 30 million), or if fewer
@@ -197,8 +200,8 @@ def candidates(classes: DataFrame, depth: int, window: int, least: int, partitio
     ordered = planted.repartitionByRange(partitions, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     shown = f"x {id_type}, y {id_type}, alike int, region binary"
     within = written(ordered.mapInArrow(ends, f"{shown}, tree int, key binary, sketch binary"), "ranges")
-    # 2 * window rows a range at most
-    borders = within.where("tree IS NOT NULL").select("tree", "key", F.col("x").alias("rep"), "sketch").repartition(1).sortWithinPartitions("tree", "key", "rep")
+    # a tree's borders lie together and in order
+    borders = within.where("tree IS NOT NULL").select("tree", "key", F.col("x").alias("rep"), "sketch").repartition(TREES, "tree").sortWithinPartitions("tree", "key", "rep")
     return within.where("tree IS NULL").select(*names).unionByName(borders.mapInArrow(neighbours, shown))
 
 
@@ -207,19 +210,33 @@ def _regions(tree: np.ndarray, prefix: np.ndarray) -> list[bytes]:
     return sorted({bytes([t]) + k.tobytes() for t, k in zip(tree.tolist(), prefix.astype(">u2"))})
 
 
+def _alike_places(row: np.ndarray, every: np.ndarray, low: np.ndarray, tree: int, depth: int, least: int, other: np.ndarray) -> np.ndarray:
+    """Places of the signatures in ``every`` (``low``: their lower halves) that are
+    alike and of an ``other`` component, the most alike first.  Pairs that a
+    tree before this one has in one region are left to that tree."""
+    alike = (every == row).sum(axis=1)
+    at = np.flatnonzero((alike >= least) & other)
+    if tree and len(at):
+        same = low[at] == (row & 0xFFFF).astype(np.uint16)
+        at = at[~same[:, _TREE_ORDER[:tree, :depth]].all(axis=2).any(axis=1)]
+    return at[np.argsort(-alike[at], kind="stable")]
+
+
+def _signatures_of(table: pa.Table, column: str) -> np.ndarray:
+    return _fixed(table[column], 4 * VALUES, "<u4")
+
+
 def crowded(classes: DataFrame, regions: DataFrame, depth: int, least: int) -> DataFrame:
-    """What still has to be confirmed in ``regions``: region, i, j, rep,
-    component and others (classes of other components that are alike), and each
-    of these others as a row of its own (others is null).
+    """Which classes still have to be confirmed in which block of ``regions``:
+    region, i, j, rep and own (whether the class is one of the block's askers).
 
     classes: rep, n_shingles, signature, component.  Of two components in a
     region, one at least isn't its largest; each of that one's classes meets the
-    whole region, in blocks (i, j).  A pair that shares several regions comes
-    from its first tree alone.  A row names all its partners, so the number of
-    rows grows with the classes and blocks, not with the pairs.
+    whole region, in blocks (i, j).  A block has a row at most for each of its
+    classes on either side.
     """
     id_type = dict(classes.dtypes)["rep"]
-    shown = f"region binary, i int, j int, rep {id_type}, component {id_type}, others array<{id_type}>"
+    shown = f"region binary, i int, j int, rep {id_type}, own boolean"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,28 +246,19 @@ def crowded(classes: DataFrame, regions: DataFrame, depth: int, least: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([bytes([t]) + k.tobytes() for k in prefix], pa.binary()), batch.column(0)], ["region", "rep"])
 
     def compare(key: tuple, some: pa.Table, every: pa.Table) -> pa.Table:
-        tree, rows, wanted = key[0].as_py()[0], [], set()
+        asking, wanted = [], np.zeros(every.num_rows, bool)
         if some.num_rows and every.num_rows:
-            x, y = (_fixed(c, 4 * VALUES, "<u4") for c in (some["own_signature"], every["signature"]))
-            ids, others, reps = some["own_component"].to_pylist(), np.array(every["component"].to_pylist(), object), every["rep"].to_pylist()
-            low, before = (y & 0xFFFF).astype(np.uint16), _TREE_ORDER[:tree, :depth]
+            x, y = _signatures_of(some, "own_signature"), _signatures_of(every, "signature")
+            ids, parts, low = some["own_component"].to_pylist(), np.array(every["component"].to_pylist(), object), (y & 0xFFFF).astype(np.uint16)
             for i, row in enumerate(x):
-                alike = (y == row).sum(axis=1)
-                at = np.flatnonzero((alike >= least) & (others != ids[i]))
-                if len(at):
-                    same = low[at] == (row & 0xFFFF).astype(np.uint16)
-                    at = at[~same[:, before].all(axis=2).any(axis=1)]
-                    at = at[np.argsort(-alike[at], kind="stable")]
+                at = _alike_places(row, y, low, key[0].as_py()[0], depth, least, parts != ids[i])
                 if len(at):
-                    rows.append((i, at.tolist()))
-                    wanted.update(at.tolist())
-        again = sorted(wanted)
-        k, n = pa.array([i for i, _ in rows], pa.int64()), len(rows) + len(again)
-        joined = lambda own, other: pa.concat_arrays([own.combine_chunks().take(k), other.combine_chunks().take(pa.array(again, pa.int64()))])
-        kind = every["rep"].type
-        partners = pa.array([[reps[x] for x in at] for _, at in rows] + [None] * len(again), pa.list_(kind)) if n else pa.array([], pa.list_(kind))
+                    asking.append(i)
+                    wanted[at] = True
+        reps = pa.concat_arrays([some["own_rep"].combine_chunks().take(pa.array(asking, pa.int64())), every["rep"].combine_chunks().filter(pa.array(wanted))])
+        n = len(reps)
         columns = [pa.array([key[0].as_py()] * n, pa.binary()), *(pa.array([key[c].as_py()] * n, pa.int32()) for c in (1, 2))]
-        return pa.table([*columns, joined(some["own_rep"], every["rep"]), joined(some["own_component"], every["component"]), partners], ["region", "i", "j", "rep", "component", "others"])
+        return pa.table([*columns, reps, pa.array(np.arange(n) < len(asking))], ["region", "i", "j", "rep", "own"])
 
     own = classes.select("rep", "signature").mapInArrow(spread, f"region binary, rep {id_type}").join(regions, "region")
     members = written(own.join(classes, "rep"), "crowds")
@@ -267,13 +275,14 @@ def crowded(classes: DataFrame, regions: DataFrame, depth: int, least: int) -> D
     return some.groupBy(*(f"own_{k}" for k in keys)).cogroup(every.groupBy(*keys)).applyInArrow(compare, shown)
 
 
-def joining(shown: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) that :func:`crowded` asks for, confirmed on full sets block by
-    block; within a block, pairs that earlier links already join are skipped."""
-    id_type, keys = dict(shown.dtypes)["rep"], ["region", "i", "j"]
-    rows = shown.join(full, "rep")
+def joining(asked: DataFrame, classes: DataFrame, full: DataFrame, similarity: int, depth: int, least: int) -> DataFrame:
+    """Links (a, b) between the classes that :func:`crowded` names, confirmed on full
+    sets block by block; within a block, pairs that earlier links already join
+    are skipped, so a block has fewer links than classes."""
+    id_type, keys = dict(asked.dtypes)["rep"], ["region", "i", "j"]
+    rows = asked.join(classes.select("rep", "signature", "component"), "rep").join(full, "rep")
 
-    def confirm(some: pa.Table, every: pa.Table) -> pa.Table:
+    def confirm(key: tuple, some: pa.Table, every: pa.Table) -> pa.Table:
         above: dict = {}
         found: list[tuple] = []
 
@@ -282,19 +291,21 @@ def joining(shown: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
                 c = above[c]
             return c
 
-        place = {r: k for k, r in enumerate(every["rep"].to_pylist())}
-        blobs, part = every["blob"].combine_chunks() if every.num_rows else [], every["component"].to_pylist()
-        for rep, c, wanted, blob in zip(*(some[f"own_{x}"].to_pylist() for x in ("rep", "component", "others", "blob")), strict=True):
-            x = np.frombuffer(blob, U64)
-            for k in (place[r] for r in wanted):
-                a, b = top(c), top(part[k])
-                if a != b and _alike(x, np.frombuffer(blobs[k].as_py(), U64), similarity):
-                    above[a] = b
-                    found.append((rep, every["rep"][k].as_py()))
+        if some.num_rows and every.num_rows:
+            x, y = _signatures_of(some, "own_signature"), _signatures_of(every, "signature")
+            low, reps, part = (y & 0xFFFF).astype(np.uint16), every["rep"].to_pylist(), every["component"].to_pylist()
+            parts, blobs = np.array(part, object), [np.frombuffer(b.as_buffer(), U64) for b in every["blob"].combine_chunks()]
+            for row, rep, c, blob in zip(x, some["own_rep"].to_pylist(), some["own_component"].to_pylist(), some["own_blob"].combine_chunks(), strict=True):
+                own = np.frombuffer(blob.as_buffer(), U64)
+                for k in _alike_places(row, y, low, key[0].as_py()[0], depth, least, parts != c).tolist():
+                    a, b = top(c), top(part[k])
+                    if a != b and _alike(own, blobs[k], similarity):
+                        above[a] = b
+                        found.append((rep, reps[k]))
         return pa.table([pa.array([p[i] for p in found], every["rep"].type) for i in (0, 1)], ["x", "y"])
 
-    some = rows.where("others IS NOT NULL").select(*(F.col(c).alias(f"own_{c}") for c in rows.columns))
-    every = rows.where("others IS NULL").drop("others")
+    some = rows.where("own").select(*(F.col(c).alias(f"own_{c}") for c in rows.columns))
+    every = rows.where("NOT own")
     found = some.groupBy(*(f"own_{k}" for k in keys)).cogroup(every.groupBy(*keys)).applyInArrow(confirm, f"x {id_type}, y {id_type}")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -365,9 +376,10 @@ def confirmed(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth: int = 3, window: int = 4, least: int = 38) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(docs, words), "signatures")
     classes = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
+    # ranges of about a million planted rows, and as many as shuffles have at least
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TREES * classes.count() >> 20)
     shown = written(candidates(classes, depth, window, least, partitions), "neighbours")
     pairs = written(shown.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("alike").alias("alike")), "candidates")
     repeated = _repeats(signed)
@@ -393,7 +405,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth
         labelled = classes.select("rep", "n_shingles", "signature").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n_shingles", "signature", F.coalesce("component", "rep").alias("component"))
         asked = written(crowded(labelled, regions, depth, least), "asked")
         if not asked.isEmpty():
-            more = written(joining(asked, sets_of(asked.select("rep")), similarity), "links")
+            more = written(joining(asked, labelled, sets_of(asked.select("rep")), similarity, depth, least), "links")
             if not more.isEmpty():
                 label = components(links.unionByName(more))
     named = classes.select("k1", "k2", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))

@@ -72,6 +72,35 @@ def test_near_duplicates(spark, words):
     assert [got[i] for i in range(len(texts))] == brute_components([t.lower() for t in texts], words, 80)
 
 
+def test_crowds_near_the_threshold_make_rows_by_class(spark, monkeypatch):
+    """No table grows with the pairs of a crowd, whose texts are alike but rarely linked."""
+    rng, sizes, crowded = random.Random(12), {}, neardup.crowded
+    base = [f"w{i}" for i in range(120)]
+
+    def text():
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+        return " ".join(w)
+
+    texts = [text() for _ in range(1200)]
+    counts: list[int] = []
+
+    def watched(classes, *rest):
+        out = neardup.written(crowded(classes, *rest), "watched")
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "crowded", watched)
+    for n in (300, 600, 1200):
+        counts.clear()
+        got = neardup.near_duplicates(frame(spark, texts[:n]), words=5, similarity=80).collect()
+        sizes[n] = sum(counts)
+        if n == 300:
+            assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(brute_components(texts[:n], 5, 80)))
+    assert sizes[600] <= 2.6 * sizes[300] and sizes[1200] <= 2.6 * sizes[600] and sizes[300] > 300
+
+
 def test_crowded_regions(spark, monkeypatch):
     """A window of one place and small blocks: the exact comparison must find the rest."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
