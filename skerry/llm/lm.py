@@ -243,8 +243,8 @@ def hot_rows(counts: DataFrame) -> DataFrame:
 
 
 def _key(doc_id: object, text: bytes) -> int:
-    """Names a document by its id and text."""
-    return xxhash.xxh64_intdigest(text, seed=xxhash.xxh64_intdigest(str(doc_id).encode())) - (1 << 63)
+    """Names a document by its id (null is unlike any) and text."""
+    return xxhash.xxh64_intdigest(text, seed=xxhash.xxh64_intdigest(b"" if doc_id is None else f"={doc_id}".encode())) - (1 << 63)
 
 
 def pair_rows(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, bits: int) -> DataFrame:
@@ -733,7 +733,7 @@ def scores(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, st
                 hit = at >= 0
                 doc, at, raw = t.doc[hit], at[hit], s.data.tobytes()
                 key = [_key(i, raw[a:b]) for i, a, b in zip(names[s.lo : s.hi], s.offsets.tolist(), s.offsets[1:].tolist(), strict=False)]
-                out.append(pa.StructArray.from_arrays([pa.array(key, pa.int64()), pa.array(np.bincount(t.doc, minlength=docs)), pa.array(np.bincount(doc, weights=known[at], minlength=docs).astype(np.int64)), *(pa.array(np.bincount(doc, weights=x[at], minlength=docs)) for x in (base, value))], fields=list(schema)))
+                out.append(pa.StructArray.from_arrays([pa.array(key, pa.int64()), pa.array(np.bincount(t.doc, minlength=docs)), pa.array(np.bincount(doc, weights=known[at], minlength=docs).astype(np.int64)), *(pa.array(np.bincount(doc, weights=x[at], minlength=docs).astype(np.float64)) for x in (base, value))], fields=list(schema)))
             yield pa.concat_arrays(out) if out else pa.array([], pa.struct(list(schema)))
 
     own.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}

@@ -61,9 +61,6 @@ def guess_cost(value: str, words: dict[str, int], longest: int) -> float:
     """
     low, n = value.lower(), len(value)
     brute = math.log10(26 * (value != low) + 26 * any("a" <= c <= "z" for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value) or 10)
-    dates = {}
-    for m in DATE.finditer(value):
-        dates.setdefault(m.end(), m.start())
     best, run, walk, before_run, before_walk = [0.0] * (n + 1), 1, 1, 0.0, 0.0
     for j in range(1, n + 1):
         cost = best[j - 1] + brute
@@ -72,8 +69,9 @@ def guess_cost(value: str, words: dict[str, int], longest: int) -> float:
             if rank is not None:
                 case = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 0.3 * (j - i)
                 cost = min(cost, best[i] + math.log10(rank + 1) + case + 0.3)
-        if j in dates:
-            cost = min(cost, best[dates[j]] + 4.6)
+        for i in range(max(0, j - 10), j - 3):  # a date may begin and end anywhere
+            if value[i].isdigit() and DATE.fullmatch(value, i, j):
+                cost = min(cost, best[i] + 4.6)
         run = run + 1 if j > 1 and value[j - 1] == value[j - 2] else 1
         if run >= 3:
             before_run = best[j - 3] if run == 3 else min(before_run, best[j - 3])

@@ -126,7 +126,7 @@ def test_text_ids_over_many_ranges(spark, monkeypatch):
 def plain_cost(value, words):
     low, n = value.lower(), len(value)
     brute = math.log10(26 * (value != low) + 26 * any("a" <= c <= "z" for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value) or 10)
-    dates = {m.span() for m in secrets.DATE.finditer(value)}
+    dates = {(a, b) for a in range(n) for b in range(a + 4, min(n, a + 10) + 1) if secrets.DATE.fullmatch(value[a:b])}
     best = [0.0] + [math.inf] * n
     row = lambda a, b: any(abs(r.find(a) - r.find(b)) == 1 for r in secrets.KEYBOARD if a in r and b in r)
     for j in range(1, n + 1):
@@ -158,6 +158,23 @@ def test_guess_costs():
         assert secrets.guess_cost(value, ranks, max(map(len, ranks))) == pytest.approx(plain_cost(value, ranks)), value
 
 
+def test_dates_that_overlap():
+    rng, ranks = random.Random(20), {"may": 0}
+    values = ["08220240131196802027", "120220240101", "2024-01-012024"] + ["".join(rng.choice("0123129-") for _ in range(20)) for _ in range(400)]
+    for value in values:
+        assert secrets.guess_cost(value, ranks, 3) == pytest.approx(plain_cost(value, ranks)), value
+    assert secrets.guess_cost(values[0], ranks, 3) < 13.3
+
+
+def test_lm_of_unusual_texts(spark):
+    """Slices without a heavy pair, and a null id beside the id "None" with the same text."""
+    rows = [("a", "the cat sat on the mat"), ("b", "the cat sat on the mat"), ("c", "zzz"), (None, "the cat"), ("None", "the cat"), ("", "the cat")]
+    for parts in (1, 3, 6):
+        got = lm.scores(spark.createDataFrame(rows, "doc_id string, text string").repartition(parts)).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or "") for r in got) == sorted((d is None, d or "") for d, _ in rows)
+        assert all(r["score"] < 0 for r in got)
+
+
 def test_guess_spans(spark):
     """Spans of kind guess are the credential values of the contexts that cost enough."""
     values = ["Xk9#mQ2$vL7!", "password123", "correcthorse", "Tr0ub4dor&3xQz", "aaaaaaaaaaaa", "qwertyuiop12"]
