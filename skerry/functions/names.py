@@ -264,6 +264,15 @@ def listed_time(mtime: Column | str) -> Column:
     return F.when(col(mtime) > 0, F.date_format(F.timestamp_millis(col(mtime).cast("long")), "yyyy-MM-dd HH:mm")).otherwise("-")
 
 
+def listing_line(id_: Column | str, name: Column | str, is_dir: Column | str, size: Column | str, mtime: Column | str) -> Column:
+    """What a listing shows of an entry: nulls as defaults, size and time as text too."""
+    size, mtime = (F.coalesce(col(c).cast("long"), F.lit(0).cast("long")) for c in (size, mtime))
+    folder = F.coalesce(col(is_dir), F.lit(False))
+    label = F.coalesce(F.nullif(col(name), F.lit("")), F.lit("(unnamed)"))
+    fields = {"id": col(id_), "name": label, "is_dir": folder, "size": size, "size_text": F.when(size > 0, file_size(size)).otherwise("-"), "modified": mtime, "time_text": listed_time(mtime), "type": F.when(folder, "folder").otherwise("file")}
+    return F.struct(*(value.alias(key) for key, value in fields.items()))
+
+
 def template(text: Column | str, values: dict[str, Column]) -> Column:
     """``{key}`` replaced by each key's value."""
     out = col(text)

@@ -119,3 +119,8 @@ def references(docs: DataFrame) -> DataFrame:
     rows = rows.where(~F.col("target").rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|/|#)"))
     clean = F.regexp_replace(F.col("target"), r"^\./|[?#].*$", "")
     return rows.select("source_path", F.concat_ws("/", F.nullif(F.col("dir"), F.lit("")), clean).alias("ref_path")).distinct()
+
+
+def reference_lists(edges: DataFrame) -> DataFrame:
+    """source_path, refs: the references of each document in order, each once."""
+    return edges.groupBy("source_path").agg(F.array_sort(F.collect_set("ref_path")).alias("refs"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,33 +99,6 @@ def table_candidates(base: DataFrame, local: DataFrame, prefix: str = "") -> Dat
     return notes.join(local.where(has_table("text")), "path", "left_semi").select("path", "file_id")
 
 
-def _nodes(note: str, each: Callable[[dict], None]) -> None:
-    try:
-        todo = [json.loads(note)]
-    except ValueError:
-        return
-    while todo:
-        node = todo.pop()
-        if isinstance(node, dict):
-            each(node)
-        todo += list(node.values())[::-1] if isinstance(node, dict) else node[::-1] if isinstance(node, list) else []
-
-
-def note_texts(note: Column | str) -> Column:
-    """All texts of a rich note at any depth, in order."""
-
-    @F.arrow_udf("array<string>")
-    def run(batch: pa.Array) -> pa.Array:
-        out = []
-        for x in batch.to_pylist():
-            found: list[str] = []
-            _nodes(x or "", lambda n, found=found: found.append(n["8"]) if isinstance(n.get("8"), str) and n["8"] else None)
-            out.append(found)
-        return pa.array(out, pa.list_(pa.string()))
-
-    return run(col(note))
-
-
 PARAGRAPHS = "array<struct<`5`:array<struct<`7`:array<struct<`8`:string>>>>>>"
 
 

@@ -1,24 +1,30 @@
-"""Queries of sources, streams and stores that live in the shared folder: paged
-listings, the followed feed, the watcher, and commits of several tables."""
+"""Queries of sources, streams and stores that live in the shared folder (paged
+listings, the followed feed, the watcher, commits of several tables, kept
+versions), and of trees and nested notes."""
 
 from __future__ import annotations
 
+import gzip
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.functions.names import basename
-from skerry.operators import trees
+from skerry.functions import names
+from skerry.operators import dedup, notes, trees
 from skerry.plans import durable
 from skerry.plans.oracle import SNAPSHOTS
 from skerry.plans.queries import query
 from skerry.plans.stored import NOW, _dirs, _done, _scan_parts
 from skerry.plans.stored_oracle import STORED
-from skerry.sources import listing
+from skerry.sources import listing, versions
 from skerry.sources.commit import Store
 from skerry.sources.staging import shared_dir
 from skerry.sources.workload import epoch, paths, snapshots, table
+from skerry.streaming import feed
 from skerry.streaming.watcher import triggers
 
 
@@ -44,7 +50,7 @@ def written_pages(spark: SparkSession, sf: str, broken: bool = False) -> str:
     entry = lambda id_, name, is_dir: F.struct(F.struct(id_.alias("id"), name.alias("name"), is_dir.alias("dir"), F.lit(7).alias("modifyTimeForSort"), F.lit(5).alias("createTimeForSort"), F.lit(1).alias("domain")).alias("fileEntry"))
     name = F.concat(F.when(i % 9 == 4, ".").otherwise(""), F.lit("n"), i, F.when(i % 2 == 0, ".note").otherwise(".md"))
     files = d.select("dir", "start", "kind", i.alias("at"), entry(F.concat(F.lit("f"), i), name, F.lit(False)).alias("e")).where((F.col("kind") != 3) | (F.col("start") != PAGE) | (i % PAGE < 2))
-    again = files.where(f"kind = 1 AND start = 0").withColumn("start", F.lit(PAGE).cast("long"))
+    again = files.where("kind = 1 AND start = 0").withColumn("start", F.lit(PAGE).cast("long"))
     files = files.where(f"kind <> 1 OR start <> {PAGE}").unionByName(again)
     pages = files.groupBy("dir", "start", "kind").agg(F.sort_array(F.collect_list(F.struct("at", "e"))).alias("es"))
     total = F.when(F.col("kind") == 2, 6).otherwise(1000)
@@ -197,7 +203,142 @@ def deep_paths(spark, sf):
     return trees.tree_paths(d.select(i.alias("id"), up.alias("parent_id"), F.concat(F.lit("n"), i % 10).alias("name")), None)
 
 
+# --- notes and kept versions ------------------------------------------------------
+
+
+def _nested_note(i: Column) -> Column:
+    """A note with a table of rows of cells of paragraphs (five levels of nodes), and
+    paragraphs beside it; one in eleven isn't JSON, one in thirteen has no nodes."""
+    span = lambda t: F.concat(F.lit('{"7":[{"8":"'), t, F.lit('"},{"8":"."},{"8":7}]}'))
+    line = lambda t: F.concat(F.lit('{"5":['), span(t), F.lit("]}"))
+    cell = F.concat(F.lit('{"6":"tc","5":['), line(F.concat(F.lit("c"), i)), F.lit("]}"))
+    row = F.concat(F.lit('{"6":"tr","5":['), F.repeat(F.concat(cell, F.lit(",")), (i % 3).cast("int")), cell, F.lit("]}"))
+    grid = F.concat(F.lit('{"6":"t","5":['), F.repeat(F.concat(row, F.lit(",")), (i % 2).cast("int")), row, F.lit("]}"))
+    top = F.when(i % 4 == 0, grid).when(i % 4 == 1, line(F.lit(" | a |"))).when(i % 4 == 2, F.lit('"text"')).otherwise(F.lit('{"6":3,"8":"own","5":{"x":[{"8":""},{"8":"deep"}]}}'))
+    note = F.concat(F.lit('{"5":['), top, F.lit(","), line(F.concat(F.lit("p"), i)), F.lit('],"8":"end","a":null}'))
+    return F.when(i % 11 == 5, F.concat(note, F.lit("}"))).when(i % 13 == 7, F.lit("[]")).otherwise(note)
+
+
+def _notes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", _nested_note(F.col("doc_id")).alias("note"))
+
+
+@query
+def note_node_counts(spark, sf):
+    return notes.table_counts(_notes(spark, sf), "doc_id", "note").withColumnRenamed("key", "doc_id")
+
+
+@query
+def note_deep_texts(spark, sf):
+    return notes.note_texts(_notes(spark, sf), "doc_id", "note").select(F.col("key").alias("doc_id"), F.array_join("texts", "/").alias("texts"))
+
+
+def _kept(rows: DataFrame, folder: str) -> None:
+    """Writes (path, content) as gzip files; a repeated task writes the same again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                disk.create_dir(f"{root}/{path.rpartition('/')[0]}")
+                with disk.open_output_stream(f"{root}/{path}", compression=None) as out:
+                    out.write(gzip.compress(content.encode(), 1))
+            yield batch.slice(0, 0)
+
+    rows.select("path", "content").mapInArrow(write, "path string, content string").count()
+
+
+@query
+def kept_versions(spark, sf):
+    """Each note's versions, and the texts of the largest, read back from gzip files."""
+    folder, i = _folder(spark, "kept"), F.col("doc_id")
+    version = _notes(spark, sf).select("doc_id", "note", F.explode(F.sequence(F.lit(1).cast("long"), i % 3 + 1)).alias("v"))
+    body = F.when(F.col("v") == i % 3, F.col("note")).otherwise(F.concat(F.lit('{"8":"v'), "v", F.lit('"}')))
+    _kept(version.select(F.concat(F.lit("F"), i, F.lit("/"), "v").alias("path"), body.alias("content")).unionByName(version.select(F.concat(F.lit("F"), i, F.lit("/"), "v", F.lit(".index")).alias("path"), F.lit("x").alias("content"))), folder)
+    found = versions.list_versions(spark, folder)
+    counts = found.groupBy("file_id").agg(F.count("*").alias("versions"))
+    read = versions.contents(versions.richest(found)).select("file_id", "version", F.col("content").cast("string").alias("note"))
+    texts = notes.note_texts(read, "file_id", "note").select(F.col("key").alias("file_id"), F.array_join("texts", "/").alias("texts"))
+    return read.join(counts, "file_id").join(texts, "file_id").select("file_id", "versions", "version", "texts")
+
+
+@query
+def desktop_files(spark, sf):
+    """Bytes of the desktop's files by id; some ids have none, some are empty."""
+    folder, i = _folder(spark, "desktop"), F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", F.when(i % 7 == 0, "").otherwise(F.concat(F.when(i % 2 == 0, "W").otherwise("s"), i)).alias("file_id"), "text")
+    path = F.concat(F.lit("file/"), F.lower(F.substring("file_id", 1, 1)), F.lit("/"), "file_id")
+    _kept(d.where((F.col("file_id") != "") & (i % 5 != 0)).select(path.alias("path"), F.col("text").alias("content")), folder)
+    found = versions.contents(d.select("doc_id", versions.desktop_path(folder, "file_id").alias("path")))
+    return found.select("doc_id", F.md5("content").alias("hash"))
+
+
+@query
+def push_errors(spark, sf):
+    """Codes and ids of errors in remote answers with text before the object, and of broken ones."""
+    k = F.col("p_partkey")
+    answer = F.element_at(F.array(*(F.lit(x) for x in ('HTTP 500: {"error":"20108","duplicateFileId":"W#"}', '{"error":211}', 'no object', '{"error":"","x":1}', '{"error":"1"} and more', 'a {"error":null}', '{"error":{"error":"2"}}', 'x{"error":"20108","duplicateFileId":5}'))), (k % 8 + 1).cast("int"))
+    e = notes.push_error(F.replace(answer, F.lit("#"), k.cast("string")))
+    return table(spark, sf, "part").select("p_partkey", e["code"].alias("code"), e["duplicate_id"].alias("duplicate_id"))
+
+
+@query
+def listing_lines(spark, sf):
+    i = F.col("doc_id")
+    line = names.listing_line(F.concat(F.lit("F"), i), F.when(i % 4 != 0, F.concat(F.lit("n"), i)), F.when(i % 3 != 0, i % 3 == 1), F.when(i % 5 != 0, i * i * i), (i % 7) * 250_000_000_000)
+    return table(spark, sf, "documents").select("doc_id", line.alias("l")).select("doc_id", "l.*")
+
+
+@query
+def references_by_source(spark, sf):
+    """The references of each document, as edges that come more than once."""
+    i = F.col("doc_id")
+    edges = table(spark, sf, "documents").select(F.concat(F.lit("d"), i % 50).alias("source_path"), F.explode(F.array(F.concat(F.lit("r"), i % 70), F.concat(F.lit("r"), i % 3))).alias("ref_path"))
+    return dedup.reference_lists(edges).select("source_path", F.array_join("refs", ",").alias("refs"))
+
+
+@query
+def scans_needed(spark, sf):
+    """Whether a whole scan of each folder is due, by the files stored for it."""
+    base = snapshots(spark, sf).base
+    state = base.groupBy(F.col("parent_id").alias("key")).agg((F.max("cloud_mtime") % 3).alias("version"), (F.max("local_mtime") % 5000).alias("age"))
+    files = base.where("path NOT LIKE '%/fr/%' OR file_id <> ''").withColumn("last_sync_at", F.when(F.col("path").like("%/de/%"), 0).otherwise(F.col("last_sync_at")))
+    return feed.scan_due_of(state.unionByName(state.select(F.concat("key", F.lit("/none")).alias("key"), "version", "age")), files, "parent_id")
+
+
+_NESTED = """WITH f AS (SELECT doc_id AS i, '{"7":[{"8":"' || 'c' || doc_id || '"},{"8":"."},{"8":7}]}' AS c, '{"5":[{"7":[{"8":"p' || doc_id || '"},{"8":"."},{"8":7}]}]}' AS p FROM documents),
+g AS (SELECT i, p, '{"6":"tc","5":[{"5":[' || c || ']}]}' AS cell FROM f),
+h AS (SELECT i, p, '{"6":"tr","5":[' || repeat(cell || ',', i % 3) || cell || ']}' AS line FROM g),
+n AS (SELECT i AS doc_id, '{"5":[' || CASE i % 4 WHEN 0 THEN '{"6":"t","5":[' || repeat(line || ',', i % 2) || line || ']}' WHEN 1 THEN '{"5":[{"7":[{"8":" | a |"},{"8":"."},{"8":7}]}]}' WHEN 2 THEN '"text"'
+  ELSE '{"6":3,"8":"own","5":{"x":[{"8":""},{"8":"deep"}]}}' END || ',' || p || '],"8":"end","a":null}' || CASE WHEN i % 11 = 5 THEN '}' ELSE '' END AS made FROM h),
+notes AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 5 AND doc_id % 13 = 7 THEN '[]' ELSE made END AS note FROM n),
+nodes AS (SELECT doc_id, t.* FROM (SELECT * FROM notes WHERE json_valid(note)) s, json_tree(s.note) t)"""
+
+_TEXTS = """texts AS (SELECT doc_id, CASE WHEN NOT json_valid(note) OR note = '[]' THEN ''
+  ELSE 'end/' || CASE doc_id % 4 WHEN 0 THEN repeat('c' || doc_id || '/./', (doc_id % 2 + 1) * (doc_id % 3 + 1)) WHEN 1 THEN ' | a |/./' WHEN 2 THEN '' ELSE 'own/deep/' END || 'p' || doc_id || '/.' END AS texts FROM notes)"""
+
 LIVE = {
+    "note_node_counts": _NESTED + """, k AS (SELECT doc_id, count(*) FILTER (key = '6' AND atom = '"t"' AND path ~ '^\\$\\."?5"?\\[[0-9]+\\]$') AS tables, count(*) FILTER (key = '6' AND atom = '"tr"') AS rows, count(*) FILTER (key = '6' AND atom = '"tc"') AS cells FROM nodes GROUP BY doc_id)
+SELECT doc_id, coalesce(tables, 0) AS tables, (doc_id % 4 = 1 AND json_valid(note) AND note <> '[]')::BIGINT AS pipes, coalesce(rows, 0) AS rows, coalesce(cells, 0) AS cells,
+  CASE WHEN tables > 0 THEN 'native-table' WHEN doc_id % 4 = 1 AND json_valid(note) AND note <> '[]' THEN 'pipe-text' ELSE 'no-table' END AS shape FROM notes LEFT JOIN k USING (doc_id)""",
+    "note_deep_texts": _NESTED + ", " + _TEXTS + " SELECT doc_id, texts FROM texts",
+    "kept_versions": _NESTED + ", " + _TEXTS + """, r AS (SELECT doc_id, note = '[]' AS short, doc_id % 3 + 1 AS versions FROM notes),
+v AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 1 WHEN short THEN 3 - doc_id % 3 ELSE doc_id % 3 END AS version FROM r)
+SELECT 'F' || doc_id AS file_id, versions, version, CASE WHEN doc_id % 3 = 0 OR short THEN 'v' || version ELSE texts END AS texts FROM v JOIN texts USING (doc_id)""",
+    "desktop_files": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN md5(text) END AS hash FROM documents",
+    "push_errors": """WITH a AS (SELECT p_partkey, replace(list_value('HTTP 500: {"error":"20108","duplicateFileId":"W#"}', '{"error":211}', 'no object', '{"error":"","x":1}', '{"error":"1"} and more', 'a {"error":null}', '{"error":{"error":"2"}}', 'x{"error":"20108","duplicateFileId":5}')[p_partkey % 8 + 1], '#', p_partkey::VARCHAR) AS raw FROM part),
+j AS (SELECT p_partkey, CASE WHEN contains(raw, '{') AND json_valid(substr(raw, instr(raw, '{'))) THEN substr(raw, instr(raw, '{')) END AS body FROM a),
+e AS (SELECT p_partkey, CASE WHEN json_type(body, '$.error') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') THEN nullif(json_extract_string(body, '$.error'), '') END AS code, CASE WHEN json_type(body, '$.duplicateFileId') = 'VARCHAR' THEN json_extract_string(body, '$.duplicateFileId') END AS dup FROM j)
+SELECT p_partkey, code, CASE WHEN code IS NOT NULL THEN dup END AS duplicate_id FROM e""",
+    "listing_lines": """WITH e AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN doc_id * doc_id * doc_id ELSE 0 END AS size, doc_id % 7 * 250000000000 AS modified, doc_id % 3 = 1 AS is_dir FROM documents)
+SELECT doc_id, 'F' || doc_id AS id, CASE WHEN doc_id % 4 <> 0 THEN 'n' || doc_id ELSE '(unnamed)' END AS name, is_dir, size, modified, CASE WHEN is_dir THEN 'folder' ELSE 'file' END AS type,
+  CASE WHEN modified > 0 THEN strftime(make_timestamp(modified * 1000), '%Y-%m-%d %H:%M') ELSE '-' END AS time_text,
+  CASE WHEN size = 0 THEN '-' WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0) ELSE printf('%.1f GB', size / 1073741824.0) END AS size_text FROM e""",
+    "references_by_source": "SELECT source_path, string_agg(ref_path, ',' ORDER BY ref_path) AS refs FROM (SELECT DISTINCT 'd' || doc_id % 50 AS source_path, 'r' || unnest([doc_id % 70, doc_id % 3]) AS ref_path FROM documents) GROUP BY 1",
+    "scans_needed": SNAPSHOTS + """, s AS (SELECT parent_id AS key, max(cloud_mtime) % 3 AS version, max(local_mtime) % 5000 AS age FROM base GROUP BY 1),
+every AS (SELECT * FROM s UNION ALL SELECT key || '/none', version, age FROM s),
+h AS (SELECT parent_id AS key, count(*) FILTER (file_id = '') AS empty_ids, count(*) FILTER (last_sync_at > 0 AND path NOT LIKE '%/de/%') AS synced FROM base WHERE path NOT LIKE '%/fr/%' OR file_id <> '' GROUP BY 1)
+SELECT key, version <= 0 OR coalesce(empty_ids, 0) > 0 OR age >= 3600 AS due, age < 60 AND coalesce(synced, 0) = 0 AS fresh FROM every LEFT JOIN h USING (key)""",
     "listing_scan": f"""WITH d AS (SELECT doc_id, doc_id // {FOLDER} AS n, (doc_id // {FOLDER}) % 5 AS kind, doc_id % {FOLDER} // {PAGE} AS page FROM documents),
 told AS (SELECT * FROM d WHERE CASE kind WHEN 1 THEN page = 0 WHEN 2 THEN page < 2 WHEN 3 THEN page = 0 OR page = 1 AND doc_id % {PAGE} < 2 ELSE true END)
 SELECT 'f' || doc_id AS id, 'd' || n AS parent_id, 'folder ' || n || '/n' || doc_id || '.md' AS path, false AS is_dir, 7 AS mtime, 2 AS depth FROM told WHERE doc_id % 9 <> 4

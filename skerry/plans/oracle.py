@@ -120,7 +120,7 @@ _NAMED = "SELECT a.path AS old_path, b.path AS new_path FROM {0} a JOIN {1} b US
 BY_ID, BY_HASH = SIDES + _ranked("p", "old", "new", "file_id"), SIDES + _ranked("p", "old", "new", "hash")
 CASCADE = (
     BY_ID.replace(", p AS", ", p1 AS") + _left("o1", "old", "p1") + _left("n1", "new", "p1") + _ranked("p2", "o1", "n1", "hash") + _left("o2", "o1", "p2") + _left("n2", "n1", "p2")
-    + f", p3 AS ({_NAMED.format('o2', 'n2')}) SELECT * FROM (SELECT 'id' AS stage, count(*) AS n FROM p1 UNION ALL SELECT 'hash', count(*) FROM p2 UNION ALL SELECT 'name', count(*) FROM p3) WHERE n > 0"
+    + f", p3 AS ({_NAMED.format('o2', 'n2')}) SELECT *, 'id' AS stage FROM p1 UNION ALL SELECT *, 'hash' FROM p2 UNION ALL SELECT *, 'name' FROM p3"
 )
 
 SPACES = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -190,7 +190,7 @@ loose AS (SELECT path FROM local l WHERE path NOT IN (SELECT path FROM remote) A
 moved AS (SELECT path, p.old_path, CASE WHEN p.new_path IS NOT NULL THEN 'moved' WHEN path IN (SELECT old_path FROM pairs) THEN 'gone' WHEN r.state = 'localNew' AND path IN (SELECT path FROM loose) THEN 'gone' ELSE r.state END AS state
   FROM refined r LEFT JOIN pairs p ON p.new_path = r.path)
 """
-    + f"SELECT state, {_ACTION} AS action, old_path IS NOT NULL AS has_old_path, count(*) AS n FROM moved GROUP BY ALL"
+    + f"SELECT path, state, {_ACTION} AS action, old_path FROM moved"
 )
 
 FEED = "WITH f AS (SELECT user_id AS id, event_id AS version, event_type AS name FROM events)"
@@ -228,7 +228,8 @@ FROM refined WHERE {_ACTION} = 'upload'""",
 ), k AS (SELECT *, CASE WHEN fills THEN NOT settled ELSE NOT (linked AND settled) END AS links FROM j)
 SELECT path, CASE WHEN links THEN id ELSE file_id END AS file_id, rm AS cloud_mtime, CASE WHEN links THEN lm ELSE local_mtime END AS local_mtime,
   CASE WHEN links THEN local_hash ELSE content_hash END AS content_hash, fills::INT + links::INT AS calibrated FROM k WHERE fills OR links""",
-    "baseline_heal": SNAPSHOTS + """ SELECT path, CASE WHEN b.file_id <> '' AND b.file_id <> r.id THEN 'relink' ELSE 'ahead' END AS issue,
+    "baseline_heal": SNAPSHOTS.replace("), remote AS (", "), listing AS (") + """, remote AS (SELECT path, CASE WHEN mtime % 5 = 0 THEN 'N' ELSE '' END || id AS id, mtime - CASE WHEN mtime % 7 = 0 THEN 200 ELSE 0 END AS mtime FROM listing)
+SELECT path, CASE WHEN b.file_id <> '' AND b.file_id <> r.id THEN 'relink' ELSE 'ahead' END AS issue,
 CASE WHEN b.file_id <> '' AND b.file_id <> r.id THEN r.id ELSE b.file_id END AS file_id, r.mtime AS cloud_mtime
 FROM base b JOIN remote r USING (path) WHERE last_sync_at > 0 AND ((b.file_id <> '' AND b.file_id <> r.id) OR b.cloud_mtime > r.mtime)""",
     "rebuild_plan": SNAPSHOTS + """ SELECT path, coalesce(r.id, '') AS file_id, coalesce(r.mtime, 0) AS cloud_mtime, coalesce(l.mtime, 0) AS local_mtime,

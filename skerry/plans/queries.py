@@ -132,8 +132,10 @@ def calibrate_delta(spark, sf):
 
 @query
 def baseline_heal(spark, sf):
+    """Against a listing in which some files have another id, or an earlier time."""
     s = snapshots(spark, sf)
-    return health.heal_baseline(s.remote, s.base)
+    id_ = F.when(F.col("mtime") % 5 == 0, F.concat(F.lit("N"), "id")).otherwise(F.col("id"))
+    return health.heal_baseline(s.remote.withColumn("id", id_).withColumn("mtime", F.col("mtime") - F.when(F.col("mtime") % 7 == 0, 200).otherwise(0)), s.base)
 
 
 @query
@@ -256,7 +258,7 @@ def moves_by_sibling_name(spark, sf):
 
 @query
 def moves_cascade(spark, sf):
-    return moves.cascade(*_sides(spark, sf)).groupBy("stage").agg(F.count("*").alias("n"))
+    return moves.cascade(*_sides(spark, sf))
 
 
 @query
@@ -606,7 +608,7 @@ def sync_with_moves(spark, sf):
     s = snapshots(spark, sf)
     moved = F.col("path").rlike(r"doc_\d*[05]\.md$")
     remote = s.remote.withColumn("path", F.when(moved, F.concat(F.lit("new/"), "path")).otherwise(F.col("path")))
-    return sync.reconcile_all(remote, s.local, s.base).groupBy("state", "action", F.col("old_path").isNotNull().alias("has_old_path")).agg(F.count("*").alias("n"))
+    return sync.reconcile_all(remote, s.local, s.base).select("path", "state", "action", "old_path")
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import convert, names, text
-from skerry.operators import health, hydrate, reconcile, reports, state, store, trees
+from skerry.operators import health, hydrate, notes, reconcile, reports, state, store, trees
 from skerry.plans.queries import _refined, _tree, query
 from skerry.sources import readers
 from skerry.sources.staging import shared_dir
@@ -311,7 +311,9 @@ def _note(style: Column) -> Column:
 @query
 def note_contents(spark, sf):
     note = _note(_i() % 3)
-    return paths(spark, sf).select("doc_id", F.array_join(reports.note_texts(note), "/").alias("texts"), F.array_join(reports.paragraph_texts(note), "/").alias("paragraphs"), F.array_join(reports.missing_table_attributes(note), ",").alias("missing"), reports.table_shape(note).alias("shape"))
+    rows = paths(spark, sf).select("doc_id", note.alias("note"))
+    texts = notes.note_texts(rows, "doc_id", "note").select(F.col("key").alias("doc_id"), F.array_join("texts", "/").alias("texts"))
+    return rows.join(texts, "doc_id").select("doc_id", "texts", F.array_join(reports.paragraph_texts("note"), "/").alias("paragraphs"), F.array_join(reports.missing_table_attributes("note"), ",").alias("missing"), reports.table_shape("note").alias("shape"))
 
 
 @query

@@ -49,6 +49,13 @@ def scan_due(state: DataFrame, most_age: int = 3600) -> DataFrame:
     return state.select("key", due.alias("due"), ((F.col("age") < 60) & (F.col("synced") == 0)).alias("fresh"))
 
 
+def scan_due_of(state: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """:func:`scan_due` for state rows (key, version, age): rows without an id, and
+    rows that were synced, are counted in the stored files, which have ``key``."""
+    held = base.groupBy(F.col(key).alias("key")).agg(F.count_if(F.col("file_id") == "").alias("empty_ids"), F.count_if(F.col("last_sync_at") > 0).alias("synced"))
+    return scan_due(state.join(held, "key", "left").fillna(0, ["empty_ids", "synced"]))
+
+
 def apply_feed(snapshot: DataFrame, feed: DataFrame, stored: int, key: str = "id") -> DataFrame:
     """The snapshot with the newest row of each key of the feed beyond ``stored``."""
     fresh = latest(feed.where(F.col("version") > stored), key)
