@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,24 +116,14 @@ def mime(path: Column | str) -> Column:
     return F.coalesce(known[extension(path)], F.lit("application/octet-stream"))
 
 
+#: The parts of a glob: wildcards, sets of characters, and any other character.
+GLOB = re.compile(r"(?P<many>\*)|(?P<one>\?)|\[(?P<none>!?)(?P<set>.[^\]]*)\]|(?P<other>.)", re.S)
+
+
 def glob_regex(pattern: str) -> str:
     """A glob as a regular expression, anchored at a segment; ``*`` crosses ``/``."""
-    out, i = [], 0
-    while i < len(pattern):
-        c = pattern[i]
-        close = pattern.find("]", i + 2) if c == "[" else -1
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
-        elif close > 0:
-            body = pattern[i + 1 : close].replace("\\", "\\\\")
-            out.append(f"[^{body[1:]}]" if body[0] == "!" else f"[{body}]")
-            i = close
-        else:
-            out.append("\\" + c if c in r"\.^$+(){}|[]" else c)
-        i += 1
-    return f"(^|/){''.join(out)}$"
+    spelling = {"many": lambda m: ".*", "one": lambda m: ".", "set": lambda m: "[" + "^" * len(m["none"]) + m["set"].replace("\\", "\\\\") + "]", "other": lambda m: re.escape(m["other"])}
+    return "(^|/)" + GLOB.sub(lambda m: spelling[m.lastgroup](m), pattern) + "$"
 
 
 def allowed(path: Column | str, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:

@@ -33,30 +33,35 @@ def _rule_cell(cell: Column) -> Column:
     return F.when((inner != "") & (F.translate(inner, "-: ", "") == ""), "---").otherwise(inner)
 
 
+def _own_spelling(line: Column) -> Column:
+    """A line's one spelling, by what kind of line it is."""
+    bare, mark = F.ltrim(line, F.lit(BLANKS)), r"(?:[*-]|\d++\.)"
+    fence, ruler = bare.rlike(r"^```\w*$"), bare.rlike(f"^(?:{RULERS})$")
+    item = line.rlike(f"^{QUOTED}{mark}{SPACE}")
+    one_space = F.regexp_replace(line, f"^({QUOTED}{mark}){SPACE}{{2,}}", "$1 ")
+    dashed = F.ltrim(F.regexp_replace(one_space, rf"^({QUOTED})\*", "$1-"), F.lit(BLANKS))
+    return F.when(fence, "---fence---").when(ruler, "---").when(is_table_rule(line), _cells(line, _rule_cell)).when(item, dashed).when(bare.startswith("|"), _cells(bare, trim)).otherwise(bare)
+
+
+def _plain_words(line: Column) -> Column:
+    """Marks within a line that carry no meaning, taken out."""
+    unmarked = F.regexp_replace(line, rf"\\([{re.escape(ESCAPABLE)}])|<(https?://[^>]+)>", "$1$2")
+    return F.regexp_replace(F.translate(unmarked, "`", ""), " {2,}", " ")
+
+
 def normalize_markdown(text: Column | str) -> Column:
     """Levels what editors write differently without a change of meaning.
 
-    Lines without content go, quoted ones too.  Code fences, rulers and the rule
-    rows of tables get one spelling each; list items get a dash and one space
-    after their mark; indentation, padding of table cells, runs of spaces,
-    needless backslashes, angle brackets around links and backticks go.
-
-    Each step is one pass over the array of lines, so a line's value is computed
-    once a step; nothing leaves the built-in expressions.
+    A line without content goes, a quoted one too.  A line that is left is a code
+    fence, a ruler, a table's rule, an item of a list, a table's row, or anything
+    else, and each kind has one spelling: fences, rulers and the cells of rules are
+    three dashes, items have a dash or number and one space, cells have no padding,
+    other lines no indentation.  Needless backslashes, angle brackets around links,
+    backticks and runs of spaces go from all of them.
     """
-    def spelled(line: Column) -> Column:
-        special = line.rlike(f"^{SPACE}*+[`*|-]")
-        fence, ruler = line.rlike(rf"^{SPACE}*+```\w*$"), line.rlike(f"^{SPACE}*+(?:{RULERS})$")
-        spelling = F.when(fence, "---fence---").when(ruler, "---").when(is_table_rule(line), _cells(line, _rule_cell)).otherwise(line)
-        return F.when(special, spelling).otherwise(line)
-
     lines = F.transform(F.split(col(text), "\n"), lambda s: F.rtrim(s, F.lit(BLANKS)))
-    lines = F.transform(F.filter(lines, lambda s: ~s.rlike(f"^{QUOTED}$")), spelled)
-    lines = F.transform(lines, lambda s: F.regexp_replace(s, rf"^({QUOTED})\*(?={SPACE})", "$1-"))
-    lines = F.transform(lines, lambda s: F.ltrim(F.regexp_replace(s, rf"^({QUOTED}(?:-|\d++\.)){SPACE}{{2,}}", "$1 "), F.lit(BLANKS)))
-    lines = F.transform(lines, lambda s: F.when(s.startswith("|"), _cells(s, trim)).otherwise(s))
-    lines = F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(s, " {2,}", " "), rf"\\([{re.escape(ESCAPABLE)}])", "$1"))
-    return F.array_join(F.transform(lines, lambda s: F.translate(F.regexp_replace(s, "<(https?://[^>]+)>", "$1"), "`", "")), "\n")
+    kept = F.filter(lines, lambda s: ~s.rlike(f"^{QUOTED}$"))
+    return F.array_join(F.transform(F.transform(kept, _own_spelling), _plain_words), "\n")
 
 
 def normalize_text(text: Column | str, path: Column | str) -> Column:

@@ -165,16 +165,9 @@ SELECT path, CASE WHEN k > 0 AND k < n THEN first_linked WHEN k = n THEN best EN
 FROM g WHERE n > 1 AND size > 0)
 """
 
-MD_NORMALIZE = rf"""WITH odd AS (SELECT doc_id, '* item' || chr(10) || chr(10) || '>  ' || chr(10) || '***' || chr(10) || '1.   one' || chr(10) || replace(text, '. ', '.  ') || '  ' || chr(10) || '| a |  b |' || chr(10) AS t FROM documents),
-line AS (SELECT doc_id, i, regexp_replace(ls[i], '{SPACES}+$', '') AS s FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM odd), unnest(range(1, len(ls) + 1)) AS u(i)),
-a AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '^{SPACES}*```[0-9A-Za-z_]*{SPACES}*$') THEN '---fence---'
-  WHEN regexp_matches(s, '^{SPACES}*(\*{SPACES}*\*{SPACES}*\*({SPACES}|\*)*|-{SPACES}*-{SPACES}*-({SPACES}|-)*)$') THEN '---'
-  WHEN regexp_matches(s, '^\|({SPACES}|[:|-])+\|$') THEN array_to_string(list_transform(string_split(s, '|'), lambda c: CASE WHEN regexp_matches(trim(c), '^[-: ]+$') THEN '---' ELSE trim(c) END), '|') ELSE s END AS s
-  FROM line WHERE s <> '' AND NOT regexp_matches(s, '^{SPACES}*>({SPACES}|>)*$')),
-b AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(s, '^(({SPACES}|>)*)\*({SPACES}+)', '\1-\3'), '^(({SPACES}|>)*(-|\d+\.)){SPACES}{{2,}}', '\1 '), '^{SPACES}+', '') AS s FROM a),
-c AS (SELECT doc_id, i, regexp_replace(CASE WHEN starts_with(s, '|') THEN regexp_replace(s, '{SPACES}*\|{SPACES}*', '|', 'g') ELSE s END, ' {{2,}}', ' ', 'g') AS s FROM b),
-e AS (SELECT doc_id, i, replace(regexp_replace(regexp_replace(s, '\\([\[_$~&*#{{}}|.!\]()])', '\1', 'g'), '<(https?://[^>]+)>', '\1', 'g'), '`', '') AS s FROM c)
-SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY i)) AS md5 FROM e GROUP BY doc_id"""
+#: The same words, written as they should come out.
+MD_NORMALIZE = """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS words, coalesce(regexp_extract_all(text, '[A-Za-z]+')[1], 'none') AS w FROM documents)
+SELECT doc_id, md5(concat_ws(chr(10), trim('- ' || array_to_string(words, ' ')), '---', '---', '---fence---', '|' || w || '|x|', '|---|---|', '12. ' || w, w, '> - ' || w, 'a * [' || w || '] c https://x.y/' || w)) AS md5 FROM w"""
 
 #: Every fifth remote file under another folder; moves by id, hash and hash again.
 WITH_MOVES = (

@@ -372,8 +372,12 @@ def file_sizes(spark, sf):
 
 @query
 def md_normalize(spark, sf):
-    odd = F.concat(F.lit("* item\n\n>  \n***\n1.   one\n"), F.replace("text", F.lit(". "), F.lit(".  ")), F.lit("  \n| a |  b |\n"))
-    return paths(spark, sf).select("doc_id", F.md5(text.normalize_markdown(odd)).alias("md5"))
+    """Every document's words, written as editors might, levelled."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    w = F.coalesce(F.get(words, F.lit(0)), F.lit("none"))
+    parts = ("* ", F.array_join(words, "  "), "  \n\n > >  \n***\n - - -\n```", w, "\n|  ", w, " | x |\n| :-- | --: |\n12.    ", w, "\n   ", w, "   \n> *  ", w, "\na \\* \\[", w, "\\] `c` <https://x.y/", w, ">")
+    messy = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    return paths(spark, sf).select("doc_id", F.md5(text.normalize_markdown(messy)).alias("md5"))
 
 
 @query

@@ -12,30 +12,6 @@ INSPECTED = SNAPSHOTS + f""", inspected AS (SELECT d.path, doc_id, CASE WHEN coa
 CASE WHEN file_id <> '' AND domain = 0 AND doc_id % 5 <> 0 THEN {KINDS} END AS shape FROM d LEFT JOIN base USING (path))"""
 EXT = "['.note', '.clip', '', '.md', '.PNG'][p_partkey % 5 + 1]"
 
-#: The pages' elements one by one, each as text between two tags.
-_ELEMENTS = (("script", "", ""), ("style", "", ""), ("strong|b", "**", "**"), ("h1", "!# ", "!"), ("ul", "!", "!"), ("li", "- ", "!"), ("p", "!", "!"), ("div", "!", "!"))
-
-
-def _html_sql() -> str:
-    x = "replace(html, '!', chr(1))"
-    for tag, before, after in _ELEMENTS:
-        inside = "" if tag in ("script", "style") else r"\2"
-        first, last = rf"<({tag})(?:\s[^>]*)?>", "".join(f"</{t}>|" for t in tag.split("|")).rstrip("|")
-        if tag == "ul":
-            x = f"regexp_replace({x}, '</?ul[^>]*>', '!', 'gi')"
-        else:
-            x = f"regexp_replace({x}, '{first}([\\s\\S]*?)(?:{last})', '{before}{inside}{after}', 'gi')"
-        if tag == "h1":
-            x = f"""regexp_replace({x}, '<a [^>]*href=["'']([^"'']*)["''][^>]*>([\\s\\S]*?)</a>', '[\\2](\\1)', 'gi')"""
-    x = f"regexp_replace(regexp_replace({x}, '<br\\s*/?>', '!', 'gi'), '<[^>]+>', '', 'g')"
-    x = f"replace(replace({x}, '!', chr(10)), chr(1), '!')"
-    for entity, by in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
-        x = f"replace({x}, '{entity}', '{by}')"
-    return f"SELECT page_id, trim(regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS markdown FROM pages"
-
-
-HTML_TO_MD = _html_sql()
-
 STORED: dict[str, str] = {
     "cached_listing": SNAPSHOTS + DIRS + """, f AS (SELECT path, file_id, CASE WHEN domain = 0 THEN regexp_replace(split_part(path, '/', -1), '[.]md$', '.note') ELSE split_part(path, '/', -1) END AS name FROM base WHERE file_id <> '' AND cloud_mtime % 7 <> 0)
 SELECT path, file_id AS id, name, false AS is_dir FROM f UNION ALL SELECT path, dir_id, split_part(path, '/', -1), true FROM dirs""",
@@ -145,7 +121,6 @@ c AS (SELECT name, n, ['identical', 'crlf_only', 'real_diff'][k % 3 + 1] AS cate
     "dry_run_report": PLANNED + " SELECT CASE action WHEN 'download' THEN 1 WHEN 'upload' THEN 2 ELSE 3 END AS phase, action, '- ' || path || ' (' || state || ')' AS line FROM planned WHERE action <> 'skip'",
     "audio_notes": "SELECT doc_id, doc_id % 3 < 2 AND doc_id % 5 <> 0 AS audio FROM documents",
     "watched_changes": "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 3 = 0",
-    "html_to_md": HTML_TO_MD,
     "local_files": "WITH n AS (SELECT 'lang=' || lang AS folder, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents GROUP BY 1) SELECT folder, bytes, bytes AS read FROM n",
     "cpu_profile": """WITH p AS (SELECT p_partkey AS id, p_name AS function, p_partkey % 50 AS d FROM part), t AS (SELECT sum(d) AS total FROM p)
 SELECT id, function, d::BIGINT AS self_time, round(100.0 * d / total, 4) AS pct FROM p, t""",
