@@ -11,28 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.names import col
+from skerry.functions.variants import member, string, whole_json
 from skerry.sources.staging import written
 
 # The members of a node.
 ATTRS, CHILDREN, KIND, SPANS, TEXT = "4", "5", "6", "7", "8"
 
 
-def _member(node: Column | str, name: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(node, f"$['{name}']", kind)
-
-
-def whole_json(text: Column) -> Column:
-    """The text as a VARIANT; null if it isn't JSON to its end.  A parser that stops
-    after the first value can't overlook what follows both in a list and in an object."""
-    listed, named = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(listed.isNotNull(), _member(named, "v"))
-
-
-def _string(value: Column) -> Column:
-    """The value if it is a string: other kinds aren't turned into one."""
-    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
-
-
 def _members(node: Column) -> Column:
     """name, value of the members of an object (by name) or the elements of a list."""
     named = F.transform(F.map_entries(F.try_variant_get(node, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
@@ -70,16 +55,16 @@ def note_values(notes: DataFrame, key: str, note: str) -> DataFrame:
 def note_nodes(notes: DataFrame, key: str, note: str) -> DataFrame:
     """key, place, kind, value: each note's nodes, by their lists of children alone;
     a node without a kind has null.  Children that aren't objects are none."""
-    children = F.transform(_member("value", CHILDREN, "array<variant>"), lambda v: F.struct(F.lit(None).cast("string").alias("name"), v.alias("value")))
+    children = F.transform(member("value", CHILDREN, "array<variant>"), lambda v: F.struct(F.lit(None).cast("string").alias("name"), v.alias("value")))
     is_object = F.try_variant_get("value", "$", "map<string,variant>").isNotNull()
     rows = _walk(_roots(notes, key, note), children, is_object).where(F.size("place") > 0)
-    return rows.select("key", "place", _string(_member("value", KIND)).alias("kind"), "value")
+    return rows.select("key", "place", string(member("value", KIND)).alias("kind"), "value")
 
 
 def note_texts(notes: DataFrame, key: str, note: str) -> DataFrame:
     """key, texts: all texts of each note in order (members by name, a node's own
     text first); a note without one has an empty list."""
-    text = F.when(F.col("name") == TEXT, _string(F.col("value")))
+    text = F.when(F.col("name") == TEXT, string(F.col("value")))
     place = F.slice("place", 1, F.size("place") - 1)
     found = note_values(notes, key, note).select("key", F.struct(place.alias("place"), text.alias("text")).alias("t")).where("t.text <> ''")
     lists = found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]).alias("texts"))
@@ -89,15 +74,15 @@ def note_texts(notes: DataFrame, key: str, note: str) -> DataFrame:
 def paragraph(node: Column) -> Column:
     """A paragraph node's text: the spans of its children."""
     none = F.array().cast("array<string>")
-    spans = lambda c: F.array_compact(F.transform(F.coalesce(_member(c, SPANS, "array<variant>"), F.array().cast("array<variant>")), lambda s: _string(_member(s, TEXT))))
-    return F.array_join(F.coalesce(F.flatten(F.transform(_member(node, CHILDREN, "array<variant>"), spans)), none), "")
+    spans = lambda c: F.array_compact(F.transform(F.coalesce(member(c, SPANS, "array<variant>"), F.array().cast("array<variant>")), lambda s: string(member(s, TEXT))))
+    return F.array_join(F.coalesce(F.flatten(F.transform(member(node, CHILDREN, "array<variant>"), spans)), none), "")
 
 
 def table_counts(notes: DataFrame, key: str, note: str) -> DataFrame:
     """key, tables and pipes (tables, and paragraphs typed as tables, at the top),
     rows and cells (at any depth), shape: for every note, zeros if it has none."""
     top, typed = F.size("place") == 1, F.trim(paragraph(F.col("value"))).startswith("|")
-    untyped = _member("value", KIND).isNull()
+    untyped = member("value", KIND).isNull()
     nodes = note_nodes(notes, key, note)
     counts = nodes.groupBy("key").agg(F.count_if(top & (F.col("kind") == "t")).alias("tables"), F.count_if(top & untyped & typed).alias("pipes"), F.count_if(F.col("kind") == "tr").alias("rows"), F.count_if(F.col("kind") == "tc").alias("cells"))
     every = notes.select(F.col(key).alias("key")).join(counts, "key", "left").fillna(0, ["tables", "pipes", "rows", "cells"])
@@ -109,7 +94,7 @@ def push_error(answer: Column | str) -> Column:
     first brace on; null without an error.  A code is a string or a number."""
     raw = col(answer)
     parsed = whole_json(F.when(raw.contains("{"), F.substring(raw, F.instr(raw, "{"), F.length(raw))))
-    error, other = _member(parsed, "error"), _member(parsed, "duplicateFileId")
+    error, other = member(parsed, "error"), member(parsed, "duplicateFileId")
     number = F.schema_of_variant(error).rlike("^(BIGINT|DECIMAL|DOUBLE)")
-    code = F.nullif(F.coalesce(_string(error), F.when(number, error.cast("string"))), F.lit(""))
-    return F.when(code.isNotNull(), F.struct(code.alias("code"), F.nullif(_string(other), F.lit("")).alias("duplicate_id")))
+    code = F.nullif(F.coalesce(string(error), F.when(number, error.cast("string"))), F.lit(""))
+    return F.when(code.isNotNull(), F.struct(code.alias("code"), F.nullif(string(other), F.lit("")).alias("duplicate_id")))

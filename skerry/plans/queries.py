@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.functions import convert, diff, names, text
+from skerry.functions import convert, diff, names, richtext, text
 from skerry.operators import dedup, health, hydrate, moves, reconcile, reports, state, trees
 from skerry.plans import sync
 from skerry.sources import readers
@@ -430,9 +430,20 @@ def html_to_md(spark, sf):
 @query
 def md_to_json_roundtrip(spark, sf):
     """Documents whose text comes back the same, but for white space, from a rich note."""
-    back = convert.converted("text", convert.round_trip)
+    d = paths(spark, sf).select("doc_id", "text")
+    back = richtext.markdown_to_notes(d, "doc_id", "text").select(F.col("key").alias("doc_id"), richtext.note_to_markdown("note").alias("back"))
     squeeze = lambda c: F.regexp_replace(c, r"\s+", "")
-    return paths(spark, sf).select("doc_id", (squeeze(back) == squeeze(F.col("text"))).alias("same"))
+    return d.join(back, "doc_id").select("doc_id", (squeeze("back") == squeeze("text")).alias("same"))
+
+
+@query
+def note_round_trips(spark, sf):
+    """Every kind of block, built from each document's words, to a note and back."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    w = F.coalesce(F.get(words, F.lit(0)), F.lit("none"))
+    parts = ("# ", w, "\n\n* ", w, "\n  + two\n\n12. ", w, "\n\n> q ", w, "\n>  r\n\n\n```py\n# ", F.array_join(words, " "), "\n> x\n```\n\n| a | ", w, "|\n| :-: | -- |\n| 1 |\n\n![t](u)\n***\nplain *", w, "* and **[l](", w, ") ***x***")
+    md = paths(spark, sf).select("doc_id", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("md"))
+    return richtext.markdown_to_notes(md, "doc_id", "md").select(F.col("key").alias("doc_id"), F.md5(richtext.note_to_markdown("note")).alias("md5"))
 
 
 @query

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions import convert, names, text
+from skerry.functions import convert, diagrams, names, richtext, text
 from skerry.operators import health, hydrate, notes, reconcile, reports, state, store, trees
 from skerry.plans.queries import _refined, _tree, query
 from skerry.sources import readers
@@ -362,13 +362,12 @@ def _chart(k):
 
 @query
 def mermaid_to_puml(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", convert.converted(_chart(F.col("p_partkey")), convert.mermaid_to_plantuml).alias("plantuml"))
+    return diagrams.mermaid_to_plantuml(table(spark, sf, "part").select("p_partkey", _chart(F.col("p_partkey")).alias("code")), "p_partkey", "code")
 
 
 @query
 def puml_to_mermaid(spark, sf):
-    there = convert.converted(_chart(F.col("p_partkey")), convert.mermaid_to_plantuml)
-    return table(spark, sf, "part").select("p_partkey", there.alias("p")).select("p_partkey", convert.converted("p", convert.plantuml_to_mermaid).alias("mermaid"))
+    return mermaid_to_puml(spark, sf).select("p_partkey", diagrams.plantuml_to_mermaid("plantuml").alias("mermaid"))
 
 
 @query
@@ -381,7 +380,7 @@ def html_built(spark, sf):
 @query
 def note_json_built(spark, sf):
     md = F.concat(F.lit("# "), "p_name", F.lit("\n- **b** x\n\n> q\n\n```py\nc\n```\n[l](u)"))
-    return table(spark, sf, "part").select("p_partkey", convert.converted(md, convert.markdown_to_note).alias("note"))
+    return richtext.markdown_to_notes(table(spark, sf, "part").select("p_partkey", md.alias("md")), "p_partkey", "md").withColumnRenamed("key", "p_partkey")
 
 
 @query

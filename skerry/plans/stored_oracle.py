@@ -82,7 +82,7 @@ CASE doc_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '| a |/' ELSE 'p' || doc_id || '!/'
     "mermaid_to_puml": """SELECT p_partkey, concat_ws(chr(10), ''' @source:mermaid', '@startuml', 'left to right direction', 'rectangle "' || p_name || '" as A #f00;text:fff', 'rectangle "E' || p_partkey || '" as B', 'rectangle "C" as C', 'rectangle "D" as D', 'A --> B', 'B ..> C', 'C --> A : yes', 'C -[hidden]- D', 'D ==> A', '@enduml') AS plantuml FROM part""",
     "puml_to_mermaid": """SELECT p_partkey, concat_ws(chr(10), 'graph LR', '    A["' || p_name || '"]', '    B["E' || p_partkey || '"]', '    C["C"]', '    D["D"]', '    A --> B', '    B -.-> C', '    C -->|yes| A', '    C ~~~ D', '    D ==> A', '    style A fill:#f00,color:#fff') AS mermaid FROM part""",
     "html_built": """SELECT p_partkey, replace('## ' || p_name || '~~a **b** *c* !!d!! `e` [l](u?x=1&y)~z~~- one~- two~~> q~> r~```~k~```~~| A | B |~| --- | --- |~| 1 | ' || p_partkey || ' |~![t](s)~---~<AB', '~', chr(10)).replace('!!', '~~') AS markdown FROM part""",
-    "note_json_built": """WITH t AS (SELECT '{"2": "2", "3": "", "7": [' AS a, ']}' AS z) SELECT p_partkey, '{"2": "1", "3": "", "4": {"version": 1, "incompatibleVersion": 0, "fv": "0"}, "5": [{"3": "", "4": {"l": "h1"}, "5": [' || a || '{"8": "' || p_name || '"}' || z || '], "6": "h"}, {"3": "", "4": {"lt": "unordered", "ll": 1}, "5": [' || a || '{"8": "b", "9": [{"2": "b"}]}, {"8": " x"}' || z || '], "6": "l"}, {"3": "", "5": [{"3": "", "5": [' || a || '{"8": "q"}' || z || ']}], "6": "q"}, {"3": "", "4": {"la": "py"}, "5": [{"3": "", "5": [' || a || '{"8": "c"}' || z || ']}], "6": "cd"}, {"3": "", "5": [{"3": "", "4": {"hf": "u"}, "5": [' || a || '{"8": "l"}' || z || '], "6": "li"}]}], "title": "", "__compress__": true}' AS note FROM part, t""",
+    "note_json_built": """WITH t AS (SELECT '{"2":"2","3":"","7":[' AS a, ']}' AS z) SELECT p_partkey, '{"2":"1","3":"","4":{"version":1,"incompatibleVersion":0,"fv":"0"},"5":[{"3":"","4":{"l":"h1"},"5":[' || a || '{"8":"' || p_name || '"}' || z || '],"6":"h"},{"3":"","4":{"lt":"unordered","ll":1},"5":[' || a || '{"8":"b","9":[{"2":"b"}]},{"8":" x"}' || z || '],"6":"l"},{"3":"","5":[{"3":"","5":[' || a || '{"8":"q"}' || z || ']}],"6":"q"},{"3":"","4":{"la":"py"},"5":[{"3":"","5":[' || a || '{"8":"c"}' || z || ']}],"6":"cd"},{"3":"","5":[{"3":"","4":{"hf":"u"},"5":[' || a || '{"8":"l"}' || z || '],"6":"li"}]}],"title":"","__compress__":true}' AS note FROM part, t""",
     "any_to_markdown": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'h' || doc_id WHEN 1 THEN 'p' || doc_id || '!' || chr(10) || chr(10) || 'q' || doc_id || '!' WHEN 2 THEN 'x' || doc_id ELSE '# ' || doc_id END AS markdown FROM documents",
     "content_anomalies": """WITH t AS (SELECT 'p' AS kind, page_id AS id, html AS text FROM pages UNION ALL SELECT 'd', doc_id, text FROM documents WHERE doc_id % 5 > 1),
 k AS (SELECT kind, id, ltrim(substring(text, 1, 50), ' ' || chr(9) || chr(10) || chr(13)) AS x FROM t)

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.functions import convert, diff, names, text
-from skerry.operators import dedup, health, moves, reconcile, state, trees
+from skerry.functions import convert, diagrams, diff, names, richtext, text
+from skerry.operators import dedup, health, moves, notes, reconcile, state, trees
 from skerry.sources import readers
 from skerry.streaming import feed
 
@@ -119,15 +119,30 @@ def test_html():
     assert "## T" in out and "**b**" in out and "[l](u)" in out and "- x" in out and "| A | B |\n| --- | --- |\n| 1 | 2 |" in out and "no" not in out and "< A &#x110000;" in out
 
 
-def test_notes():
+def test_notes(spark):
     md = "# Title\n\n- one\n  - two\n\n1. n\n\n> quote **b**\n\n```py\nx = 1\n```\n\n| a | b |\n| -- | -- |\n| 1 | 2 |\n\n![](u)\n\nplain *i* and [l](h)"
-    back = convert.round_trip(md)
-    assert convert.round_trip(back) == back
+
+    def back(text):
+        made = richtext.markdown_to_notes(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t")
+        return made.select(richtext.note_to_markdown("note")).first()[0]
+
+    once = back(md)
+    assert back(once) == once and back(None) is None and back("") == ""
     for piece in ("# Title", "- one\n  - two", "1. n", "> quote **b**", "```py\nx = 1\n```", "| 1 | 2 |", "![](u)", "plain *i* and ", "[l](h)"):
-        assert piece in back
-    counts = convert.node_counts(convert.markdown_to_note(md))
-    assert counts["t"] == 1 and counts["tr"] == 2 and convert.note_shape(counts, "") == "native-table"
-    assert convert.note_to_markdown("no json") == "" == convert.xml_to_markdown("<a")
+        assert piece in once
+    notes_ = richtext.markdown_to_notes(spark.createDataFrame([(1, md)], "k long, t string"), "k", "t")
+    counts = notes.table_counts(notes_, "key", "note").first()
+    assert counts["tables"] == 1 and counts["rows"] == 2 and counts["shape"] == "native-table"
+    texts = ["no json", '{"5":1}', '[{"5":[]}]', '{"5":[{"6":"h","4":{"l":"h0"},"5":[{"7":[{"8":"a"}]}]},{"6":"l","4":{"ll":"3"},"5":[{"7":[{"8":"b","9":[{"2":"b"},{"2":"i"}]}]}]},{"6":"t","5":[{"5":[{}]},{"5":[]}]},3]}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, n string").select("k", richtext.note_to_markdown("n").alias("m"))
+    assert [r["m"] for r in rows.orderBy("k").collect()] == ["", "", "", "# a\n\n    - ***b***\n\n|   |\n|\n|\n"]
+
+
+def test_blocks_of_lines(spark):
+    """Fences that open, close, or can only close; quotes; tables that begin within a run of rows."""
+    lines = ["``` no opener", "a", "```py", "> code", "``` odd end", "> q", ">r", "| x |", "|a|", "|-|", "|1|", "", "```", "open"]
+    got = richtext.line_blocks(spark.createDataFrame([(1, "\n".join(lines))], "k long, t string"), "k", "t").orderBy("n")
+    assert [(r["kind"], r["block"]) for r in got.collect()] == [("single", 0), ("single", 1), ("code", 2), ("code", 2), ("code", 2), ("quote", 5), ("quote", 5), ("single", 7), ("table", 8), ("table", 8), ("table", 8), ("single", 11), ("code", 12), ("code", 12)]
 
 
 def test_xml():
@@ -135,12 +150,16 @@ def test_xml():
     assert convert.xml_to_markdown(xml) == "p\n\n## h\n\n1. i\n\n```c\nx```"
 
 
-def test_flowcharts():
-    code = 'graph LR\nA["Start"] --> B["End"]\nB -.-> C\nstyle A fill:#f00,color:#fff'
-    puml = convert.mermaid_to_plantuml(code)
-    assert 'rectangle "Start" as A #f00;text:fff' in puml and "B ..> C" in puml and "left to right direction" in puml
-    assert convert.plantuml_to_mermaid(puml).split("\n")[:2] == ["graph LR", '    A["Start"]']
-    assert convert.mermaid_to_plantuml("sequenceDiagram\nA->>B: x").startswith("sequenceDiagram")
+def test_flowcharts(spark):
+    codes = ['graph LR\nA["Start"] --> B["End"]\nB -.-> C\nstyle A fill:#f00,color:#fff', "sequenceDiagram\nA->>B: x", 'flowchart BT\nA-->B\nB -->|why not| C\nC -- so --- D\nD(("x")) ==> E{"y"}\nbroken -->\nE', ""]
+    out = diagrams.mermaid_to_plantuml(spark.createDataFrame(list(enumerate(codes)), "k long, c string"), "k", "c")
+    puml = [r["plantuml"] for r in out.orderBy("k").collect()]
+    assert 'rectangle "Start" as A #f00;text:fff' in puml[0] and "B ..> C" in puml[0] and "left to right direction" in puml[0]
+    assert puml[1] == codes[1] and puml[3] == ""
+    assert puml[2].split("\n")[2:] == [f'rectangle "{t}" as {n}' for n, t in (("A", "A"), ("B", "B"), ("C", "C"), ("D", "D"), ("E", "y"))] + ["A --> B", "B --> C : why not", "C -- D : so", "D ==> E", "@enduml"]
+    back = out.select("k", diagrams.plantuml_to_mermaid("plantuml").alias("m")).orderBy("k").collect()
+    assert back[0]["m"].split("\n") == ["graph LR", '    A["Start"]', '    B["End"]', '    C["C"]', "    A --> B", "    B -.-> C", "    style A fill:#f00,color:#fff"] and back[1]["m"] == codes[1]
+
 
 
 @pytest.mark.parametrize(("base", "ours", "theirs", "text_", "n"), [

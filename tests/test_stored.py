@@ -65,12 +65,6 @@ def test_html_of_open_and_nested_elements():
     assert to("<table><tbody><tr><td>1</td></tr></tbody></table>") == "| 1 |"
 
 
-def test_flowchart_labels_and_glued_arrows():
-    chart = convert.Flowchart("flowchart BT\nA-->B\nB -->|why not| C\nC -- so --- D\nD((\"x\")) ==> E{\"y\"}\nbroken -->\nE")
-    assert chart.direction == "bt" and chart.edges == [("A", "-->", "B", ""), ("B", "-->", "C", "why not"), ("C", "--", "D", "so"), ("D", "==>", "E", "")]
-    assert chart.labels == {"A": "A", "B": "B", "C": "C", "D": "D", "E": "y"}
-
-
 def test_names(spark):
     assert one(spark, names.stem_date(F.lit("2024年1月2日"))) == "2024-01-02" and one(spark, names.stem_date(F.lit("2024年1月2日.md"))) is None
     assert one(spark, names.without_stem_blanks(F.lit("a b/c  .md"))) == "a b/c.md" and one(spark, names.without_stem_blanks(F.lit("c  "))) == "c"
