@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import struct
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -87,46 +86,62 @@ def block_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return a.join(b, [key, "block"], "full").withColumn("change", change).where("change IS NOT NULL").select(key, "block", "change")
 
 
-def encode_delta(old: bytes, new: bytes, size: int = 4096) -> bytes:
-    """Copies of equal blocks at equal places, else the new bytes."""
-    out = []
-    for k in range(0, len(new), size):
-        block = new[k : k + size]
-        out.append(struct.pack("<BII", 0, k, len(block)) if old[k : k + size] == block else struct.pack("<BI", 1, len(block)) + block)
-    return b"".join(out)
-
-
-def apply_delta(old: bytes, delta: bytes) -> bytes:
-    out, at = [], 0
-    while at < len(delta):
-        if delta[at] == 0:
-            _, start, n = struct.unpack_from("<BII", delta, at)
-            if start + n > len(old):
-                raise ValueError("a copy reaches beyond the old content")
-            out.append(old[start : start + n])
-            at += 9
-        elif delta[at] == 1:
-            n = struct.unpack_from("<BI", delta, at)[1]
-            if at + 5 + n > len(delta):
-                raise ValueError("an insertion is cut off")
-            out.append(delta[at + 5 : at + 5 + n])
-            at += 5 + n
-        else:
-            raise ValueError("unknown operation")
-    return b"".join(out)
+#: A copy is 00, place and length; an insertion is 01, length and bytes; numbers are little-endian.
+COPY, INSERT = "00", "01"
+
+
+def _number(n: Column) -> Column:
+    """An unsigned 32-bit number, little-endian, in hexadecimal."""
+    digits = F.lpad(F.hex(n.cast("long")), 8, "0")
+    return F.concat(*(F.substring(digits, at, 2) for at in (7, 5, 3, 1)))
 
 
 def delta(old: Column, new: Column, size: int = 4096) -> Column:
-    @F.arrow_udf("binary")
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([encode_delta(x or b"", y or b"", size) for x, y in zip(a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist(), strict=True)], pa.binary())
+    """What turns ``old`` into ``new`` (binaries, null is empty): copies of equal
+    blocks at equal places, else the new bytes."""
+    old, new = (F.coalesce(x, F.lit(b"")) for x in (old, new))
+    n = F.octet_length(new)
+
+    def change(at: Column) -> Column:
+        block = F.substring(new, at + 1, F.lit(size))
+        same = F.substring(old, at + 1, F.lit(size)) == block
+        return F.when(same, F.concat(F.lit(COPY), _number(at), _number(F.octet_length(block)))).otherwise(F.concat(F.lit(INSERT), _number(F.octet_length(block)), F.hex(block)))
 
-    return run(old, new)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.unhex(F.array_join(F.transform(starts, change), ""))
+
+
+def _read_number(data: Column, at: Column) -> Column:
+    """The number at a place (from 0); null if the data ends before."""
+    digits = F.hex(F.substring(data, at + 1, F.lit(4)))
+    return F.when(F.length(digits) == 8, F.conv(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("long"))
 
 
 def patched(old: Column, change: Column) -> Column:
-    @F.arrow_udf("binary")
-    def run(a: pa.Array, d: pa.Array) -> pa.Array:
-        return pa.array([apply_delta(x or b"", y or b"") for x, y in zip(a.cast(pa.binary()).to_pylist(), d.to_pylist(), strict=True)], pa.binary())
+    """``old`` with a :func:`delta` applied; an error if the delta is damaged.
 
-    return run(old, change)
+    The operations' places are found one after another, each from the length of
+    the one before; their bytes are put together once.
+    """
+    old, change = (F.coalesce(x, F.lit(b"")) for x in (old, change))
+    end, step = F.octet_length(change).cast("long"), F.lit(5)
+
+    def length(at: Column) -> Column:
+        kind, copied, added = F.hex(F.substring(change, at.cast("int") + 1, F.lit(1))), _read_number(change, at.cast("int") + 5), _read_number(change, at.cast("int") + 1)
+        whole = F.when(kind == COPY, F.when(copied.isNotNull(), F.lit(9).cast("long"))).when(kind == INSERT, F.when(at + 5 + added <= end, added + 5))
+        wrong = F.when(kind.isin(COPY, INSERT), F.lit("an operation is cut off")).otherwise(F.lit("unknown operation"))
+        return F.coalesce(whole, F.raise_error(wrong).cast("long"))
+
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("places"))
+    # an operation has five bytes at least; steps after the last do nothing
+    steps = F.when(end > 0, F.sequence(F.lit(1).cast("long"), F.floor(end / step) + 1)).otherwise(F.array().cast("array<long>"))
+    follow = lambda s, _: F.when(s["at"] >= end, s).otherwise(F.struct((s["at"] + length(s["at"])).alias("at"), F.concat(s["places"], F.array(s["at"])).alias("places")))
+    places = F.aggregate(steps, empty, follow)["places"]
+
+    def content(at: Column) -> Column:
+        at = at.cast("int")
+        start, n = _read_number(change, at + 1), _read_number(change, at + 5)
+        copy = F.when(start + n <= F.octet_length(old), F.hex(F.substring(old, start.cast("int") + 1, n.cast("int")))).otherwise(F.raise_error(F.lit("a copy reaches beyond the old content")).cast("string"))
+        return F.when(F.hex(F.substring(change, at + 1, F.lit(1))) == COPY, copy).otherwise(F.hex(F.substring(change, at + 6, start.cast("int"))))
+
+    return F.unhex(F.array_join(F.transform(places, content), ""))

@@ -83,6 +83,35 @@ def _digest(kind: str, seed: int = 0):
     return {"xxh3_128": lambda b: xxhash.xxh3_128_hexdigest(b), "xxh64": lambda b: xxhash.xxh64_hexdigest(b, seed=seed), "xxh32": lambda b: xxhash.xxh32_hexdigest(b, seed=seed)}[kind]
 
 
+# Primes of the 64-bit hash.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+_WORD = 1 << 64
+
+
+def _seeding(seed: int) -> int:
+    """The long whose hash, by Spark's own seed of 42, is ``seed``: every step of
+    a long's hash can be undone, so there is exactly one."""
+    turn = lambda x, n: (x << n | x >> 64 - n) & _WORD - 1
+    over = lambda x, p: x * pow(p, -1, _WORD) % _WORD
+    h = seed % _WORD
+    h ^= h >> 32
+    h = over(h, _P3)
+    h ^= h >> 29 ^ h >> 58
+    h = over(h, _P2)
+    h ^= h >> 33
+    h = turn(over((h - _P4) % _WORD, _P1), 64 - 27) ^ (42 + _P5 + 8) % _WORD
+    value = over(turn(over(h, _P1), 64 - 31), _P2)
+    return value - _WORD if value >> 63 else value
+
+
+def xxh64(value: Column | str, seed: int = 0) -> Column:
+    """The 64-bit hash of a text or binary in 16 hexadecimal digits, with any seed;
+    null for null.  Spark's function goes on from the hash of the column before,
+    so a literal whose hash is the seed takes its place."""
+    h = F.xxhash64(F.lit(_seeding(seed)).cast("long"), col(value).cast("binary"))
+    return F.when(col(value).isNotNull(), F.lpad(F.lower(F.hex(h)), 16, "0"))
+
+
 def xxh(value: Column | str, kind: str = "xxh3_128", seed: int = 0) -> Column:
     """Hexadecimal XXH3-128, XXH64 or XXH32 of a string or binary column (Arrow batches)."""
 

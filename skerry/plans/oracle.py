@@ -306,7 +306,10 @@ SELECT doc_id, block, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL
 SELECT doc_id, md5(concat_ws(chr(10), '# ' || w, '', '- ' || w, '  - two', '1. ' || w, '', '> q ' || w, '> r', '', '', '```py', '# ' || array_to_string(words, ' '), '> x', '```', '', '| a | ' || w || ' |', '| -- | -- |', '| 1 |  |', '', '', '![](u)', '', '---', '', 'plain *' || w || '* and **[l](' || w || ') ***x***')) AS md5 FROM w""",
     "merge3": """SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN '<<<<<<< LOCAL' || chr(10) || 'ours ' || doc_id || chr(10) || '=======' || chr(10) || 'theirs ' || doc_id || chr(10) || '>>>>>>> CLOUD' ELSE 'ours ' || doc_id END
 || chr(10) || text || chr(10) || CASE doc_id % 3 WHEN 1 THEN 'theirs' ELSE 'last line' END || chr(10)) AS merged, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS conflicts FROM documents""",
-    "delta_roundtrip": "SELECT doc_id, true AS same, (9 * ceil(octet_length(encode(text)) / 4096.0))::BIGINT AS unchanged_bytes FROM documents",
+    "delta_roundtrip": """WITH t AS (SELECT doc_id, encode(text) AS a, encode(text[:5000] || CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE '' END || text[5001:]) AS b FROM documents),
+blocks AS (SELECT doc_id, hex(a)[8192 * k + 1 : 8192 * k + 8192] AS x, hex(b)[8192 * k + 1 : 8192 * k + 8192] AS y FROM t, unnest(range(0, CAST(ceil(octet_length(b) / 4096.0) AS BIGINT))) AS u(k)),
+sums AS (SELECT doc_id, sum(CASE WHEN x = y THEN 9 ELSE 5 + length(y) // 2 END)::BIGINT AS bytes FROM blocks GROUP BY doc_id)
+SELECT doc_id, md5(b) AS patched, coalesce(bytes, 0) AS bytes, (9 * ceil(octet_length(a) / 4096.0))::BIGINT AS unchanged_bytes FROM t LEFT JOIN sums USING (doc_id)""",
     "bloom_membership": "SELECT item_id, true AS found FROM benchmark",
     "merkle_dirs": MERKLE,
     "merkle_diff": FILES + ", c AS (SELECT dir FROM d WHERE doc_id = 7) SELECT dir FROM c UNION SELECT split_part(dir, '/', 1) FROM c UNION SELECT '' FROM c",

@@ -170,12 +170,26 @@ def test_merge(base, ours, theirs, text_, n):
     assert diff.merge3(base, ours, theirs) == (text_, n)
 
 
-def test_delta():
-    old, new = bytes(range(256)) * 40, bytes(range(256)) * 40 + b"tail"
-    change = diff.encode_delta(old, new)
-    assert diff.apply_delta(old, change) == new and len(change) < 3000
-    with pytest.raises(ValueError):
-        diff.apply_delta(b"", change)
+def test_delta(spark):
+    base = bytes(range(256)) * 40
+    pairs = [(base, base + b"tail"), (base, b""), (b"", base), (base, base[:4096] + b"X" + base[4097:]), (base, base[1:]), (None, b"a"), (b"a", None), (b"abc", b"abc")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a binary, b binary").withColumn("d", diff.delta(F.col("a"), F.col("b")))
+    got = rows.select("i", "d", diff.patched(F.col("a"), F.col("d")).alias("p")).orderBy("i").collect()
+    assert [bytes(r["p"]) for r in got] == [b or b"" for _, b in pairs]
+    assert len(got[0]["d"]) == 9 + 9 + 5 + len(base) - 8192 + 4 and bytes(got[7]["d"]) == bytes([0, 0, 0, 0, 0, 3, 0, 0, 0]) and bytes(got[5]["d"]) == b"\x01\x01\0\0\0a"
+    for old, change, error in ((b"", bytes([0, 0, 0, 0, 0, 3, 0, 0, 0]), "beyond"), (b"abc", b"\x01\x09\0\0\0a", "cut off"), (b"abc", b"\0\0", "cut off"), (b"abc", b"\x07abcdefgh", "unknown")):
+        with pytest.raises(Exception, match=error):
+            spark.createDataFrame([(old, change)], "a binary, d binary").select(diff.patched(F.col("a"), F.col("d"))).collect()
+
+
+def test_64_bit_hash_with_any_seed(spark):
+    import xxhash
+
+    texts = ["", "a", "é漢", "x" * 31, "y" * 32, "z" * 1000]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "i int, t string")
+    for seed in (0, 1, 42, text.SECOND_SEED, (1 << 64) - 1):
+        got = [r["h"] for r in rows.select("i", text.xxh64("t", seed).alias("h")).orderBy("i").collect()]
+        assert got == [xxhash.xxh64_hexdigest(t.encode(), seed=seed) for t in texts] + [None]
 
 
 def test_trees(spark):
