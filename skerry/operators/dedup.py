@@ -63,6 +63,21 @@ def categories(files: DataFrame) -> DataFrame:
     return per.select("name", "n", category.alias("category"))
 
 
+def split(files: DataFrame) -> DataFrame:
+    """hash, size, linked, local: the paths of each group that have a remote id, and
+    those that don't, each in order."""
+    paths = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("path"))))
+    linked = F.coalesce(usable(F.col("file_id")).isNotNull(), F.lit(False))
+    return files.where("hash <> ''").groupBy("hash", "size").agg(paths(linked).alias("linked"), paths(~linked).alias("local")).where(F.size("linked") + F.size("local") > 1)
+
+
+def run(files: DataFrame, referenced: DataFrame, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(files that stay, path and reason of those that go): what a sync does with
+    duplicates before anything else; nothing goes unless it is ``enabled``."""
+    gone = actions(files, referenced).where(F.col("remove") & F.lit(enabled)).select("path", "reason")
+    return files.join(gone.select("path"), "path", "left_anti"), gone
+
+
 def directory_links(files: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (class_a, class_b, shared) between classes of
     directories with ``least`` common hashes or more, a class with itself too;

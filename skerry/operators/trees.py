@@ -58,6 +58,14 @@ def listing(paths: DataFrame, depth: int) -> DataFrame:
     return paths.where(F.col("depth") < depth)
 
 
+def entries(listed: DataFrame, dir_id: str | None = None) -> DataFrame:
+    """What a folder holds (the root's entries without ``dir_id``): id, name, is_dir,
+    size and both times of listed rows, nulls as defaults."""
+    here = F.col("parent_id").isNull() if dir_id is None else F.col("parent_id") == dir_id
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    return listed.where(here).select("id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"), number("size"), number("mtime"), number("ctime"))
+
+
 def search(rows: DataFrame, name: str, exact: bool = False) -> DataFrame:
     """Rows whose name equals ``name``, or contains it in any case."""
     found = F.col("name") == name if exact else F.contains(F.lower("name"), F.lit(name.lower()))

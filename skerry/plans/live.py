@@ -5,6 +5,7 @@ versions), and of trees and nested notes."""
 from __future__ import annotations
 
 import gzip
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from skerry.functions import names
 from skerry.operators import dedup, notes, trees
 from skerry.plans import durable
-from skerry.plans.oracle import SNAPSHOTS
-from skerry.plans.queries import query
+from skerry.plans.oracle import DUP_ACTIONS, FILES, SNAPSHOTS
+from skerry.plans.queries import _files, query
 from skerry.plans.stored import NOW, _dirs, _done, _scan_parts
 from skerry.plans.stored_oracle import STORED
 from skerry.sources import listing, versions
+from skerry.sources.changes import changed_files
 from skerry.sources.commit import Store
 from skerry.sources.staging import shared_dir
 from skerry.sources.workload import epoch, paths, snapshots, table
@@ -147,6 +149,48 @@ def watcher_runs(spark, sf):
     return found.select("root", "kind", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "changes", "paths", "accepted")
 
 
+@query
+def files_changed(spark, sf):
+    """Files of a folder that a stream tells: all, then those written again."""
+    folder, out, place, i = _folder(spark, "watched"), _folder(spark, "told"), _folder(spark, "place"), F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("s"), i % 7, F.when(i % 11 == 0, "/.hidden/n").otherwise("/n"), i, F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    for part in (d, d.where("doc_id % 10 = 3")):
+        _kept(part, folder)
+        time.sleep(0.3)  # what has just been written isn't told yet
+        changed_files(spark, folder, settle=200).writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changed_files(spark, folder).schema).parquet(out).groupBy("path").agg(F.count("*").alias("times"))
+
+
+# --- duplicates and folders --------------------------------------------------------
+
+
+@query
+def dup_split(spark, sf):
+    """Linked and other paths of each group of equal files."""
+    found = dedup.split(_files(spark, sf))
+    return found.select("hash", F.array_join("linked", ",").alias("linked"), F.array_join("local", ",").alias("local"))
+
+
+@query
+def dedup_run(spark, sf):
+    """Files that stay and go in a sync with, and one without, the removal of duplicates."""
+    referenced = paths(spark, sf).where("doc_id % 9 = 0").select("path")
+    out = None
+    for enabled in (True, False):
+        stay, go = dedup.run(_files(spark, sf), referenced, enabled)
+        rows = stay.select(F.lit(enabled).alias("enabled"), "path", F.lit("stays").alias("what")).unionByName(go.select(F.lit(enabled).alias("enabled"), "path", F.lit("goes").alias("what")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def directory_entries(spark, sf):
+    """What one folder of the paged listing holds, and the root."""
+    found = listing.scan(spark, written_pages(spark, sf), "top", **_options(spark, sf))
+    rows = found.select("id", F.when(F.col("parent_id") != "top", F.col("parent_id")).alias("parent_id"), "name", "is_dir", F.lit(None).cast("long").alias("size"), "mtime", "ctime")
+    return trees.entries(rows).unionByName(trees.entries(rows, "d4")).select("id", "name", "is_dir", "size", "mtime", "ctime")
+
+
 # --- stores ---------------------------------------------------------------------
 
 
@@ -346,6 +390,13 @@ UNION ALL SELECT DISTINCT 'd' || n, 'top', 'folder ' || n, true, 7, 1 FROM d""",
     "listing_broken": f"""WITH d AS (SELECT doc_id, doc_id // {FOLDER} AS n, (doc_id // {FOLDER}) % 5 AS kind, doc_id % {FOLDER} // {PAGE} AS page FROM documents)
 SELECT 'd' || n AS dir_id, count(*) FILTER (CASE kind WHEN 1 THEN page = 0 WHEN 2 THEN page < 2 WHEN 3 THEN page = 0 OR page = 1 AND doc_id % {PAGE} < 2 ELSE kind = 0 END) AS n,
        CASE WHEN any_value(kind) = 4 THEN 'JSONDecodeError' END AS error FROM d GROUP BY n""",
+    "files_changed": "SELECT 's' || doc_id % 7 || '/n' || doc_id || '.md' AS path, CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END AS times FROM documents WHERE doc_id % 11 <> 0",
+    "dup_split": FILES + """, files AS (SELECT path, md5(text) AS hash, length(text) AS size, doc_id % 3 <> 0 AS linked FROM d)
+SELECT hash, coalesce(string_agg(path, ',' ORDER BY path) FILTER (linked), '') AS linked, coalesce(string_agg(path, ',' ORDER BY path) FILTER (NOT linked), '') AS local FROM files GROUP BY hash, size HAVING count(*) > 1""",
+    "dedup_run": DUP_ACTIONS + """, gone AS (SELECT path FROM acts WHERE remove)
+SELECT true AS enabled, path, CASE WHEN path IN (SELECT path FROM gone) THEN 'goes' ELSE 'stays' END AS what FROM files UNION ALL SELECT false, path, 'stays' FROM files""",
+    "directory_entries": f"""SELECT DISTINCT 'd' || doc_id // {FOLDER} AS id, 'folder ' || doc_id // {FOLDER} AS name, true AS is_dir, 0::BIGINT AS size, 7 AS mtime, 5 AS ctime FROM documents
+UNION ALL SELECT 'f' || doc_id, 'n' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.note' ELSE '.md' END, false, 0, 7, 5 FROM documents WHERE doc_id // {FOLDER} = 4 AND doc_id % 9 <> 4""",
     "feed_followed": "SELECT user_id AS id, max(event_id) + 1 AS version, max_by(event_type, event_id) AS name, 1 AS reloads FROM events GROUP BY 1",
     "feed_gaps": "SELECT user_id AS id, max(event_id) + 1 AS version, max_by(event_type, event_id) AS name, 2 AS reloads FROM events GROUP BY 1",
     "watcher_runs": """WITH RECURSIVE e AS (SELECT 'u' || user_id AS root, epoch_us(ts) AS us, 'p' || event_id % 7 AS path FROM events WHERE event_type <> 'error' AND event_id % 5 <> 0),

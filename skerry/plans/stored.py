@@ -345,8 +345,8 @@ def note_table_candidates(spark, sf):
 
 @query
 def note_table_targets(spark, sf):
-    """The first ten notes with a table typed as text."""
-    return _inspected(spark, sf).where("shape = 'pipe-text'").select("path").orderBy("path").limit(10)
+    """The first ten notes with a table typed as text, as people sort names."""
+    return _inspected(spark, sf).where("shape = 'pipe-text'").select("path").orderBy(F.collate("path", "UNICODE"), "path").limit(10)
 
 
 @query

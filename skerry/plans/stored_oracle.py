@@ -77,7 +77,7 @@ CASE doc_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '| a |/' ELSE 'p' || doc_id || '!/'
     "notes_verified": _direction("'upload'").split("\nSELECT path, state", 1)[0] + ", " + INSPECTED[len(SNAPSHOTS) + 2 :]
     + " SELECT path, coalesce(shape = 'native-table' AND state IN ('synced', 'cloudModifiedMtimeOnly'), false) AS verified FROM inspected LEFT JOIN filtered USING (path)",
     "note_table_candidates": SNAPSHOTS + " SELECT path, file_id FROM base JOIN d USING (path) WHERE domain = 0 AND file_id <> '' AND doc_id % 3 = 0 AND path LIKE 'src%'",
-    "note_table_targets": INSPECTED + " SELECT path FROM inspected WHERE shape = 'pipe-text' ORDER BY path LIMIT 10",
+    "note_table_targets": INSPECTED + " SELECT path FROM inspected WHERE shape = 'pipe-text' ORDER BY path COLLATE en, path LIMIT 10",
     "xml_to_md": r"""SELECT p_partkey, concat_ws(chr(10) || chr(10), p_name, '## h' || p_partkey, '1. i', '- [ ] t', '---', '![s](u)', '| a\_b | c\#d |' || chr(10) || '| - | - |' || chr(10) || '| x |   |' || chr(10)) AS markdown FROM part""",
     "mermaid_to_puml": """SELECT p_partkey, concat_ws(chr(10), ''' @source:mermaid', '@startuml', 'left to right direction', 'rectangle "' || p_name || '" as A #f00;text:fff', 'rectangle "E' || p_partkey || '" as B', 'rectangle "C" as C', 'rectangle "D" as D', 'A --> B', 'B ..> C', 'C --> A : yes', 'C -[hidden]- D', 'D ==> A', '@enduml') AS plantuml FROM part""",
     "puml_to_mermaid": """SELECT p_partkey, concat_ws(chr(10), 'graph LR', '    A["' || p_name || '"]', '    B["E' || p_partkey || '"]', '    C["C"]', '    D["D"]', '    A --> B', '    B -.-> C', '    C -->|yes| A', '    C ~~~ D', '    D ==> A', '    style A fill:#f00,color:#fff') AS mermaid FROM part""",
