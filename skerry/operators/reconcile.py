@@ -7,7 +7,7 @@ so the whole classification is one shuffle per snapshot and whole-stage code.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,23 +91,21 @@ def conditions(df: DataFrame) -> DataFrame:
     )
 
 
-def decide(rules: tuple[tuple[tuple, str], ...], columns: list[Column], value) -> Column:
+def decide(rules: tuple[tuple[tuple, str], ...], columns: tuple[str, ...], value: Callable[[int, str], str]) -> Column:
     """CASE over a decision table: the first rule that matches null-safely.
 
-    ``value(i, state)`` is the result of rule i; no match is an error.
+    ``columns`` and ``value(i, state)``, the result of rule i, are SQL, so that a
+    whole table is one expression to parse; no match is an error.
     """
-    out = None
-    for i, (when, state) in enumerate(rules):
-        tests = [c.eqNullSafe(F.lit(w)) for c, w in zip(columns, when, strict=True) if w is not ANY]
-        test = reduce(lambda a, b: a & b, tests)
-        out = F.when(test, value(i, state)) if out is None else out.when(test, value(i, state))
-    return out.otherwise(F.raise_error(F.lit("no rule matches")))
+    spell = {True: "true", False: "false", None: "NULL"}
+    tests = (" AND ".join(f"({c}) <=> {spell[w]}" for c, w in zip(columns, when, strict=True) if w is not ANY) for when, _ in rules)
+    cases = " ".join(f"WHEN {test} THEN {value(i, state)}" for i, (test, (_, state)) in enumerate(zip(tests, rules, strict=True)))
+    return F.expr(f"CASE {cases} ELSE raise_error('no rule matches') END")
 
 
 def classify(df: DataFrame) -> DataFrame:
     """Adds state, decision_reason and policy_version to a table with the conditions."""
-    columns = [F.col(c) for c in CONDITIONS]
-    both = decide(RULES, columns, lambda i, s: F.struct(F.lit(s).alias("state"), F.lit(f"rule_{i}_{s}").alias("decision_reason")))
+    both = decide(RULES, CONDITIONS, lambda i, s: f"named_struct('state', '{s}', 'decision_reason', 'rule_{i}_{s}')")
     return df.withColumn("_d", both).select(*df.columns, "_d.*", F.lit(POLICY).alias("policy_version"))
 
 
@@ -120,10 +118,10 @@ def refine(df: DataFrame) -> DataFrame:
 
     A missing baseline hash counts as unchanged here, not as unknown.
     """
-    here, there = usable(F.col("l.local_hash")), usable(F.col("r.cloud_hash"))
-    columns = [here == there, F.coalesce(here != F.col("b.content_hash"), F.lit(False)), F.coalesce(there == F.col("b.cloud_content_hash"), F.lit(False))]
-    again = F.col("state").isin(*REFINABLE) & here.isNotNull() & there.isNotNull()
-    refined = F.when(again, decide(REFINE_RULES, columns, lambda _, s: F.lit(s))).otherwise(F.col("state"))
+    here, there = "nullif(l.local_hash, '')", "nullif(r.cloud_hash, '')"
+    columns = (f"{here} = {there}", f"coalesce({here} != b.content_hash, false)", f"coalesce({there} = b.cloud_content_hash, false)")
+    again = F.col("state").isin(*REFINABLE) & F.expr(f"{here} IS NOT NULL AND {there} IS NOT NULL")
+    refined = F.when(again, decide(REFINE_RULES, columns, lambda _, s: f"'{s}'")).otherwise(F.col("state"))
     return df.withColumn("state", refined)
 
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import gzip
 import time
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,16 +23,12 @@ from skerry.plans.stored_oracle import STORED
 from skerry.sources import listing, versions
 from skerry.sources.changes import changed_files
 from skerry.sources.commit import Store
-from skerry.sources.staging import shared_dir
+from skerry.sources.staging import scratch
 from skerry.sources.workload import epoch, paths, snapshots, table
 from skerry.streaming import feed
 from skerry.streaming.watcher import triggers
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # --- paged listings -------------------------------------------------------------
 
 #: Documents of a folder and of a page in the written listings.
@@ -62,7 +57,7 @@ def written_pages(spark: SparkSession, sf: str, broken: bool = False) -> str:
     folders = d.select("dir").distinct().select(F.lit("top").alias("dir"), F.regexp_extract("dir", "[0-9]+", 0).cast("long").alias("n"), "dir").toDF("dir", "n", "id")
     top = folders.groupBy("dir", (F.floor(F.col("n") / PAGE) * PAGE).cast("long").alias("start")).agg(F.sort_array(F.collect_list(F.struct("n", entry(F.col("id"), F.concat(F.lit("folder "), "n"), F.lit(True)).alias("e")))).alias("es"))
     top = top.select("dir", "start", F.to_json(F.struct(F.lit(1 << 40).alias("count"), F.transform("es", lambda x: x["e"]).alias("entries"))).alias("body"))
-    out = _folder(spark, "pages")
+    out = scratch(spark, "pages")
     pages.select("dir", "start", body.alias("body")).unionByName(top).repartition("dir", "start").write.partitionBy("dir", "start").text(out)
     return out
 
@@ -95,7 +90,7 @@ def _follow(spark: SparkSession, sf: str, reach: int) -> DataFrame:
     """Events as a feed that arrives in three parts, followed after each."""
     rows = table(spark, sf, "events").select(F.col("user_id").alias("id"), (F.col("event_id") + 1).alias("version"), F.col("event_type").alias("name"))
     last = rows.agg(F.max("version")).first()[0]
-    folder, checkpoint, store = _folder(spark, "feed"), _folder(spark, "place"), Store(spark, _folder(spark, "store"))
+    folder, checkpoint, store = scratch(spark, "feed"), scratch(spark, "place"), Store(spark, scratch(spark, "store"))
     newest = lambda version: rows.where(F.col("version") <= version).groupBy("id").agg(F.max("version").alias("version"), F.max_by("name", "version").alias("name"))
     for low, high in ((0, last // 2), (last // 2, last - 20), (last - 20, last)):
         rows.where((F.col("version") > low) & (F.col("version") <= high)).write.mode("append").parquet(folder)
@@ -128,7 +123,7 @@ def watched_events(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
     us = _micros("ts")
     path = F.when(F.col("event_type") != "error", F.concat(F.lit("p"), F.col("event_id") % 7, F.when(F.col("event_id") % 5 == 0, ".txt").otherwise(".md")))
     rows = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("root"), us.alias("us"), path.alias("path"))
-    out = _folder(spark, "changes")
+    out = scratch(spark, "changes")
     cuts = [float(x) for x in rows.approxQuantile("us", [k / parts for k in range(1, parts)], 0.01)]
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
@@ -142,9 +137,9 @@ def watched_events(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
 @query
 def watcher_runs(spark, sf):
     """Runs that bursts of changes and polls ask for; those during another run are dropped."""
-    out = _folder(spark, "runs")
+    out = scratch(spark, "runs")
     runs = triggers(watched_events(spark, sf), "30 minutes", "2 hours", "1 hour")
-    runs.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "place")).trigger(availableNow=True).start().awaitTermination()
+    runs.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "place")).trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(runs.schema).parquet(out).where("root <> ''")
     return found.select("root", "kind", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "changes", "paths", "accepted")
 
@@ -152,7 +147,7 @@ def watcher_runs(spark, sf):
 @query
 def files_changed(spark, sf):
     """Files of a folder that a stream tells: all, then those written again."""
-    folder, out, place, i = _folder(spark, "watched"), _folder(spark, "told"), _folder(spark, "place"), F.col("doc_id")
+    folder, out, place, i = scratch(spark, "watched"), scratch(spark, "told"), scratch(spark, "place"), F.col("doc_id")
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("s"), i % 7, F.when(i % 11 == 0, "/.hidden/n").otherwise("/n"), i, F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
     for part in (d, d.where("doc_id % 10 = 3")):
         _kept(part, folder)
@@ -197,7 +192,7 @@ def directory_entries(spark, sf):
 @query
 def sync_committed(spark, sf):
     """Baseline and log of a store after a sync, read back."""
-    store = durable.begin(spark, _folder(spark, "store"), snapshots(spark, sf).base)
+    store = durable.begin(spark, scratch(spark, "store"), snapshots(spark, sf).base)
     for _ in range(2):  # the second is a repeat
         durable.commit_sync(store, _done(spark, sf), NOW, batch=1)
     files = store.read("files").select(F.lit("files").alias("kind"), "path", F.col("file_id").alias("id"), F.col("last_sync_at").alias("at"))
@@ -208,7 +203,7 @@ def sync_committed(spark, sf):
 def scan_committed(spark, sf):
     """Baseline, folders and state of a store after a whole scan, read back."""
     base, dirs, known, listed = _scan_parts(spark, sf)
-    store = Store(spark, _folder(spark, "store"))
+    store = Store(spark, scratch(spark, "store"))
     store.commit({"files": base, "dirs": dirs, "state": known})
     durable.commit_scan(store, listed, 77, NOW)
     row = lambda kind, key, value: store.read(kind).select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(value).alias("value"))
@@ -219,7 +214,7 @@ def scan_committed(spark, sf):
 def gc_committed(spark, sf):
     """What stays in a store after its retention rules."""
     s = snapshots(spark, sf)
-    store = Store(spark, _folder(spark, "store"))
+    store = Store(spark, scratch(spark, "store"))
     store.commit({"files": s.base, "log": table(spark, sf, "events").select(F.col("event_id").alias("id"), epoch("ts").alias("timestamp")), "refs": s.base.select(F.col("path").alias("source_path"), F.concat("path", F.lit(".png")).alias("ref_path"))})
     durable.commit_gc(store, s.local, 1_706_600_000 + 60 * 86_400)
     row = lambda kind, key: store.read(kind).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"))
@@ -295,7 +290,7 @@ def _kept(rows: DataFrame, folder: str) -> None:
 @query
 def kept_versions(spark, sf):
     """Each note's versions, and the texts of the largest, read back from gzip files."""
-    folder, i = _folder(spark, "kept"), F.col("doc_id")
+    folder, i = scratch(spark, "kept"), F.col("doc_id")
     version = _notes(spark, sf).select("doc_id", "note", F.explode(F.sequence(F.lit(1).cast("long"), i % 3 + 1)).alias("v"))
     body = F.when(F.col("v") == i % 3, F.col("note")).otherwise(F.concat(F.lit('{"8":"v'), "v", F.lit('"}')))
     _kept(version.select(F.concat(F.lit("F"), i, F.lit("/"), "v").alias("path"), body.alias("content")).unionByName(version.select(F.concat(F.lit("F"), i, F.lit("/"), "v", F.lit(".index")).alias("path"), F.lit("x").alias("content"))), folder)
@@ -309,7 +304,7 @@ def kept_versions(spark, sf):
 @query
 def desktop_files(spark, sf):
     """Bytes of the desktop's files by id; some ids have none, some are empty."""
-    folder, i = _folder(spark, "desktop"), F.col("doc_id")
+    folder, i = scratch(spark, "desktop"), F.col("doc_id")
     d = table(spark, sf, "documents").select("doc_id", F.when(i % 7 == 0, "").otherwise(F.concat(F.when(i % 2 == 0, "W").otherwise("s"), i)).alias("file_id"), "text")
     path = F.concat(F.lit("file/"), F.lower(F.substring("file_id", 1, 1)), F.lit("/"), "file_id")
     _kept(d.where((F.col("file_id") != "") & (i % 5 != 0)).select(path.alias("path"), F.col("text").alias("content")), folder)
@@ -377,7 +372,7 @@ SELECT p_partkey, code, CASE WHEN code IS NOT NULL THEN dup END AS duplicate_id
     "listing_lines": """WITH e AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN doc_id * doc_id * doc_id ELSE 0 END AS size, doc_id % 7 * 250000000000 AS modified, doc_id % 3 = 1 AS is_dir FROM documents)
 SELECT doc_id, 'F' || doc_id AS id, CASE WHEN doc_id % 4 <> 0 THEN 'n' || doc_id ELSE '(unnamed)' END AS name, is_dir, size, modified, CASE WHEN is_dir THEN 'folder' ELSE 'file' END AS type,
   CASE WHEN modified > 0 THEN strftime(make_timestamp(modified * 1000), '%Y-%m-%d %H:%M') ELSE '-' END AS time_text,
-  CASE WHEN size = 0 THEN '-' WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0) ELSE printf('%.1f GB', size / 1073741824.0) END AS size_text FROM e""",
+  CASE WHEN size = 0 THEN '-' WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', floor(size / 102.4 + 0.5) / 10) WHEN size < 1073741824 THEN printf('%.1f MB', floor(size / 104857.6 + 0.5) / 10) ELSE printf('%.1f GB', floor(size / 107374182.4 + 0.5) / 10) END AS size_text FROM e""",
     "references_by_source": "SELECT source_path, string_agg(ref_path, ',' ORDER BY ref_path) AS refs FROM (SELECT DISTINCT 'd' || doc_id % 50 AS source_path, 'r' || unnest([doc_id % 70, doc_id % 3]) AS ref_path FROM documents) GROUP BY 1",
     "scans_needed": SNAPSHOTS + """, s AS (SELECT parent_id AS key, max(cloud_mtime) % 3 AS version, max(local_mtime) % 5000 AS age FROM base GROUP BY 1),
 every AS (SELECT * FROM s UNION ALL SELECT key || '/none', version, age FROM s),

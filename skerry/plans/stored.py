@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from skerry.functions import convert, diagrams, names, richtext, text
 from skerry.operators import health, hydrate, notes, reconcile, reports, state, store, trees
 from skerry.plans.queries import _refined, _tree, query
 from skerry.sources import readers
-from skerry.sources.staging import shared_dir
+from skerry.sources.staging import scratch
 from skerry.sources.workload import SYNCED_AT, epoch, paths, snapshots, table
 from skerry.streaming import feed
 
@@ -576,14 +574,10 @@ def watched_changes(spark, sf):
 # --- files --------------------------------------------------------------------------------
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def local_files(spark, sf):
     """Documents written as text files in a folder for each language, then scanned."""
-    folder = _folder(spark, "files")
+    folder = scratch(spark, "files")
     table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(folder)
     files = readers.local_files(spark, folder)
     return files.groupBy(names.dirname("path").alias("folder")).agg(F.sum("size").alias("bytes"), F.sum(F.octet_length("content").cast("long")).alias("read"))
@@ -592,7 +586,7 @@ def local_files(spark, sf):
 @query
 def cpu_profile(spark, sf):
     """Profiles in JSON, written and analysed together."""
-    folder = _folder(spark, "profile")
+    folder = scratch(spark, "profile")
     k = F.col("p_partkey")
     frame = F.struct(F.col("p_name").alias("functionName"), F.lit("u").alias("url"), F.lit(1).alias("lineNumber"))
     p = table(spark, sf, "part").groupBy(F.expr("p_partkey div 1000").alias("file"))  # a profile of 1,000 nodes in each file
