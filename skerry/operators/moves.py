@@ -96,8 +96,9 @@ def by_name(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     key = F.lower(sanitize(basename("path")))
     known = F.coalesce(usable(F.col("hash")), F.lit(""))
-    counted = new.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where(F.col("n") <= MAX_CANDIDATES).select("k")
-    few = new.withColumn("k", key).join(counted, "k").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("path", known.alias("hash")))).alias("found"))
+    # one more than may pair tells a name with too many, however many there are
+    some = new.select(key.alias("k"), "path", known.alias("hash")).withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy("path"))).where(F.col("_n") <= MAX_CANDIDATES + 1)
+    few = some.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("path", "hash"))).alias("found")).where(F.size("found") <= MAX_CANDIDATES)
     few = written(few, "candidates")  # a plain shuffle, so that a very common name's join can be split
     linked = F.col("linked") if "linked" in old.columns else F.col("file_id") != ""
     rows = old.withColumn("k", key).where(~F.col("k").isin(*GENERIC_NAMES)).select("k", "path", known.alias("hash"), linked.alias("linked")).join(few, "k")

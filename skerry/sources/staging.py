@@ -58,13 +58,17 @@ def dropped(*tables: DataFrame | None) -> None:
         spark._jvm.System.gc()
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "n", most: int = 1_000_000) -> DataFrame:
     """Adds each row's number within its key, from 1 in ``order``.
 
-    Rows are sorted by ranges and counted in each; a key that fills many ranges
-    gets its numbers from the counts of the ranges before, so no key has to fit
-    into one task.
+    A window sorts each key's rows in one task.  Where a key has more than ``most``
+    of them, all rows are sorted by ranges instead and counted in each; a key that
+    fills many ranges gets its numbers from the counts of the ranges before, so no
+    key has to fit into one task.  The numbers are the same.
     """
+    largest = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= most:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     placed = written(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_range", F.spark_partition_id()), "numbered")
     here = placed.withColumn("_here", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,4 +76,3 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "n"
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0))).drop("_count")
     both = here.join(offsets, [*keys, "_range"])
     return both.withColumn(name, (F.col("_here") + F.col("_before")).cast("long")).drop("_range", "_here", "_before")
-

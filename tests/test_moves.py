@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from skerry.operators import moves
 from skerry.sources.staging import numbered
 
@@ -67,9 +69,10 @@ def test_names_choose_in_order(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 10
 
 
-def test_numbered_across_ranges(spark):
+@pytest.mark.parametrize("most", (0, 1000))
+def test_numbered_across_ranges(spark, most):
     rows = [("hot", i) for i in range(500)] + [(f"k{i % 7}", i) for i in range(50)]
-    got = {(r["k"], r["v"]): r["n"] for r in numbered(spark.createDataFrame(rows, "k string, v int"), ["k"], ["v"]).collect()}
+    got = {(r["k"], r["v"]): r["n"] for r in numbered(spark.createDataFrame(rows, "k string, v int"), ["k"], ["v"], most=most).collect()}
     want = {}
     for k, v in sorted(rows):
         want[k, v] = 1 + sum(1 for x in want if x[0] == k)
