@@ -312,7 +312,7 @@ sums AS (SELECT doc_id, sum(CASE WHEN x = y THEN 9 ELSE 5 + length(y) // 2 END):
 SELECT doc_id, md5(b) AS patched, coalesce(bytes, 0) AS bytes, (9 * ceil(octet_length(a) / 4096.0))::BIGINT AS unchanged_bytes FROM t LEFT JOIN sums USING (doc_id)""",
     "bloom_membership": "SELECT item_id, true AS found FROM benchmark",
     "merkle_dirs": MERKLE,
-    "merkle_diff": FILES + ", c AS (SELECT dir FROM d WHERE doc_id = 7) SELECT dir FROM c UNION SELECT split_part(dir, '/', 1) FROM c UNION SELECT '' FROM c",
+    "merkle_diff": FILES + ", c AS (SELECT dir FROM d WHERE doc_id % 97 IN (7, 8, 9)) SELECT dir FROM c UNION SELECT split_part(dir, '/', 1) FROM c UNION SELECT '' FROM c",
     "tree_paths": TREE + " SELECT id, path, depth FROM walk",
     "tree_list_depth": TREE + " SELECT id, path, depth FROM walk WHERE depth < 2",
     "tree_directories": FILES + " SELECT '' AS dir, 0 AS depth UNION SELECT split_part(dir, '/', 1), 1 FROM d UNION SELECT dir, 2 FROM d",

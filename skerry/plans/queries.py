@@ -507,9 +507,10 @@ def merkle_dirs(spark, sf):
 
 @query
 def merkle_diff(spark, sf):
-    d = paths(spark, sf)
-    old = trees.merkle(d.select("path", F.md5("text").alias("hash")), 2)
-    new = trees.merkle(d.select("path", F.when(F.col("doc_id") == 7, F.lit("changed")).otherwise(F.md5("text")).alias("hash")), 2)
+    """Directories above files that were changed, removed or added."""
+    d, i = paths(spark, sf).select("doc_id", "path", F.md5("text").alias("hash")), F.col("doc_id")
+    old = trees.merkle(d.where(i % 97 != 9).select("path", "hash"), 2)
+    new = trees.merkle(d.where(i % 97 != 8).select("path", F.when(i % 97 == 7, "changed").otherwise(F.col("hash")).alias("hash")), 2)
     return trees.merkle_diff(old, new)
 
 
