@@ -68,7 +68,9 @@ CASE WHEN doc_id % 2 = 0 THEN (doc_id + 1700000000000) // 1000 ELSE doc_id END A
 SELECT k AS n_nationkey, CASE WHEN k = 7 THEN 'own' ELSE 'sync: ' || CASE WHEN s <> '' THEN s ELSE 'auto-commit' END || ' (2024-05-06 07:08:09)' END AS message FROM p""",
     "clip_names": "SELECT doc_id, CASE WHEN doc_id % 1200 < 1000 THEN lpad((doc_id % 1200)::VARCHAR, 3, '0') ELSE (doc_id % 1200)::VARCHAR END || '-rec' || ['.ogg', '.mp3', '.aac', '.bin'][doc_id % 4 + 1] AS name, doc_id % 1200 < 1000 AS own FROM documents",
     "denied_commands": r"SELECT p_partkey, regexp_matches(p_name, '\b(a|b)[a-z]+') AS denied FROM part",
-    "markdown_tables": 'SELECT doc_id, doc_id % 3 <> 1 AS "table" FROM documents',
+    "markdown_tables": r"""WITH b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(10) || '| a | b |' || chr(10) || '|---|:-:|' || chr(10) WHEN 1 THEN text || chr(10) || '| a | b |' || chr(10) ELSE 'x|y' || chr(10) || '| -- |' || chr(10) || text END AS body FROM documents),
+l AS (SELECT doc_id, string_split(body, chr(10)) AS lines FROM b)
+SELECT doc_id, len(list_filter(range(1, len(lines)), lambda k: contains(lines[k], '|') AND regexp_full_match(lines[k + 1], '\|[\t :|-]+\|'))) > 0 AS "table" FROM l""",
     "bloom_sizes": """SELECT n::BIGINT AS n, greatest(floor(-n * ln(0.01) / pow(ln(2), 2)), 1)::BIGINT AS bits, greatest(floor(floor(-n * ln(0.01) / pow(ln(2), 2)) * ln(2) / n), 1)::BIGINT AS hashes FROM (VALUES (1), (100), (1000), (10000), (1000000)) t(n)""",
     "note_contents": f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '| a |/' ELSE 'p' || doc_id || '/!/' END || 'q' || doc_id || '/!' AS texts,
 CASE doc_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '| a |/' ELSE 'p' || doc_id || '!/' END || 'q' || doc_id || '!' AS paragraphs, CASE WHEN doc_id % 3 = 0 THEN 'rh' ELSE '' END AS missing, {KINDS} AS shape FROM documents""",
