@@ -182,6 +182,13 @@ def bloom_size(n: int, p: float) -> tuple[int, int]:
     return bits, max(1, math.floor(bits * math.log(2) / max(n, 1)))
 
 
+def bloom_sizes(n: Column | str, p: float) -> Column:
+    """:func:`bloom_size` over a column of counts."""
+    n = F.greatest(col(n), F.lit(1)).cast("double")
+    bits = F.greatest(F.lit(1.0), F.least(F.floor(-n * math.log(p) / math.log(2) ** 2).cast("double"), F.lit(float(2**31 - 1))))
+    return F.struct(bits.cast("long").alias("bits"), F.greatest(F.lit(1), F.floor(bits * math.log(2) / n)).cast("long").alias("hashes"))
+
+
 def _bloom_places(items: list[bytes], bits: int, hashes: int) -> np.ndarray:
     import xxhash
 

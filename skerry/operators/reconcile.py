@@ -103,6 +103,13 @@ def decide(rules: tuple[tuple[tuple, str], ...], columns: tuple[str, ...], value
     return F.expr(f"CASE {cases} ELSE raise_error('no rule matches') END")
 
 
+def matches(df: DataFrame) -> DataFrame:
+    """Adds how many rules match a row's conditions; it should be one."""
+    spell = {True: "true", False: "false", None: "NULL"}
+    tests = (" AND ".join(f"{c} <=> {spell[w]}" for c, w in zip(CONDITIONS, when, strict=True) if w is not ANY) for when, _ in RULES)
+    return df.withColumn("matches", F.expr(" + ".join(f"int({test})" for test in tests)))
+
+
 def classify(df: DataFrame) -> DataFrame:
     """Adds state, decision_reason and policy_version to a table with the conditions."""
     both = decide(RULES, CONDITIONS, lambda i, s: f"named_struct('state', '{s}', 'decision_reason', 'rule_{i}_{s}')")

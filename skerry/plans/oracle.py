@@ -197,10 +197,7 @@ ORACLE: dict[str, str] = {
     "recon_action_plan": PLANNED + " SELECT path, state, action, CASE action WHEN 'download' THEN 1 WHEN 'upload' THEN 2 ELSE 3 END AS phase FROM planned",
     "recon_pull_plan": _direction("'download', 'conflict'"),
     "recon_push_plan": _direction("'upload'"),
-    "rule_exhaustiveness": f"""WITH two AS (SELECT unnest([true, false]) AS v), three AS (SELECT unnest([true, false, NULL]) AS v),
-conditions AS (SELECT a.v AS local_exists, b.v AS cloud_exists, c.v AS previously_synced, x.v AS local_hash_changed, y.v AS cloud_mtime_changed, z.v AS local_mtime_changed
-  FROM two a, two b, two c, three x, three y, three z)
-SELECT {_STATE} AS state, 1 AS matches, count(*) AS n FROM conditions GROUP BY 1""",
+    "rule_exhaustiveness": STATES + " SELECT state, 1 AS matches, count(*) AS n FROM states GROUP BY state",
     "dryrun_stats": PLANNED + """ SELECT count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'upload') AS uploads, count(*) FILTER (action = 'download') AS downloads,
 count(*) FILTER (action = 'conflict') AS conflicts, count(*) FILTER (action = 'move') AS moves, count(*) FILTER (action = 'deleteCloud') AS cloud_deletes,
 count(*) FILTER (action = 'deleteLocal') AS local_deletes, count(*) FILTER (action <> 'skip') AS changes FROM planned""",

@@ -77,18 +77,9 @@ def recon_push_plan(spark, sf):
 
 @query
 def rule_exhaustiveness(spark, sf):
-    """All 216 condition vectors, each with the number of rules that match it."""
-    two, three = "array(true, false)", "array(true, false, cast(null as boolean))"
-    df = spark.range(1).drop("id")
-    for c in reconcile.CONDITIONS:
-        df = df.withColumn(c, F.explode(F.expr(two if c in reconcile.CONDITIONS[:3] else three)))
-    matches = None
-    for when, _ in reconcile.RULES:
-        test = F.lit(True)
-        for c, w in zip(reconcile.CONDITIONS, when, strict=True):
-            test = test if w is reconcile.ANY else test & F.col(c).eqNullSafe(F.lit(w))
-        matches = test.cast("int") if matches is None else matches + test.cast("int")
-    return reconcile.classify(df).withColumn("matches", matches).groupBy("state", "matches").agg(F.count("*").alias("n"))
+    """How many rules match the conditions of each path, by state."""
+    df = reconcile.matches(reconcile.classify(reconcile.conditions(reconcile.joined(*snapshots(spark, sf)))))
+    return df.groupBy("state", "matches").agg(F.count("*").alias("n"))
 
 
 @query

@@ -291,7 +291,10 @@ def markdown_tables(spark, sf):
 
 @query
 def bloom_sizes(spark, sf):
-    return spark.createDataFrame([(n, *text.bloom_size(n, 0.01)) for n in (1, 100, 1000, 10_000, 1_000_000)], "n long, bits long, hashes long")
+    """The filter that the documents of each source, and of each language, would need."""
+    d = table(spark, sf, "documents")
+    counts = d.groupBy(F.coalesce("source", F.lit("none")).alias("of")).agg(F.count("*").alias("n")).unionByName(d.groupBy(F.coalesce("lang", F.lit("none")).alias("of")).agg((1000 * F.count("*")).alias("n")))
+    return counts.select("of", "n", text.bloom_sizes("n", 0.01).alias("s")).select("of", "n", "s.*")
 
 
 # --- notes and conversions -------------------------------------------------------------

@@ -71,7 +71,8 @@ SELECT k AS n_nationkey, CASE WHEN k = 7 THEN 'own' ELSE 'sync: ' || CASE WHEN s
     "markdown_tables": r"""WITH b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(10) || '| a | b |' || chr(10) || '|---|:-:|' || chr(10) WHEN 1 THEN text || chr(10) || '| a | b |' || chr(10) ELSE 'x|y' || chr(10) || '| -- |' || chr(10) || text END AS body FROM documents),
 l AS (SELECT doc_id, string_split(body, chr(10)) AS lines FROM b)
 SELECT doc_id, len(list_filter(range(1, len(lines)), lambda k: contains(lines[k], '|') AND regexp_full_match(lines[k + 1], '\|[\t :|-]+\|'))) > 0 AS "table" FROM l""",
-    "bloom_sizes": """SELECT n::BIGINT AS n, greatest(floor(-n * ln(0.01) / pow(ln(2), 2)), 1)::BIGINT AS bits, greatest(floor(floor(-n * ln(0.01) / pow(ln(2), 2)) * ln(2) / n), 1)::BIGINT AS hashes FROM (VALUES (1), (100), (1000), (10000), (1000000)) t(n)""",
+    "bloom_sizes": """WITH c AS (SELECT coalesce(source, 'none') AS of, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT coalesce(lang, 'none'), 1000 * count(*) FROM documents GROUP BY 1)
+SELECT of, n, greatest(floor(-n * ln(0.01) / pow(ln(2), 2)), 1)::BIGINT AS bits, greatest(floor(floor(-n * ln(0.01) / pow(ln(2), 2)) * ln(2) / n), 1)::BIGINT AS hashes FROM c""",
     "note_contents": f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '| a |/' ELSE 'p' || doc_id || '/!/' END || 'q' || doc_id || '/!' AS texts,
 CASE doc_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '| a |/' ELSE 'p' || doc_id || '!/' END || 'q' || doc_id || '!' AS paragraphs, CASE WHEN doc_id % 3 = 0 THEN 'rh' ELSE '' END AS missing, {KINDS} AS shape FROM documents""",
     "note_comparison": f"SELECT doc_id, doc_id % 2 = 0 AS same, {KINDS} || '/' || {KINDS} AS shapes, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'title' END AS attributes FROM documents",

@@ -1,5 +1,7 @@
 """Semantics that the query tables don't reach."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ def sides(spark, r=(), l=(), b=()):  # noqa: E741
 
 
 def test_every_condition_has_one_rule(spark):
-    from skerry.plans.queries import rule_exhaustiveness
-
-    rows = rule_exhaustiveness(spark, "").collect()
-    assert sum(r["n"] for r in rows) == 216 and {r["matches"] for r in rows} == {1}
+    """All 216 vectors of three two-valued and three three-valued conditions."""
+    vectors = list(itertools.product(*[(True, False)] * 3, *[(True, False, None)] * 3))
+    df = spark.createDataFrame(vectors, ", ".join(f"{c} boolean" for c in reconcile.CONDITIONS))
+    rows = reconcile.matches(reconcile.classify(df)).collect()
+    assert len(rows) == 216 and {r["matches"] for r in rows} == {1}
+    assert [tuple(r[k] for k in ("bits", "hashes")) for r in spark.range(1000, 1001).select(text.bloom_sizes("id", 0.01).alias("s")).select("s.*").collect()] == [text.bloom_size(1000, 0.01)]
 
 
 @pytest.mark.parametrize(("base", "state_"), [(("p", "F", 1000, 1000, "h", "h", 900, "d", 1, 800), "synced"), (("p", "F", 999, 1000, "h", "h", 900, "d", 1, 800), "cloudModifiedContent"), (("p", "F", 1000, 1000, "x", "h", 900, "d", 1, 800), "localModified"), (("p", "F", 0, 1000, "x", "h", 900, "d", 1, 800), "conflict"), (("p", "", 0, 0, "", None, 0, None, 0, 0), "synced"), (("p", "F", -1, 0, "x", None, 5, None, 0, 0), "cloudModifiedContent")])
