@@ -299,6 +299,7 @@ SELECT doc_id, protected_chars, body_chars + CASE WHEN false THEN 1 ELSE 0 END A
     "block_diff": f"""WITH a AS ({BLOCKS.format("documents")}), c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || '!' WHEN 1 THEN substring(text, 1, 4000) ELSE text END AS text FROM documents), b AS ({BLOCKS.format("c")})
 SELECT doc_id, block, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (doc_id, block) WHERE a.hash IS DISTINCT FROM b.hash""",
     "md_normalize": MD_NORMALIZE,
+    "md_to_json_roundtrip": r"SELECT doc_id, true AS same, md5(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS md5 FROM documents",
     "note_round_trips": """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS words, coalesce(regexp_extract_all(text, '[A-Za-z]+')[1], 'none') AS w FROM documents)
 SELECT doc_id, md5(concat_ws(chr(10), '# ' || w, '', '- ' || w, '  - two', '1. ' || w, '', '> q ' || w, '> r', '', '', '```py', '# ' || array_to_string(words, ' '), '> x', '```', '', '| a | ' || w || ' |', '| -- | -- |', '| 1 |  |', '', '', '![](u)', '', '---', '', 'plain *' || w || '* and **[l](' || w || ') ***x***')) AS md5 FROM w""",
     "merge3": """SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN '<<<<<<< LOCAL' || chr(10) || 'ours ' || doc_id || chr(10) || '=======' || chr(10) || 'theirs ' || doc_id || chr(10) || '>>>>>>> CLOUD' ELSE 'ours ' || doc_id END

@@ -423,8 +423,8 @@ def md_to_json_roundtrip(spark, sf):
     """Documents whose text comes back the same, but for white space, from a rich note."""
     d = paths(spark, sf).select("doc_id", "text")
     back = richtext.markdown_to_notes(d, "doc_id", "text").select(F.col("key").alias("doc_id"), richtext.note_to_markdown("note").alias("back"))
-    squeeze = lambda c: F.regexp_replace(c, r"\s+", "")
-    return d.join(back, "doc_id").select("doc_id", (squeeze("back") == squeeze("text")).alias("same"))
+    squeeze = lambda c: F.regexp_replace(c, r"[\x20\x09-\x0D]+", "")
+    return d.join(back, "doc_id").select("doc_id", (squeeze("back") == squeeze("text")).alias("same"), F.md5(squeeze("back")).alias("md5"))
 
 
 @query
