@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import convert, diff, names, richtext, text
@@ -361,14 +361,19 @@ def file_sizes(spark, sf):
     return paths(spark, sf).select("doc_id", names.file_size(F.pow(F.lit(2), i % 36).cast("long") + i).alias("size"))
 
 
+def _words(spark: SparkSession, sf: str) -> tuple[DataFrame, Column, Column]:
+    """Documents with their words and the first of them, taken out once."""
+    d = paths(spark, sf).select("doc_id", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)).alias("words"))
+    return d.select("doc_id", "words", F.coalesce(F.get("words", F.lit(0)), F.lit("none")).alias("w")), F.col("words"), F.col("w")
+
+
 @query
 def md_normalize(spark, sf):
     """Every document's words, written as editors might, levelled."""
-    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
-    w = F.coalesce(F.get(words, F.lit(0)), F.lit("none"))
+    d, words, w = _words(spark, sf)
     parts = ("* ", F.array_join(words, "  "), "  \n\n > >  \n***\n - - -\n```", w, "\n|  ", w, " | x |\n| :-- | --: |\n12.    ", w, "\n   ", w, "   \n> *  ", w, "\na \\* \\[", w, "\\] `c` <https://x.y/", w, ">")
     messy = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
-    return paths(spark, sf).select("doc_id", F.md5(text.normalize_markdown(messy)).alias("md5"))
+    return d.select("doc_id", messy.alias("messy")).select("doc_id", F.md5(text.normalize_markdown("messy")).alias("md5"))
 
 
 @query
@@ -430,10 +435,9 @@ def md_to_json_roundtrip(spark, sf):
 @query
 def note_round_trips(spark, sf):
     """Every kind of block, built from each document's words, to a note and back."""
-    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
-    w = F.coalesce(F.get(words, F.lit(0)), F.lit("none"))
+    d, words, w = _words(spark, sf)
     parts = ("# ", w, "\n\n* ", w, "\n  + two\n\n12. ", w, "\n\n> q ", w, "\n>  r\n\n\n```py\n# ", F.array_join(words, " "), "\n> x\n```\n\n| a | ", w, "|\n| :-: | -- |\n| 1 |\n\n![t](u)\n***\nplain *", w, "* and **[l](", w, ") ***x***")
-    md = paths(spark, sf).select("doc_id", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("md"))
+    md = d.select("doc_id", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("md"))
     return richtext.markdown_to_notes(md, "doc_id", "md").select(F.col("key").alias("doc_id"), F.md5(richtext.note_to_markdown("note")).alias("md5"))
 
 
