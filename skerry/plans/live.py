@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import names
@@ -23,7 +23,7 @@ from skerry.plans.stored_oracle import STORED
 from skerry.sources import listing, versions
 from skerry.sources.changes import changed_files
 from skerry.sources.commit import Store
-from skerry.sources.staging import scratch
+from skerry.sources.staging import scratch, written
 from skerry.sources.workload import epoch, paths, snapshots, table
 from skerry.streaming import feed
 from skerry.streaming.watcher import triggers
@@ -39,7 +39,8 @@ def written_pages(spark: SparkSession, sf: str, broken: bool = False) -> str:
     """Listing pages written from documents: a root of folders of 20, in pages of 4.
 
     Of every five folders, one repeats its first page for ever, one gives a total
-    of 6, one has a short second page; with ``broken``, one has an unreadable page.
+    of 6, one has a short second page; with ``broken``, one has an unreadable page, its
+    second or only one.
     """
     i = F.col("doc_id")
     kind = F.floor(i / FOLDER) % 5
@@ -53,12 +54,14 @@ def written_pages(spark: SparkSession, sf: str, broken: bool = False) -> str:
     total = F.when(F.col("kind") == 2, 6).otherwise(1000)
     body = F.to_json(F.struct(total.alias("count"), F.transform("es", lambda x: x["e"]).alias("entries")))
     if broken:
-        body = F.when((F.col("kind") == 4) & (F.col("start") == PAGE), "{no page").otherwise(body)
+        pages = pages.withColumn("bad", F.least(F.lit(PAGE), F.max("start").over(Window.partitionBy("dir"))))
+        body = F.when((F.col("kind") == 4) & (F.col("start") == F.col("bad")), "{no page").otherwise(body)
     folders = d.select("dir").distinct().select(F.lit("top").alias("dir"), F.regexp_extract("dir", "[0-9]+", 0).cast("long").alias("n"), "dir").toDF("dir", "n", "id")
     top = folders.groupBy("dir", (F.floor(F.col("n") / PAGE) * PAGE).cast("long").alias("start")).agg(F.sort_array(F.collect_list(F.struct("n", entry(F.col("id"), F.concat(F.lit("folder "), "n"), F.lit(True)).alias("e")))).alias("es"))
     top = top.select("dir", "start", F.to_json(F.struct(F.lit(1 << 40).alias("count"), F.transform("es", lambda x: x["e"]).alias("entries"))).alias("body"))
     out = scratch(spark, "pages")
-    pages.select("dir", "start", body.alias("body")).unionByName(top).repartition("dir", "start").write.partitionBy("dir", "start").text(out)
+    every = pages.select("dir", "start", body.alias("body")).unionByName(top).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dir", "start")
+    _kept(every.select(F.concat(F.lit("dir="), "dir", F.lit("/start="), "start", F.lit("/part-0.txt")).alias("path"), F.col("body").alias("content")), out, packed=False)
     return out
 
 
@@ -77,7 +80,7 @@ def listing_scan(spark, sf):
 @query
 def listing_broken(spark, sf):
     """Entries of each folder of a listing in which some folders fail."""
-    pages = listing.read_pages(spark, written_pages(spark, sf, broken=True), **_options(spark, sf))
+    pages = written(listing.read_pages(spark, written_pages(spark, sf, broken=True), **_options(spark, sf)), "pages")
     counts = listing.listed(pages, PAGE).groupBy("dir_id").agg(F.count("*").alias("n"))
     failed = listing.failures(pages).select("dir_id", F.substring_index("error", ":", 1).alias("error"))
     return counts.join(failed, "dir_id", "full").where("dir_id <> 'top'").select("dir_id", F.coalesce("n", F.lit(0)).alias("n"), "error")
@@ -272,8 +275,9 @@ def note_deep_texts(spark, sf):
     return notes.note_texts(_notes(spark, sf), "doc_id", "note").select(F.col("key").alias("doc_id"), F.array_join("texts", "/").alias("texts"))
 
 
-def _kept(rows: DataFrame, folder: str) -> None:
-    """Writes (path, content) as gzip files; a repeated task writes the same again."""
+def _kept(rows: DataFrame, folder: str, packed: bool = True) -> None:
+    """Writes (path, content) as files, gzip ones if ``packed``; a repeated task
+    writes the same again."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, root = fs.FileSystem.from_uri(folder)
@@ -281,7 +285,7 @@ def _kept(rows: DataFrame, folder: str) -> None:
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 disk.create_dir(f"{root}/{path.rpartition('/')[0]}")
                 with disk.open_output_stream(f"{root}/{path}", compression=None) as out:
-                    out.write(gzip.compress(content.encode(), 1))
+                    out.write(gzip.compress(content.encode(), 1) if packed else content.encode())
             yield batch.slice(0, 0)
 
     rows.select("path", "content").mapInArrow(write, "path string, content string").count()

@@ -1,11 +1,13 @@
 """A paged remote listing as a Spark data source, and its stop rules.
 
-``spark.read.format("listing")`` deals ranges of the folders' pages out to
+``spark.read.format("listing")`` deals lanes of the folders' pages out to
 partitions and asks a fetcher for them.  A fetcher is any importable
 ``function(path, dir_id, start) -> dict`` that returns a page (``entries``,
 ``count``) or raises; :func:`stored_page` reads pages from files.  What ends a
 listing is decided afterwards, in :func:`listed`, by expressions over all pages
-of a folder, so that ranges need not wait for each other.
+of a folder, so that lanes need not wait for each other.  A lane stops at a page
+that ends the listing, so a folder costs as many requests as it has pages, and one
+more for each lane, however many pages a listing may have.
 """
 
 from __future__ import annotations
@@ -60,16 +62,16 @@ def _entry(raw: object) -> dict:
 
 
 class Pages(InputPartition):
-    """Ranges (folder, first page, page after the last) that one task fetches."""
+    """Lanes (number, its folders) that one task fetches."""
 
-    def __init__(self, ranges: list[tuple[str, int, int]]):
-        self.ranges = ranges
+    def __init__(self, lanes: list[tuple[int, list[str]]]):
+        self.lanes = lanes
 
 
 class ListingReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.mode = options["path"], options.get("mode", "PERMISSIVE").upper()
-        self.size, self.most, self.range, self.tasks = (int(options.get(k, d)) for k, d in (("pagesize", 100), ("mostpages", 50), ("rangepages", 10), ("tasks", 200)))
+        self.size, self.most, self.range, self.tasks, self.lanes = (int(options.get(k, d)) for k, d in (("pagesize", 100), ("mostpages", 50), ("rangepages", 10), ("tasks", 200), ("lanes", 5)))
         self.fetcher, self.root = options.get("fetcher", f"{__name__}:stored_page"), options.get("root")
         self.dirs = json.loads(options["dirs"]) if "dirs" in options else None
         if self.mode not in ("PERMISSIVE", "FAILFAST"):
@@ -85,17 +87,22 @@ class ListingReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         dirs = self.dirs if self.dirs is not None else stored_folders(self.path)
-        ranges = [(d, first, min(first + self.range, self.most)) for d in dirs for first in range(0, self.most, self.range)]
-        return [Pages(ranges[k :: self.tasks]) for k in range(min(self.tasks, len(ranges)))]
+        lanes = min(self.lanes, -(-self.most // self.range))
+        tasks = min(self.tasks, len(dirs) * lanes)
+        return [Pages([(n, dirs[(k - n) % tasks :: tasks]) for n in range(lanes)]) for k in range(tasks)]
 
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         module, _, name = self.fetcher.partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        for dir_id, first, last in partition.ranges:
-            yield from self._range(fetch, dir_id, first, last)
-
-    def _range(self, fetch: Callable[[str, str, int], dict], dir_id: str, first: int, last: int) -> Iterator[pa.RecordBatch]:
-        for page in range(first, last):
+        for lane, dirs in partition.lanes:
+            for dir_id in dirs:
+                yield from self._lane(fetch, dir_id, lane)
+
+    def _lane(self, fetch: Callable[[str, str, int], dict], dir_id: str, lane: int) -> Iterator[pa.RecordBatch]:
+        """Every so many ranges of a folder's pages, up to one that ends the listing."""
+        known: list[set[str]] = []  # ids of the lane's first page and of the one before
+        step = min(self.lanes, -(-self.most // self.range)) * self.range
+        for page in (p for first in range(lane * self.range, self.most, step) for p in range(first, min(first + self.range, self.most))):
             start = page * self.size
             try:
                 data = fetch(self.path, dir_id, start)
@@ -107,14 +114,17 @@ class ListingReader(DataSourceReader):
             entries = [_entry(x) for x in raw] if isinstance(raw, list) else []
             row = {"dir_id": dir_id, "page": page, "start": start, "total": _number(data.get("count")) or 0, "error": error, "entries": entries}
             yield pa.RecordBatch.from_pylist([row], schema=_PAGE)
-            if error is not None or len(entries) < self.size:
+            ids = {e["id"] for e in entries if e["id"]}
+            if error is not None or len(entries) < self.size or not ids or any(ids <= old for old in known):
                 return  # every rule ends the listing here, too
+            known = [*known[:1], ids]
 
 
 class ListingSource(DataSource):
     """Options: ``path``; ``pagesize`` (100), ``mostpages`` of a folder (50),
-    ``rangepages`` that are fetched one after another (10), dealt out to ``tasks``
-    partitions (200); ``dirs`` (a JSON list; all stored ones);
+    ``rangepages`` that are fetched one after another (10); ``lanes`` (5), which take
+    a folder's ranges in turn, each until a page ends the listing, dealt out to
+    ``tasks`` partitions (200); ``dirs`` (a JSON list; all stored ones);
     ``mode`` for a folder that fails: FAILFAST, or PERMISSIVE (it has no entries);
     ``root``, a folder that must not fail; ``fetcher`` (module:function)."""
 
@@ -182,7 +192,8 @@ def scan(spark: SparkSession, path: str, root: str, **options: str | int) -> Dat
     if not root:
         raise ValueError("a scan needs a root")
     size = int(options.get("pagesize", 100))
-    rows = written(listed(read_pages(spark, path, root=root, **options), size).withColumnRenamed("dir_id", "parent_id").where(~F.col("name").startswith(".")), "listed")
+    pages = written(read_pages(spark, path, root=root, **options), "pages")
+    rows = written(listed(pages, size).withColumnRenamed("dir_id", "parent_id").where(~F.col("name").startswith(".")), "listed")
     label = F.when(F.col("is_dir"), F.col("name")).otherwise(map_remote_name("name"))
     top = spark.createDataFrame([(root, None, "")], "id string, parent_id string, name string")
     nodes = rows.select("id", "parent_id", label.alias("name")).unionByName(top)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.operators import dedup, moves, trees
-from skerry.plans import durable
+from skerry.plans import durable, live
 from skerry.sources import listing
 from skerry.sources.commit import Conflict, Store
 from skerry.streaming.watcher import triggers
@@ -63,6 +63,26 @@ def test_failing_folders(spark, tmp_path):
         listing.scan(spark, f"file://{tmp_path}", "")
 
 
+def test_requests_do_not_grow_with_the_most_pages(tmp_path):
+    for start in range(0, 39, 3):
+        put(tmp_path, "long", start, [f"{start + k}" for k in range(3)])
+        put(tmp_path, "again", start, ["a", "b", "c"])
+    put(tmp_path, "small", 0, ["a"])
+    told = []
+    for most in (100, 1_000_000):
+        reader = listing.ListingReader({"path": f"file://{tmp_path}", "pagesize": "3", "rangepages": "2", "mostpages": str(most), "tasks": "4"})
+        parts = reader.partitions()
+        assert sum(len(dirs) for p in parts for _, dirs in p.lanes) == 3 * 5
+        told.append(sorted((r["dir_id"], r["page"]) for p in parts for b in reader.read(p) for r in b.to_pylist()))
+    assert told[0] == told[1] and {p for d, p in told[0] if d == "long"} >= set(range(13)) and len(told[0]) < 50
+
+
+def test_short_broken_folder(spark, tmp_path):
+    """A folder with one page has that one unreadable."""
+    spark.range(82).selectExpr("id AS doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["dir_id"]: (r["n"], r["error"]) for r in live.listing_broken(spark, str(tmp_path)).collect()}["d4"] == (0, "JSONDecodeError")
+
+
 def test_scan_with_visited_folders(spark, tmp_path):
     folder = lambda i, name: {"id": i, "name": name, "dir": True}
     put(tmp_path, "top", 0, [folder("x", "a"), folder("top", "loop"), {"id": "f", "name": "n.note"}])
