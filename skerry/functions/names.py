@@ -132,10 +132,12 @@ def allowed(path: Column | str, include: list[str] | None = None, exclude: list[
     return ~some(exclude or []) & (some(include) if include else F.lit(True))
 
 
-def file_size(n: Column | str) -> Column:
-    """Bytes in B, KB, MB or GB with one decimal."""
+def file_size(n: Column | str, half_even: bool = False) -> Column:
+    """Bytes in B, KB, MB or GB with one decimal: of two equally near ones the
+    larger, or the even one (as ``printf`` does) if ``half_even``."""
     x = col(n)
-    text = lambda k, unit: F.format_string(f"%.1f {unit}", x / float(1 << 10 * k))
+    near = (lambda v: F.bround(v, 1)) if half_even else (lambda v: v)
+    text = lambda k, unit: F.format_string(f"%.1f {unit}", near(x / float(1 << 10 * k)))
     return F.when(x < 1 << 10, F.format_string("%d B", x.cast("long"))).when(x < 1 << 20, text(1, "KB")).when(x < 1 << 30, text(2, "MB")).otherwise(text(3, "GB"))
 
 

@@ -106,6 +106,7 @@ def test_names(spark):
     for pattern, path, hit in (("*.md", "a/b.md", True), ("src/*", "x/src/a/b", True), ("[!a].md", "b.md", True), ("[!a].md", "a.md", False), ("?.md", "ab.md", False)):
         assert v(names.allowed(F.lit(path), include=[pattern])) is hit
     assert [v(names.file_size(F.lit(n))) for n in (5, 2048, 3 << 20)] == ["5 B", "2.0 KB", "3.0 MB"]
+    assert [v(names.file_size(F.lit(n), even)) for n in (1280, 1792, 1281) for even in (False, True)] == ["1.3 KB", "1.2 KB", "1.8 KB", "1.8 KB", "1.3 KB", "1.3 KB"]
 
 
 def test_text(spark):
