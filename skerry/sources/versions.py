@@ -7,6 +7,7 @@ stream, one at a time.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,15 +18,32 @@ from pyspark.sql import functions as F
 
 from skerry.functions.names import col
 
+_NUMBER = re.compile("[0-9]{1,18}$")
+_VERSION = pa.schema([("file_id", pa.string()), ("version", pa.int64()), ("size", pa.int64()), ("path", pa.string())])
 _TEXT = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
 
 def list_versions(spark: SparkSession, folder: str) -> DataFrame:
-    """file_id, version, size, path of the versions below ``folder``; only numbers are versions."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
-    parts = F.split("path", "/")
-    rows = files.select(F.element_at(parts, -2).alias("file_id"), F.element_at(parts, -1).alias("name"), "size", "path").where(F.col("name").rlike("^[0-9]+$"))
-    return rows.select("file_id", F.col("name").cast("long").alias("version"), "size", "path")
+    """file_id, version, size, path of the versions below ``folder``; only numbers are
+    versions.  One task names the folders, all of them list what is in them; nothing
+    of it goes through the driver."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            disk, root = fs.FileSystem.from_uri(folder)
+            names = [f.base_name for f in disk.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory and not f.base_name.startswith(("_", "."))]
+            for i in range(0, len(names), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 10_000], pa.string())], ["file_id"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            rows = [(d, int(f.base_name), f.size, f"{folder}/{d}/{f.base_name}") for d in batch.column(0).to_pylist() for f in disk.get_file_info(fs.FileSelector(f"{root}/{d}")) if f.type == fs.FileType.File and _NUMBER.match(f.base_name)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_VERSION)], schema=_VERSION)
+
+    folder = folder.rstrip("/") if "://" in folder or folder.startswith("file:") else f"file://{folder.rstrip('/')}"
+    folders = spark.range(1, numPartitions=1).mapInArrow(named, "file_id string")
+    return folders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(listed, "file_id string, version long, size long, path string")
 
 
 def richest(versions: DataFrame) -> DataFrame:
