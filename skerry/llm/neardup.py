@@ -57,6 +57,8 @@ VALUES = 64
 TREES = 24
 KEY_VALUES = 8
 BLOCK = 1024
+#: Times that each component's most alike pair is confirmed before all that are left.
+ROUNDS = 3
 _MULTIPLIERS = K.mix64(np.arange(1, VALUES + 1, dtype=U64) * U64(7919)) | U64(1)
 _LOWER = K.lowered()
 _TREE_ORDER = np.stack([np.random.default_rng(t).permutation(VALUES)[:KEY_VALUES] for t in range(TREES)])
@@ -374,6 +376,22 @@ def confirmed(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
     return both.where(_linked(similarity)).select("a", "b")
 
 
+def between(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """a, b, alike, ca, cb: the pairs whose ends are in different components (ca, cb)."""
+    at = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    both = pairs.select("a", "b", "alike").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return both.select("a", "b", "alike", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of ``label`` after more links, which are followed between
+    components instead of between documents."""
+    over = between(links.select("a", "b", F.lit(0).alias("alike")), label).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    up = written(components(written(over, "links")), "labels")
+    old = label.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return written(old.unionByName(up.join(label, "node", "left_anti").select("node", "component")), "labels")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth: int = 3, window: int = 4, least: int = 38) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed = written(signatures(docs, words), "signatures")
@@ -391,15 +409,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth
     full = sets_of(pairs.select(F.explode(F.array("a", "b"))))
 
     ends = pairs.select("a", "b", "alike").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
-    best = ends.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
-    first = written(confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), full, similarity), "links")
-    label = components(first)
-    at = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-    rest = written(confirmed(apart.select("a", "b"), full, similarity), "links")
-    links = first.unionByName(rest)
+    best = ends.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    label, left = components(written(confirmed(best, full, similarity), "links")), pairs
+    for _ in range(ROUNDS):
+        left = written(between(left.join(best, ["a", "b"], "left_anti"), label), "apart")
+        best = written(left.select("ca", "a", "b", "alike").unionByName(left.select(F.col("cb").alias("ca"), "a", "b", "alike")).groupBy("ca").agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("p")).select("p.*").distinct(), "best")
+        found = written(confirmed(best, full, similarity), "links")
+        if found.isEmpty():
+            break
+        label = merged(label, found)
+    left = between(left.join(best, ["a", "b"], "left_anti"), label)
+    rest = written(confirmed(left.select("a", "b"), full, similarity), "links")
     if not rest.isEmpty():
-        label = components(links)
+        label = merged(label, rest)
     regions = written(shown.where("region IS NOT NULL").select("region").distinct(), "regions")
     if not regions.isEmpty():
         labelled = classes.select("rep", "n_shingles", "signature").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n_shingles", "signature", F.coalesce("component", "rep").alias("component"))
@@ -407,7 +429,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth
         if not asked.isEmpty():
             more = written(joining(asked, labelled, sets_of(asked.select("rep")), similarity, depth, least), "links")
             if not more.isEmpty():
-                label = components(links.unionByName(more))
+                label = merged(label, more)
     named = classes.select("k1", "k2", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
