@@ -15,7 +15,8 @@ sets have a Jaccard similarity of ``similarity`` per cent or more are linked.
 3. Confirmation on full sets, in two rounds: first each class with its most
    alike candidate, which usually joins a group; then every candidate pair
    whose ends are still in different components.  A pair inside a component
-   can't change the result and needs no check.
+   can't change the result and needs no check.  Each pair meets the components
+   once and full sets once at most.
 4. A region with more classes than the window shows has lost candidates.  There
    every class outside the region's largest component is compared with the
    whole region by signature, in blocks of ``BLOCK`` by ``BLOCK`` classes.  This
@@ -57,8 +58,6 @@ VALUES = 64
 TREES = 24
 KEY_VALUES = 8
 BLOCK = 1024
-#: Times that each component's most alike pair is confirmed before all that are left.
-ROUNDS = 3
 _MULTIPLIERS = K.mix64(np.arange(1, VALUES + 1, dtype=U64) * U64(7919)) | U64(1)
 _LOWER = K.lowered()
 _TREE_ORDER = np.stack([np.random.default_rng(t).permutation(VALUES)[:KEY_VALUES] for t in range(TREES)])
@@ -410,15 +409,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, depth
 
     ends = pairs.select("a", "b", "alike").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
     best = ends.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    label, left = components(written(confirmed(best, full, similarity), "links")), pairs
-    for _ in range(ROUNDS):
-        left = written(between(left.join(best, ["a", "b"], "left_anti"), label), "apart")
-        best = written(left.select("ca", "a", "b", "alike").unionByName(left.select(F.col("cb").alias("ca"), "a", "b", "alike")).groupBy("ca").agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("p")).select("p.*").distinct(), "best")
-        found = written(confirmed(best, full, similarity), "links")
-        if found.isEmpty():
-            break
-        label = merged(label, found)
-    left = between(left.join(best, ["a", "b"], "left_anti"), label)
+    label = components(written(confirmed(best, full, similarity), "links"))
+    left = between(pairs.join(best, ["a", "b"], "left_anti"), label)
     rest = written(confirmed(left.select("a", "b"), full, similarity), "links")
     if not rest.isEmpty():
         label = merged(label, rest)

@@ -101,6 +101,35 @@ def test_crowds_near_the_threshold_make_rows_by_class(spark, monkeypatch):
     assert sizes[600] <= 2.6 * sizes[300] and sizes[1200] <= 2.6 * sizes[600] and sizes[300] > 300
 
 
+def test_pairs_meet_components_once(spark, monkeypatch):
+    """Candidate pairs that no link joins aren't joined with the components again and again."""
+    rng, met, between, candidates = random.Random(13), [], neardup.between, []
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+
+    def watched(pairs, label):
+        met.append(pairs.count())
+        return between(pairs, label)
+
+    def kept(df, name):
+        out = neardup_written(df, name)
+        if name == "candidates":
+            candidates.append(out.count())
+        return out
+
+    neardup_written = neardup.written
+    monkeypatch.setattr(neardup, "between", watched)
+    monkeypatch.setattr(neardup, "written", kept)
+    got = neardup.near_duplicates(frame(spark, texts), words=5, similarity=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(brute_components(texts, 5, 80)))
+    assert sum(met) <= 1.5 * candidates[0]
+
+
 def test_crowded_regions(spark, monkeypatch):
     """A window of one place and small blocks: the exact comparison must find the rest."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
