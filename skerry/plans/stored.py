@@ -10,7 +10,7 @@ from skerry.operators import health, hydrate, notes, reconcile, reports, state,
 from skerry.plans.queries import _refined, _tree, query
 from skerry.sources import readers
 from skerry.sources.staging import scratch
-from skerry.sources.workload import SYNCED_AT, epoch, paths, snapshots, table
+from skerry.sources.workload import SYNCED_AT, epoch, paths, snapshots, spread, table
 from skerry.streaming import feed
 
 NOW = SYNCED_AT + 1000
@@ -354,7 +354,7 @@ def note_table_targets(spark, sf):
 def xml_to_md(spark, sf):
     k = F.col("p_partkey")
     xml = F.concat(F.lit('<note xmlns="n"><head><list id="1" type="ordered"/></head><body><para><text>'), "p_name", F.lit('</text></para><heading level="2"><text>h'), k, F.lit('</text></heading><list-item list-id="1"><text>i</text></list-item><todo><text>t</text></todo><horizontal-line/><image><source>u</source><text>s</text></image><table><content>{"widths":[1,1],"cells":[{"value":"a_b"},{"value":"c#d"},{"value":"x"},{"value":" "}]}</content></table></body></note>'))
-    return table(spark, sf, "part").select("p_partkey", convert.converted(xml, convert.xml_to_markdown).alias("markdown"))
+    return spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", convert.converted(xml, convert.xml_to_markdown).alias("markdown"))
 
 
 def _chart(k):
@@ -375,7 +375,7 @@ def puml_to_mermaid(spark, sf):
 def html_built(spark, sf):
     """Markdown of pages built from names: every kind of element once."""
     html = F.concat(F.lit("<html><head><style>x</style></head><body><h2>"), "p_name", F.lit("</h2><p>a <b>b</b> <i>c</i> <del>d</del> <code>e</code> <a href='u?x=1&amp;y'>l</a><br/>z</p><ul><li>one</li><li>two</li></ul><blockquote>q\nr</blockquote><pre><code>k</code></pre><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>"), "p_partkey", F.lit("</td></tr></table><img alt='t' src='s'><hr>&lt;&#65;&#x42;</body></html>"))
-    return table(spark, sf, "part").select("p_partkey", convert.converted(html, convert.html_to_markdown).alias("markdown"))
+    return spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", convert.converted(html, convert.html_to_markdown).alias("markdown"))
 
 
 @query

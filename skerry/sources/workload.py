@@ -28,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+    """The rows dealt by ``key`` to as many tasks as have ``most`` rows each, and no
+    fewer than shuffles have: short rows lie in few parts of a file, however long
+    each of them takes."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // most)), key)
+
+
 def epoch(ts: str) -> Column:
     """Epoch seconds of a timestamp without a zone, taken as UTC in any session."""
     day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")

@@ -70,3 +70,15 @@ def test_names(spark):
     assert one(spark, names.without_stem_blanks(F.lit("a b/c  .md"))) == "a b/c.md" and one(spark, names.without_stem_blanks(F.lit("c  "))) == "c"
     assert one(spark, names.cached_name(F.lit("a\\b.md"), F.lit(0))) == "b.note"
     assert [one(spark, names.milliseconds(F.lit(x))) for x in (0.5, 12.34, 2500.0)] == ["500µs", "12.3ms", "2.50s"]
+
+
+def test_conversions_are_dealt_to_tasks(spark, tables, tmp_path):
+    """A table in one part of a file isn't converted by one task."""
+    from skerry.plans import stored
+    from skerry.sources.workload import spread
+
+    for query in (stored.html_built, stored.xml_to_md):
+        assert query(spark, tables).rdd.getNumPartitions() >= 4
+    rows = spread(spark.range(0, 1000, 1, 1), "id", 50)
+    sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert rows.rdd.getNumPartitions() == 20 and max(r["count"] for r in sizes) < 120 and rows.count() == 1000
