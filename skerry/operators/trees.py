@@ -23,19 +23,20 @@ def tree_paths(nodes: DataFrame, most: int | None = 50) -> DataFrame:
     above it, so a chain of a million folders takes twenty rounds.  Only folders
     take part, and of those only the ones that haven't met their root.  A first
     walk, without names, tells which folders have a root; only those are walked
-    again for their paths, so a cycle never makes a path grow.
+    again for their paths, so a cycle never makes a path grow.  Every table has a
+    row for each folder, and paths grow when read, so none is broadcast.
     """
     own = nodes.groupBy("id").agg(F.min(F.struct("parent_id", "name")).alias("n")).select("id", "n.*")
     own = written(own, "nodes")
-    folders = written(own.join(own.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi"), "folders")
+    folders = written(own.join(own.select(F.col("parent_id").alias("id")).distinct().hint("merge"), "id", "left_semi"), "folders")
     limit = folders.count() if most is None else min(most, folders.count())
     start = folders.select("id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
     depths = _doubled(start, limit, lambda mine, above: (mine + above).alias("depth"))
-    rooted = folders.join(depths.where(F.col("depth") <= limit).select("id", "depth"), "id")
+    rooted = folders.join(depths.where(F.col("depth") <= limit).select("id", "depth").hint("merge"), "id")
     names = _doubled(rooted.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path")), limit, lambda mine, above: F.concat_ws("/", above, mine).alias("path"))
-    placed = names.join(depths.select("id", "depth"), "id").select(F.col("id").alias("parent_id"), F.col("path").alias("_above"), (F.col("depth") + 1).alias("depth"))
+    placed = names.join(depths.select("id", "depth").hint("merge"), "id").select(F.col("id").alias("parent_id"), F.col("path").alias("_above"), (F.col("depth") + 1).alias("depth"))
     roots = own.where("parent_id IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    below = own.join(placed, "parent_id").select("id", F.concat_ws("/", "_above", "name").alias("path"), "depth")
+    below = own.join(placed.hint("merge"), "parent_id").select("id", F.concat_ws("/", "_above", "name").alias("path"), "depth")
     return roots.unionByName(below if most is None else below.where(F.col("depth") <= most))
 
 
@@ -49,7 +50,7 @@ def _doubled(table: DataFrame, limit: int, join: Callable[[Column, Column], Colu
         if steps > 2 * limit or waiting.isEmpty():
             return table.where("up IS NULL").drop("up")
         above = table.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col(value).alias("_above"))
-        moved = waiting.join(above, "up").select("id", F.col("_up").alias("up"), join(F.col(value), F.col("_above")))
+        moved = waiting.join(above.hint("merge"), "up").select("id", F.col("_up").alias("up"), join(F.col(value), F.col("_above")))
         table, steps = written(table.where("up IS NULL").unionByName(moved), "pointers"), 2 * steps
 
 

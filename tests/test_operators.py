@@ -251,3 +251,22 @@ def test_streaming(spark, tmp_path):
     q = feed.debounced(stream, late="0 seconds").writeStream.format("memory").queryName("debounced").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(spark.table("debounced").first()["paths"]) == ["a", "b"]
+
+
+def test_tree_paths_send_no_table_to_the_driver(spark, monkeypatch):
+    """A table has a row for each folder, so none of a walk's joins is broadcast."""
+    from skerry.operators import trees
+
+    plans, written = [], trees.written
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(trees, "written", watched)
+    i = F.col("id")
+    nodes = spark.range(300).select("id", F.when(i % 100 == 0, None).otherwise(i - 1).alias("parent_id"), F.concat(F.lit("n"), i).alias("name"))
+    out = trees.tree_paths(nodes, None)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+    assert out.count() == 300 and out.agg(F.max("depth")).first()[0] == 99
