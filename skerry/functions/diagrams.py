@@ -39,7 +39,8 @@ def mermaid_to_plantuml(charts: DataFrame, key: str, code: str) -> DataFrame:
     """key, plantuml: flowcharts in the other language; anything else as it is.
 
     A statement is an edge between two nodes or a node with a text.  A node's first
-    text counts, its name without one; a name's last style counts.
+    text counts, its name without one; a name's last style counts.  Everything is
+    grouped within a chart, so charts that are dealt by ``key`` aren't moved again.
     """
     whole = F.trim(F.col(code), F.lit(_BLANK))
     words = F.split(F.lower(F.trim(F.substring_index(whole, "\n", 1), F.lit(_BLANK))), r"\s+")
@@ -52,7 +53,7 @@ def mermaid_to_plantuml(charts: DataFrame, key: str, code: str) -> DataFrame:
     has = lambda name: F.col("line").rlike(rf"(?i)^style\s+\S+\s+(?:.*,)?\s*{name}\s*:")
     extra = [F.when(has(there), F.concat(F.lit(f";{here}:"), values(there))).otherwise("") for here, there in STYLES.items()]
     color = F.when(has("fill"), F.concat(F.lit(" #"), values("fill"), *extra)).otherwise("")
-    styles = said.where(F.col("line").rlike(style)).select("key", "n", F.regexp_extract("line", style, 1).alias("name"), color.alias("color")).groupBy("key", "name").agg(F.max_by("color", "n").alias("color"))
+    styles = said.where(F.col("line").rlike(style)).select("key", "n", F.regexp_extract("line", style, 1).alias("name"), color.alias("color"))
     rest = said.where(~F.col("line").rlike(style))
     part = lambda k: F.regexp_extract("line", _EDGE, k)
     arrow = _look_up(ARROWS, F.when(part(6) != "", part(6)).otherwise(part(9)))
@@ -60,14 +61,17 @@ def mermaid_to_plantuml(charts: DataFrame, key: str, code: str) -> DataFrame:
     lone = rest.where(F.col("line").rlike(_LONE) & ~F.col("line").rlike(_EDGE)).select("key", "n", F.regexp_extract("line", _LONE, 1).alias("name"), F.coalesce(_shape_text(F.col("line"), _LONE, 2), F.lit("")).alias("text"))
     ends = edges.select("key", "n", F.posexplode(F.array(F.struct(F.col("a").alias("name"), F.coalesce("a_text", "a").alias("text")), F.struct(F.col("b").alias("name"), F.coalesce("b_text", "b").alias("text")))).alias("side", "e")).select("key", "n", "side", "e.*")
     place = F.struct("n", "side")
-    nodes = ends.unionByName(lone.withColumn("side", F.lit(0))).groupBy("key", "name").agg(F.min(place).alias("at"), F.min_by("text", place).alias("text"))
+    told = ends.unionByName(lone.withColumn("side", F.lit(0))).unionByName(styles, allowMissingColumns=True)
+    here = F.col("text").isNotNull()
+    at, color = F.min(F.when(here, place)).alias("at"), F.max_by("color", F.when(F.col("color").isNotNull(), F.col("n"))).alias("color")
+    nodes = told.groupBy("key", "name").agg(at, F.min_by("text", F.when(here, place)).alias("text"), color).where("at IS NOT NULL")
     box = F.concat(F.lit('rectangle "'), "text", F.lit('" as '), "name", F.coalesce("color", F.lit("")))
-    boxes = nodes.join(styles, ["key", "name"], "left").select("key", F.lit(0).alias("group"), F.col("at.n").alias("n"), F.col("at.side").alias("side"), box.alias("line"))
+    boxes = nodes.select("key", F.lit(0).alias("group"), F.col("at.n").alias("n"), F.col("at.side").alias("side"), box.alias("line"))
     links = edges.select("key", F.lit(1).alias("group"), "n", F.lit(0).alias("side"), F.concat(F.concat_ws(" ", "a", "arrow", "b"), F.when(F.col("text") != "", F.concat(F.lit(" : "), "text")).otherwise("")).alias("line"))
     drawn = boxes.unionByName(links).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "n", "side", "line"))), lambda x: x["line"]).alias("drawn"))
     head = F.filter(F.array(F.lit(SOURCE_MARK), F.lit("@startuml"), F.col("direction")), lambda x: x != "")
     text = F.array_join(F.concat(head, F.coalesce("drawn", F.array().cast("array<string>")), F.array(F.lit("@enduml"))), "\n")
-    return rows.join(drawn, "key", "left").select(F.col("key").alias(key), F.when(F.col("flow"), text).otherwise(F.col("code")).alias("plantuml"))
+    return rows.join(drawn.hint("merge"), "key", "left").select(F.col("key").alias(key), F.when(F.col("flow"), text).otherwise(F.col("code")).alias("plantuml"))
 
 
 def plantuml_to_mermaid(code: Column | str) -> Column:

@@ -363,7 +363,7 @@ def _chart(k):
 
 @query
 def mermaid_to_puml(spark, sf):
-    return diagrams.mermaid_to_plantuml(table(spark, sf, "part").select("p_partkey", _chart(F.col("p_partkey")).alias("code")), "p_partkey", "code")
+    return diagrams.mermaid_to_plantuml(spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", _chart(F.col("p_partkey")).alias("code")), "p_partkey", "code")
 
 
 @query

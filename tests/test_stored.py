@@ -82,3 +82,15 @@ def test_conversions_are_dealt_to_tasks(spark, tables, tmp_path):
     rows = spread(spark.range(0, 1000, 1, 1), "id", 50)
     sizes = rows.groupBy(F.spark_partition_id()).count().collect()
     assert rows.rdd.getNumPartitions() == 20 and max(r["count"] for r in sizes) < 120 and rows.count() == 1000
+
+
+def test_charts_are_dealt_once(spark, tables):
+    """No step of a conversion has fewer tasks than the charts were dealt to, or moves them again."""
+    import re
+
+    from skerry.plans import stored
+
+    plan = stored.mermaid_to_puml(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert moved and all(re.match(r"p_partkey#\d+L?, \d+", m) for m in moved) and "REPARTITION_BY_NUM" in plan
+    assert "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
