@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from skerry.functions import diagrams
 from skerry.functions.names import col
-from skerry.functions.variants import member, string, whole_json
+from skerry.functions.variants import is_object, member, once, string, whole_json
+from skerry.sources.staging import written
 
 # Members of a node, and of its attributes.
 ID, ATTRS, CHILDREN, KIND, SPANS, TEXT, MARKS, MARK = "3", "4", "5", "6", "7", "8", "9", "2"
@@ -23,7 +24,7 @@ _NO_NODES = "array<variant>"
 def _nodes(node: Column, name: str) -> Column:
     """The objects in a member that is a list."""
     listed = F.coalesce(member(node, name, _NO_NODES), F.array().cast(_NO_NODES))
-    return F.filter(listed, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())
+    return F.filter(listed, is_object)
 
 
 def _attr(node: Column, name: str) -> Column:
@@ -32,10 +33,10 @@ def _attr(node: Column, name: str) -> Column:
 
 
 def _span(span: Column) -> Column:
-    text = F.coalesce(string(member(span, TEXT)), F.lit(""))
     star = lambda mark: F.when(mark == "b", "**").when(mark == "i", "*").otherwise("")
-    around = F.aggregate(F.transform(_nodes(span, MARKS), lambda m: star(F.coalesce(string(member(m, MARK)), F.lit("")))), text, lambda t, s: F.concat(s, t, s))
-    return F.when(text == "", "").otherwise(around)
+    marks = F.transform(_nodes(span, MARKS), lambda m: once(F.coalesce(string(member(m, MARK)), F.lit("")), star))
+    around = lambda text: F.aggregate(marks, text, lambda t, s: F.concat(s, t, s))
+    return once(F.coalesce(string(member(span, TEXT)), F.lit("")), lambda text: F.when((text == "") | member(span, MARKS).isNull(), text).otherwise(around(text)))
 
 
 def _spans(node: Column) -> Column:
@@ -67,9 +68,9 @@ def _fenced(language: Column, code: Column) -> Column:
 
 
 def _heading(node: Column) -> Column:
-    text, kind = _inline(node), _attr(node, "l")
+    kind = _attr(node, "l")
     level = F.coalesce(F.nullif(F.regexp_extract(F.replace(kind, F.lit("h"), F.lit("")), "^[0-9]{1,4}", 0).try_cast("int"), F.lit(0)), F.lit(1))
-    return F.when((text == "") | (kind == ""), text).otherwise(F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text))
+    return once(_inline(node), lambda text: F.when((text == "") | (kind == ""), text).otherwise(F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)))
 
 
 def _item(node: Column) -> Column:
@@ -85,18 +86,16 @@ def _table(node: Column) -> Column:
         return F.coalesce(F.get(F.transform(first, lambda s: string(member(s, TEXT))), F.lit(0)), F.lit(" "))
 
     def row(node: Column, i: Column) -> Column:
-        cells = F.transform(_nodes(node, CHILDREN), cell)
-        rule = F.when(i == 1, F.concat(F.repeat(F.lit("| -- "), F.size(cells)), F.lit("|\n"))).otherwise("")
-        return F.concat(F.rtrim(F.concat(rule, F.lit("| "), F.array_join(F.transform(cells, lambda c: F.concat(c, F.lit(" | "))), ""))), F.lit("\n"))
+        rule = lambda cells: F.when(i == 1, F.concat(F.repeat(F.lit("| -- "), F.size(cells)), F.lit("|\n"))).otherwise("")
+        return once(F.transform(_nodes(node, CHILDREN), cell), lambda cells: F.concat(F.rtrim(F.concat(rule(cells), F.lit("| "), F.array_join(F.transform(cells, lambda c: F.concat(c, F.lit(" | "))), ""))), F.lit("\n")))
 
     return F.array_join(F.transform(_nodes(node, CHILDREN), row), "")
 
 
 def _diagram(node: Column) -> Column:
-    code = _code(node)
     language = F.when(F.lower(_attr(node, "la")) == "mermaid", "mermaid").otherwise("plantuml")
-    made = F.concat(F.lit("```mermaid\n"), diagrams.plantuml_to_mermaid(F.trim(code, F.lit(" \t\r\n"))), F.lit("\n```"))
-    return F.when(code.contains(diagrams.SOURCE_MARK), made).otherwise(_fenced(language, code))
+    made = lambda code: F.concat(F.lit("```mermaid\n"), once(F.trim(code, F.lit(" \t\r\n")), diagrams.plantuml_to_mermaid), F.lit("\n```"))
+    return once(_code(node), lambda code: F.when(code.contains(diagrams.SOURCE_MARK), made(code)).otherwise(_fenced(language, code)))
 
 
 def _quote(node: Column) -> Column:
@@ -105,15 +104,18 @@ def _quote(node: Column) -> Column:
 
 def _block_text(node: Column) -> Column:
     """A block's Markdown by its kind."""
-    kind = F.coalesce(string(member(node, KIND)), F.lit(""))
     by_kind = {
         "h": _heading(node), "l": _item(node), "t": _table(node), "q": _quote(node), "diagram": _diagram(node), "cd": _fenced(_attr(node, "la"), _code(node)), "la": _fenced(F.lit(""), _code(node)),
         "im": F.concat(F.lit("![]("), _attr(node, "u"), F.lit(")")), "a": F.concat(F.lit("["), _attr(node, "fn"), F.lit("]("), _attr(node, "re"), F.lit(")")),
     }
-    out = F
-    for k, text in by_kind.items():
-        out = out.when(kind == k, text)
-    return out.otherwise(_inline(node))
+
+    def text(kind: Column) -> Column:
+        out = F
+        for k, made in by_kind.items():
+            out = out.when(kind == k, made)
+        return F.when(kind == "", _inline(node)).otherwise(out.otherwise(_inline(node)))
+
+    return once(F.coalesce(string(member(node, KIND)), F.lit("")), text)
 
 
 def note_to_markdown(note: Column | str) -> Column:
@@ -123,10 +125,14 @@ def note_to_markdown(note: Column | str) -> Column:
     other blocks have an empty line between them.
     """
     blocks = F.transform(_nodes(whole_json(col(note)), CHILDREN), lambda b: F.struct((F.coalesce(string(member(b, KIND)), F.lit("")) == "l").alias("item"), _block_text(b).alias("text")))
-    parts = F.filter(blocks, lambda p: p["text"] != "")
-    before = F.concat(F.array(F.lit(None).cast("boolean")), F.transform(parts, lambda p: p["item"]))
-    joined = F.zip_with(parts, F.slice(before, F.lit(1), F.size(before) - 1), lambda p, last: F.concat(F.when(last.isNull(), "").when(last & p["item"], "\n").otherwise("\n\n"), p["text"]))
-    return F.when(col(note).isNotNull(), F.coalesce(F.array_join(joined, ""), F.lit("")))
+
+    def joined(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("boolean")), F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p["item"]))
+        # of no parts, the place before the first is left
+        return F.zip_with(parts, before, lambda p, last: F.concat(F.when(last.isNull(), "").when(last & p["item"], "\n").otherwise("\n\n"), p["text"]))
+
+    text = once(F.filter(blocks, lambda p: p["text"] != ""), lambda parts: F.array_join(joined(parts), ""))
+    return F.when(col(note).isNotNull(), F.coalesce(text, F.lit("")))
 
 
 # --- Markdown to notes -----------------------------------------------------------
@@ -142,11 +148,16 @@ def _string_json(name: str, text: Column) -> Column:
 
 
 def _text_line(text: Column) -> Column:
-    return F.concat(F.lit('{"2":"2","3":"","7":[{'), _string_json(TEXT, text), F.lit("}]}"))
+    return F.concat(F.lit('{"2":"2","3":"","7":['), F.to_json(F.struct(text.alias(TEXT))), F.lit("]}"))
 
 
 def _inline_nodes(text: Column) -> Column:
     """A line's nodes, comma-joined: runs of plain and marked text, and links."""
+    plain = lambda t: ~t.contains("*") & ~t.contains("[")
+    return once(text, lambda t: F.when(plain(t), _text_line(t)).otherwise(_marked_nodes(t)))
+
+
+def _marked_nodes(text: Column) -> Column:
 
     def node(piece: Column) -> Column:
         within = lambda stars: F.substring(piece, F.lit(stars + 1), F.length(piece) - 2 * stars)
@@ -222,12 +233,11 @@ def line_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     piped = trimmed.startswith("|") & trimmed.endswith("|")
     rows = rows.withColumn("_inside", inside).withColumn("_kind", F.when(F.col("_inside") | F.col("_opens"), "code").when(F.col("line").startswith(">"), "quote").when(piped, "piped").otherwise("single"))
     rows = rows.withColumn("_rule", (F.col("_kind") == "piped") & trimmed.rlike(r"^\|[\s\-:|]+\|$"))
-    # a run of piped lines is a table from the first line that a rule follows
-    rows = rows.withColumn("_run", F.sum((F.lag("_kind", 1, "").over(order) != F.col("_kind")).cast("int")).over(order))
-    run = Window.partitionBy("key", "_run").orderBy("n")
-    headed = (F.col("_kind") == "piped") & F.coalesce(F.lead("_rule").over(run), F.lit(False))
-    rows = rows.withColumn("_headed", headed)
-    rows = rows.withColumn("_table", F.max(F.col("_headed").cast("int")).over(run) == 1)
+    # a run of piped lines is a table from the first line that a rule follows; all by
+    # windows of one order, so that lines are sorted once
+    rows = rows.withColumn("_starts", F.lag("_kind", 1, "").over(order) != F.col("_kind")).withColumn("_headed", (F.col("_kind") == "piped") & F.lead("_rule", 1, False).over(order))
+    latest = lambda where: F.max(F.when(F.col(where), F.col("n"))).over(order)
+    rows = rows.withColumn("_table", F.coalesce(latest("_headed") >= latest("_starts"), F.lit(False)))
     kind = F.when(F.col("_table"), "table").when(F.col("_kind") == "piped", "single").otherwise(F.col("_kind"))
     rows = rows.withColumn("kind", kind)
     starts = F.when(F.col("kind") == "code", ~F.col("_inside")).when(F.col("kind") == "single", F.lit(True)).otherwise(F.lag("kind", 1, "").over(order) != F.col("kind"))
@@ -235,19 +245,30 @@ def line_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("key", "n", "line", "kind", "block")
 
 
-def markdown_to_notes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, note: each document's Markdown as rich-note JSON (null for null); node ids
-    are left empty, for the writer to fill."""
-    blocks = line_blocks(docs, key, text).groupBy("key", "block", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
+def _whole_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, block, kind, lines, and of code its language and body."""
+    blocks = line_blocks(docs, key, text).groupBy("key", "block", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
     lines, first = F.col("lines"), F.get("lines", F.lit(0))
     language = F.trim(F.substring(first, F.lit(4), F.length(first)), F.lit(" \t\r"))
     # an opened block ends with its closing line, or with the document
     shut = (F.size(lines) > 1) & F.element_at(lines, -1).startswith("```")
     body = F.slice(lines, F.lit(2), F.size(lines) - 1 - shut.cast("int"))
-    coded = blocks.withColumn("language", language).withColumn("body", F.when(F.size(body) > 0, body).otherwise(F.array(F.lit(""))))
+    return blocks.withColumn("language", language).withColumn("body", F.when(F.size(body) > 0, body).otherwise(F.array(F.lit(""))))
+
+
+def markdown_to_notes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, note: each document's Markdown as rich-note JSON (null for null); node ids
+    are left empty, for the writer to fill."""
+    coded = _whole_blocks(docs, key, text)
+    # a filter on a generated column isn't moved to where the text would be made once for each mention
+    charts = docs.select(key, F.explode(F.array(text)).alias(text)).where(F.col(text).rlike("(?i)```mermaid"))
+    lines, first = F.col("lines"), F.get("lines", F.lit(0))
     is_chart = (F.col("kind") == "code") & (F.lower("language") == "mermaid")
-    charts = diagrams.mermaid_to_plantuml(coded.where(is_chart).select(F.struct("key", "block").alias("id"), F.array_join("body", "\n").alias("code")), "id", "code")
-    coded = coded.join(charts.select(F.col("id.key").alias("key"), F.col("id.block").alias("block"), "plantuml"), ["key", "block"], "left").withColumn("body", F.when(is_chart, F.split("plantuml", "\n")).otherwise(F.col("body")))
+    # blocks stay dealt by their document: a document's charts come to it in one row
+    charts = written(_whole_blocks(charts, key, text).where(is_chart).select("key", "block", F.array_join("body", "\n").alias("code")), "charts")
+    drawn = diagrams.mermaid_to_plantuml(charts.select(F.struct("key", "block").alias("id"), "code"), "id", "code")
+    drawn = drawn.groupBy(F.col("id.key").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("id.block", "plantuml"))).alias("drawn"))
+    coded = coded.join(drawn, "key", "left").withColumn("body", F.when(is_chart, F.split(F.try_element_at("drawn", "block"), "\n")).otherwise(F.col("body")))
     code = lambda kind: _listed(F.transform("body", lambda x: _element(kind, None, _text_line(x))))
     diagram = F.lower("language").isin("mermaid", "plantuml", "puml", "uml")
     quote = _listed(F.transform(lines, lambda x: _element(None, None, _inline_nodes(F.regexp_replace(x, r"^>\s*", "")))))
@@ -259,9 +280,9 @@ def markdown_to_notes(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.when((F.col("kind") == "code") & diagram, _element("diagram", F.lit('"la":"PlantUML"'), code("cl")))
         .when(F.col("kind") == "code", _element("cd", _string_json("la", F.col("language")), code(None)))
         .when(F.col("kind") == "quote", _element("q", None, quote))
-        .when(F.col("kind") == "table", _table_node(cells))
+        .when(F.col("kind") == "table", once(cells, _table_node))
         .when(single != "", _single(single))
     )
-    nodes = coded.select("key", "block", node.alias("node")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("block", "node")))), lambda x: x["node"]).alias("nodes"))
+    nodes = coded.select("key", "block", node.alias("node")).groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("block", "node")))), lambda x: x["node"]).alias("nodes"))
     note = F.concat(F.lit('{"2":"1","3":"","4":{"version":1,"incompatibleVersion":0,"fv":"0"},"5":['), F.array_join(F.coalesce("nodes", F.array().cast("array<string>")), ","), F.lit('],"title":"","__compress__":true}'))
     return docs.select(F.col(key).alias("key"), F.col(text).isNotNull().alias("_there")).join(nodes, "key", "left").select("key", F.when(F.col("_there"), note).alias("note"))

@@ -270,3 +270,13 @@ def test_tree_paths_send_no_table_to_the_driver(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
     assert out.count() == 300 and out.agg(F.max("depth")).first()[0] == 99
+
+
+def test_lines_are_dealt_and_sorted_once(spark):
+    docs = spark.createDataFrame([(1, "a\n|b|\n|-|\n|x|\n﷐ c"), (2, "```Mermaid\ngraph LR\nA --> B\n```\nz"), (3, None)], "k long, t string").repartition(3, "k")
+    plan = richtext.line_blocks(docs, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+    notes_ = richtext.markdown_to_notes(docs, "k", "t")
+    back = {r["key"]: r["m"] for r in notes_.select("key", richtext.note_to_markdown("note").alias("m")).collect()}
+    assert back[1] == "a\n\n| b |\n| -- |\n| x |\n\n\n﷐ c" and back[3] is None
+    assert back[2] == "```mermaid\ngraph LR\n    A[\"A\"]\n    B[\"B\"]\n    A --> B\n```\n\nz"
