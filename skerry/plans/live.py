@@ -120,29 +120,34 @@ def _micros(ts: str) -> Column:
     return epoch(ts) * 1_000_000 + F.date_format(ts, "SSSSSS").cast("long")
 
 
-def watched_events(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
+def watched_events(spark: SparkSession, sf: str, parts: int = 4) -> Iterator[DataFrame]:
     """Events as a stream of changes and polls that arrives in parts, and a last
-    change long after that moves the watermark past all others."""
+    change long after that moves the watermark past all others.
+
+    The stream is told after each part, to be followed to its end: a part is one
+    batch, in however many files it is.  Batches of a number of files would grow in
+    number with the table, and could move the watermark past the rest of a part.
+    """
     us = _micros("ts")
     path = F.when(F.col("event_type") != "error", F.concat(F.lit("p"), F.col("event_id") % 7, F.when(F.col("event_id") % 5 == 0, ".txt").otherwise(".md")))
     rows = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("root"), us.alias("us"), path.alias("path"))
     out = scratch(spark, "changes")
     cuts = [float(x) for x in rows.approxQuantile("us", [k / parts for k in range(1, parts)], 0.01)]
     edges = [None, *cuts, None]
-    for low, high in zip(edges, edges[1:]):
-        part = rows.where((F.lit(True) if low is None else F.col("us") > low) & (F.lit(True) if high is None else F.col("us") <= high))
+    every = [rows.where((F.lit(True) if low is None else F.col("us") > low) & (F.lit(True) if high is None else F.col("us") <= high)) for low, high in zip(edges, edges[1:])]
+    every.append(spark.createDataFrame([("", 4_000_000_000_000_000, "end.md")], rows.schema))
+    for part in every:
         part.write.mode("append").parquet(out)
-    for days in (30, 60):
-        spark.createDataFrame([("", 4_000_000_000_000_000 + days * 86_400_000_000, "end.md")], rows.schema).coalesce(1).write.mode("append").parquet(out)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(out).select("root", F.timestamp_micros("us").alias("ts"), "path")
+        yield spark.readStream.schema(rows.schema).parquet(out).select("root", F.timestamp_micros("us").alias("ts"), "path")
 
 
 @query
 def watcher_runs(spark, sf):
     """Runs that bursts of changes and polls ask for; those during another run are dropped."""
-    out = scratch(spark, "runs")
-    runs = triggers(watched_events(spark, sf), "30 minutes", "2 hours", "1 hour")
-    runs.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "place")).trigger(availableNow=True).start().awaitTermination()
+    out, place = scratch(spark, "runs"), scratch(spark, "place")
+    for changes in watched_events(spark, sf):
+        runs = triggers(changes, "30 minutes", "2 hours", "1 hour")
+        runs.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(runs.schema).parquet(out).where("root <> ''")
     return found.select("root", "kind", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "changes", "paths", "accepted")
 

@@ -242,6 +242,19 @@ def test_watcher_over_late_parts_and_restarts(spark, tmp_path):
     assert rows(got) == want and {w[6] for w in want} == {True, False}
 
 
+def test_watcher_parts_of_many_files(spark, tables, tmp_path):
+    """The watermark of some files of a part doesn't drop the rest of it."""
+    events = spark.read.parquet(f"{tables}/events.parquet")
+    events.repartition(16, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        got = rows(live.watcher_runs(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plain = [(f"u{r['user_id']}", r["us"], None if r["event_type"] == "error" else f"p{r['event_id'] % 7}.md") for r in events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).collect() if r["event_type"] == "error" or r["event_id"] % 5]
+    assert got == plain_triggers(plain, 1800 * SECOND, 7200 * SECOND)
+
+
 # --- trees and folders ----------------------------------------------------------
 
 
