@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.names import basename, dirname, sanitize
 from skerry.operators.reconcile import usable
-from skerry.sources.staging import numbered, written
+from skerry.sources.staging import dropped, numbered, written
 
 # Names too common to pair by.
 GENERIC_NAMES = ("readme.md", "index.md", "index.html", "todo.md", "notes.md", "changelog.md", "license.md", "config.json", "package.json", ".gitignore", "makefile", "dockerfile")
@@ -144,7 +144,10 @@ def run_stages(rows: DataFrame, steps: list[tuple[str, str, str]]) -> DataFrame:
             continue
         pairs = written(STAGES[stage](*(rows.where(F.col("state") == s) for s in (old, new))).withColumn("stage", F.lit(stage)), "pairs")
         found = pairs if found is None else found.unionByName(pairs)
-        rows = rows.join(pairs.select(F.explode(F.array("old_path", "new_path")).alias("path")), "path", "left_anti")
+        if not pairs.isEmpty():  # what is left is written, so no stage takes away again what those before took
+            left = written(rows.join(pairs.select(F.explode(F.array("old_path", "new_path")).alias("path")), "path", "left_anti"), "sides")
+            dropped(rows)
+            rows = left
     return found if found is not None else rows.select(F.col("path").alias("old_path"), F.col("path").alias("new_path"), F.col("path").alias("stage")).limit(0)
 
 

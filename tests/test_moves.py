@@ -87,3 +87,16 @@ def test_entry_without_the_text_operators(tmp_path):
             shutil.copy(root / f, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'recon_action_plan' in q and 'pipeline' not in q, sorted(q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_stages_take_nothing_away_twice(spark, monkeypatch):
+    seen = []
+
+    def by_id(old, new):
+        seen.append(old._jdf.queryExecution().analyzed().toString().count("LeftAnti"))
+        return moves.by_id(old, new)
+
+    monkeypatch.setitem(moves.STAGES, "seen", by_id)
+    rows = spark.createDataFrame([("a", "old", "1", ""), ("b", "new", "1", ""), ("c", "old", "2", ""), ("d", "new", "3", "")], "path string, state string, file_id string, hash string")
+    found = moves.run_stages(rows, [("id", "old", "new"), ("seen", "old", "new"), ("seen", "old", "new")])
+    assert [tuple(r) for r in found.collect()] == [("a", "b", "id")] and seen == [0, 0]
