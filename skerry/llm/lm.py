@@ -7,11 +7,12 @@ of the word's last two bytes); all classes share one parent, the unigram
 restaurant, whose base is uniform over the vocabulary and one unknown word.
 
 1. Word counts of all training documents, by hash bucket.  Words with at least
-   1/``HOT`` of all tokens (so at most ``HOT`` words) are hot.  Pairs that may
-   have that share (at most 2 * ``HOT``) are heavy.
+   1/``HOT`` of all tokens (so at most ``HOT`` words) are hot.
 2. Counts of (word before, word), by bucket: the word's, or for hot words the
-   pair's.  Each occurrence goes there together with its document, training or
-   not; only heavy pairs go without documents.  So no pair can fill a bucket.
+   pair's.  Documents are read in flushes of ``FLUSH`` tokens; a flush sends each
+   of its different pairs once, so no pair can fill a bucket.  A document keeps
+   the places of its tokens' pairs in its flush, and a bucket the places of the
+   flushes' pairs in its own.
 3. Chinese-restaurant seating: with the restaurants' totals of the last round
    fixed, buckets are independent.  In each, Gibbs sweeps take all customers of
    a pair away, seat them anew one after another (in growing blocks once there
@@ -20,15 +21,15 @@ restaurant, whose base is uniform over the vocabulary and one unknown word.
    bucket; those of hot words are a table of fixed size (word, class).  Totals
    of words' own restaurants are a table by word before: every bucket sends its
    part there and gets the totals of its contexts back.
-4. Predictive probabilities are averaged over sweeps.  Occurrences in buckets
-   are scored there and summed by document; heavy pairs are scored in a pass
-   over the documents.
+4. Predictive probabilities are averaged over sweeps.  Each bucket answers each
+   flush with the log probabilities (32 bits each) of the pairs it sent, in their
+   order, and a flush sums them over its documents' tokens.
 
 Words are known by 64-bit hashes (V words have about V*V/2**57 pairs alike),
-contexts by 40 bits of them (V*V/2**41 pairs of words share a restaurant: one at
-1.5 million words, one word in 200 at ten billion).  Numbers travel in as few
-bytes as their largest needs, and tables between steps are deleted once the next
-one is written.
+contexts by 40 bits of them and their class (at most V*V/2**41 pairs of words share
+a restaurant: one at 1.5 million words, one word in 200 at ten billion).  Numbers
+travel sorted, as differences, in as few bytes as their largest needs, compressed;
+tables between steps are deleted once the next one is written.
 
 Defined results: a null or empty text is the end token alone.  Rows with a null
 doc_id are held out.  Repeated rows train once each and score alike.  Without
@@ -42,7 +43,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,17 +58,15 @@ CLASSES = 255
 CONTEXTS = 1 + CLASSES
 END = U64(0x1F0E5A77C0DE0E4D)
 START = U64(0x51A7B3C94D)
-CONTEXT_BITS = 40
-NOBODY = 0  # stands for the documents of heavy pairs
-FLUSH = 1 << 20
+CONTEXT_BITS = 48  # 40 of the word's hash, 8 of its class
+FLUSH = 3 << 19
 _LOWER = K.lowered()
 
 
 class Tokens(NamedTuple):
     doc: np.ndarray
     word: np.ndarray
-    kind: np.ndarray  # class of the word before: 0 at a text's start, else from 1
-    before: np.ndarray  # 40-bit hash of the word before
+    context: np.ndarray  # 40-bit hash of the word before, then its class: 0 at a text's start, else from 1
 
 
 def tokens(s: K.Slice) -> Tokens:
@@ -84,15 +83,14 @@ def tokens(s: K.Slice) -> Tokens:
     last = data[w.end - 1].astype(np.int64)
     second = np.where(w.end - w.start > 1, data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
     suffix[body] = (last * 31 + second) % CLASSES
-    first = ends - count
-    before, kind = np.roll(word >> U64(64 - CONTEXT_BITS), 1), 1 + np.roll(suffix, 1)
-    before[first], kind[first] = START, 0
-    return Tokens(np.repeat(np.arange(docs), count + 1), word, kind, before)
+    context = np.roll((word >> U64(24)) << U64(8) | (1 + suffix).astype(U64), 1)
+    context[ends - count] = START << U64(8)
+    return Tokens(np.repeat(np.arange(docs), count + 1), word, context)
 
 
-def _pair(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+def _pair(word: np.ndarray, context: np.ndarray) -> np.ndarray:
     """64-bit hash of each pair."""
-    return K.mix64(word * U64(0x9E3779B97F4A7C15) ^ K.mix64(before))
+    return K.mix64(word * U64(0x9E3779B97F4A7C15) ^ K.mix64(context))
 
 
 def _find(sorted_hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -104,7 +102,7 @@ def _find(sorted_hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _bucket_bits(docs: DataFrame) -> int:
-    return min(20, max(4, int(input_bytes(docs) >> 21).bit_length()))
+    return min(20, max(4, int(input_bytes(docs) >> 22).bit_length()))
 
 
 def _part_bits(bits: int) -> int:
@@ -112,30 +110,39 @@ def _part_bits(bits: int) -> int:
     return max(3, bits - 3)
 
 
-def _narrow(a: np.ndarray) -> bytes:
-    """Whole numbers from 0 in as few bytes each as the largest needs, low bytes first."""
-    a = np.ascontiguousarray(a, "<u8")
-    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    return bytes([width]) + a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Whole numbers from 0, each array in as few bytes a number as its largest needs,
+    low bytes first, compressed."""
+    out = [len(arrays).to_bytes(1, "little")]
+    for a in arrays:
+        a = np.ascontiguousarray(a, "<u8")
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        out += [bytes([width]), len(a).to_bytes(4, "little"), np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    raw = b"".join(out)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _wide(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : b[0]] = planes.T
-    return out.view("<i8").ravel()
+def _unpack(b: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(b[4:], int.from_bytes(b[:4], "little"), codec="zstd", asbytes=True)
+    found, at = [], 1
+    for _ in range(raw[0]):
+        width, n = raw[at], int.from_bytes(raw[at + 1 : at + 5], "little")
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 5).reshape(width, n).T
+        found.append(out.view("<i8").ravel())
+        at += 5 + n * width
+    return found
 
 
-def _runs(a: np.ndarray) -> tuple[bytes, bytes]:
-    """(different values, how often each) of grouped 64-bit values."""
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1]
-    at = np.flatnonzero(new)
-    return _blob(a[at], "<u8"), _narrow(np.diff(np.append(at, len(a))))
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers; np.cumsum undoes it."""
+    return np.diff(a, prepend=a.dtype.type(0))
 
 
-def _unrun(values: bytes, times: bytes) -> np.ndarray:
-    return np.repeat(np.frombuffer(values, "<u8"), _wide(times))
+def _run_starts(a: np.ndarray) -> np.ndarray:
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    return np.flatnonzero(new)
 
 
 def _blob(a: np.ndarray, kind: str) -> bytes:
@@ -170,10 +177,10 @@ def word_counts(train: DataFrame, bits: int) -> DataFrame:
             for s in K.slices(batch.column(0), rows=8192):
                 held.append(np.unique(tokens(s).word, return_counts=True))
                 size += len(held[-1][0])
-                if size > 4 * FLUSH:
+                if size > 2 * FLUSH:
                     held[:] = [merged()]
                     size = len(held[0][0])
-                    if size > 2 * FLUSH:
+                    if size > FLUSH:
                         yield flush()
                         size = 0
         if held:
@@ -187,45 +194,6 @@ def word_counts(train: DataFrame, bits: int) -> DataFrame:
     return train.select("text").mapInArrow(count, "bucket int, word binary, n binary").groupBy("bucket").applyInArrow(merge, "bucket int, word binary, n binary, tokens long, types long, once long, twice long")
 
 
-def heavy_pairs(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most 2 * HOT pairs: all that have 1/HOT of all tokens.
-
-    Parts of the table report what has 1/(2 * HOT) of their own tokens, so less
-    than 1/(2 * HOT) of all tokens can be missing from a pair's sum.
-    """
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("tokens", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            pair, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            keep = n * 2 * HOT >= size
-            pair, n = np.append(pair[keep], U64(0)), np.append(n[keep], 0)
-            return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n), pa.array(np.where(np.arange(len(n)) == len(n) - 1, size, 0))], schema=schema)
-
-        for batch in batches:
-            for s in K.slices(batch.column(0), rows=8192):
-                t = tokens(s)
-                held.append(_pair(t.word, t.before))
-                size += len(t.word)
-                if size > 2 * FLUSH:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
-
-    found = written(docs.select("text").mapInArrow(count, "pair long, n long, tokens long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "heavy")
-    total = found.agg(F.sum("tokens")).first()[0] or 0
-    rows = found.where((F.col("n") > 1) & (F.col("n") * (2 * HOT) >= total)).select("pair").collect()  # 2 * HOT at most
-    return np.sort(np.array([r["pair"] for r in rows], np.int64).view(U64))
-
-
-_PAIR_COLUMNS = ("word", "runs", "context", "kind", "n", "steps", "doc", "times", "docs")
-PAIRS = "bucket int, " + ", ".join(f"{c} binary" for c in _PAIR_COLUMNS)
-_PAIRS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in _PAIR_COLUMNS)])
 CELLS = "bucket int, word binary, context binary, n binary"
 _CELLS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("word", "context", "n"))])
 
@@ -242,90 +210,113 @@ def hot_rows(counts: DataFrame) -> DataFrame:
     return counts.withColumn("bucket", F.expr(f"cast(pair div {256 * CONTEXTS} as int)")).groupBy("bucket").applyInArrow(merge, CELLS)
 
 
-def _key(doc_id: object, text: bytes) -> int:
-    """Names a document by its id (null is unlike any) and text."""
-    return xxhash.xxh64_intdigest(text, seed=xxhash.xxh64_intdigest(b"" if doc_id is None else f"={doc_id}".encode())) - (1 << 63)
+def pair_rows(docs: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
+    """One row per bucket of words that aren't hot and of pairs of hot words (place >= 0),
+    and one per flush of documents (place < 0).
 
-
-def pair_rows(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, bits: int) -> DataFrame:
-    """One row per bucket of words that aren't hot, and of pairs of hot words.
-
-    word and runs, context, kind, n: pairs in order, with the class of the word
-    before and their training counts; steps: occurrences of each pair; doc, times:
-    those occurrences (place in docs, how often).  Heavy pairs are those of ``NOBODY``.
+    A bucket's data: words, how many pairs each has, contexts, and of every pair, in
+    order of word and context, the context's number and the training count.  sent: the
+    flushes, how many pairs each sent, and the numbers of these pairs.  A flush's data:
+    of every document the numbers of its tokens' pairs among those that the flush sent
+    (ascending, bucket by bucket), how many tokens it has, and whether it trains.
     """
-    names_ = ("word", "runs", "context", "kind", "doc", "times", "docs", "train")
-    schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in names_)])
+    id_type = dict(docs.dtypes)["doc_id"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        names: list[int] = [NOBODY, NOBODY]
-        trains: list[bool] = [True, False]
+        ids: list[pa.Array] = []
+        learns: list[np.ndarray] = []
+        task, number, size, rows = TaskContext.get().partitionId(), 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            bucket, word, context, kind, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, context, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((doc, context, word, bucket))
-            bucket, word, context, kind, doc = bucket[order], word[order], context[order], kind[order], doc[order]
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (doc[1:] != doc[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(word)))
-            bucket, word, context, kind, doc = bucket[at], word[at], context[at], kind[at], doc[at]
-            name, train = np.array(names, np.int64), np.array(trains, bool)
-            cuts = np.searchsorted(bucket, np.arange((2 << bits) + 1))
-            rows = []
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    own, place = np.unique(doc[a:b], return_inverse=True)
-                    rows.append((i, *_runs(word[a:b]), _narrow(context[a:b]), kind[a:b].tobytes(), _narrow(place), _narrow(times[a:b]), _blob(name[own], "<i8"), _blob(train[own], "u1")))
-            names[:], trains[:] = [NOBODY, NOBODY], [True, False]
-            return _batch(rows, schema)
+            train, at = np.concatenate(learns), (task << 32) + number
+            contexts, context = np.unique(context, return_inverse=True)
+            context = context.astype(np.int32)
+            words, dish = np.unique(word, return_inverse=True)
+            del word
+            place = _find(hot, words)
+            common = np.flatnonzero((place >= 0)[dish]).astype(np.int32)
+            bucket = (_pair(words[dish[common]], contexts[context[common]]) >> U64(64 - bits)).astype(np.int64)
+            dish[common] = len(words) + bucket * len(hot) + place[dish[common]]
+            del common, bucket
+            dish *= len(contexts)
+            dish += context
+            del context
+            pair, which = np.unique(dish, return_inverse=True)
+            del dish
+            n = np.bincount(which[train[doc]], minlength=len(pair))
+            which += doc * np.int64(len(pair))
+            which.sort()
+            first = _run_starts(which // len(pair))
+            sizes = np.diff(np.append(first, len(which)))
+            which %= len(pair)
+            step = _steps(which)
+            step[first] = which[first]
+            del which, doc
+            dish, context = np.divmod(pair, len(contexts))
+            is_hot = dish >= len(words)
+            part, place = np.divmod(dish - len(words), max(1, len(hot)))
+            word = words[np.where(is_hot, 0, dish)]
+            word[is_hot] = hot[place[is_hot]]
+            bucket = np.where(is_hot, part + (1 << bits), (word >> U64(64 - bits)).astype(np.int64))
+            cuts = np.append(_run_starts(bucket), len(bucket))
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                own, numbers = np.unique(context[a:b], return_inverse=True)
+                starts = _run_starts(word[a:b])
+                out.append((int(bucket[a]), at, _pack(_steps(word[a:b][starts]), np.diff(np.append(starts, b - a)), _steps(contexts[own]), numbers, n[a:b])))
+            out.append((-1 - at, at, _pack(step, sizes, train)))
+            names = pa.concat_arrays(ids)
+            lists = pa.ListArray.from_arrays(pa.array([0] * len(out) + [len(names)], pa.int32()), names)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), lists], ["place", "flush", "data", "ids"])
 
-        size = 0
         for batch in batches:
-            ids, learns = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for s in K.slices(batch.column(1), rows=8192):
                 t = tokens(s)
-                pair, learn = _pair(t.word, t.before), np.array(learns[s.lo : s.hi], bool)
-                many = _find(heavy, pair) >= 0
-                common = _find(hot, t.word) >= 0
-                bucket = (np.where(common, pair, t.word) >> U64(64 - bits)).astype(np.int32) + common * np.int32(1 << bits)
-                doc = np.where(many, np.where(learn[t.doc], 0, 1), t.doc + len(names)).astype(np.uint32)
-                held.append((bucket, t.word, t.before, t.kind.astype(np.uint8), doc))
-                raw = s.data.tobytes()
-                names += [_key(i, raw[a:b]) for i, a, b in zip(ids[s.lo : s.hi], s.offsets.tolist(), s.offsets[1:].tolist(), strict=False)]
-                trains += learns[s.lo : s.hi]
-                size += len(held[-1][0])
+                held.append((t.word, t.context, (t.doc + rows).astype(np.int32)))
+                ids.append(batch.column(0).slice(s.lo, s.hi - s.lo))
+                learns.append(batch.column(2).slice(s.lo, s.hi - s.lo).to_numpy(zero_copy_only=False))
+                size, rows = size + len(t.word), rows + s.hi - s.lo
                 if size > FLUSH:
                     yield flush()
-                    size = 0
+                    ids.clear()
+                    learns.clear()
+                    number, size, rows = number + 1, 0, 0
         if size:
             yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        part = {c: table[c].to_pylist() for c in names_}
-        sizes = [len(x) // 8 for x in part["docs"]]
-        shift = np.cumsum([0, *sizes[:-1]])
-        word = np.concatenate([_unrun(x, y) for x, y in zip(part["word"], part["runs"], strict=True)])
-        context = np.concatenate([_wide(x).view(U64) for x in part["context"]])
-        kind = np.frombuffer(b"".join(part["kind"]), np.uint8)
-        doc = np.concatenate([_wide(x) + k for x, k in zip(part["doc"], shift, strict=True)])
-        times = np.concatenate([_wide(x) for x in part["times"]])
-        train = np.frombuffer(b"".join(part["train"]), "u1")
-        docs_ = b"".join(part["docs"])
-        part.clear()
-        order = np.lexsort((context, word))
-        word, context, kind, doc, times = word[order], context[order], kind[order], doc[order], times[order]
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
-        at = np.flatnonzero(new)
-        n = np.add.reduceat(times * train[doc], at)
-        steps = np.diff(np.append(at, len(word)))
-        return pa.Table.from_batches([_batch([(table["bucket"][0].as_py(), *_runs(word[at]), _narrow(context[at]), kind[at].tobytes(), _narrow(n), _narrow(steps), _narrow(doc), _narrow(times), docs_)], _PAIRS)])
-
-    rows = docs.select("doc_id", "text", (~held_out(7, 2)).alias("train")).mapInArrow(spread, "bucket int, " + ", ".join(f"{c} binary" for c in names_))
-    return rows.groupBy("bucket").applyInArrow(merge, PAIRS)
+        if table["place"][0].as_py() < 0:
+            return table.append_column("sent", pa.nulls(table.num_rows, pa.binary())).select(["place", "flush", "data", "sent", "ids"])
+        table = table.sort_by("flush")
+        parts = [_unpack(x) for x in table["data"].to_pylist()]
+        words, dish = np.unique(np.concatenate([np.cumsum(p[0].view(U64)) for p in parts]), return_inverse=True)
+        contexts, context = np.unique(np.concatenate([np.cumsum(p[2]) for p in parts]), return_inverse=True)
+        shift = np.cumsum([0] + [len(p[2]) for p in parts[:-1]])
+        dish = np.repeat(dish, np.concatenate([p[1] for p in parts]))
+        context = context[np.concatenate([p[3] + k for p, k in zip(parts, shift, strict=True)])]
+        sizes = np.array([len(p[3]) for p in parts])
+        n = np.concatenate([p[4] for p in parts])
+        del parts
+        pair, which = np.unique(dish * len(contexts) + context, return_inverse=True)
+        n = np.bincount(which, weights=n).astype(np.int64)
+        dish, context = np.divmod(pair, len(contexts))
+        sent = _steps(which)
+        first = np.cumsum(sizes) - sizes
+        sent[first] = which[first]
+        data = _pack(_steps(words), np.bincount(dish), _steps(contexts), context, n)
+        return pa.Table.from_arrays([table["place"][:1], pa.array([None], pa.int64()), pa.array([data], pa.binary()), pa.array([_pack(table["flush"].to_numpy(), sizes, sent)], pa.binary()), pa.nulls(1, table["ids"].type)], ["place", "flush", "data", "sent", "ids"])
+
+    rows = docs.select("doc_id", "text", (~held_out(7, 2)).alias("train")).mapInArrow(spread, f"place long, flush long, data binary, ids array<{id_type}>")
+    return rows.groupBy("place").applyInArrow(merge, f"place long, flush long, data binary, sent binary, ids array<{id_type}>")
+
+
+def _continued(step: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers from their differences, which begin anew in every group."""
+    total, first = np.cumsum(step), np.cumsum(sizes) - sizes
+    return total - np.repeat(total[first] - step[first], sizes)
 
 
 class Totals(NamedTuple):
@@ -460,26 +451,31 @@ class Shared(NamedTuple):
 
 
 class Restaurants:
-    """One bucket's pairs in the words' own restaurants, and the classes above."""
+    """One bucket's pairs in the words' own restaurants, and the classes above.
+
+    ``customers`` and ``tables`` are totals by context.  A pair seen once sits at one
+    table always; only the others are seated anew.
+    """
 
-    def __init__(self, r: dict, customers: np.ndarray, tables: np.ndarray, g: Shared):
-        self.word, self.context = _unrun(r["word"], r["runs"]), _wide(r["context"]).view(U64)
-        self.kind, self.n = np.frombuffer(r["kind"], np.uint8).astype(np.int64), _wide(r["n"])
-        self.g, self.customers, self.own_tables, seed = g, customers, tables, r["bucket"] + (1 << 20)
+    def __init__(self, bucket: int, data: bytes, g: Shared):
+        words, pairs, contexts, self.context, self.n = _unpack(data)
+        self.contexts = np.cumsum(contexts)
+        self.dish = np.repeat(np.arange(len(words)), pairs)
+        words, kind = np.cumsum(words.view(U64)), (self.contexts & 255)[self.context]
+        self.g, seed = g, bucket + (1 << 20)
+        self.customers, self.own_tables = np.zeros(len(contexts)), np.zeros(len(contexts))
         self.rng = np.random.default_rng([seed, 1])
-        self.tables, self.log_weight = np.minimum(self.n, 1).astype(np.float64), np.full(len(self.n), -np.inf)
-        new = np.ones(len(self.word), bool)
-        new[1:] = self.word[1:] != self.word[:-1]
-        dish = np.cumsum(new) - 1
-        self.is_hot = r["bucket"] >= 1 << g.bits
+        self.tables, self.some = np.minimum(self.n, 1).astype(np.float64), np.flatnonzero(self.n > 1)
+        self.log_weight = np.full(len(self.some), -np.inf)
+        self.is_hot = bucket >= 1 << g.bits
         if self.is_hot:
-            self.place = _find(g.hot, self.word)
-            self.count = g.count[self.place]
-            self.fixed = g.table[self.place, self.kind].astype(np.float64) if len(g.table) else np.zeros(len(self.n))
+            place = _find(g.hot, words)
+            self.count, self.cell = g.count[place], place[self.dish] * CONTEXTS + kind
+            self.fixed = g.table.ravel()[self.cell].astype(np.float64) if len(g.table) else np.zeros(len(self.n))
         else:
-            self.count = np.bincount(dish, weights=self.n)[dish]
-            cells, self.cell = np.unique(dish * CONTEXTS + self.kind, return_inverse=True)
-            self.classes = Pairs(_blob(self.word[new][cells // CONTEXTS], "<u8"), _blob(cells % CONTEXTS, "<u2"), _blob(self.up(len(cells)), "<i8"), g.totals, seed)
+            self.count = np.bincount(self.dish, weights=self.n, minlength=len(words)).astype(np.int64)
+            cells, self.cell = np.unique(self.dish * CONTEXTS + kind, return_inverse=True)
+            self.classes = Pairs(_blob(words[cells // CONTEXTS], "<u8"), _blob(cells % CONTEXTS, "<u2"), _blob(self.up(len(cells)), "<i8"), g.totals, seed)
 
     def up(self, cells: int) -> np.ndarray:
         """Customers of the class restaurants: the tables below."""
@@ -489,9 +485,11 @@ class Restaurants:
         return self.fixed if self.is_hot else self.classes.probability()[self.cell]
 
     def sweep(self) -> None:
-        tables, log_weight = _seat(self.n, (self.g.totals.strength + self.g.discount * self.own_tables) * self.above(), self.g.discount, self.rng)
-        take = np.log(self.rng.random(len(self.n))) < log_weight - self.log_weight
-        self.tables[take], self.log_weight[take] = tables[take], log_weight[take]
+        some = self.some
+        above = self.fixed[some] if self.is_hot else self.classes.probability()[self.cell[some]]
+        tables, log_weight = _seat(self.n[some], (self.g.totals.strength + self.g.discount * self.own_tables)[self.context[some]] * above, self.g.discount, self.rng)
+        take = np.log(self.rng.random(len(some))) < log_weight - self.log_weight
+        self.tables[some[take]], self.log_weight[take] = tables[take], log_weight[take]
         if not self.is_hot:
             self.classes.reset(self.up(len(self.classes.n)))
             self.classes.sweep()
@@ -499,7 +497,7 @@ class Restaurants:
     def probability(self) -> np.ndarray:
         """Predictive probability of each pair under the present seating."""
         strength, d = self.g.totals.strength, self.g.discount
-        return (self.n - d * self.tables + (strength + d * self.own_tables) * self.above()) / (strength + self.customers)
+        return (self.n - d * self.tables + (strength + d * self.own_tables)[self.context] * self.above()) / (strength + self.customers)[self.context]
 
     def averaged(self, burn: int, samples: int) -> np.ndarray:
         own = np.zeros(len(self.n))
@@ -510,71 +508,72 @@ class Restaurants:
         return own
 
 
-def _restaurants(left: pa.Table, right: pa.Table, g: Shared) -> tuple[dict, Restaurants] | None:
+def _restaurants(left: pa.Table, right: pa.Table, g: Shared) -> Restaurants | None:
     """A bucket with the totals that came back for its contexts."""
     if not left.num_rows:
         return None
-    r = left.to_pylist()[0]
-    context, place = np.unique(_wide(r["context"]).view(U64), return_inverse=True)
-    customers, tables = np.zeros(len(context)), np.zeros(len(context))
+    p = Restaurants(left["bucket"][0].as_py(), left["data"][0].as_py(), g)
     if right.num_rows:
-        order = np.argsort(right["part"].to_numpy())  # contexts were asked for in order, part by part
-        customers, tables = (np.concatenate([_wide(x) for x in (column[k] for k in order)]).astype(np.float64) for column in (right["customers"].to_pylist(), right["tables"].to_pylist()))
-    return r, Restaurants(r, customers[place], tables[place], g)
+        totals = [_unpack(x) for x in right.sort_by("part")["totals"].to_pylist()]  # contexts were asked for in order, part by part
+        p.customers, p.own_tables = (np.concatenate(x).astype(np.float64) for x in zip(*totals, strict=True))
+    return p
+
+
+SEATED = "what int, part int, bucket int, x binary, y binary"
+_SEATED = pa.schema([("what", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+ANSWERS = "bucket int, part int, totals binary"
+_ANSWERS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("totals", pa.binary())])
 
 
-SEATED = "what int, part int, bucket int, x binary, y binary, z binary"
-_SEATED = pa.schema([("what", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
-ANSWERS = "bucket int, part int, customers binary, tables binary"
-_ANSWERS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary())])
+def _buckets(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.where("place >= 0").select(F.col("place").cast("int").alias("bucket"), "data", *columns)
 
 
 def _seated(rows: DataFrame, answers: DataFrame, shared: object, sweeps: int) -> DataFrame:
     """Every bucket after some sweeps.
 
-    what 0: customers and tables of its contexts, for each part of the contexts;
+    what 0: its contexts, their customers and tables, for each part of the contexts;
     1: customers of hot words' classes; 2: sums over the bucket.
     """
 
     def seat(left: pa.Table, right: pa.Table) -> pa.Table:
         g = shared.value
-        found = _restaurants(left, right, g)
-        if found is None:
+        p = _restaurants(left, right, g)
+        if p is None:
             return _SEATED.empty_table()
-        r, p = found
+        bucket = left["bucket"][0].as_py()
         for _ in range(sweeps):
             p.sweep()
-        context, which = np.unique(p.context, return_inverse=True)
-        customers, tables = (np.bincount(which, weights=x).astype(np.int64) for x in (p.n, p.tables))
-        parts = _part_bits(g.bits)
-        cuts = np.searchsorted((context >> U64(CONTEXT_BITS - parts)).astype(np.int64), np.arange((1 << parts) + 1))
-        out = [(0, i, r["bucket"], _narrow(context[a:b]), _narrow(customers[a:b]), _narrow(tables[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        customers, tables = (np.bincount(p.context, weights=x, minlength=len(p.contexts)) for x in (p.n, p.tables))
+        part = p.contexts >> (CONTEXT_BITS - _part_bits(g.bits))
+        cuts = np.append(_run_starts(part), len(part))
+        out = [(0, int(part[a]), bucket, _pack(_steps(p.contexts[a:b]), customers[a:b], tables[a:b]), b"") for a, b in zip(cuts, cuts[1:])]
         sums = np.zeros(2 * CONTEXTS + 5)
         sums[-5:-3] = (p.n == 1).sum(), (p.n == 2).sum()
         if p.is_hot:
-            cell, which = np.unique(p.place * CONTEXTS + p.kind, return_inverse=True)
-            out.append((1, 0, r["bucket"], _blob(cell, "<i8"), _blob(np.bincount(which, weights=p.tables), "<i8"), b""))
+            cell, which = np.unique(p.cell, return_inverse=True)
+            out.append((1, 0, bucket, _blob(cell, "<i8"), _blob(np.bincount(which, weights=p.tables), "<i8")))
         else:
             c = p.classes
             sums[:CONTEXTS], sums[CONTEXTS : 2 * CONTEXTS] = (np.bincount(c.context, weights=x, minlength=CONTEXTS) for x in (c.n, c.tables))
             sums[-3:] = c.parent_tables.sum(), (c.n == 1).sum(), (c.n == 2).sum()
-        out.append((2, 0, r["bucket"], _blob(sums, "<f8"), b"", b""))
+        out.append((2, 0, bucket, _blob(sums, "<f8"), b""))
         return pa.Table.from_batches([_batch(out, _SEATED)])
 
-    return rows.select("bucket", "word", "runs", "context", "kind", "n").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(seat, SEATED)
+    return _buckets(rows).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(seat, SEATED)
 
 
 def _answers(seated: DataFrame) -> DataFrame:
     """Totals of the words' own restaurants, for every bucket that asked."""
 
     def total(table: pa.Table) -> pa.Table:
-        bucket, part, asked = table["bucket"].to_pylist(), table["part"][0].as_py(), [_wide(x) for x in table["x"].to_pylist()]
-        context, which = np.unique(np.concatenate(asked), return_inverse=True)
-        customers, tables = (np.bincount(which, weights=np.concatenate([_wide(x) for x in table[c].to_pylist()])).astype(np.int64) for c in ("y", "z"))
-        cuts = np.cumsum([0, *map(len, asked)])
-        return pa.Table.from_batches([_batch([(b, part, _narrow(customers[which[i:j]]), _narrow(tables[which[i:j]])) for b, i, j in zip(bucket, cuts, cuts[1:], strict=False)], _ANSWERS)])
+        bucket, part, asked = table["bucket"].to_pylist(), table["part"][0].as_py(), [_unpack(x) for x in table["x"].to_pylist()]
+        which = np.unique(np.concatenate([np.cumsum(x[0]) for x in asked]), return_inverse=True)[1]
+        customers, tables = (np.bincount(which, weights=np.concatenate([x[k] for x in asked])) for k in (1, 2))
+        cuts = np.cumsum([0, *(len(x[0]) for x in asked)])
+        return pa.Table.from_batches([_batch([(b, part, _pack(customers[which[i:j]], tables[which[i:j]])) for b, i, j in zip(bucket, cuts, cuts[1:], strict=False)], _ANSWERS)])
 
-    return seated.where("what = 0").select("part", "bucket", "x", "y", "z").groupBy("part").applyInArrow(total, ANSWERS)
+    return seated.where("what = 0").select("part", "bucket", "x").groupBy("part").applyInArrow(total, ANSWERS)
 
 
 def _bucket_sums(seated: DataFrame) -> np.ndarray:
@@ -603,54 +602,42 @@ def _cells(seated: DataFrame, hot: int) -> DataFrame:
     return seated.where("what = 1").select("x", "y").mapInArrow(add, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def _scored(rows: DataFrame, answers: DataFrame, shared: object, heavy: np.ndarray, n: int, v: int, burn: int, samples: int, tasks: int) -> DataFrame:
-    """(key, heavy, n_known, base_score, score): sums by task and document, and
-    the values of each heavy pair."""
-    names = "key long, heavy boolean, n_known long, base_score double, score double"
-    schema = pa.schema([("key", pa.int64()), ("heavy", pa.bool_()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def table(key: np.ndarray, is_heavy: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(is_heavy), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=schema)
+def _replies(rows: DataFrame, answers: DataFrame, shared: object, burn: int, samples: int) -> DataFrame:
+    """For every bucket and flush: the log10 probabilities of the pairs that it sent
+    (32 bits each), and how often each of their words was seen, with how many pairs."""
+    schema = pa.schema([("flush", pa.int64()), ("bucket", pa.int32()), ("reply", pa.binary())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _restaurants(left, right, shared.value)
-        if found is None:
+        p = _restaurants(left, right, shared.value)
+        if p is None:
             return schema.empty_table()
-        r, p = found
-        own = np.log10(np.maximum(p.averaged(burn, samples), 1e-300))
-        known, base = p.count > 0, np.log10((p.count + 1) / (n + v + 1))
-        steps = _wide(r["steps"])
-        pair = np.repeat(np.arange(len(steps)), steps)
-        times = _wide(r["times"]).astype(np.float64)
-        key, which = np.unique(np.frombuffer(r["docs"], "<i8"), return_inverse=True)
-        doc = which[_wide(r["doc"])]
-        sums = [np.bincount(doc, weights=times * x[pair], minlength=len(key)) for x in (known, base, own)]
-        real = key != NOBODY
-        name = _pair(p.word, p.context)
-        at = _find(heavy, name) >= 0
-        return pa.Table.from_batches([table(key[real], np.zeros(real.sum(), bool), [x[real] for x in sums]), table(name[at].view(np.int64), np.ones(at.sum(), bool), [known[at], base[at], own[at]])])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        own = np.log10(np.maximum(p.averaged(burn, samples), 1e-300)).astype("<f4").view("<u4")
+        flush, sizes, sent = _unpack(left["sent"][0].as_py())
+        sent, cuts, out = _continued(sent, sizes), np.cumsum([0, *sizes]), []
+        for k, a, b in zip(flush.tolist(), cuts, cuts[1:], strict=False):
+            dish = p.dish[sent[a:b]]
+            starts = _run_starts(dish)
+            out.append((k, left["bucket"][0].as_py(), _pack(own[sent[a:b]], p.count[dish[starts]], np.diff(np.append(starts, b - a)))))
+        return pa.Table.from_batches([_batch(out, schema)])
 
-        def flush() -> pa.RecordBatch:
-            key, is_heavy, *sums = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(5))
-            held.clear()
-            own, which = np.unique(key[~is_heavy], return_inverse=True)
-            both = [np.append(np.bincount(which, weights=x[~is_heavy]), x[is_heavy]) for x in sums]
-            return table(np.append(own, key[is_heavy]), np.arange(len(both[0])) >= len(own), both)
+    return _buckets(rows, "sent").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "flush long, bucket int, reply binary")
 
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size > FLUSH // 2:
-                yield flush()
-                size = 0
-        if size:
-            yield flush()
 
-    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, names).coalesce(tasks).mapInArrow(merge, names)
+def _summed(rows: DataFrame, replies: DataFrame, id_type: str, n: int, v: int) -> DataFrame:
+    """Every document's sums over the replies to its flush."""
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left["ids"].combine_chunks().flatten()
+        step, size, train = _unpack(left["data"][0].as_py())
+        reply = [_unpack(x) for x in right.sort_by("bucket")["reply"].to_pylist()]  # a flush numbers its pairs bucket by bucket
+        own = np.concatenate([x[0] for x in reply]).astype("<u4").view("<f4").astype(np.float64)
+        count = np.concatenate([np.repeat(x[1], x[2]) for x in reply])
+        token, first = _continued(step, size), np.cumsum(size) - size
+        known, base, score = (np.add.reduceat(x[token], first) for x in ((count > 0).astype(np.int64), np.log10((count + 1) / (n + v + 1)), own))
+        return pa.Table.from_arrays([ids, pa.array(train == 0), pa.array(size), pa.array(known), pa.array(np.full(len(size), n, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    docs = rows.where("place < 0").select("flush", "data", "ids")
+    return docs.groupBy("flush").cogroup(replies.groupBy("flush")).applyInArrow(add, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _hot_table(rows: DataFrame, totals: Totals, hot: int, burn: int, samples: int) -> np.ndarray:
@@ -694,17 +681,17 @@ def scores(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, st
     count = np.array([r["n"] for r in found], np.int64)
     order = np.argsort(hot)
     hot, count = hot[order], count[order]
-    heavy = heavy_pairs(docs)
+    dropped(words)
 
-    rows = written(pair_rows(docs, hot, heavy, bits), "pairs")
+    rows = written(pair_rows(docs, hot, bits), "pairs")
     share = spark.sparkContext.broadcast
     g = Shared(Totals(np.zeros(CONTEXTS), np.zeros(CONTEXTS), 0.0, float(v), 0.5, _discount(once, twice), strength, 1 / (v + 1)), 0.5, hot, count, np.zeros((0, CONTEXTS), np.float32), bits)
-    answers, seated, cells = spark.createDataFrame([], ANSWERS), None, None
-    dropped(words)
+    answers, cells = spark.createDataFrame([], ANSWERS), None
     for k in range(rounds + 1):  # the first one seats nobody, it only counts
-        old, seated = seated, written(_seated(rows, answers, share(g), burn if k else 0), "seated")
-        dropped(old, cells)
-        answers, sums, cells = _answers(seated), _bucket_sums(seated), written(hot_rows(_cells(seated, len(hot))), "cells")
+        seated = written(_seated(rows, answers, share(g), burn if k else 0), "seated")
+        dropped(answers if k else None, cells)
+        answers, sums, cells = written(_answers(seated), "answers"), _bucket_sums(seated), written(hot_rows(_cells(seated, len(hot))), "cells")
+        dropped(seated)
         customers, tables, above, seen = _sums(cells, g.totals, burn if k else 0)
         tables = tables + sums[CONTEXTS : 2 * CONTEXTS]
         totals = g.totals._replace(customers=customers + sums[:CONTEXTS], tables=tables, parent_customers=tables.sum())
@@ -715,37 +702,9 @@ def scores(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, st
             totals = totals._replace(discount=_discount(*(seen + sums[-2:])))
         g = g._replace(totals=totals, table=_hot_table(cells, totals, len(hot), burn, samples))  # HOT * CONTEXTS * 4 bytes at most
 
-    tasks = int(min(20_000, max(12, input_bytes(rows) >> 26)))
-    scored = written(_scored(rows, answers, share(g), heavy, n, v, burn, samples, tasks), "scored")
-    dropped(rows, seated, cells)
-    rare = scored.where("not heavy")
-    at_hand = sorted((r["key"] % (1 << 64), r["n_known"], r["base_score"], r["score"]) for r in scored.where("heavy").collect())  # 2 * HOT at most
-    shared = share(tuple(np.array([x[i] for x in at_hand], kind) for i, kind in enumerate((U64, np.int64, np.float64, np.float64))))
-    schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def own(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        heavy, known, base, value = shared.value
-        for ids, text in batches:
-            names, out = ids.to_pylist(), []
-            for s in K.slices(text, rows=8192):
-                t, docs = tokens(s), s.hi - s.lo
-                at = _find(heavy, _pair(t.word, t.before))
-                hit = at >= 0
-                doc, at, raw = t.doc[hit], at[hit], s.data.tobytes()
-                key = [_key(i, raw[a:b]) for i, a, b in zip(names[s.lo : s.hi], s.offsets.tolist(), s.offsets[1:].tolist(), strict=False)]
-                out.append(pa.StructArray.from_arrays([pa.array(key, pa.int64()), pa.array(np.bincount(t.doc, minlength=docs)), pa.array(np.bincount(doc, weights=known[at], minlength=docs).astype(np.int64)), *(pa.array(np.bincount(doc, weights=x[at], minlength=docs).astype(np.float64)) for x in (base, value))], fields=list(schema)))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.struct(list(schema)))
-
-    own.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    passed = F.arrow_udf(own, "struct<key:long,n_tokens:long,n_known:long,base_score:double,score:double>")
-    main = docs.select("doc_id", held_out(7, 2).alias("held_out"), passed("doc_id", "text").alias("s")).select("doc_id", "held_out", F.lit(1).cast("long").alias("rows"), "s.*")
-    null = lambda kind: F.lit(None).cast(kind)
-    # a repeated row's rare words were summed once for each of its rows
-    parts = main.select("key", "doc_id", "held_out", "rows", "n_tokens", "n_known", "base_score", "score").unionByName(rare.select("key", null(id_type).alias("doc_id"), null("boolean").alias("held_out"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base_score", "score"))
-    total = parts.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score")))
-    each = lambda c: (F.col(c) / F.col("rows")).cast("long").alias(c)
-    once_each = total.select("doc_id", "held_out", each("n_tokens"), each("n_known"), F.lit(n).cast("long").alias("train_tokens"), *((F.col(c) / F.col("rows")).alias(c) for c in ("base_score", "score")), "rows")
-    return once_each.withColumn("rows", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))).drop("rows")
+    replies = written(_replies(rows, answers, share(g), burn, samples), "replies")
+    dropped(answers, cells)
+    return _summed(rows, replies, id_type, n, v)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

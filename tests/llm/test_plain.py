@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +177,53 @@ def test_lm_of_unusual_texts(spark):
         assert all(r["score"] < 0 for r in got)
 
 
+def test_lm_sends_few_bytes(spark):
+    """No shuffle moves more than 8 bytes for a token of the texts."""
+    context = spark.sparkContext
+    before = {k for k, _ in _shuffled(context)}
+    tokens = sum(r["n_tokens"] for r in lm.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect())
+    assert 0 < max(size for k, size in _shuffled(context) if k not in before) < 8 * tokens
+
+
+def _shuffled(context):
+    """Every stage so far, and the bytes that it wrote for a shuffle."""
+    jvm = context._gateway.jvm
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteBytes()) for i in range(stages.size())]
+
+
+def test_lm_pairs_and_places(spark, edge, monkeypatch):
+    """Buckets hold the training counts of pairs, documents find their own tokens, whatever a flush holds."""
+    hot = np.unique(lm.tokens(next(kernels.slices(pa.array(["the of"])))).word)
+    want, whole = Counter(), []
+    docs = edge.select("doc_id", "text")
+    for r in docs.select("doc_id", "text", (~lm.held_out(7, 2)).alias("train")).collect():
+        t = lm.tokens(next(kernels.slices(pa.array([r["text"] or ""]))))
+        pairs = list(zip(t.word.tolist(), t.context.tolist(), strict=True))
+        want.update({p: r["train"] * n for p, n in Counter(pairs).items()})
+        whole.append((str(r["doc_id"]), sorted(pairs)))
+    for flush in (lm.FLUSH, 50):
+        monkeypatch.setattr(lm, "FLUSH", flush)
+        rows = lm.pair_rows(docs, hot, 4).collect()
+        got, sent, found = Counter(), {}, []
+        for r in sorted((r for r in rows if r["place"] >= 0), key=lambda r: r["place"]):
+            words, many, contexts, place, n = lm._unpack(r["data"])
+            pairs = list(zip(np.repeat(np.cumsum(words.view(np.uint64)), many).tolist(), np.cumsum(contexts)[place].tolist(), strict=True))
+            assert pairs == sorted(set(pairs)) and not set(pairs) & set(got)
+            got.update(dict(zip(pairs, n.tolist(), strict=True)))
+            flushes, sizes, steps = lm._unpack(r["sent"])
+            ends = np.cumsum(sizes)
+            for k, a, b in zip(flushes.tolist(), ends - sizes, ends, strict=True):
+                sent.setdefault(k, []).extend(pairs[i] for i in np.cumsum(steps[a:b]))
+        for r in rows:
+            if r["place"] < 0:
+                steps, sizes, _ = lm._unpack(r["data"])
+                ends = np.cumsum(sizes)
+                found += [(str(i), sorted(sent[r["flush"]][k] for k in np.cumsum(steps[a:b]))) for i, a, b in zip(r["ids"], ends - sizes, ends, strict=True)]
+        assert got == want and set(got) == set(want) and sorted(found) == sorted(whole)
+
+
 def test_guess_spans(spark):
     """Spans of kind guess are the credential values of the contexts that cost enough."""
     values = ["Xk9#mQ2$vL7!", "password123", "correcthorse", "Tr0ub4dor&3xQz", "aaaaaaaaaaaa", "qwertyuiop12"]
