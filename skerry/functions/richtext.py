@@ -217,12 +217,13 @@ def _table_node(rows: Column) -> Column:
 def line_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n (line number), line, kind (code, quote, table, single), block (the number
     of its first line): how the lines of each document's Markdown belong together.
+    A null text has one row, whose n, line and block are null.
 
     A fence closes at the next line with one.  Whether a line is inside is the
     parity of the opening fences since the last fence that can only close, which
     running sums tell.
     """
-    lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
+    lines = docs.select(F.col(key).alias("key"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("n", "line"))
     order = Window.partitionBy("key").orderBy("n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     fence, opens = F.col("line").startswith("```"), F.col("line").rlike(r"^```(?:\w+\s*)?$")
@@ -258,7 +259,11 @@ def _whole_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def markdown_to_notes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, note: each document's Markdown as rich-note JSON (null for null); node ids
-    are left empty, for the writer to fill."""
+    are left empty, for the writer to fill.
+
+    ``key`` tells documents apart.  Notes aren't joined to ``docs`` again: by a small
+    file's size Spark would broadcast them all, however large they are.
+    """
     coded = _whole_blocks(docs, key, text)
     # a filter on a generated column isn't moved to where the text would be made once for each mention
     charts = docs.select(key, F.explode(F.array(text)).alias(text)).where(F.col(text).rlike("(?i)```mermaid"))
@@ -283,6 +288,6 @@ def markdown_to_notes(docs: DataFrame, key: str, text: str) -> DataFrame:
         .when(F.col("kind") == "table", once(cells, _table_node))
         .when(single != "", _single(single))
     )
-    nodes = coded.select("key", "block", node.alias("node")).groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("block", "node")))), lambda x: x["node"]).alias("nodes"))
-    note = F.concat(F.lit('{"2":"1","3":"","4":{"version":1,"incompatibleVersion":0,"fv":"0"},"5":['), F.array_join(F.coalesce("nodes", F.array().cast("array<string>")), ","), F.lit('],"title":"","__compress__":true}'))
-    return docs.select(F.col(key).alias("key"), F.col(text).isNotNull().alias("_there")).join(nodes, "key", "left").select("key", F.when(F.col("_there"), note).alias("note"))
+    nodes = coded.select("key", "block", node.alias("node")).groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("block", "node")))), lambda x: x["node"]).alias("nodes"), (F.count("block") > 0).alias("_there"))
+    note = F.concat(F.lit('{"2":"1","3":"","4":{"version":1,"incompatibleVersion":0,"fv":"0"},"5":['), F.array_join("nodes", ","), F.lit('],"title":"","__compress__":true}'))
+    return nodes.select("key", F.when(F.col("_there"), note).alias("note"))

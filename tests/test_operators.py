@@ -280,3 +280,15 @@ def test_lines_are_dealt_and_sorted_once(spark):
     back = {r["key"]: r["m"] for r in notes_.select("key", richtext.note_to_markdown("note").alias("m")).collect()}
     assert back[1] == "a\n\n| b |\n| -- |\n| x |\n\n\n﷐ c" and back[3] is None
     assert back[2] == "```mermaid\ngraph LR\n    A[\"A\"]\n    B[\"B\"]\n    A --> B\n```\n\nz"
+
+
+def test_notes_are_not_broadcast(spark, tmp_path):
+    """A small file of short texts makes far larger notes; texts without a key, without lines or null keep their note."""
+    texts = [(1, "# a\n\nb"), (2, None), (3, ""), (None, "c")]
+    docs = spark.createDataFrame(texts, "k long, t string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    notes_ = richtext.markdown_to_notes(spark.read.parquet(str(tmp_path / "docs")), "k", "t")
+    found = {r["key"]: r["note"] for r in notes_.collect()}
+    final = notes_._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and "Join" not in final
+    assert '{"8":"a"}' in found[1] and '{"8":"b"}' in found[1] and found[2] is None and '"5":[],' in found[3] and '{"8":"c"}' in found[None]
